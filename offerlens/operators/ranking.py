@@ -20,7 +20,7 @@ from offerlens.constants import OFFERS
 from offerlens.sources.tables import offers_array
 
 __all__ = ["expand_offers", "scored_offer_structs", "best_offer", "rank_offers",
-           "dedup_keep_first", "argmax_by_group", "topk_per_group", "head_n"]
+           "with_best_offer", "dedup_keep_first", "argmax_by_group", "topk_per_group", "head_n"]
 
 
 def expand_offers(df: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def _tiebreak_rank(variant: str) -> dict:
     return {n: i for i, n in enumerate(order)}
 
 
-def scored_offer_structs(score_fn, variant: str = "A") -> Column:
+def scored_offer_structs(score_fn, variant: str = "A", precomputed: dict | None = None) -> Column:
     """array<struct<score, neg_rank, offer_ord, offer, action_type, price>> for
     all offers; ``score_fn(offer_col, action_type_col)`` scores one offer.
 
@@ -47,7 +47,7 @@ def scored_offer_structs(score_fn, variant: str = "A") -> Column:
     items = []
     for i, (name, at, price) in enumerate(OFFERS):
         items.append(F.struct(
-            score_fn(F.lit(name), F.lit(at)).alias("score"),
+            (precomputed[name] if precomputed else score_fn(F.lit(name), F.lit(at))).alias("score"),
             F.lit(-rank[name]).alias("neg_rank"),
             F.lit(i).alias("offer_ord"),
             F.lit(name).alias("offer"),
@@ -61,6 +61,29 @@ def best_offer(score_fn, variant: str = "A") -> Column:
     return F.array_max(scored_offer_structs(score_fn, variant))
 
 
+def with_best_offer(df: DataFrame, score_fn, variant: str = "A", signature=None,
+                    out: str = "__best") -> DataFrame:
+    """Add the in-row argmax struct as column ``out``.
+
+    Offers whose score expressions are identical (``signature(name, type)``
+    returns the same key) share one score column, computed once in a lower
+    projection; the argmax then only references those columns. This keeps the
+    generated code small (each feature expression is not repeated per offer).
+    """
+    signature = signature or (lambda name, at: (name, at))
+    sig_cols, names = {}, {}
+    for name, at, _ in OFFERS:
+        key = signature(name, at)
+        if key not in sig_cols:
+            sig_cols[key] = f"__score_{len(sig_cols)}"
+            names[sig_cols[key]] = score_fn(F.lit(key[0]), F.lit(key[1]))
+        names.setdefault(name, sig_cols[key])
+    scored = df.withColumns({col: expr for col, expr in names.items() if col.startswith("__score_")})
+    by_offer = {name: F.col(names[name]) for name, _, _ in OFFERS}
+    arr = scored_offer_structs(lambda o, at, _m=by_offer: None, variant, by_offer)
+    return scored.withColumn(out, F.array_max(arr)).drop(*[c for c in names if c.startswith("__score_")])
+
+
 def rank_offers(df: DataFrame, score_fn, key: str = "customer_id", variant: str = "A") -> DataFrame:
     """topk_offers_ranking: all offers of each row ranked by score (1 = best),
     computed per row (sort the literal-sized array, then posexplode)."""

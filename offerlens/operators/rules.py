@@ -23,7 +23,7 @@ from offerlens.functions.text import (
 c = F.col
 
 __all__ = [
-    "propensity", "heuristic_score", "guard_full", "guard_margin", "guard", "lift",
+    "propensity", "propensity_signature", "heuristic_score", "guard_full", "guard_margin", "guard", "lift",
     "treated_probability", "rationale", "message_core", "message", "allowed_numbers",
     "ungrounded_numbers", "grounding", "grounding_reason", "prompt", "adjudicate",
     "RESPONSE_SCHEMA", "SYSTEM_PROMPT",
@@ -56,6 +56,12 @@ def propensity(offer: Column, action_type: Column) -> Column:
     return clip(s, 0.01, 0.95)
 
 
+def propensity_signature(offer: str, action_type: str) -> tuple:
+    """Offers with equal (signature) share one propensity expression: the rule
+    only looks at the action type, plus one offer-specific bonus."""
+    return ("Device_Upgrade_iPhone" if offer == "Device_Upgrade_iPhone" else "", action_type)
+
+
 def heuristic_score(action_type: Column) -> Column:
     """rule_heuristic_ranking: the reduced score used to rank offers for one
     subscriber in the interactive view (base 0.15, four rules, cap 0.95)."""

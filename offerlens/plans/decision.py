@@ -18,7 +18,7 @@ from offerlens.constants import (
 from offerlens.functions.core import fmt_money, fmt_percent, round_half_up as rhu, safe_ratio
 from offerlens.functions.text import redact
 from offerlens.operators import rules
-from offerlens.operators.ranking import best_offer
+from offerlens.operators.ranking import with_best_offer
 
 c = F.col
 
@@ -35,8 +35,7 @@ def recommend_rules(subs: DataFrame, variant: str = "A", keep_all: bool = False)
     Output: customer_id, action, action_type, propensity (4 decimals), value_qar
     (plus every subscriber column when ``keep_all``).
     """
-    best = best_offer(rules.propensity, variant)
-    out = subs.withColumn("__best", best)
+    out = with_best_offer(subs, rules.propensity, variant, signature=rules.propensity_signature)
     rec = [c("__best.offer").alias("action"), c("__best.action_type").alias("action_type"),
            rhu(c("__best.score"), 4).alias("propensity"), c("__best.price").alias("value_qar")]
     if keep_all:
