@@ -432,3 +432,238 @@ def q_fn_stable_hash(spark, sf):
     cv = Tables(spark, sf).conversations
     return cv.select("conv_id", "turn", F.md5(F.concat_ws("|", c("conv_id").cast("string"), F.lit("history"),
                                                            c("turn").cast("string"))).alias("h"))
+
+
+# ---------------------------------------------------------------- retrieval
+from offerlens.constants import BASELINE_KEYWORDS, OVERLAP_STOPWORDS, PROBE_TEXT  # noqa: E402
+from offerlens.functions.vectors import l2_norm, normalize  # noqa: E402
+from offerlens.operators import retrieval as R  # noqa: E402
+from offerlens.plans import retrieval as RP  # noqa: E402
+
+HIT_COLS = ["customer_id", "rank", "interaction_id", "channel", "date", "similarity", "distance"]
+
+
+def _hits(spark, sf, k=3):
+    return RP.anchor_hits(Tables(spark, sf), k)
+
+
+@register("src_corpus_load")
+def q_src_corpus_load(spark, sf):
+    corp = RP.corpus(Tables(spark, sf))
+    return corp.select("interaction_id", "customer_id", "channel", "date", "is_relevant",
+                       F.length("text").alias("n_chars"))
+
+
+@register("fn_vec_norm")
+def q_fn_vec_norm(spark, sf):
+    e = Tables(spark, sf).embeddings
+    n = normalize(c("embedding"))
+    return e.select("vec_id", rhu(l2_norm(c("embedding")), 6).alias("norm"),
+                    rhu(l2_norm(n), 6).alias("unit_norm"), rhu(F.get(n, 0), 6).alias("x0"))
+
+
+@register("fn_cosine")
+def q_fn_cosine(spark, sf):
+    corp = RP.corpus(Tables(spark, sf))
+    s = R.score(corp, RP.anchor_query(corp))
+    return s.select("interaction_id", rhu(c("sim"), 6).alias("sim"))
+
+
+@register("ret_exact_topk")
+def q_ret_exact_topk(spark, sf):
+    _, hits = _hits(spark, sf)
+    return hits.select(*HIT_COLS)
+
+
+@register("win_topk_per_customer")
+def q_win_topk_per_customer(spark, sf):
+    _, hits = _hits(spark, sf, 5)
+    return hits.select("customer_id", "rank", "interaction_id")
+
+
+@register("join_customer_scope")
+def q_join_customer_scope(spark, sf):
+    # per-customer query = that customer's own relevant centroid, joined on the key
+    corp = RP.corpus(Tables(spark, sf))
+    dim = R.vector_dim(corp)
+    qv = (corp.where(c("is_relevant")).groupBy("customer_id")
+          .agg(F.array(*[F.avg(F.get(c("embedding"), i).cast("double")) for i in range(dim)])
+               .alias("query_embedding")))
+    hits = R.scoped_topk(corp, qv, 3)
+    return hits.select(*HIT_COLS)
+
+
+@register("ret_explain")
+def q_ret_explain(spark, sf):
+    corp, hits = _hits(spark, sf)
+    return R.explain(corp, hits).select("interaction_id", "customer_id", "kept", "rank")
+
+
+@register("join_anti_not_retrieved")
+def q_join_anti_not_retrieved(spark, sf):
+    corp, hits = _hits(spark, sf)
+    return corp.join(hits.select("interaction_id"), "interaction_id", "left_anti").select(
+        "customer_id", "interaction_id", "channel", "date")
+
+
+@register("join_semi_kept")
+def q_join_semi_kept(spark, sf):
+    corp, hits = _hits(spark, sf)
+    return corp.join(hits.select("interaction_id"), "interaction_id", "left_semi").select(
+        "customer_id", "interaction_id", "is_relevant")
+
+
+@register("set_difference")
+def q_set_difference(spark, sf):
+    corp, hits = _hits(spark, sf)
+    ex = R.explain(corp, hits)
+    return ex.groupBy("customer_id").agg(F.count_if(c("kept")).alias("n_kept"),
+                                         F.count_if(~c("kept")).alias("n_dropped"))
+
+
+@register("join_truth_labels")
+def q_join_truth_labels(spark, sf):
+    corp, hits = _hits(spark, sf)
+    return R.hits_with_truth(hits.drop("is_relevant"), corp).select("customer_id", "rank", "interaction_id",
+                                                                      "is_relevant")
+
+
+@register("agg_precision_recall")
+def q_agg_precision_recall(spark, sf):
+    corp, hits = _hits(spark, sf)
+    pr = R.precision_recall(corp, hits)
+    return pr.select("customer_id", "n_relevant", "n_retrieved", "n_hits",
+                     rhu(c("precision"), 6).alias("precision"), rhu(c("recall"), 6).alias("recall"))
+
+
+@register("agg_random_baseline")
+def q_agg_random_baseline(spark, sf):
+    corp = RP.corpus(Tables(spark, sf))
+    return corp.agg(rhu(R.random_baseline(corp), 6).alias("random_baseline"), F.count(F.lit(1)).alias("n"))
+
+
+@register("agg_misses_fps")
+def q_agg_misses_fps(spark, sf):
+    corp, hits = _hits(spark, sf)
+    misses, fps = R.misses_and_false_positives(corp, hits)
+    m = misses.agg(F.count(F.lit(1)).alias("n_missed"), F.min("interaction_id").alias("first_missed_id"))
+    f = fps.agg(F.count(F.lit(1)).alias("n_false_positives"),
+                F.max(F.struct(c("sim"), (-c("interaction_id")).alias("n"), c("interaction_id").alias("id")))
+                .alias("b"))
+    return m.crossJoin(f).select("n_missed", "first_missed_id", "n_false_positives",
+                                 rhu(c("b.sim"), 4).alias("top_fp_similarity"), c("b.id").alias("top_fp_id"))
+
+
+@register("agg_payload_reduction")
+def q_agg_payload_reduction(spark, sf):
+    corp, hits = _hits(spark, sf)
+    pr = R.payload_reduction(corp, hits)
+    return pr.select("customer_id", "full_chars", "retrieved_chars", rhu(c("reduction"), 6).alias("reduction"))
+
+
+@register("ret_evaluate")
+def q_ret_evaluate(spark, sf):
+    corp, hits = _hits(spark, sf)
+    pr = R.precision_recall(corp, hits).agg(F.avg("precision").alias("p"), F.avg("recall").alias("r"))
+    rb = corp.agg(R.random_baseline(corp).alias("rb"))
+    misses, fps = R.misses_and_false_positives(corp, hits)
+    nm = misses.agg(F.count(F.lit(1)).alias("n_missed"))
+    nf = fps.agg(F.count(F.lit(1)).alias("n_false_positives"))
+    pl = R.payload_reduction(corp, hits).agg(F.avg("reduction").alias("pl"))
+    one = pr.crossJoin(rb).crossJoin(nm).crossJoin(nf).crossJoin(pl)  # five one-row aggregates
+    return one.select(rhu(c("p"), 6).alias("precision_at_k"), rhu(c("r"), 6).alias("recall_at_k"),
+                      rhu(c("rb"), 6).alias("random_baseline"), "n_missed", "n_false_positives",
+                      rhu(c("pl"), 6).alias("payload_reduction"))
+
+
+@register("agg_count_if")
+def q_agg_count_if(spark, sf):
+    corp = RP.corpus(Tables(spark, sf))
+    return corp.groupBy("customer_id").agg(F.count_if(c("is_relevant")).alias("n_relevant"),
+                                           F.count_if(~c("is_relevant")).alias("n_noise"))
+
+
+@register("agg_count_distinct")
+def q_agg_count_distinct(spark, sf):
+    corp = RP.corpus(Tables(spark, sf))
+    return corp.agg(F.count_distinct("customer_id").alias("n_customers"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("agg_collect_history")
+def q_agg_collect_history(spark, sf):
+    # bounded lists: the k retrieved interactions per customer, in rank order
+    _, hits = _hits(spark, sf)
+    g = hits.groupBy("customer_id").agg(F.array_sort(F.collect_list(F.struct("rank", "interaction_id"))).alias("l"))
+    return g.select("customer_id", F.array_join(F.transform("l", lambda e: e["interaction_id"].cast("string")), ",")
+                    .alias("interaction_ids"))
+
+
+@register("agg_concat_text")
+def q_agg_concat_text(spark, sf):
+    _, hits = _hits(spark, sf)
+    g = hits.groupBy("customer_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("l"))
+    txt = F.array_join(F.transform("l", lambda e: e["text"]), " ")
+    return g.select("customer_id", txt.alias("payload"), F.length(txt).alias("n_chars"))
+
+
+@register("fn_list_slice")
+def q_fn_list_slice(spark, sf):
+    _, hits = _hits(spark, sf)
+    g = hits.groupBy("customer_id").agg(F.array_sort(F.collect_list(F.struct("rank", "interaction_id"))).alias("l"))
+    s = F.slice("l", 1, 2)
+    return g.select("customer_id", F.array_join(F.transform(s, lambda e: e["interaction_id"].cast("string")), ",")
+                    .alias("top2"))
+
+
+@register("ret_keyword_baseline")
+def q_ret_keyword_baseline(spark, sf):
+    return R.keyword_baseline(RP.corpus(Tables(spark, sf)), BASELINE_KEYWORDS)
+
+
+@register("flt_like_ci")
+def q_flt_like_ci(spark, sf):
+    corp = RP.corpus(Tables(spark, sf))
+    return corp.where(F.lower(c("text")).contains("the")).select("interaction_id", "customer_id")
+
+
+def _probe_hits(spark, sf):
+    corp = RP.corpus(Tables(spark, sf))
+    scoped = corp.where(c("customer_id") < 25)
+    return R.exact_topk(R.score(scoped, RP.probe_query(corp)), 2)
+
+
+@register("ret_multi_customer_probe")
+def q_ret_multi_customer_probe(spark, sf):
+    return _probe_hits(spark, sf).select("customer_id", "rank", "interaction_id", "similarity")
+
+
+@register("win_dedup_best_by_text")
+def q_win_dedup_best_by_text(spark, sf):
+    top = R.dedup_best_by_text(_probe_hits(spark, sf), 5)
+    return top.select("interaction_id", "customer_id", rhu(c("sim"), 4).alias("similarity"),
+                      F.length("text").alias("n_chars"))
+
+
+@register("topk_global")
+def q_topk_global(spark, sf):
+    corp = RP.corpus(Tables(spark, sf))
+    s = R.score(corp, RP.probe_query(corp))
+    return s.orderBy(c("sim").desc(), c("interaction_id")).limit(5).select(
+        "interaction_id", rhu(c("sim"), 4).alias("similarity"))
+
+
+@register("set_token_overlap")
+def q_set_token_overlap(spark, sf):
+    top = R.dedup_best_by_text(_probe_hits(spark, sf), 5)
+    ov = R.overlap_words(PROBE_TEXT, c("text"), OVERLAP_STOPWORDS)
+    return top.select("interaction_id", F.array_join(ov, ",").alias("shared_words"))
+
+
+@register("rule_retrieval_mode")
+def q_rule_retrieval_mode(spark, sf):
+    t = Tables(spark, sf)
+    _, hits = RP.anchor_hits(t)
+    subs = build_subscribers(spark, sf).select("customer_id", "transcript")
+    ctx = R.retrieval_context(subs, hits)
+    return ctx.select("customer_id", "retrieval_mode", "transcript",
+                      F.size("retrieved_interactions").alias("n_retrieved"))
