@@ -483,3 +483,133 @@ ORACLE.update({
     "fn_date_sub_fmt": "SELECT conv_id, turn, strftime(DATE '2024-01-31' - CAST(turn * 7 AS INTEGER), '%Y-%m-%d') AS date FROM conversations",
     "fn_stable_hash": "SELECT conv_id, turn, md5(CAST(conv_id AS VARCHAR) || '|history|' || CAST(turn AS VARCHAR)) AS h FROM conversations",
 })
+
+
+# ---------------------------------------------------------------------------
+# retrieval
+# ---------------------------------------------------------------------------
+
+def dot_sql(a: str, b: str) -> str:
+    return (f"list_reduce(list_transform(range(1, len({a}) + 1), "
+            f"lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)), lambda x, y: x + y)")
+
+
+def cosine_sql(a: str, b: str) -> str:
+    return (f"({dot_sql(a, b)} / (greatest(sqrt({dot_sql(a, a)}), 1e-12) * "
+            f"greatest(sqrt({dot_sql(b, b)}), 1e-12)))")
+
+
+def centroid_sql(src: str, where: str, group: str | None = None) -> str:
+    g_sel = f"{group}, " if group else ""
+    g_by = f"GROUP BY {group}, i" if group else "GROUP BY i"
+    g_out = f"{group}, " if group else ""
+    g_by2 = f"GROUP BY {group}" if group else ""
+    return f"""(SELECT {g_out}list(m ORDER BY i) AS q FROM (
+        SELECT {g_sel}i, avg(CAST(embedding[i] AS DOUBLE)) AS m
+        FROM {src}, (SELECT unnest(range(1, (SELECT max(len(embedding)) FROM {src}) + 1)) AS i) dims
+        WHERE {where} {g_by}) {g_by2})"""
+
+
+CORPUS = """corpus AS (
+  SELECT e.vec_id AS interaction_id, CAST(e.label AS BIGINT) AS customer_id, e.embedding,
+         coalesce(d.text, '') AS text, coalesce(l.quality = 1, false) AS is_relevant,
+         coalesce(l.toxic = 1, false) AS is_toxic,
+         ['call', 'chatbot', 'social', 'complaint'][e.vec_id % 4 + 1] AS channel,
+         strftime(DATE '2024-01-31' - CAST(e.vec_id % 90 AS INTEGER), '%Y-%m-%d') AS date
+  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN labels l ON l.doc_id = e.vec_id)"""
+
+
+def hits_sql(k: int = 3) -> str:
+    return f"""WITH {CORPUS},
+qv AS {centroid_sql('corpus', 'is_relevant')},
+scored AS (SELECT corpus.*, {cosine_sql('embedding', 'qv.q')} AS sim FROM corpus CROSS JOIN qv),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY sim DESC, interaction_id) AS INTEGER) AS rank FROM scored),
+hits AS (SELECT *, {rhu('sim', 4)} AS similarity, {rhu('1e0 - sim', 4)} AS distance FROM ranked WHERE rank <= {k})"""
+
+
+def probe_sql() -> str:
+    return f"""WITH {CORPUS},
+pv AS {centroid_sql('corpus', 'is_toxic')},
+scored AS (SELECT corpus.*, {cosine_sql('embedding', 'pv.q')} AS sim FROM corpus CROSS JOIN pv),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY sim DESC, interaction_id) AS INTEGER) AS rank
+           FROM scored WHERE customer_id < 25),
+phits AS (SELECT *, {rhu('sim', 4)} AS similarity FROM ranked WHERE rank <= 2),
+dedup AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY sim DESC, interaction_id) AS rn FROM phits) WHERE rn = 1),
+top5 AS (SELECT * FROM dedup ORDER BY sim DESC, interaction_id LIMIT 5)"""
+
+
+H = hits_sql(3)
+PR = """, per_hist AS (SELECT customer_id, count_if(is_relevant) AS n_relevant FROM corpus GROUP BY 1),
+per_hit AS (SELECT customer_id, count(*) AS n_retrieved, count_if(is_relevant) AS n_hits FROM hits GROUP BY 1),
+pr AS (SELECT h.customer_id, h.n_relevant, coalesce(t.n_retrieved, 0) AS n_retrieved, coalesce(t.n_hits, 0) AS n_hits,
+              coalesce(t.n_hits, 0) / greatest(coalesce(t.n_retrieved, 0), 1) AS precision,
+              coalesce(t.n_hits, 0) / greatest(h.n_relevant, 1) AS recall
+       FROM per_hist h LEFT JOIN per_hit t USING (customer_id)),
+pl AS (SELECT f.customer_id, f.full_chars, coalesce(r.retrieved_chars, 0) AS retrieved_chars,
+              1e0 - coalesce(r.retrieved_chars, 0) / f.full_chars AS reduction
+       FROM (SELECT customer_id, sum(length(text)) + count(*) - 1 AS full_chars FROM corpus GROUP BY 1) f
+       LEFT JOIN (SELECT customer_id, sum(length(text)) + count(*) - 1 AS retrieved_chars FROM hits GROUP BY 1) r
+       USING (customer_id))"""
+
+ORACLE.update({
+    "src_corpus_load": f"WITH {CORPUS} SELECT interaction_id, customer_id, channel, date, is_relevant, length(text) AS n_chars FROM corpus",
+    "fn_vec_norm": f"""SELECT vec_id, {rhu(f"sqrt({dot_sql('embedding', 'embedding')})", 6)} AS norm,
+        {rhu(f"sqrt({dot_sql('n', 'n')})", 6)} AS unit_norm, {rhu('n[1]', 6)} AS x0
+        FROM (SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(x AS DOUBLE) /
+              greatest(sqrt({dot_sql('embedding', 'embedding')}), 1e-12)) AS n FROM embeddings)""",
+    "fn_cosine": H + f" SELECT interaction_id, {rhu('sim', 6)} AS sim FROM scored",
+    "ret_exact_topk": H + " SELECT customer_id, rank, interaction_id, channel, date, similarity, distance FROM hits",
+    "win_topk_per_customer": hits_sql(5) + " SELECT customer_id, rank, interaction_id FROM hits",
+    "join_customer_scope": f"""WITH {CORPUS},
+        qv AS {centroid_sql('corpus', 'is_relevant', 'customer_id')},
+        scored AS (SELECT corpus.*, {cosine_sql('embedding', 'qv.q')} AS sim FROM corpus JOIN qv USING (customer_id)),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY sim DESC, interaction_id) AS INTEGER) AS rank FROM scored)
+        SELECT customer_id, rank, interaction_id, channel, date, {rhu('sim', 4)} AS similarity, {rhu('1e0 - sim', 4)} AS distance
+        FROM ranked WHERE rank <= 3""",
+    "ret_explain": H + " SELECT c.interaction_id, c.customer_id, h.rank IS NOT NULL AS kept, h.rank FROM corpus c LEFT JOIN hits h USING (interaction_id)",
+    "join_anti_not_retrieved": H + " SELECT customer_id, interaction_id, channel, date FROM corpus c WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.interaction_id = c.interaction_id)",
+    "join_semi_kept": H + " SELECT customer_id, interaction_id, is_relevant FROM corpus c WHERE EXISTS (SELECT 1 FROM hits h WHERE h.interaction_id = c.interaction_id)",
+    "set_difference": H + " SELECT c.customer_id, count_if(h.rank IS NOT NULL) AS n_kept, count_if(h.rank IS NULL) AS n_dropped FROM corpus c LEFT JOIN hits h USING (interaction_id) GROUP BY 1",
+    "join_truth_labels": H + " SELECT customer_id, rank, interaction_id, is_relevant FROM hits",
+    "agg_precision_recall": H + PR + f" SELECT customer_id, n_relevant, n_retrieved, n_hits, {rhu('precision', 6)} AS precision, {rhu('recall', 6)} AS recall FROM pr",
+    "agg_random_baseline": f"WITH {CORPUS} SELECT {rhu('avg(CAST(is_relevant AS DOUBLE))', 6)} AS random_baseline, count(*) AS n FROM corpus",
+    "agg_misses_fps": H + f""", m AS (SELECT count(*) AS n_missed, min(interaction_id) AS first_missed_id FROM corpus c
+            WHERE is_relevant AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.interaction_id = c.interaction_id)),
+        f AS (SELECT count(*) AS n_false_positives FROM hits WHERE NOT is_relevant),
+        b AS (SELECT sim, interaction_id FROM hits WHERE NOT is_relevant ORDER BY sim DESC, interaction_id LIMIT 1)
+        SELECT n_missed, first_missed_id, n_false_positives, (SELECT {rhu('sim', 4)} FROM b) AS top_fp_similarity,
+               (SELECT interaction_id FROM b) AS top_fp_id FROM m, f""",
+    "agg_payload_reduction": H + PR + f" SELECT customer_id, full_chars, retrieved_chars, {rhu('reduction', 6)} AS reduction FROM pl",
+    "ret_evaluate": H + PR + f""" SELECT {rhu('(SELECT avg(precision) FROM pr)', 6)} AS precision_at_k,
+        {rhu('(SELECT avg(recall) FROM pr)', 6)} AS recall_at_k,
+        {rhu('(SELECT avg(CAST(is_relevant AS DOUBLE)) FROM corpus)', 6)} AS random_baseline,
+        (SELECT count(*) FROM corpus c WHERE is_relevant AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.interaction_id = c.interaction_id)) AS n_missed,
+        (SELECT count(*) FROM hits WHERE NOT is_relevant) AS n_false_positives,
+        {rhu('(SELECT avg(reduction) FROM pl)', 6)} AS payload_reduction""",
+    "agg_count_if": f"WITH {CORPUS} SELECT customer_id, count_if(is_relevant) AS n_relevant, count_if(NOT is_relevant) AS n_noise FROM corpus GROUP BY 1",
+    "agg_count_distinct": f"WITH {CORPUS} SELECT count(DISTINCT customer_id) AS n_customers, count(*) AS n_rows FROM corpus",
+    "agg_collect_history": H + " SELECT customer_id, string_agg(CAST(interaction_id AS VARCHAR), ',' ORDER BY rank) AS interaction_ids FROM hits GROUP BY 1",
+    "agg_concat_text": H + " SELECT customer_id, string_agg(text, ' ' ORDER BY rank) AS payload, length(string_agg(text, ' ' ORDER BY rank)) AS n_chars FROM hits GROUP BY 1",
+    "fn_list_slice": H + " SELECT customer_id, string_agg(CAST(interaction_id AS VARCHAR), ',' ORDER BY rank) AS top2 FROM hits WHERE rank <= 2 GROUP BY 1",
+    "ret_keyword_baseline": f"WITH {CORPUS} " + " UNION ALL ".join(
+        f"SELECT {q(kw)} AS keyword, count_if(contains(lower(text), {q(kw)})) AS n_matched, count(*) AS n_rows FROM corpus"
+        for kw in ["network", "churn", "upgrade", "slow", "freezing", "bundle", "charged"]),
+    "flt_like_ci": f"WITH {CORPUS} SELECT interaction_id, customer_id FROM corpus WHERE contains(lower(text), 'the')",
+    "ret_multi_customer_probe": probe_sql() + " SELECT customer_id, rank, interaction_id, similarity FROM phits",
+    "win_dedup_best_by_text": probe_sql() + f" SELECT interaction_id, customer_id, {rhu('sim', 4)} AS similarity, length(text) AS n_chars FROM top5",
+    "topk_global": f"""WITH {CORPUS}, pv AS {centroid_sql('corpus', 'is_toxic')},
+        scored AS (SELECT corpus.*, {cosine_sql('embedding', 'pv.q')} AS sim FROM corpus CROSS JOIN pv)
+        SELECT interaction_id, {rhu('sim', 4)} AS similarity FROM scored ORDER BY sim DESC, interaction_id LIMIT 5""",
+    "set_token_overlap": probe_sql() + """ SELECT interaction_id, array_to_string(list_sort(list_filter(list_distinct(
+            list_intersect(list_filter(regexp_split_to_array(lower('poor internet speed and unreliable connection'), '\\s+'), lambda w: w <> ''),
+                           list_filter(regexp_split_to_array(lower(regexp_replace(text, '[,.]', '', 'g')), '\\s+'), lambda w: w <> ''))),
+            lambda w: w NOT IN ('and', 'the', 'a', 'is', 'it', 'my', 'i', 'to', 'in'))), ',') AS shared_words FROM top5""",
+})
+
+ORACLE["rule_retrieval_mode"] = (
+    "WITH " + subscribers_sql("A") + ", " + H[len("WITH "):] + f""",
+    lists AS (SELECT customer_id, count(*) AS n, arg_min(text, rank) AS top_text FROM hits GROUP BY 1)
+    SELECT s.customer_id, CASE WHEN coalesce(l.n, 0) > 0 THEN 'vector_top' || l.n ELSE 'full_dump' END AS retrieval_mode,
+           CASE WHEN coalesce(l.n, 0) > 0 THEN {redact_sql('l.top_text')} ELSE {redact_sql('s.transcript')} END AS transcript,
+           CAST(coalesce(l.n, 0) AS INTEGER) AS n_retrieved
+    FROM subs s LEFT JOIN lists l USING (customer_id)""")
