@@ -613,3 +613,62 @@ ORACLE["rule_retrieval_mode"] = (
            CASE WHEN coalesce(l.n, 0) > 0 THEN {redact_sql('l.top_text')} ELSE {redact_sql('s.transcript')} END AS transcript,
            CAST(coalesce(l.n, 0) AS INTEGER) AS n_retrieved
     FROM subs s LEFT JOIN lists l USING (customer_id)""")
+
+
+# ---------------------------------------------------------------------------
+# histories, context, grounding
+# ---------------------------------------------------------------------------
+SEQ = """seqd AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq FROM conversations)"""
+
+ALLOWED = ("[CAST(overage AS BIGINT), CAST(days_renewal AS BIGINT), CAST(round_even(data_pct, 0) AS BIGINT), "
+           "CAST(trunc(value_qar) AS BIGINT), CAST(round_even(data_used_gb, 0) AS BIGINT), CAST(data_cap_gb AS BIGINT), "
+           "CAST(round_even(arpu, 0) AS BIGINT), CAST(voice_min AS BIGINT), CAST(nps AS BIGINT), CAST(tenure_m AS BIGINT), "
+           "CAST(round_even(dl_speed, 0) AS BIGINT), CAST(latency_ms AS BIGINT), CAST(net_complaints AS BIGINT)]")
+
+
+def bad_numbers_sql(text: str) -> str:
+    conv = "TRY_CAST(CASE WHEN ltrim(translate(n, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), '0') = '' THEN '0' " \
+           "ELSE ltrim(translate(n, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), '0') END AS BIGINT)"
+    return (f"list_filter({numbers_sql(f'lower({text})')}, lambda n: {conv} IS NULL OR NOT coalesce(list_bool_or("
+            f"list_transform({ALLOWED}, lambda a: a >= 0 AND abs({conv} - a) <= 1)), false))")
+
+
+CANNED = f""", canned AS (SELECT *, {rationale_sql('A')} AS why, {redact_sql('transcript')} AS msg FROM guarded),
+grounded AS (SELECT *, {bad_numbers_sql("coalesce(why, '') || ' ' || coalesce(msg, '')")} AS bad FROM canned)"""
+
+ORACLE.update({
+    "win_seq_number": f"WITH {SEQ} SELECT conv_id, turn, seq, CAST(conv_id AS VARCHAR) || '-' || lpad(CAST(seq AS VARCHAR), 2, '0') AS interaction_id FROM seqd",
+    "win_stable_sample": """SELECT conv_id, turn, pick FROM (
+        SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY md5(CAST(conv_id AS VARCHAR) || '|history|' || CAST(turn AS VARCHAR)), turn) AS pick
+        FROM conversations) WHERE pick <= 2 + conv_id % 3""",
+    "set_union_corpora": SUBS + ", " + SEQ + """
+        SELECT CAST(conv_id AS VARCHAR) || '-' || lpad(CAST(seq AS VARCHAR), 2, '0') AS interaction_id, conv_id AS customer_id,
+               strftime(DATE '2024-01-31' - CAST(seq * 7 AS INTEGER), '%Y-%m-%d') AS date, false AS is_current,
+               ['call', 'chatbot', 'social', 'complaint'][turn % 4 + 1] AS channel, role AS topic, role = 'user' AS is_relevant,
+               length(text) AS n_chars FROM seqd
+        UNION ALL
+        SELECT CAST(customer_id AS VARCHAR) || '-transcript', customer_id, NULL, true, 'call', 'existing_transcript', true,
+               length(trim(transcript)) FROM subs
+        WHERE NOT (trim(coalesce(transcript, '')) = '' OR lower(trim(coalesce(transcript, ''))) = 'no recent call-center contact')""",
+    "proj_context_struct": B() + f""" SELECT customer_id, action, action_type, propensity, value_qar, segment, ltv, lifecycle,
+        account_type, language, tenure_m, churn, days_renewal, consent, arpu, arpu_trend, late_payments, data_cap_gb, data_used_gb,
+        data_pct, overage, voice_min, intl_min, roaming_days, usage_trend, top_app, pct_5g, device, device_type, device_tier,
+        net_cap AS network_capability, device_age, upgrade_eligible, last_upgrade_m, dl_speed AS dl_speed_mbps, dropped_call_rate,
+        latency_ms, coverage AS coverage_score, congestion AS cell_congestion, net_complaints AS network_complaints_90d,
+        net_issue AS network_issue, channel, app_logins, loyalty, last_campaign_resp, complaint, sentiment, nps,
+        {redact_sql('transcript')} AS transcript, nbo_reason FROM decided""",
+    "proj_group_by_source": A() + f""" SELECT customer_id, tenure_m AS bss_crm_tenure_m, arpu AS billing_arpu,
+        data_pct AS consumption_data_pct, net_issue AS device_network_net_issue, channel AS engagement_channel,
+        {redact_sql('transcript')} AS care_transcript, action AS nba_action FROM decided""",
+    "rule_grounding": A() + CANNED + """ SELECT customer_id, len(bad) = 0 AS grounded,
+        CASE WHEN len(bad) = 0 THEN 'ok' ELSE 'ungrounded number ''' || bad[1] || '''' END AS reason FROM grounded""",
+    "rule_response_adjudicate": A() + CANNED + f""", adj AS (
+        SELECT *, len(bad) = 0 AND trim(coalesce(why, '')) <> '' AND
+               coalesce(substring(trim(coalesce(msg, '')), 1, CASE channel WHEN 'SMS' THEN 160 WHEN 'Push' THEN 120
+                 WHEN 'WhatsApp' THEN 300 WHEN 'Email' THEN 600 WHEN 'Call' THEN 400 END), '') <> '' AS ok FROM grounded)
+        SELECT customer_id, CASE WHEN ok THEN trim(why) ELSE why END AS rationale,
+               CASE WHEN ok THEN substring(trim(msg), 1, CASE channel WHEN 'SMS' THEN 160 WHEN 'Push' THEN 120
+                 WHEN 'WhatsApp' THEN 300 WHEN 'Email' THEN 600 WHEN 'Call' THEN 400 END)
+                    ELSE {message_sql('why', 'A')} END AS message,
+               CASE WHEN ok THEN 'claude' ELSE 'offline' END AS gen_source FROM adj""",
+})

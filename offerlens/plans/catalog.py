@@ -667,3 +667,82 @@ def q_rule_retrieval_mode(spark, sf):
     ctx = R.retrieval_context(subs, hits)
     return ctx.select("customer_id", "retrieval_mode", "transcript",
                       F.size("retrieved_interactions").alias("n_retrieved"))
+
+
+# ---------------------------------------------------------------- histories, context, generation
+from offerlens.functions.text import NUMBER_PATTERN  # noqa: E402,F401
+from offerlens.plans import interactions as IP  # noqa: E402
+
+
+@register("win_seq_number")
+def q_win_seq_number(spark, sf):
+    return IP.sequenced(Tables(spark, sf).conversations).select("conv_id", "turn", "seq", "interaction_id")
+
+
+@register("win_stable_sample")
+def q_win_stable_sample(spark, sf):
+    return IP.stable_sample(Tables(spark, sf).conversations)
+
+
+@register("set_union_corpora")
+def q_set_union_corpora(spark, sf):
+    u = IP.union_corpora(Tables(spark, sf).conversations, build_subscribers(spark, sf))
+    return u.select("interaction_id", "customer_id", "date", "is_current", "channel", "topic", "is_relevant",
+                    F.length("text").alias("n_chars"))
+
+
+@register("proj_context_struct")
+def q_proj_context_struct(spark, sf):
+    d = _decided(spark, sf, "B")
+    return d.select("customer_id", D.context_struct("B").alias("ctx")).select("customer_id", "ctx.*")
+
+
+@register("proj_group_by_source")
+def q_proj_group_by_source(spark, sf):
+    d = _decided(spark, sf, "A").select("customer_id", D.source_groups().alias("g"))
+    return d.select("customer_id", c("g.bss_crm.tenure_m").alias("bss_crm_tenure_m"),
+                    c("g.billing.arpu").alias("billing_arpu"),
+                    c("g.consumption.data_pct").alias("consumption_data_pct"),
+                    c("g.device_network.net_issue").alias("device_network_net_issue"),
+                    c("g.engagement.channel").alias("engagement_channel"),
+                    c("g.care.transcript").alias("care_transcript"),
+                    c("g.nba.action").alias("nba_action"))
+
+
+@register("fn_to_json")
+def q_fn_to_json(spark, sf):
+    d = _decided(spark, sf, "A")
+    return d.select("customer_id", F.to_json(D.context_struct("A"), {"ignoreNullFields": "false"}).alias("context_json"))
+
+
+@register("rule_prompt")
+def q_rule_prompt(spark, sf):
+    d = _decided(spark, sf, "A")
+    return d.select("customer_id", rules.prompt(D.context_struct("A"), "A").alias("prompt"))
+
+
+def _canned(spark, sf, variant="A"):
+    """Decided rows plus a canned model response built from the data:
+    rationale = the rule rationale, message = the subscriber's own transcript."""
+    d = _decided(spark, sf, variant).withColumn("transcript", redact(c("transcript")))
+    d = d.withColumn("__why", rules.rationale(variant))
+    resp = F.to_json(F.struct(c("__why").alias("rationale"), c("transcript").alias("message"),
+                              F.lit(True).alias("grounded")))
+    return d.withColumn("response", resp)
+
+
+@register("rule_grounding")
+def q_rule_grounding(spark, sf):
+    d = _canned(spark, sf)
+    r = F.from_json("response", rules.RESPONSE_SCHEMA)
+    return d.select("customer_id", rules.grounding(r["rationale"], r["message"]).alias("grounded"),
+                    rules.grounding_reason(r["rationale"], r["message"]).alias("reason"))
+
+
+@register("rule_response_adjudicate")
+def q_rule_response_adjudicate(spark, sf):
+    d = _canned(spark, sf)
+    d = d.withColumn("__how", rules.message(c("__why"), "A"))
+    adj = rules.adjudicate(c("response"), c("__why"), c("__how"), "A", enabled=True)
+    return d.select("customer_id", adj["rationale"].alias("rationale"), adj["message"].alias("message"),
+                    adj["gen_source"].alias("gen_source"))
