@@ -746,3 +746,105 @@ def q_rule_response_adjudicate(spark, sf):
     adj = rules.adjudicate(c("response"), c("__why"), c("__how"), "A", enabled=True)
     return d.select("customer_id", adj["rationale"].alias("rationale"), adj["message"].alias("message"),
                     adj["gen_source"].alias("gen_source"))
+
+
+# ---------------------------------------------------------------- model, embedding, ANN, generation
+from offerlens.constants import QUERY_TEXT  # noqa: E402
+from offerlens.operators import ml as ML  # noqa: E402
+
+_MODELS: dict = {}
+
+
+def _model(spark, sf, max_iter=100):
+    """The propensity model, fitted once per (data dir, rounds) in this process."""
+    key = (sf, max_iter)
+    if key not in _MODELS:
+        _MODELS[key] = ML.fit_propensity(_subs(spark, sf), max_iter=max_iter)
+    return _MODELS[key]
+
+
+@register("ml_onehot")
+def q_ml_onehot(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    s = _subs(spark, sf)
+    m = Pipeline(stages=ML.feature_stages()).fit(s)
+    arr = vector_to_array(c("features"))
+    return m.transform(s).select("customer_id", F.size(arr).alias("n_features"),
+                                 F.size(F.filter(arr, lambda x: x != 0)).alias("n_nonzero"))
+
+
+@register("ml_gbt_fit")
+def q_ml_gbt_fit(spark, sf):
+    gbt = _model(spark, sf).stages[-1]
+    rows = [(i, float(w), int(t.numNodes)) for i, (w, t) in enumerate(zip(gbt.treeWeights, gbt.trees))]
+    return spark.createDataFrame(rows, "tree int, weight double, num_nodes int")
+
+
+@register("ml_score_pairs")
+def q_ml_score_pairs(spark, sf):
+    return ML.score_pairs(_model(spark, sf), _subs(spark, sf))
+
+
+@register("ml_recommend")
+def q_ml_recommend(spark, sf):
+    return ML.recommend_model(_model(spark, sf), _subs(spark, sf))
+
+
+def _embedded_histories(spark, sf):
+    t = Tables(spark, sf)
+    subs = build_subscribers(spark, sf)
+    corp = IP.union_corpora(t.conversations, subs)
+    model = ML.hashing_embedder("text", 64).fit(corp)
+    q = ML.embed(model, spark.createDataFrame([(QUERY_TEXT,)], "text string"))
+    qv = q.select("embedding").scalar()
+    return subs, ML.embed(model, corp), qv
+
+
+@register("emb_embed_batch")
+def q_emb_embed_batch(spark, sf):
+    _, emb, _ = _embedded_histories(spark, sf)
+    return emb.select("interaction_id", "customer_id", F.size("embedding").alias("dim"), "embedding")
+
+
+@register("ret_bulk_context")
+def q_ret_bulk_context(spark, sf):
+    subs, emb, qv = _embedded_histories(spark, sf)
+    hits = R.exact_topk(R.score(emb, qv), 3)
+    ctx = R.retrieval_context(subs, hits)
+    return ctx.select("customer_id", "retrieval_mode", F.size("retrieved_interactions").alias("n_retrieved"),
+                      "transcript")
+
+
+@register("ret_ann_topk")
+def q_ret_ann_topk(spark, sf):
+    corp = RP.corpus(Tables(spark, sf))
+    cand = ML.ann_candidates(corp, RP.anchor_query(corp), threshold=1.1)
+    return R.exact_topk(cand, 3).select(*HIT_COLS)
+
+
+def _canned_responder():
+    """Deterministic stand-in for a hosted model: answers with the offer line of
+    the prompt; every third answer cites an invented number (must be rejected)."""
+    import json
+
+    def answer(prompts):
+        out = []
+        for i, p in enumerate(prompts):
+            first = p.split("\n", 1)[0]
+            offer = first.split(": ", 1)[-1].split(" | ", 1)[0]
+            msg = f"{offer.replace('_', ' ')} is ready for you"
+            if len(p) % 3 == 0:
+                msg += " with 99999 bonus minutes"
+            out.append(json.dumps({"rationale": f"Selected: {offer}.", "message": msg, "grounded": True,
+                                   "used_fields": ["action"]}))
+        return out
+    return answer
+
+
+@register("gen_batch_complete")
+def q_gen_batch_complete(spark, sf):
+    d = _decided(spark, sf, "A").withColumn("transcript", redact(c("transcript")))
+    d = d.withColumn("prompt", rules.prompt(D.context_struct("A"), "A"))
+    g = ML.generate_with(d, "prompt", _canned_responder)
+    return D.experience(g, "A", response=c("response"))
