@@ -73,3 +73,14 @@ def token_overlap(query: Column, text: Column, stopwords: list[str]) -> Column:
     t = F.array_distinct(tokens(F.regexp_replace(text, r"[,.]", "")))
     stop = F.array(*[F.lit(s) for s in stopwords])
     return F.array_sort(F.array_except(F.array_intersect(q, t), stop))
+
+
+def chunk_words(text: Column, size: int, step: int) -> Column:
+    """ext_chunk_text: overlapping chunks of ``size`` words every ``step`` words,
+    covering the whole text (the last chunk may be shorter)."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda s: s != "")
+    n = F.size(words)
+    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
+    chunks = F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+    # drop chunks fully contained in the previous one (text shorter than a window)
+    return F.filter(chunks, lambda ch, i: (i == 0) | (i * step + size - step < n))

@@ -672,3 +672,45 @@ ORACLE.update({
                     ELSE {message_sql('why', 'A')} END AS message,
                CASE WHEN ok THEN 'claude' ELSE 'offline' END AS gen_source FROM adj""",
 })
+
+
+# ---------------------------------------------------------------------------
+# sinks, resume, streaming, extensions
+# ---------------------------------------------------------------------------
+
+def _hits_from(scored_expr: str, k: int = 3) -> str:
+    return f"""WITH {CORPUS},
+qv AS {centroid_sql('corpus', 'is_relevant')},
+pv AS {centroid_sql('corpus', 'is_toxic')},
+base AS (SELECT corpus.*, {cosine_sql('embedding', 'qv.q')} AS s1, {cosine_sql('embedding', 'pv.q')} AS s2 FROM corpus, qv, pv),
+scored AS (SELECT *, {scored_expr} AS sim FROM base),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY sim DESC, interaction_id) AS INTEGER) AS rank FROM scored WHERE sim IS NOT NULL)
+SELECT customer_id, rank, interaction_id, channel, date, {rhu('sim', 4)} AS similarity, {rhu('1e0 - sim', 4)} AS distance
+FROM ranked WHERE rank <= {k}"""
+
+
+_CHUNKS = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, words, len(words) AS n, generate_series(0, greatest(len(words) - 1, 0), 160) AS starts FROM w),
+c AS (SELECT doc_id, list_filter(list_transform(starts, lambda st: array_to_string(list_slice(words, st + 1, st + 200), ' ')),
+             lambda ch, i: i = 1 OR (i - 1) * 160 + 200 - 160 < n) AS chunks FROM s)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_no, length(chunks[i]) AS n_chars, md5(chunks[i]) AS h
+FROM c, (SELECT unnest(generate_series(1, len(chunks))) AS i) g"""
+
+ORACLE.update({
+    "src_csv_scan": ORACLE["agg_argmax_offer"],
+    "sink_csv": ORACLE["proj_rename"],
+    "sink_export_detail": A() + f" SELECT customer_id, action, guard_status, {rhu('p_baseline', 6)} AS p_baseline, {rhu('p_nbx', 6)} AS p_nbx FROM detail2",
+    "sink_separate_outputs": (
+        "SELECT 'A' AS variant, * FROM (" + ORACLE["agg_summary_long"] + ") UNION ALL SELECT 'B' AS variant, * FROM ("
+        + ORACLE["agg_summary_long_b"] + ")"),
+    "src_stage_resume": ORACLE["proj_select_cols"],
+    "src_upsert_reset": f"WITH {CORPUS} SELECT interaction_id, customer_id, channel, date, is_relevant FROM corpus",
+    "emb_batch_write": f"WITH {CORPUS} SELECT interaction_id, customer_id, CAST(len(embedding) AS INTEGER) AS dim, is_relevant FROM corpus",
+    "ext_stream_embed": "SELECT DISTINCT event_id, user_id, CAST(64 AS INTEGER) AS dim FROM events",
+    "ext_sim_threshold": _hits_from("CASE WHEN s1 >= 0.15e0 THEN s1 END"),
+    "ext_multi_query": _hits_from("(s1 + s2) / 2e0"),
+    "ext_recency_decay": _hits_from("s1 * exp(-0.01e0 * date_diff('day', CAST(date AS DATE), DATE '2024-01-31'))"),
+    "ext_scope_filter": H + " SELECT count(*) AS n_hits, count_if(c.customer_id <> h.customer_id) AS n_crossing FROM hits h JOIN corpus c USING (interaction_id)",
+    "ext_chunk_text": _CHUNKS,
+    "ext_persist_vectors": f"WITH {CORPUS} SELECT interaction_id, customer_id FROM corpus WHERE customer_id = 3",
+})

@@ -848,3 +848,139 @@ def q_gen_batch_complete(spark, sf):
     d = d.withColumn("prompt", rules.prompt(D.context_struct("A"), "A"))
     g = ML.generate_with(d, "prompt", _canned_responder)
     return D.experience(g, "A", response=c("response"))
+
+
+# ---------------------------------------------------------------- sinks, resume, streaming
+import os  # noqa: E402
+
+from pyspark.sql import types as T  # noqa: E402
+
+from offerlens.session import stage_path  # noqa: E402
+from offerlens.sources import files as FS  # noqa: E402
+
+REC_SCHEMA = T.StructType([T.StructField("customer_id", T.LongType()), T.StructField("action", T.StringType()),
+                           T.StructField("action_type", T.StringType()), T.StructField("propensity", T.DoubleType()),
+                           T.StructField("value_qar", T.DoubleType())])
+EXPERIENCE_SCHEMA = T.StructType([T.StructField(n, T.LongType() if n == "msisdn" else T.StringType()) for n in
+                                  ["msisdn", "action", "action_type", "channel", "sentiment", "rationale_why",
+                                   "message_how", "guard_status", "gen_source"]])
+
+
+@register("src_csv_scan")
+def q_src_csv_scan(spark, sf):
+    path = FS.write_csv(D.recommend_rules(_subs(spark, sf), "A"), stage_path(spark, "campaign_triggers"))
+    return FS.read_csv(spark, path, REC_SCHEMA)
+
+
+@register("sink_csv")
+def q_sink_csv(spark, sf):
+    path = FS.write_csv(D.experience(_decided(spark, sf, "A"), "A"), stage_path(spark, "experience"))
+    return FS.read_csv(spark, path, EXPERIENCE_SCHEMA)
+
+
+@register("sink_export_detail")
+def q_sink_export_detail(spark, sf):
+    det = D.evaluation_detail(_decided(spark, sf, "A")).select(
+        "customer_id", "action", "guard_status", rhu(c("p_baseline"), 6).alias("p_baseline"),
+        rhu(c("p_nbx"), 6).alias("p_nbx"))
+    path = FS.write_csv(det, stage_path(spark, "eval_detail"))
+    schema = T.StructType([T.StructField("customer_id", T.LongType()), T.StructField("action", T.StringType()),
+                           T.StructField("guard_status", T.StringType()), T.StructField("p_baseline", T.DoubleType()),
+                           T.StructField("p_nbx", T.DoubleType())])
+    return FS.read_csv(spark, path, schema)
+
+
+@register("sink_separate_outputs")
+def q_sink_separate_outputs(spark, sf):
+    root = stage_path(spark, "summaries")
+    for v in ("A", "B"):
+        FS.write_stage(D.summary_long(_wide(spark, sf, v), v), os.path.join(root, f"variant={v}"))
+    return spark.read.parquet(root).select("variant", "metric_ord", "metric", "value")
+
+
+@register("src_stage_resume")
+def q_src_stage_resume(spark, sf):
+    path = stage_path(spark, "subscribers-" + sf.strip("/").replace("/", "_"), unique=False)
+    return FS.resume_or_compute(spark, path, lambda: _subs(spark, sf)).select(*SUBSCRIBER_COLUMNS)
+
+
+@register("src_upsert_reset")
+def q_src_upsert_reset(spark, sf):
+    # rerun twice into the same path: overwrite keeps the collection idempotent
+    path = stage_path(spark, "corpus")
+    corp = RP.corpus(Tables(spark, sf)).select("interaction_id", "customer_id", "channel", "date", "is_relevant")
+    FS.write_stage(corp, path)
+    FS.write_stage(corp, path)
+    return spark.read.parquet(path)
+
+
+@register("emb_batch_write")
+def q_emb_batch_write(spark, sf):
+    path = stage_path(spark, "vectors")
+    corp = RP.corpus(Tables(spark, sf))
+    FS.write_vectors(corp.select("interaction_id", "customer_id", "embedding", "is_relevant"), path)
+    v = spark.read.parquet(path)
+    return v.select("interaction_id", "customer_id", F.size("embedding").alias("dim"), "is_relevant")
+
+
+@register("ext_stream_embed")
+def q_ext_stream_embed(spark, sf):
+    from offerlens.streaming.incremental import run_incremental
+    out = stage_path(spark, "stream_out")
+    ck = stage_path(spark, "stream_ckpt")
+    run_incremental(spark, sf, out, ck, file_glob="events.parquet")
+    v = spark.read.parquet(out)
+    return v.select("event_id", "user_id", F.size("embedding").alias("dim"))
+
+
+# ---------------------------------------------------------------- recommended extensions
+@register("ext_sim_threshold")
+def q_ext_sim_threshold(spark, sf):
+    corp = RP.corpus(Tables(spark, sf))
+    s = R.score(corp, RP.anchor_query(corp)).where(c("sim") >= 0.15)
+    return R.exact_topk(s, 3).select(*HIT_COLS)
+
+
+@register("ext_multi_query")
+def q_ext_multi_query(spark, sf):
+    corp = RP.corpus(Tables(spark, sf))
+    a = R.score(corp, RP.anchor_query(corp)).withColumnRenamed("sim", "s1")
+    b = R.score(a, RP.probe_query(corp)).withColumnRenamed("sim", "s2")
+    m = b.withColumn("sim", (c("s1") + c("s2")) / F.lit(2.0))
+    return R.exact_topk(m, 3).select(*HIT_COLS)
+
+
+@register("ext_recency_decay")
+def q_ext_recency_decay(spark, sf):
+    corp = RP.corpus(Tables(spark, sf))
+    s = R.score(corp, RP.anchor_query(corp))
+    age = F.datediff(F.to_date(F.lit(RP.REFERENCE_DATE)), F.to_date("date"))
+    s = s.withColumn("sim", c("sim") * F.exp(F.lit(-0.01) * age))
+    return R.exact_topk(s, 3).select(*HIT_COLS)
+
+
+@register("ext_scope_filter")
+def q_ext_scope_filter(spark, sf):
+    corp, hits = _hits(spark, sf)
+    owner = corp.select("interaction_id", c("customer_id").alias("owner"))
+    j = hits.select("customer_id", "interaction_id").join(owner, "interaction_id", "inner")
+    return j.agg(F.count(F.lit(1)).alias("n_hits"), F.count_if(c("owner") != c("customer_id")).alias("n_crossing"))
+
+
+@register("ext_chunk_text")
+def q_ext_chunk_text(spark, sf):
+    from offerlens.functions.text import chunk_words
+    d = Tables(spark, sf).documents.select("doc_id", "text")
+    ch = d.select("doc_id", F.posexplode(chunk_words(c("text"), 200, 160)).alias("chunk_no", "chunk"))
+    return ch.select("doc_id", c("chunk_no").cast("int").alias("chunk_no"), F.length("chunk").alias("n_chars"),
+                     F.md5("chunk").alias("h"))
+
+
+@register("ext_persist_vectors")
+def q_ext_persist_vectors(spark, sf):
+    # the persisted vector table is read back with a key predicate: the scan
+    # prunes row groups by customer (files are clustered and sorted by key)
+    path = stage_path(spark, "vectors")
+    FS.write_vectors(RP.corpus(Tables(spark, sf)).select("interaction_id", "customer_id", "embedding"), path)
+    v = spark.read.parquet(path).where(c("customer_id") == 3)
+    return v.select("interaction_id", "customer_id")

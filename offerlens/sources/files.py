@@ -11,8 +11,9 @@ __all__ = ["write_csv", "read_csv", "write_stage", "read_stage", "stage_exists",
 
 def write_csv(df: DataFrame, path: str) -> str:
     """sink_csv: header, no index column; overwrite keeps reruns idempotent."""
-    (df.write.mode("overwrite").option("header", True)
-       .option("escape", '"').option("multiLine", True).csv(path))
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .csv(path))
     return path
 
 
@@ -47,3 +48,15 @@ def resume_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
     if not stage_exists(spark, path):
         write_stage(compute(), path)
     return read_stage(spark, path)
+
+
+def write_vectors(df: DataFrame, path: str, n_files: int | None = None, key: str = "customer_id") -> str:
+    """emb_batch_write / ext_persist_vectors: vectors clustered by customer.
+
+    Hash-partitioned on the key and sorted within files, so a key lookup
+    prunes Parquet row groups by min/max statistics; no per-key folders
+    (millions of customers would mean millions of directories)."""
+    n = n_files or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    (df.repartition(n, key).sortWithinPartitions(key, *[c for c in df.columns if c == "interaction_id"])
+       .write.mode("overwrite").parquet(path))
+    return path
