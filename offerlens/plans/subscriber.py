@@ -196,35 +196,32 @@ def derive_features(base: DataFrame, variant: str = "A") -> DataFrame:
         ((n_orders > 0) & (F.coalesce("n_finished", F.lit(0)) * 2 >= n_orders)).cast("int").alias("accept_ind"),
     )
     c = F.col
-    df = (df
-          .withColumn("lifecycle",
-                      F.when(c("days_renewal") <= 60, "Renewal").when(c("days_renewal") >= 360, "AtRisk")
+    df = df.withColumns({
+        "lifecycle": F.when(c("days_renewal") <= 60, "Renewal").when(c("days_renewal") >= 360, "AtRisk")
                       .when(c("tenure_m") < 12, "Onboarding").when(c("tenure_m") < 36, "Growth")
-                      .otherwise("Maturity"))
-          .withColumn("data_used_gb", rhu(c("data_cap_gb") * c("data_pct") / F.lit(100.0), 1))
-          .withColumn("dunning", (c("late_payments") >= 2).cast("int"))
-          .withColumn("device_tier", device_tier(c("device"), c("device_type"), variant))
-          .withColumn("net_cap", net_capability(c("device_tier"), c("device_type")))
-          .withColumn("upgrade_eligible", (c("device_age") >= 20).cast("int"))
-          .withColumn("last_upgrade_m", c("device_age")))
+                      .otherwise("Maturity"),
+        "data_used_gb": rhu(c("data_cap_gb") * c("data_pct") / F.lit(100.0), 1),
+        "dunning": (c("late_payments") >= 2).cast("int"),
+        "device_tier": device_tier(c("device"), c("device_type"), variant),
+        "upgrade_eligible": (c("device_age") >= 20).cast("int"),
+        "last_upgrade_m": c("device_age")})
+    df = df.withColumn("net_cap", net_capability(c("device_tier"), c("device_type")))
     base_dl = F.when(c("net_cap") == "5G", F.lit(180.0)).otherwise(F.lit(60.0))
     base_lat = F.when(c("net_cap") == "5G", F.lit(18.0)).otherwise(F.lit(40.0))
-    df = (df
-          .withColumn("dl_speed", rhu(F.greatest(base_dl * (F.lit(1.0) - F.lit(0.6) * c("congestion"))
-                                                 * (F.lit(1.0) - c("_share_r")), F.lit(3.0)), 1))
-          .withColumn("latency_ms", F.floor(F.least(F.greatest(base_lat + c("congestion") * F.lit(120.0)
-                                                               + c("_n_err"), F.lit(8.0)), F.lit(300.0))).cast("int"))
-          .withColumn("dropped_call_rate", rhu(F.least(c("_share_r") * F.lit(0.3), F.lit(0.4)), 3))
-          .withColumn("coverage", rhu(F.greatest(F.lit(1.0) - c("congestion") * F.lit(0.6)
-                                                 - c("_share_r") * F.lit(0.5), F.lit(0.0)), 2))
-          .withColumn("net_complaints", F.floor(c("_n_err") / F.lit(15.0)).cast("int")))
+    df = df.withColumns({
+        "dl_speed": rhu(F.greatest(base_dl * (F.lit(1.0) - F.lit(0.6) * c("congestion"))
+                                   * (F.lit(1.0) - c("_share_r")), F.lit(3.0)), 1),
+        "latency_ms": F.floor(F.least(F.greatest(base_lat + c("congestion") * F.lit(120.0) + c("_n_err"),
+                                                 F.lit(8.0)), F.lit(300.0))).cast("int"),
+        "dropped_call_rate": rhu(F.least(c("_share_r") * F.lit(0.3), F.lit(0.4)), 3),
+        "coverage": rhu(F.greatest(F.lit(1.0) - c("congestion") * F.lit(0.6) - c("_share_r") * F.lit(0.5),
+                                   F.lit(0.0)), 2),
+        "net_complaints": F.floor(c("_n_err") / F.lit(15.0)).cast("int"),
+        "nbo_reason": F.when(c("churn") >= 0.6, "Churn risk detected").when(c("days_renewal") <= 60, "Renewal window")
+        .when(c("upgrade_eligible") == 1, "Device upgrade eligible")
+        .when(c("data_pct") >= 80, "High data usage trend").otherwise("Loyalty reward due")})
     df = df.withColumn("net_issue", network_issue(c("dropped_call_rate"), c("coverage"), c("latency_ms"),
                                                   c("net_complaints"), c("dl_speed")))
-    df = df.withColumn(
-        "nbo_reason",
-        F.when(c("churn") >= 0.6, "Churn risk detected").when(c("days_renewal") <= 60, "Renewal window")
-        .when(c("upgrade_eligible") == 1, "Device upgrade eligible")
-        .when(c("data_pct") >= 80, "High data usage trend").otherwise("Loyalty reward due"))
     return df.select(*SUBSCRIBER_COLUMNS)
 
 

@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     "spark.driver.bindAddress": "127.0.0.1",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # call-site capture costs several JVM round trips per Column function
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
