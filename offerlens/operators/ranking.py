@@ -81,7 +81,12 @@ def with_best_offer(df: DataFrame, score_fn, variant: str = "A", signature=None,
     scored = df.withColumns({col: expr for col, expr in names.items() if col.startswith("__score_")})
     by_offer = {name: F.col(names[name]) for name, _, _ in OFFERS}
     arr = scored_offer_structs(lambda o, at, _m=by_offer: None, variant, by_offer)
-    return scored.withColumn(out, F.array_max(arr)).drop(*[c for c in names if c.startswith("__score_")])
+    # The argmax is emitted by a one-element Generate rather than a Project:
+    # a later filter on the chosen offer then stays above it instead of being
+    # pushed down with the whole feature derivation inlined ten times (which
+    # overflows the 64 KB method limit and drops the stage out of codegen).
+    best = F.inline(F.array(F.struct(F.array_max(arr).alias(out))))
+    return scored.select("*", best).drop(*[c for c in names if c.startswith("__score_")])
 
 
 def rank_offers(df: DataFrame, score_fn, key: str = "customer_id", variant: str = "A") -> DataFrame:
