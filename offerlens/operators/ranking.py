@@ -20,7 +20,8 @@ from offerlens.constants import OFFERS
 from offerlens.sources.tables import offers_array
 
 __all__ = ["expand_offers", "scored_offer_structs", "best_offer", "rank_offers",
-           "with_best_offer", "dedup_keep_first", "argmax_by_group", "topk_per_group", "head_n"]
+           "with_best_offer", "dedup_keep_first", "argmax_by_group", "topk_per_group",
+           "seq_within_group", "head_n"]
 
 
 def expand_offers(df: DataFrame) -> DataFrame:
@@ -125,6 +126,28 @@ def topk_per_group(df: DataFrame, key: str | list[str], order: list[Column], k:
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
+def seq_within_group(df: DataFrame, key: str, order: list[str], out: str = "seq",
+                     n_parts: int | None = None) -> DataFrame:
+    """0-based position of each row within its key by ``order`` (unique per key).
+
+    A plain ``row_number`` over ``partitionBy(key)`` sends a whole key to one
+    task. Here the rows are range-partitioned on (key, order), so a hot key
+    spans several partitions; rows are numbered within (partition, key), and
+    each piece is shifted by the row count of the same key in earlier
+    partitions. That count table has one row per (partition, key), so even a
+    hot key contributes at most ``n_parts`` rows to its window.
+    """
+    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, key, *order).withColumn("__pid", F.spark_partition_id())
+    local = r.withColumn("__lrn", F.row_number().over(Window.partitionBy("__pid", key).orderBy(*order)))
+    counts = local.groupBy("__pid", key).agg(F.max("__lrn").alias("__n"))
+    before = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", key, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return (local.join(offsets, ["__pid", key], "inner")
+            .withColumn(out, (F.col("__off") + F.col("__lrn") - 1).cast("int"))
+            .drop("__pid", "__lrn", "__off"))
+
+
 def head_n(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
     """lim_head_n: first n rows by an explicit order (TakeOrderedAndProject)."""
     return df.orderBy(*order).limit(n)

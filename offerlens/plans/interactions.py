@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from offerlens.constants import INTERACTION_CHANNELS
 from offerlens.functions.core import pick, zero_pad
 from offerlens.functions.text import is_blank_or_sentinel
+from offerlens.operators.ranking import seq_within_group
 
 c = F.col
 REFERENCE_DATE = "2024-01-31"
 SAMPLE_SALT = "history"
+MAX_SAMPLE = 4
 
 HISTORY_SCHEMA_COLS = ["interaction_id", "customer_id", "date", "is_current", "channel", "text", "topic",
                        "is_relevant"]
@@ -23,9 +25,7 @@ HISTORY_SCHEMA_COLS = ["interaction_id", "customer_id", "date", "is_current", "c
 
 def sequenced(conversations: DataFrame) -> DataFrame:
     """win_seq_number: position within the history, zero-padded into the id."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    seq = F.row_number().over(w) - 1
-    return (conversations.withColumn("seq", seq.cast("int"))
+    return (seq_within_group(conversations, "conv_id", ["turn"], "seq")
             .withColumn("interaction_id", F.concat(c("conv_id").cast("string"), F.lit("-"), zero_pad(c("seq"), 2))))
 
 
@@ -66,5 +66,8 @@ def stable_sample(conversations: DataFrame, salt: str = SAMPLE_SALT) -> DataFram
     h = F.md5(F.concat_ws("|", c("conv_id").cast("string"), F.lit(salt), c("turn").cast("string")))
     w = Window.partitionBy("conv_id").orderBy(h, c("turn"))
     n = F.lit(2) + (c("conv_id") % 3)
-    return (conversations.withColumn("pick", F.row_number().over(w)).where(c("pick") <= n)
+    # n <= MAX_SAMPLE for every key: the literal bound lets Spark cut each key to
+    # MAX_SAMPLE rows per map partition (partial WindowGroupLimit) before the shuffle.
+    return (conversations.withColumn("pick", F.row_number().over(w))
+            .where((c("pick") <= MAX_SAMPLE) & (c("pick") <= n))
             .select("conv_id", "turn", "pick"))
