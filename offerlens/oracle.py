@@ -459,7 +459,7 @@ ORACLE.update({
     "agg_group_first": SUBS + " SELECT shown_offer, arg_min(shown_value, customer_id) AS first_price, "
                               "arg_min(shown_action_type, customer_id) AS first_type FROM subs GROUP BY shown_offer",
     "agg_distinct_sorted": A() + " SELECT array_to_string(list_sort(list(DISTINCT action)), ',') AS offers FROM decided",
-    "sort_by_key": A() + " SELECT customer_id, propensity FROM decided ORDER BY propensity, customer_id LIMIT 50",
+    "sort_by_key": A() + " SELECT customer_id, propensity FROM decided ORDER BY propensity, customer_id",
     "rule_rationale": A() + f" SELECT customer_id AS msisdn, {rationale_sql('A')} AS rationale_why FROM guarded",
     "rule_rationale_b": B() + f" SELECT customer_id AS msisdn, {rationale_sql('B')} AS rationale_why FROM guarded",
     "rule_message": A() + f" SELECT customer_id AS msisdn, channel, {message_sql(rationale_sql('A'), 'A')} AS message_how FROM guarded",
@@ -532,7 +532,7 @@ def probe_sql() -> str:
 pv AS {centroid_sql('corpus', 'is_toxic')},
 scored AS (SELECT corpus.*, {cosine_sql('embedding', 'pv.q')} AS sim FROM corpus CROSS JOIN pv),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY sim DESC, interaction_id) AS INTEGER) AS rank
-           FROM scored WHERE customer_id < 25),
+           FROM scored),
 phits AS (SELECT *, {rhu('sim', 4)} AS similarity FROM ranked WHERE rank <= 2),
 dedup AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY sim DESC, interaction_id) AS rn FROM phits) WHERE rn = 1),
 top5 AS (SELECT * FROM dedup ORDER BY sim DESC, interaction_id LIMIT 5)"""

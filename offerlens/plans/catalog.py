@@ -322,8 +322,9 @@ def q_agg_distinct_sorted(spark, sf):
 
 @register("sort_by_key")
 def q_sort_by_key(spark, sf):
+    # the whole table, range-partitioned and sorted (no row cap)
     d = _decided(spark, sf).select("customer_id", "propensity")
-    return head_n(d, [c("propensity").asc(), c("customer_id")], 50)
+    return d.orderBy(c("propensity").asc(), c("customer_id").asc())
 
 
 # ---------------------------------------------------------------- texts
@@ -627,9 +628,9 @@ def q_flt_like_ci(spark, sf):
 
 
 def _probe_hits(spark, sf):
+    # a second query (the toxic centroid), k = 2, over every customer
     corp = RP.corpus(Tables(spark, sf))
-    scoped = corp.where(c("customer_id") < 25)
-    return R.exact_topk(R.score(scoped, RP.probe_query(corp)), 2)
+    return R.exact_topk(R.score(corp, RP.probe_query(corp)), 2)
 
 
 @register("ret_multi_customer_probe")
