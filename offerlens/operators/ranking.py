@@ -136,9 +136,18 @@ def seq_within_group(df: DataFrame, key: str, order: list[str], out: str = "seq"
     each piece is shifted by the row count of the same key in earlier
     partitions. That count table has one row per (partition, key), so even a
     hot key contributes at most ``n_parts`` rows to its window.
+
+    The partition id is materialised once (``checkpoint`` into the shared
+    checkpoint folder): the numbering and the count branches prune different
+    columns, so without it each would run its own range exchange, and range
+    bounds come from a sample seeded per exchange, so ids could disagree.
     """
-    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, key, *order).withColumn("__pid", F.spark_partition_id())
+    from offerlens.session import checkpoint_root
+
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, key, *order).withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
     local = r.withColumn("__lrn", F.row_number().over(Window.partitionBy("__pid", key).orderBy(*order)))
     counts = local.groupBy("__pid", key).agg(F.max("__lrn").alias("__n"))
     before = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

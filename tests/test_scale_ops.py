@@ -94,3 +94,17 @@ def test_key_lookup_pushes_filter_into_scan(spark, sf_small):
         .queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(c_custkey), EqualTo(c_custkey,7)]" in plan
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string>" in plan
+
+
+def test_seq_within_group_with_pruned_columns(spark):
+    # the output carries a payload column the count branch does not need:
+    # both branches must still see the same partition ids
+    df, rows = skewed(spark)
+    df = df.withColumn("payload", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    out = seq_within_group(df, "conv_id", ["turn"], "seq", n_parts=8).select("conv_id", "turn", "seq", "payload")
+    got = {(r.conv_id, r.turn): (r.seq, r.payload) for r in out.collect()}
+    by_key = {}
+    for k, t in rows:
+        by_key.setdefault(k, []).append(t)
+    want = {(k, t): (i, f"{k}-{t}") for k, ts in by_key.items() for i, t in enumerate(sorted(ts))}
+    assert got == want
