@@ -20,7 +20,7 @@ def round_half_up(c: Column | str, digits: int) -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     scale = float(10 ** digits)
-    return F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.floor(c * scale + 0.5) / scale
 
 
 def round_half_even(c: Column | str, digits: int = 0) -> Column:
