@@ -184,6 +184,34 @@ WORD = r"[\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}]"
 NONWORD = r"[^\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}]"
 
 
+# Spark types of the non-string fields of the variant-A context record; every
+# field is cast to its Spark type so that to_json prints numbers the same way.
+CTX_DOUBLE = {"propensity", "value_qar", "churn", "arpu", "outstanding", "data_used_gb", "data_pct", "pct_5g",
+              "dl_speed", "dropped_call_rate", "coverage", "congestion"}
+CTX_INT = {"tenure_m", "days_renewal", "consent", "late_payments", "dunning", "data_cap_gb", "overage",
+           "voice_min", "intl_min", "roaming_days", "device_age", "upgrade_eligible", "last_upgrade_m",
+           "latency_ms", "net_complaints", "net_issue", "app_logins", "complaint", "nps"}
+
+
+def context_json_sql() -> str:
+    """fn_to_json: the variant-A context record as compact JSON (nulls kept)."""
+    from offerlens.plans.decision import CONTEXT_FIELDS
+    parts = []
+    for f in CONTEXT_FIELDS:
+        t = "DOUBLE" if f in CTX_DOUBLE else "INTEGER" if f in CTX_INT else "VARCHAR"
+        src = redact_sql("transcript") if f == "transcript" else f
+        parts.append(f"{f} := CAST({src} AS {t})")
+    return "to_json(struct_pack(" + ", ".join(parts) + "))"
+
+
+def prompt_sql() -> str:
+    """rule_prompt (variant A): offer line, channel, reason, then the context JSON."""
+    return ("concat('SELECTED CAMPAIGN (do not change): ', action, ' | type=', action_type, ' | value=', "
+            "CAST(CAST(value_qar AS DOUBLE) AS VARCHAR), ' QAR' || chr(10), 'CHANNEL: ', channel, "
+            "chr(10) || 'NBO_REASON: ', nbo_reason, chr(10) || chr(10) || 'SUBSCRIBER CONTEXT (only use these facts):' "
+            "|| chr(10), " + context_json_sql() + ")")
+
+
 def redact_sql(x: str) -> str:
     """Unicode whole-word redaction (RE2's \\b is ASCII, so emulate it; two
     passes because a match consumes the separator its neighbour needs)."""
@@ -657,6 +685,8 @@ ORACLE.update({
         latency_ms, coverage AS coverage_score, congestion AS cell_congestion, net_complaints AS network_complaints_90d,
         net_issue AS network_issue, channel, app_logins, loyalty, last_campaign_resp, complaint, sentiment, nps,
         {redact_sql('transcript')} AS transcript, nbo_reason FROM decided""",
+    "fn_to_json": A() + f" SELECT customer_id, {context_json_sql()} AS context_json FROM decided",
+    "rule_prompt": A() + f" SELECT customer_id, {prompt_sql()} AS prompt FROM decided",
     "proj_group_by_source": A() + f""" SELECT customer_id, tenure_m AS bss_crm_tenure_m, arpu AS billing_arpu,
         data_pct AS consumption_data_pct, net_issue AS device_network_net_issue, channel AS engagement_channel,
         {redact_sql('transcript')} AS care_transcript, action AS nba_action FROM decided""",
