@@ -310,7 +310,7 @@ detail AS (
   SELECT *, propensity * 0.85e0 AS p_baseline, {lift_sql()} AS lift FROM guarded),
 detail2 AS (
   SELECT *, CASE WHEN isnan(p_baseline * lift) THEN p_baseline * lift
-                 ELSE least(greatest(p_baseline * lift, 0e0), 0.95e0) END AS p_nbx FROM detail)"""
+                 ELSE least(greatest(p_baseline * lift, 0e0), 0.95e0) END AS p_treated FROM detail)"""
 
 
 def with_all(variant: str = "A") -> str:
@@ -430,31 +430,31 @@ ORACLE.update({
     "rule_guard_full": A() + " SELECT customer_id, action, guard_status FROM guarded",
     "rule_guard_margin": B() + " SELECT customer_id, action, guard_status FROM guarded",
     "rule_lift": A() + f" SELECT customer_id, {rhu('lift', 6)} AS lift FROM detail2",
-    "rule_treated_prob": A() + f" SELECT customer_id, {rhu('p_baseline', 6)} AS p_baseline, {rhu('p_nbx', 6)} AS p_nbx FROM detail2",
+    "rule_treated_prob": A() + f" SELECT customer_id, {rhu('p_baseline', 6)} AS p_baseline, {rhu('p_treated', 6)} AS p_treated FROM detail2",
     "join_rec_subscriber": A() + " SELECT r.*, s.segment, s.channel, s.churn FROM rec r JOIN subs s USING (customer_id)",
     "join_eval_three_way": A() + f" SELECT customer_id, customer_id AS msisdn, action, guard_status, {rhu('p_baseline', 6)} AS p_baseline, "
-                                 f"{rhu('p_nbx', 6)} AS p_nbx FROM detail2",
-    "agg_mean_rate": A() + f" SELECT {rhu('avg(p_baseline)', 6)} AS acceptance_baseline, {rhu('avg(p_nbx)', 6)} AS acceptance_nbx FROM detail2",
+                                 f"{rhu('p_treated', 6)} AS p_treated FROM detail2",
+    "agg_mean_rate": A() + f" SELECT {rhu('avg(p_baseline)', 6)} AS acceptance_baseline, {rhu('avg(p_treated)', 6)} AS acceptance_treated FROM detail2",
     "agg_revenue_sum": A() + f" SELECT {rhu('sum(p_baseline * value_qar * 12e0)', 2)} AS revenue_baseline, "
-                             f"{rhu('sum(p_nbx * value_qar * 12e0)', 2)} AS revenue_nbx FROM detail2",
+                             f"{rhu('sum(p_treated * value_qar * 12e0)', 2)} AS revenue_treated FROM detail2",
     "agg_count": A() + " SELECT action, count(*) AS n FROM detail2 GROUP BY action",
 })
 
 _SUMMARY = """, wide AS (
-  SELECT count(*) AS n, avg(p_baseline) AS acceptance_baseline, avg(p_nbx) AS acceptance_nbx,
-         sum(p_baseline * value_qar * 12e0) AS revenue_baseline, sum(p_nbx * value_qar * 12e0) AS revenue_nbx
+  SELECT count(*) AS n, avg(p_baseline) AS acceptance_baseline, avg(p_treated) AS acceptance_treated,
+         sum(p_baseline * value_qar * 12e0) AS revenue_baseline, sum(p_treated * value_qar * 12e0) AS revenue_treated
   FROM detail2),
 wide2 AS (
-  SELECT *, revenue_nbx / revenue_baseline - 1e0 AS revenue_uplift, revenue_nbx - revenue_baseline AS incremental_revenue,
-         (revenue_nbx - revenue_baseline) * (500000e0 / n) AS extrapolated_500000,
-         (revenue_nbx - revenue_baseline) * (2000000e0 / n) AS extrapolated_2000000
+  SELECT *, revenue_treated / revenue_baseline - 1e0 AS revenue_uplift, revenue_treated - revenue_baseline AS incremental_revenue,
+         (revenue_treated - revenue_baseline) * (500000e0 / n) AS extrapolated_500000,
+         (revenue_treated - revenue_baseline) * (2000000e0 / n) AS extrapolated_2000000
   FROM wide)"""
 
 
 def _long(labels):
     vals = [
         "printf('%.1f', acceptance_baseline * 100e0) || '%'",
-        "printf('%.1f', acceptance_nbx * 100e0) || '%'",
+        "printf('%.1f', acceptance_treated * 100e0) || '%'",
         "'+' || printf('%.1f', revenue_uplift * 100e0) || '%'",
         "format('{:,.0f}', incremental_revenue)",
         "format('{:,.0f}', extrapolated_500000)",
@@ -473,10 +473,10 @@ ORACLE.update({
     "agg_summary_long_b": B() + _SUMMARY + " " + _long(["Acceptance baseline", "Acceptance NBX", "Revenue uplift %",
                                                        "Incr annual rev QAR (sample)", "Extrapolated +QAR/yr @500k",
                                                        "Extrapolated +QAR/yr @2M"]),
-    "pipe_run": A() + _SUMMARY + f" SELECT n, {rhu('acceptance_baseline', 6)} AS acceptance_baseline, {rhu('acceptance_nbx', 6)} AS acceptance_nbx, "
+    "pipe_run": A() + _SUMMARY + f" SELECT n, {rhu('acceptance_baseline', 6)} AS acceptance_baseline, {rhu('acceptance_treated', 6)} AS acceptance_treated, "
                                  f"{rhu('revenue_uplift', 6)} AS revenue_uplift, {rhu('revenue_baseline', 2)} AS revenue_baseline, "
-                                 f"{rhu('revenue_nbx', 2)} AS revenue_nbx FROM wide2",
-    "fn_percent_money_fmt": A() + " SELECT customer_id, printf('%.1f', p_nbx * 100e0) || '%' AS p_nbx_pct, "
+                                 f"{rhu('revenue_treated', 2)} AS revenue_treated FROM wide2",
+    "fn_percent_money_fmt": A() + " SELECT customer_id, printf('%.1f', p_treated * 100e0) || '%' AS p_treated_pct, "
                                   "format('{:,.0f}', value_qar * 1000e0) AS value_money, printf('%.0f', data_pct) AS data_pct_0f FROM detail2",
     "fn_round": SUBS + f" SELECT customer_id, round_even(data_pct, 0) AS data_pct_even, round_even(arpu, 0) AS arpu_even, "
                        f"{rhu('data_used_gb', 0)} AS used_half_up FROM subs",
@@ -729,7 +729,7 @@ FROM c, (SELECT unnest(generate_series(1, len(chunks))) AS i) g"""
 ORACLE.update({
     "src_csv_scan": ORACLE["agg_argmax_offer"],
     "sink_csv": ORACLE["proj_rename"],
-    "sink_export_detail": A() + f" SELECT customer_id, action, guard_status, {rhu('p_baseline', 6)} AS p_baseline, {rhu('p_nbx', 6)} AS p_nbx FROM detail2",
+    "sink_export_detail": A() + f" SELECT customer_id, action, guard_status, {rhu('p_baseline', 6)} AS p_baseline, {rhu('p_treated', 6)} AS p_treated FROM detail2",
     "sink_separate_outputs": (
         "SELECT 'A' AS variant, * FROM (" + ORACLE["agg_summary_long"] + ") UNION ALL SELECT 'B' AS variant, * FROM ("
         + ORACLE["agg_summary_long_b"] + ")"),

@@ -196,7 +196,7 @@ def q_rule_lift(spark, sf):
 @register("rule_treated_prob")
 def q_rule_treated_prob(spark, sf):
     d = D.evaluation_detail(_decided(spark, sf))
-    return d.select("customer_id", rhu(c("p_baseline"), 6).alias("p_baseline"), rhu(c("p_nbx"), 6).alias("p_nbx"))
+    return d.select("customer_id", rhu(c("p_baseline"), 6).alias("p_baseline"), rhu(c("p_treated"), 6).alias("p_treated"))
 
 
 @register("join_rec_subscriber")
@@ -210,10 +210,10 @@ def q_join_rec_subscriber(spark, sf):
 def q_join_eval_three_way(spark, sf):
     subs = _subs(spark, sf)
     rec = D.recommend_rules(subs, "A")
-    nbx = D.experience(D.decide(subs, "A"), "A")
-    m = D.join_evaluation(rec, subs, nbx)
+    guarded = D.experience(D.decide(subs, "A"), "A")
+    m = D.join_evaluation(rec, subs, guarded)
     return m.select("customer_id", "msisdn", "action", "guard_status", rhu(c("p_baseline"), 6).alias("p_baseline"),
-                    rhu(c("p_nbx"), 6).alias("p_nbx"))
+                    rhu(c("p_treated"), 6).alias("p_treated"))
 
 
 def _wide(spark, sf, variant="A"):
@@ -224,14 +224,14 @@ def _wide(spark, sf, variant="A"):
 def q_agg_mean_rate(spark, sf):
     w = _wide(spark, sf)
     return w.select(rhu(c("acceptance_baseline"), 6).alias("acceptance_baseline"),
-                    rhu(c("acceptance_nbx"), 6).alias("acceptance_nbx"))
+                    rhu(c("acceptance_treated"), 6).alias("acceptance_treated"))
 
 
 @register("agg_revenue_sum")
 def q_agg_revenue_sum(spark, sf):
     w = _wide(spark, sf)
     return w.select(rhu(c("revenue_baseline"), 2).alias("revenue_baseline"),
-                    rhu(c("revenue_nbx"), 2).alias("revenue_nbx"))
+                    rhu(c("revenue_treated"), 2).alias("revenue_treated"))
 
 
 @register("agg_count")
@@ -266,15 +266,15 @@ def q_agg_summary_long_b(spark, sf):
 def q_pipe_run(spark, sf):
     w = _wide(spark, sf)
     return w.select("n", *[rhu(c(x), 6).alias(x) for x in
-                           ["acceptance_baseline", "acceptance_nbx", "revenue_uplift"]],
+                           ["acceptance_baseline", "acceptance_treated", "revenue_uplift"]],
                     rhu(c("revenue_baseline"), 2).alias("revenue_baseline"),
-                    rhu(c("revenue_nbx"), 2).alias("revenue_nbx"))
+                    rhu(c("revenue_treated"), 2).alias("revenue_treated"))
 
 
 @register("fn_percent_money_fmt")
 def q_fn_percent_money_fmt(spark, sf):
     d = D.evaluation_detail(_decided(spark, sf))
-    return d.select("customer_id", fmt_percent(c("p_nbx"), 1).alias("p_nbx_pct"),
+    return d.select("customer_id", fmt_percent(c("p_treated"), 1).alias("p_treated_pct"),
                     fmt_money(c("value_qar") * F.lit(1000.0)).alias("value_money"),
                     fmt_fixed0(c("data_pct")).alias("data_pct_0f"))
 
@@ -883,11 +883,11 @@ def q_sink_csv(spark, sf):
 def q_sink_export_detail(spark, sf):
     det = D.evaluation_detail(_decided(spark, sf, "A")).select(
         "customer_id", "action", "guard_status", rhu(c("p_baseline"), 6).alias("p_baseline"),
-        rhu(c("p_nbx"), 6).alias("p_nbx"))
+        rhu(c("p_treated"), 6).alias("p_treated"))
     path = FS.write_csv(det, stage_path(spark, "eval_detail"))
     schema = T.StructType([T.StructField("customer_id", T.LongType()), T.StructField("action", T.StringType()),
                            T.StructField("guard_status", T.StringType()), T.StructField("p_baseline", T.DoubleType()),
-                           T.StructField("p_nbx", T.DoubleType())])
+                           T.StructField("p_treated", T.DoubleType())])
     return FS.read_csv(spark, path, schema)
 
 

@@ -136,7 +136,7 @@ def _eval_columns(df: DataFrame) -> DataFrame:
     pb = (c("propensity") * F.lit(BASELINE_FACTOR))
     d = df.withColumn("p_baseline", pb)
     lf = rules.lift(c("action"), c("action_type"), c("guard_status"))
-    return d.withColumn("lift", lf).withColumn("p_nbx", rules.treated_probability(c("p_baseline"), c("lift")))
+    return d.withColumn("lift", lf).withColumn("p_treated", rules.treated_probability(c("p_baseline"), c("lift")))
 
 
 def evaluation_detail(decided: DataFrame) -> DataFrame:
@@ -145,14 +145,14 @@ def evaluation_detail(decided: DataFrame) -> DataFrame:
     return _eval_columns(d)
 
 
-def join_evaluation(rec: DataFrame, subs: DataFrame, nbx: DataFrame) -> DataFrame:
+def join_evaluation(rec: DataFrame, subs: DataFrame, guarded: DataFrame) -> DataFrame:
     """join_eval_three_way: rec + subscriber columns + guard status.
 
     All three inputs hold one row per subscriber, so both joins are 1:1
     equi-joins on the key; the second keeps both key columns.
     """
     m = rec.join(subs.select(*EVAL_KEEP), "customer_id", "inner")
-    n = nbx.select("msisdn", "guard_status")
+    n = guarded.select("msisdn", "guard_status")
     m = m.join(n, m.customer_id == n.msisdn, "inner")
     return _eval_columns(m)
 
@@ -163,13 +163,13 @@ def summary_wide(detail: DataFrame) -> DataFrame:
     rev = lambda p: F.sum(p * c("value_qar") * F.lit(float(MONTHS)))
     agg = detail.agg(F.count(F.lit(1)).alias("n"),
                      F.avg("p_baseline").alias("acceptance_baseline"),
-                     F.avg("p_nbx").alias("acceptance_nbx"),
+                     F.avg("p_treated").alias("acceptance_treated"),
                      rev(c("p_baseline")).alias("revenue_baseline"),
-                     rev(c("p_nbx")).alias("revenue_nbx"))
-    incr = c("revenue_nbx") - c("revenue_baseline")
+                     rev(c("p_treated")).alias("revenue_treated"))
+    incr = c("revenue_treated") - c("revenue_baseline")
     out = agg.select(
-        "n", "acceptance_baseline", "acceptance_nbx", "revenue_baseline", "revenue_nbx",
-        (safe_ratio(c("revenue_nbx"), c("revenue_baseline")) - F.lit(1.0)).alias("revenue_uplift"),
+        "n", "acceptance_baseline", "acceptance_treated", "revenue_baseline", "revenue_treated",
+        (safe_ratio(c("revenue_treated"), c("revenue_baseline")) - F.lit(1.0)).alias("revenue_uplift"),
         incr.alias("incremental_revenue"),
         *[(incr * safe_ratio(F.lit(float(t)), c("n").cast("double"))).alias(f"extrapolated_{t}")
           for t in EXTRAPOLATE_TO])
@@ -181,7 +181,7 @@ def format_summary(wide: DataFrame, variant: str = "A") -> DataFrame:
     a, b = EXTRAPOLATE_TO
     return wide.select(
         fmt_percent(c("acceptance_baseline"), 1).alias("acceptance_baseline"),
-        fmt_percent(c("acceptance_nbx"), 1).alias("acceptance_nbx"),
+        fmt_percent(c("acceptance_treated"), 1).alias("acceptance_treated"),
         F.concat(F.lit("+"), fmt_percent(c("revenue_uplift"), 1)).alias("revenue_uplift"),
         fmt_money(c("incremental_revenue")).alias("incremental_revenue"),
         fmt_money(c(f"extrapolated_{a}")).alias(f"extrapolated_{a}"),

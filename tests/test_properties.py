@@ -50,7 +50,7 @@ def test_lift_and_probability_bounds(spark, sf_small):
     lo, hi = Q["rule_lift"](spark, sf_small).agg(F.min("lift"), F.max("lift")).first()
     assert 1.0 <= lo <= hi <= 1.55
     p = Q["rule_treated_prob"](spark, sf_small).agg(F.min("p_baseline"), F.max("p_baseline"),
-                                                   F.min("p_nbx"), F.max("p_nbx")).first()
+                                                   F.min("p_treated"), F.max("p_treated")).first()
     assert 0.0 <= p[0] <= p[1] <= 0.95 * 0.95 + 1e-12
     assert 0.0 <= p[2] <= p[3] <= 0.95
 
@@ -70,7 +70,7 @@ def test_unknown_channel_gives_null_message(spark):
 
 
 def test_zero_baseline_revenue_gives_null_uplift(spark):
-    detail = spark.createDataFrame([(0.0, 0.2, 0.0)], "p_baseline double, p_nbx double, value_qar double")
+    detail = spark.createDataFrame([(0.0, 0.2, 0.0)], "p_baseline double, p_treated double, value_qar double")
     w = D.summary_wide(detail).first()
     assert w.revenue_baseline == 0.0 and w.revenue_uplift is None
 
