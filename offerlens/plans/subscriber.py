@@ -94,7 +94,13 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 def subscriber_base(t: Tables) -> DataFrame:
     orders = t.orders
     ref = reference_date(orders)
-    cust = t.customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    # Hash-partitioned on the key with the session's shuffle width: exactly the
+    # distribution the key joins need (no extra exchange when they are
+    # sort-merge joins), and the per-subscriber projections that follow run
+    # in that many tasks even when the joins become broadcasts.
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    cust = (t.customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+            .repartition(n, "c_custkey"))
     os_ = order_stats(orders, t.lineitem, ref)
     es = event_stats(t.events)
     tr = transcripts(t.conversations)
