@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     # call-site capture costs several JVM round trips per Column function
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # checkpoint files of DataFrames that are no longer referenced are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
