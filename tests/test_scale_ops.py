@@ -108,3 +108,32 @@ def test_seq_within_group_with_pruned_columns(spark):
         by_key.setdefault(k, []).append(t)
     want = {(k, t): (i, f"{k}-{t}") for k, ts in by_key.items() for i, t in enumerate(sorted(ts))}
     assert got == want
+
+
+def _exchanges(spark, df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [ln for ln in plan.split("\n") if "Exchange" in ln and "BroadcastExchange" not in ln]
+
+
+def test_decision_plans_add_no_shuffle_at_scale(spark, sf_small):
+    # scale-like planning: no AQE re-planning, no broadcasts of the data-sized sides
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        import __spark_entry__ as E
+        q = E.queries()
+        subs = _exchanges(spark, q["proj_select_cols"](spark, sf_small))
+        # lineitem agg, orders join, per-customer agg, events agg, conversations agg,
+        # customer by key, one-row reference-date subquery
+        assert len(subs) == 7
+        for name in ["agg_argmax_offer", "topk_offers_ranking", "rule_lift", "proj_rename",
+                     "rule_response_adjudicate"]:
+            ex = _exchanges(spark, q[name](spark, sf_small))
+            assert len(ex) <= len(subs), name
+            assert sum("c_custkey" in ln for ln in ex) == 1, name
+        # the summary adds only its one-row final aggregate
+        assert len(_exchanges(spark, q["pipe_run"](spark, sf_small))) <= len(subs) + 1
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
