@@ -137,3 +137,18 @@ def test_decision_plans_add_no_shuffle_at_scale(spark, sf_small):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+def test_heavy_plans_compile_without_codegen_fallback(spark, sf_small):
+    # with fallback off, a generated method over the 64 KB limit raises instead of
+    # silently running the stage interpreted
+    import __spark_entry__ as E
+    keep = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        q = E.queries()
+        for name in ["flt_contains", "proj_rename", "rule_response_adjudicate", "proj_context_struct",
+                     "fn_to_json", "topk_offers_ranking", "pipe_run"]:
+            q[name](spark, sf_small).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", keep)
