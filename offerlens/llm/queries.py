@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import exact_dedup, html_extract, mixing, secrets, url_rules
+from offerlens.llm import bpe, exact_dedup, html_extract, mixing, secrets, url_rules
 from offerlens.sources.tables import load
 
 
@@ -19,6 +19,20 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the contract (a path is a parameter of the operator)."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
+    return both.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.stage(mixing.sizes(load(spark, sf_dir, "documents")), "sizes")
     return mixing.mix(sized).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -41,4 +55,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_url_filters, op7_source_mix, op8_secret_ledger, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_url_filters, op5_bpe, op7_source_mix, op8_secret_ledger, op9_exact_dedup)}
