@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import bpe, exact_dedup, html_extract, mixing, secrets, url_rules
+from offerlens.llm import bpe, exact_dedup, html_extract, langid, mixing, secrets, url_rules
 from offerlens.sources.tables import load
 
 
@@ -19,6 +19,14 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rest = langid.remainder(F.col("doc_id"), 3)
+    samples = langid.learn(docs, rest != 1)
+    return (langid.predict(docs.select("doc_id", "text"), samples)
+            .select("doc_id", (rest == 1).alias("held_out"), "lang_pred", "score"))
+
+
 def tokenizer_path() -> str:
     """The vocabulary file of the contract (a path is a parameter of the operator)."""
     import public_tokenizers
@@ -55,4 +63,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_url_filters, op5_bpe, op7_source_mix, op8_secret_ledger, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_url_filters, op4_language_id, op5_bpe, op7_source_mix, op8_secret_ledger, op9_exact_dedup)}
