@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import bpe, exact_dedup, html_extract, langid, mixing, secrets, url_rules
+from offerlens.llm import bpe, exact_dedup, html_extract, langid, minhash_dedup, mixing, secrets, url_rules
 from offerlens.sources.tables import load
 
 
@@ -14,6 +14,13 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_dedup.near_groups(docs).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -63,4 +70,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_url_filters, op4_language_id, op5_bpe, op7_source_mix, op8_secret_ledger, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash, op3_url_filters, op4_language_id, op5_bpe, op7_source_mix, op8_secret_ledger, op9_exact_dedup)}
