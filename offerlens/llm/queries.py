@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import bpe, exact_dedup, html_extract, langid, minhash_dedup, mixing, secrets, url_rules
+from offerlens.llm import ann, bpe, exact_dedup, html_extract, langid, minhash_dedup, mixing, secrets, url_rules
 from offerlens.sources.tables import load
 
 
@@ -70,4 +70,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash, op3_url_filters, op4_language_id, op5_bpe, op7_source_mix, op8_secret_ledger, op9_exact_dedup)}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(table, F.col("vec_id") % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash, op3_url_filters, op4_language_id, op5_bpe, op7_source_mix, op8_secret_ledger, op9_exact_dedup, op10_nearest)}
