@@ -249,12 +249,11 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     """(query_id, rank, id, score): the ``k`` rows with the largest inner product found for each query row, without itself."""
     rows = (table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("asks"))
             .where(F.col("id").isNotNull() & usable(F.col("vec"))).withColumn("dim", F.size("vec")))
-    classes = rows.groupBy("vec").agg(F.min("id").alias("node"))
+    nodes = stage(rows.groupBy("vec").agg(F.min("id").alias("node")).select("node", F.size("vec").alias("dim"), "vec"), "ann-nodes")
     first = Window.partitionBy("node").orderBy("id")
     # of equal vectors, no query needs more than the k + 1 smallest ids
-    ids = stage(rows.select("id", "vec").distinct().join(classes, "vec").select("node", "id")
+    ids = stage(rows.select("id", "vec").distinct().join(nodes, "vec").select("node", "id")
                 .withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("node", "id"), "ann-ids")
-    nodes = stage(classes.select("node", F.size("vec").alias("dim"), "vec"), "ann-nodes")
     queries = stage(rows.where("asks").select(F.col("id").alias("query_id"), "dim", "vec").dropDuplicates(["query_id"]), "ann-queries")
     found = search_index(build_index(nodes, shard_size), queries, k + 1, breadth)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")

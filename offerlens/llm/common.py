@@ -106,9 +106,8 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
         return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray, is_space: np.ndarray):
-    """Starts, ends and row numbers of the maximal runs of non-space values, row by row."""
-    inside = ~is_space[raw]
+def word_spans(inside: np.ndarray, off: np.ndarray):
+    """Starts, ends and row numbers of the maximal runs where ``inside`` holds, row by row."""
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     last = inside.copy()

@@ -56,7 +56,7 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row's bytes."""
     data = lower_ascii()[raw[off[0]:off[-1]]]
     rows = off - off[0]
-    starts, ends, row = word_spans(data, rows, byte_table(SPACE_BYTES))
+    starts, ends, row = word_spans(~byte_table(SPACE_BYTES)[data], rows)
     first = np.searchsorted(row, np.arange(len(off)))
     with np.errstate(over="ignore"):
         words = span_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)
@@ -214,14 +214,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sigs = stage(signatures(docs, id_col, text_col), "signatures")
     usable = sigs.where(F.col("id").isNotNull() & (F.col("n") > 0))
     # rows of one set, and rows of one id, are one node: the smallest id
-    classes = usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"))
+    classes = stage(usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("node")), "classes")
     members = stage(usable.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"]).select("id", "n", "node").distinct(), "members")
     nodes = stage(usable.join(members.select("node").distinct(), F.col("id") == F.col("node"), "left_semi")
                   .select(F.col("id").alias("node"), "n", "left", "right", "low").distinct(), "nodes")
 
     keys = table_keys(nodes)
-    shared = (keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-              .where(F.col("leader") != F.col("last")).select("key", "leader"))
+    # staged, so that the joins on keys have plain exchanges on both sides, which AQE can split where a key is hot
+    shared = stage(keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
+                   .where(F.col("leader") != F.col("last")).select("key", "leader"), "shared-keys")
     buckets = stage(keys.join(shared, "key"), "buckets")  # (key, node, leader) of buckets with several nodes
 
     votes = buckets.where(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("votes"))
@@ -233,9 +234,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = (buckets.select("key", "node").distinct().join(label1, "node", "left")
               .select("key", "node", F.coalesce("label", "node").alias("label")))
     per = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = (per.groupBy("key").agg(F.max(F.struct("k", "label"))["label"].alias("largest"), F.sum("k").alias("size"),
-                                    F.count(F.lit(1)).alias("labels"))
-             .where(F.col("labels") > 1).select("key", "largest", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")))
+    mixed = stage(per.groupBy("key").agg(F.max(F.struct("k", "label"))["label"].alias("largest"), F.sum("k").alias("size"),
+                                          F.count(F.lit(1)).alias("labels"))
+                  .where(F.col("labels") > 1)
+                  .select("key", "largest", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "mixed-keys")
     light = nodes.select("node", "n", "low")
     rest = stage(placed.join(mixed, "key").join(light, "node"), "mixed-buckets")
     own_slice = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")

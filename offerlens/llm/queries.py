@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import ann, bpe, exact_dedup, html_extract, langid, minhash_dedup, mixing, secrets, url_rules
+from offerlens.llm import ann, bpe, exact_dedup, html_extract, langid, minhash_dedup, mixing, secrets, toxicity, url_rules
 from offerlens.sources.tables import load
 
 
@@ -48,6 +48,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = lambda c: langid.remainder(c, 5) == 0
+    model, samples = toxicity.learn(docs, load(spark, sf_dir, "labels"), lambda c: ~held(c))
+    scored = toxicity.score(docs.select("doc_id", "text"), model, samples)
+    return scored.select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.stage(mixing.sizes(load(spark, sf_dir, "documents")), "sizes")
     return mixing.mix(sized).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -75,4 +83,4 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table, F.col("vec_id") % 20 == 0).withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash, op3_url_filters, op4_language_id, op5_bpe, op7_source_mix, op8_secret_ledger, op9_exact_dedup, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash, op3_url_filters, op4_language_id, op5_bpe, op6_toxicity, op7_source_mix, op8_secret_ledger, op9_exact_dedup, op10_nearest)}
