@@ -21,10 +21,10 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import stage
+from offerlens.llm.common import join_checked, stage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -38,10 +38,14 @@ def lower_a_to_z(text: Column) -> Column:
             .otherwise(F.translate(text, UPPER, UPPER.lower())))
 
 
+def digest(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm.cast("binary"), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, n_bytes, check, run0): the rows' digests, without their texts."""
     norm = docs.select(F.col(id_col).alias("id"), lower_a_to_z(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
-    return norm.select("id", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"),
+    return norm.select("id", digest(F.col("norm")).alias("digest"),
                        F.octet_length("norm").alias("n_bytes"), F.xxhash64("norm").alias("check"),
                        F.spark_partition_id().alias("run0"))
 
@@ -74,3 +78,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     merged = tree_merge(runs, keep)
     return (runs.drop("run0").join(merged, ["digest", "n_bytes", "check"])
             .select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """``docs`` with one row for each text, that of the id that stays.
+
+    Where several rows could stay (they repeat the id, or the group has rows
+    without an id), one of them does."""
+    groups = stage(exact_groups(docs, id_col, text_col, keep), "groups")
+    gone = stage(groups.where(~F.col("kept") & F.col("id").isNotNull()).select(F.col("id").alias(id_col)).distinct(), "gone")
+    unclear = stage(groups.where(F.col("kept") | F.col("id").isNull()).groupBy("digest")
+                    .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("__digest")), "unclear")
+    rest = join_checked(docs, gone, [id_col], "left_anti").select(*docs.columns)
+    if not unclear.limit(1).count():
+        return rest
+    marked = rest.withColumn("__digest", digest(lower_a_to_z(F.coalesce(F.col(text_col), F.lit("")))))
+    order = Window.partitionBy("__digest").orderBy(F.col(id_col).asc_nulls_last() if keep == "smallest"
+                                                   else F.col(id_col).desc_nulls_last())
+    one = (join_checked(marked, unclear, ["__digest"], "left_semi").withColumn("__n", F.row_number().over(order))
+           .where("__n = 1"))
+    return (join_checked(marked, unclear, ["__digest"], "left_anti").select(*docs.columns)
+            .unionByName(one.select(*docs.columns)))

@@ -215,11 +215,12 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     return Samples(langs, "".join(c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))))
 
 
-def predict(docs: DataFrame, samples: Samples, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and bits (per letter, of the best language)."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "bits")]
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
+def predict(docs: DataFrame, samples: Samples, text_col: str = "text",
+            out: tuple[str, str, str] = ("lang_pred", "score", "bits")) -> DataFrame:
+    """``docs`` with the language, its score and bits per letter, in the columns ``out``."""
+    keep = [c for c in docs.columns if c not in out]
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out[0], T.StringType()),
+                           T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.DoubleType())])
     names = [k for k, _ in samples.langs] + [UNKNOWN]
     at = keep.index(text_col)
 
@@ -233,7 +234,7 @@ def predict(docs: DataFrame, samples: Samples, text_col: str = "text") -> DataFr
             best, score, bits = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), *[np.zeros(0)] * 2)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(score), pa.array(bits)],
-                names=[*keep, "lang_pred", "score", "bits"])
+                names=[*keep, *out])
 
     return docs.select(*keep).mapInArrow(run, schema)
 

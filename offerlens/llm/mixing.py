@@ -110,10 +110,23 @@ def mix(docs_sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: floa
     limits = limits.withColumnRenamed("source", "s")
     joined = docs_sized.join(F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits,
                              F.col("source").eqNullSafe(F.col("s")))
-    copies = copies_of(most)
+    copies = copies_of(most, F.col("hash"), F.col("full"), F.col("threshold"))
     return joined.select("id", "size", "source", "source_size", "target", copies.alias("copies"),
                          (copies * F.col("size")).alias("taken"))
 
 
-def copies_of(most: int = 2) -> Column:
-    return F.least(F.col("full") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0), F.lit(most)).cast("long")
+def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+           weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with its own columns. Texts are not shuffled."""
+    sized = stage(sizes(docs, id_col, text_col, source_col), "sizes")
+    limits = thresholds(sized, source_targets(sized, weights, share, most)).select(
+        F.col("source").alias("__source"), F.struct("full", "threshold").alias("__limit"))
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits
+    hashed = docs.withColumn("__hash", mix_hash(F.col(id_col), F.col(text_col)))
+    copies = copies_of(most, F.col("__hash"), F.col("__limit.full"), F.col("__limit.threshold"))
+    return (hashed.join(limits, F.col(source_col).eqNullSafe(F.col("__source")))
+            .select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("__copy")).drop("__copy"))
+
+
+def copies_of(most: int, hash_: Column, full: Column, threshold: Column) -> Column:
+    return F.least(full + F.when(hash_ < threshold, 1).otherwise(0), F.lit(most)).cast("long")
