@@ -108,8 +108,10 @@ def suffix_automaton(symbols: np.ndarray) -> np.ndarray:
 def parser_table(symbols: np.ndarray, base: int) -> np.ndarray:
     """The automaton made complete: entry = 2 * place of the next state's row + 1 if a new phrase begins there."""
     nxt = suffix_automaton(symbols)
+    nxt = np.vstack([nxt, np.full((1, SYMBOLS), -1, np.int32)])  # last: where a symbol that never occurs leads
+    nothing = len(nxt) - 1
     row = (np.arange(len(nxt), dtype=np.int64) * SYMBOLS + base) << 1
-    fresh = row[np.maximum(nxt[0], 0)] | 1
+    fresh = row[np.where(nxt[0] >= 0, nxt[0], nothing)] | 1
     return np.where(nxt >= 0, row[np.maximum(nxt, 0)], fresh[None, :]).astype(np.int32).ravel()
 
 
