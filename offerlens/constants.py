@@ -24,25 +24,16 @@ OFFERS = [
 CHANNEL_LIMITS = {"SMS": 160, "Push": 120, "WhatsApp": 300, "Email": 600, "Call": 400}
 
 # FIXED VALUES: categorical domains
-SEGMENTS = ["HVC", "Mass", "Youth", "Business"]
-LTV_BANDS = ["HIGH", "MED", "LOW"]
-LIFECYCLES = ["Onboarding", "Growth", "Maturity", "Renewal", "AtRisk"]
 CHANNELS = ["SMS", "Push", "Email", "Call", "WhatsApp"]
 ACCOUNT_TYPES = ["Postpaid", "Prepaid", "Hybrid"]
 LOYALTY_TIERS = ["None", "Silver", "Gold", "Platinum"]
-SENTIMENTS = ["Negative", "Neutral", "Positive"]
-USAGE_TRENDS = ["Rising", "Stable", "Falling"]
-ARPU_TRENDS = ["Up", "Flat", "Down"]
 DEVICES = ["iPhone 14", "iPhone 15", "Galaxy S23", "Galaxy A54", "Pixel 8", "Huawei P60", "Other"]
 FLAGSHIP_DEVICES = ["iPhone 15", "Galaxy S23", "Pixel 8", "Huawei P60"]
 MID_DEVICES = ["iPhone 14", "Galaxy A54"]
-DEVICE_TYPES = ["Smartphone", "Feature Phone", "Router/MiFi", "Tablet", "IoT"]
 LOW_END_DEVICE_TYPES = ["Feature Phone", "IoT"]
 TOP_APPS = ["YouTube", "TikTok", "Instagram", "WhatsApp", "Netflix", "Gaming", "Snapchat"]
 PAYMENT_METHODS = ["Autopay_Card", "Manual_Card", "Cash", "Bank_Transfer"]
 CAMPAIGN_RESPONSES = ["Accepted", "Ignored", "Rejected", "None"]
-NBO_REASONS = ["High data usage trend", "Renewal window", "Churn risk detected",
-               "Device upgrade eligible", "Loyalty reward due"]
 INTERACTION_CHANNELS = ["call", "chatbot", "social", "complaint"]
 
 # FIXED VALUES: transcript sentinel for "no contact" and the redaction token
@@ -63,7 +54,6 @@ SOURCE_TAGS = {
 }
 
 # FIXED VALUES: retrieval
-DEFAULT_TOP_K = 3
 QUERY_TEXT = "customer complaints, churn signals, network issues, upgrade interest"
 PROBE_TEXT = "poor internet speed and unreliable connection"
 OVERLAP_STOPWORDS = ["and", "the", "a", "is", "it", "my", "i", "to", "in"]

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "round_half_up", "round_half_even", "clip", "clip_nan_aware", "pick",
-    "fmt_percent", "fmt_money", "fmt_fixed0", "int_trunc", "safe_ratio",
+    "round_half_up", "round_half_even", "clip", "pick",
+    "fmt_percent", "fmt_money", "fmt_fixed0", "safe_ratio",
     "zero_pad", "map_lookup",
 ]
 
@@ -38,11 +38,6 @@ def clip(c: Column, lo: float | None, hi: float | None) -> Column:
     return out
 
 
-def clip_nan_aware(c: Column, lo: float | None, hi: float | None) -> Column:
-    """Clip that keeps null and NaN as they are (least/greatest would replace them)."""
-    return F.when(c.isNull() | F.isnan(c), c).otherwise(clip(c, lo, hi))
-
-
 def pick(values: list, index: Column) -> Column:
     """values[index] for a literal list (a fixed domain indexed by a key rule)."""
     return F.try_element_at(F.array(*[F.lit(v) for v in values]), (index + F.lit(1)).cast("int"))
@@ -63,18 +58,15 @@ def fmt_fixed0(c: Column) -> Column:
     return F.regexp_replace(F.format_number(c, 0), ",", "")
 
 
-def int_trunc(c: Column) -> Column:
-    """Python ``int()`` on a float: truncation toward zero."""
-    return c.cast("int")
-
-
 def safe_ratio(num: Column, den: Column) -> Column:
     """num/den, NULL when den is 0 (ANSI mode would raise)."""
     return F.try_divide(num, den)
 
 
 def zero_pad(c: Column, width: int = 2) -> Column:
-    return F.lpad(c.cast("string"), width, "0")
+    """At least ``width`` digits; longer numbers are never cut (``lpad`` alone would)."""
+    s = c.cast("string")
+    return F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s)
 
 
 def map_lookup(mapping: dict, key: Column) -> Column:

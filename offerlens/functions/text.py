@@ -9,7 +9,7 @@ from offerlens.constants import NO_CONTACT, REDACTED
 
 __all__ = [
     "REDACT_PATTERN", "NUMBER_PATTERN", "redact", "extract_numbers", "strip_zeros",
-    "truncate", "is_blank_or_sentinel", "nice_offer_name", "tokens", "token_overlap",
+    "strip", "truncate", "is_blank_or_sentinel", "nice_offer_name", "tokens", "token_overlap",
     "arabic_digits_to_ascii",
 ]
 
@@ -18,6 +18,11 @@ __all__ = [
 REDACT_PATTERN = r"(?U)\b\d{6,}\b"
 NUMBER_PATTERN = r"(?U)\b\d{1,5}\b"
 
+# FIXED VALUES: what Python's str.strip() and str.split() take for white space.
+SPACE_CLASS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+SPACES_PATTERN = SPACE_CLASS + "+"
+STRIP_PATTERN = rf"\A{SPACES_PATTERN}|{SPACES_PATTERN}\z"
+
 # FIXED VALUES: Arabic-Indic and Eastern Arabic-Indic digits, mapped to 0-9.
 _ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 _ASCII_DIGITS = "0123456789" * 2
@@ -43,6 +48,11 @@ def strip_zeros(c: Column) -> Column:
     return F.when(s == "", F.lit("0")).otherwise(s)
 
 
+def strip(c: Column) -> Column:
+    """Python ``str.strip()``: white space of any kind off both ends (``trim`` takes blanks only)."""
+    return F.regexp_replace(c, STRIP_PATTERN, "")
+
+
 def truncate(c: Column, limit: Column | int) -> Column:
     """First ``limit`` code points."""
     lim = limit if isinstance(limit, Column) else F.lit(limit)
@@ -51,7 +61,7 @@ def truncate(c: Column, limit: Column | int) -> Column:
 
 def is_blank_or_sentinel(c: Column) -> Column:
     """True when the text is empty after trim or equals the no-contact sentinel (any case)."""
-    t = F.trim(F.coalesce(c, F.lit("")))
+    t = strip(F.coalesce(c, F.lit("")))
     return (t == "") | (F.lower(t) == F.lit(NO_CONTACT))
 
 
@@ -61,7 +71,7 @@ def nice_offer_name(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased whitespace tokens (Python ``str.split()``: no empty tokens)."""
-    return F.filter(F.split(F.lower(c), r"\s+"), lambda s: s != "")
+    return F.filter(F.split(F.lower(c), SPACES_PATTERN), lambda s: s != "")
 
 
 def token_overlap(query: Column, text: Column, stopwords: list[str]) -> Column:
@@ -78,7 +88,7 @@ def token_overlap(query: Column, text: Column, stopwords: list[str]) -> Column:
 def chunk_words(text: Column, size: int, step: int) -> Column:
     """ext_chunk_text: overlapping chunks of ``size`` words every ``step`` words,
     covering the whole text (the last chunk may be shorter)."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda s: s != "")
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACES_PATTERN), lambda s: s != "")
     n = F.size(words)
     starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
     chunks = F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))

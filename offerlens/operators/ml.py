@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import (
@@ -24,7 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlens.operators.ranking import argmax_by_group, expand_offers
+from offerlens.functions.vectors import dot
+from offerlens.operators.ranking import argmax_by_group, expand_offers, topk_per_group
+from offerlens.operators.retrieval import exact_topk, similarity
+from offerlens.operators.workers import load_once
+from offerlens.session import stage_path
 
 c = F.col
 
@@ -58,8 +64,11 @@ def propensity_pipeline(max_iter: int = 100, max_depth: int = 3, step: float = 0
 
 
 def fit_propensity(train: DataFrame, **kw) -> PipelineModel:
-    cols = CAT_FEATS + NUM_FEATS + [LABEL]
-    return propensity_pipeline(**kw).fit(train.select(*cols))
+    """Fit on a staged feature table: the boosting rounds reread it, not the raw tables behind the features."""
+    path = stage_path(train.sparkSession, "propensity-features")
+    table = train.select(*CAT_FEATS, *NUM_FEATS, LABEL)
+    table.write.parquet(path)
+    return propensity_pipeline(**kw).fit(train.sparkSession.read.schema(table.schema).parquet(path))
 
 
 def candidate_rows(subs: DataFrame) -> DataFrame:
@@ -114,16 +123,15 @@ def embed(model: PipelineModel, df: DataFrame, out: str = "embedding") -> DataFr
 def embed_with(df: DataFrame, text_col: str, load_fn, dim: int, out: str = "embedding") -> DataFrame:
     """emb_embed_batch (external model hook): ``load_fn()`` returns a callable
     ``list[str] -> array (n, dim)``; it is loaded once per Python worker and
-    applied to Arrow batches. Vectors are L2-normalised (floor 1e-12)."""
+    applied to Arrow batches. Vectors are L2-normalised (floor 1e-12); a null
+    text is embedded as the empty text."""
     import numpy as np
 
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.FloatType()))])
-    cache = {}
+    key = uuid.uuid4().hex
 
     def run(batches):
-        if "m" not in cache:
-            cache["m"] = load_fn()
-        m = cache["m"]
+        m = load_once(key, load_fn)
         for pdf in batches:
             texts = pdf[text_col].fillna("").astype(str).tolist()
             v = np.asarray(m(texts), dtype=np.float64).reshape(len(texts), dim) if texts else np.zeros((0, dim))
@@ -134,47 +142,66 @@ def embed_with(df: DataFrame, text_col: str, load_fn, dim: int, out: str = "embe
 
 
 # ---------------------------------------------------------------- approximate retrieval
-def ann_candidates(corpus: DataFrame, query_vec: Column, threshold: float = 1.1, bucket_length: float = 0.5,
-                   tables: int = 4, seed: int = 7, key: str = "customer_id",
-                   id_col: str = "interaction_id") -> DataFrame:
-    """ret_ann_topk candidates: BucketedRandomProjectionLSH on unit vectors.
-
-    The query is hashed with the same model and joined on (table, bucket):
-    an equi-join, not a cross join. On unit vectors ||a-b||^2 = 2 - 2cos, so
-    an L2 threshold t keeps cos >= 1 - t^2/2. Returns candidate rows with
-    their exact cosine (``sim``) for re-ranking."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.linalg import VectorUDT  # noqa: F401
-    from pyspark.ml.functions import array_to_vector
-    from offerlens.functions.vectors import cosine
-
-    vec = corpus.withColumn("__v", array_to_vector(c("embedding").cast("array<double>")))
-    lsh = BucketedRandomProjectionLSH(inputCol="__v", outputCol="__h", bucketLength=bucket_length,
-                                      numHashTables=tables, seed=seed).fit(vec)
-    q = (corpus.sparkSession.range(1).select(query_vec.alias("qv"))
-         .withColumn("__v", array_to_vector(c("qv").cast("array<double>"))))
-    pairs = lsh.approxSimilarityJoin(vec, q, threshold, distCol="l2")
-    cand = pairs.select(c("datasetA.*"), c("datasetB.qv").alias("qv"), "l2").drop("__v")
-    return cand.withColumn("sim", cosine(c("embedding"), c("qv"))).drop("qv")
+def sign_buckets(vec: Column, planes: list) -> Column:
+    """One number per table: its place in ``planes`` times 2^bits plus the signs of the projections."""
+    out = []
+    for t, table in enumerate(planes):
+        code = F.lit(t << len(table))
+        for b, plane in enumerate(table):
+            code = code + F.when(dot(vec, F.array(*[F.lit(float(x)) for x in plane])) > 0, 1 << b).otherwise(0)
+        out.append(code)
+    return F.array(*out)
+
+
+def ann_topk(corpus: DataFrame, query: Column, k: int = 3, dim: int = 64, tables: int = 6, bits: int = 3,
+             seed: int = 7, key: str = "customer_id", id_col: str = "interaction_id") -> DataFrame:
+    """ret_ann_topk: top k per customer, rows that share a hash bucket with the query first.
+
+    Buckets are signs of fixed random projections. Hashing is a projection
+    and the bucket test one of its columns, so nothing is joined, exploded or
+    made distinct. A customer's rows outside the query's buckets only fill up
+    what its candidates leave open, so every customer with k rows gets k."""
+    import numpy as np
+
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim)).round(6).tolist()
+    near = F.arrays_overlap(sign_buckets(c("embedding"), planes), sign_buckets(c("__q"), planes))
+    rows = corpus.withColumn("__q", query).where(F.size("embedding") == F.size("__q"))
+    scored = rows.withColumn("sim", similarity(c("embedding"), c("__q"))).withColumn("__far", (~near).cast("int"))
+    order = [c("__far").asc(), c("sim").desc(), c(id_col).asc()]
+    top = topk_per_group(scored.drop("__q"), key, order, k)
+    # ranks by similarity among the k rows chosen
+    return exact_topk(top.drop("rank", "__far"), k, key, id_col)
 
 
 # ---------------------------------------------------------------- generation hook
 def generate_with(df: DataFrame, prompt_col: str, load_fn, out: str = "response") -> DataFrame:
     """gen_batch_complete: ``load_fn()`` returns ``list[str] -> list[str|None]``
     (JSON text per prompt, None on failure); called per Arrow batch, loaded
-    once per worker. No client ships with the library."""
+    once per worker. If a call fails, or answers another number of prompts, its
+    prompts are tried one by one and only those that fail stay null. No client
+    ships with the library."""
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
-    cache = {}
+    key = uuid.uuid4().hex
+
+    def answer(m, prompts):
+        answers = list(m(prompts))
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+        return answers
 
     def run(batches):
-        if "m" not in cache:
-            cache["m"] = load_fn()
-        m = cache["m"]
+        m = load_once(key, load_fn)
         for pdf in batches:
             prompts = pdf[prompt_col].fillna("").astype(str).tolist()
             try:
-                pdf[out] = list(m(prompts)) if prompts else []
-            except Exception:  # noqa: BLE001 - any failure falls back to the rule texts
-                pdf[out] = [None] * len(prompts)
+                pdf[out] = answer(m, prompts) if prompts else []
+            except Exception:  # noqa: BLE001 - whatever the model raises concerns its own prompts only
+                each = []
+                for p in prompts:
+                    try:
+                        each += answer(m, [p])
+                    except Exception:  # noqa: BLE001 - a failing prompt falls back to the rule texts
+                        each.append(None)
+                pdf[out] = each
             yield pdf
     return df.mapInPandas(run, schema)

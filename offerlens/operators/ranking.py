@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from offerlens.constants import OFFERS
 from offerlens.sources.tables import offers_array
 
-__all__ = ["expand_offers", "scored_offer_structs", "best_offer", "rank_offers",
+__all__ = ["expand_offers", "scored_offer_structs", "rank_offers",
            "with_best_offer", "dedup_keep_first", "argmax_by_group", "topk_per_group",
            "seq_within_group", "head_n"]
 
@@ -57,11 +57,6 @@ def scored_offer_structs(score_fn, variant: str = "A", precomputed: dict | None
     return F.array(*items)
 
 
-def best_offer(score_fn, variant: str = "A") -> Column:
-    """agg_argmax_offer (in-row): struct of the best offer."""
-    return F.array_max(scored_offer_structs(score_fn, variant))
-
-
 def with_best_offer(df: DataFrame, score_fn, variant: str = "A", signature=None,
                     out: str = "__best") -> DataFrame:
     """Add the in-row argmax struct as column ``out``.

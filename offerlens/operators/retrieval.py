@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions.core import round_half_up as rhu
 from offerlens.functions.text import redact, token_overlap
-from offerlens.functions.vectors import cosine
+from offerlens.functions.vectors import NORM_FLOOR, dot, l2_norm, normalize
 from offerlens.operators.ranking import topk_per_group
 
 c = F.col
@@ -28,40 +28,39 @@ c = F.col
 __all__ = ["score", "exact_topk", "scoped_topk", "explain", "hits_with_truth",
            "precision_recall", "random_baseline", "misses_and_false_positives",
            "payload_reduction", "keyword_baseline", "dedup_best_by_text", "retrieval_context",
-           "centroid"]
+           "query_vector", "similarity", "own_queries", "evaluate"]
 
 
-def vector_dim(vectors: DataFrame, col: str = "embedding") -> int:
-    """Dimension of the vector column (reads one row)."""
-    row = vectors.select(F.size(col)).limit(1).first()
-    return int(row[0]) if row else 0
+def query_vector(vectors: DataFrame, query_id: int, id_col: str = "interaction_id",
+                 col: str = "embedding") -> Column:
+    """Row ``query_id``'s vector, normalised once, as a scalar subquery (NULL without such a row).
 
+    No label is read, no job runs while the plan is built, and the filter on
+    the id reaches the scan. The caller leaves the row out of the corpus."""
+    row = vectors.where(c(id_col) == query_id).agg(F.min(col).alias("v"))
+    return row.select(normalize(c("v")).alias("q")).scalar()
 
-def centroid(vectors: DataFrame, col: str = "embedding", dim: int | None = None) -> Column:
-    """Element-wise mean of a vector column, as a scalar subquery (array<double>).
 
-    One global aggregate with ``dim`` averages (partial per partition, one
-    tiny final merge); rows are not exploded.
-    """
-    dim = vector_dim(vectors, col) if dim is None else dim
-    agg = vectors.agg(F.array(*[F.avg(F.get(c(col), i).cast("double")) for i in range(dim)]).alias("q"))
-    return agg.scalar()
+def similarity(vec: Column, unit: Column) -> Column:
+    """Cosine with an already normalised query; NULL if the lengths differ or the query is NULL."""
+    return F.when(F.size(vec) == F.size(unit), dot(vec, unit) / F.greatest(l2_norm(vec), F.lit(NORM_FLOOR)))
 
 
 def score(corpus: DataFrame, query: Column, col: str = "embedding") -> DataFrame:
-    """Adds ``sim`` (cosine, unrounded) for one shared query vector.
+    """Adds ``sim`` (cosine, unrounded) for one shared, normalised query vector.
 
     The query (a scalar subquery) is first bound to a column, because
-    subqueries may not appear inside the higher-order functions of ``cosine``.
+    subqueries may not appear inside higher-order functions.
     """
-    return (corpus.withColumn("__q", query).withColumn("sim", cosine(c(col), c("__q"))).drop("__q"))
+    return corpus.withColumn("__q", query).withColumn("sim", similarity(c(col), c("__q"))).drop("__q")
 
 
 def exact_topk(scored: DataFrame, k: int = 3, key: str = "customer_id",
                id_col: str = "interaction_id") -> DataFrame:
     """ret_exact_topk: k best per customer by (sim desc, id asc); ties broken by id.
-    Ranks on the unrounded similarity; rounds similarity/distance to 4 after."""
-    top = topk_per_group(scored, key, [c("sim").desc(), c(id_col).asc()], k)
+    Ranks on the unrounded similarity; rounds similarity/distance to 4 after.
+    Rows without a similarity (no query, or vectors of another length) are no hits."""
+    top = topk_per_group(scored.where(c("sim").isNotNull()), key, [c("sim").desc(), c(id_col).asc()], k)
     return (top.withColumn("similarity", rhu(c("sim"), 4))
                .withColumn("distance", rhu(F.lit(1.0) - c("sim"), 4)))
 
@@ -69,10 +68,18 @@ def exact_topk(scored: DataFrame, k: int = 3, key: str = "customer_id",
 def scoped_topk(corpus: DataFrame, queries: DataFrame, k: int = 3, key: str = "customer_id",
                 id_col: str = "interaction_id", col: str = "embedding",
                 qcol: str = "query_embedding") -> DataFrame:
-    """join_customer_scope: per-customer query vectors, joined on the key
-    *before* scoring; a customer's rows are only ever scored against its own query."""
-    j = corpus.join(queries, key, "inner")
-    return exact_topk(j.withColumn("sim", cosine(c(col), c(qcol))), k, key, id_col)
+    """join_customer_scope: per-customer (key, query_id, normalised vector), joined on the key
+    *before* scoring; a customer's rows are only ever scored against its own query,
+    whose own row is left out."""
+    j = corpus.join(queries, key, "inner").where(c(id_col) != c("query_id")).drop("query_id")
+    return exact_topk(j.withColumn("sim", similarity(c(col), c(qcol))).drop(qcol), k, key, id_col)
+
+
+def own_queries(corpus: DataFrame, key: str = "customer_id", id_col: str = "interaction_id",
+                col: str = "embedding") -> DataFrame:
+    """(key, query_id, query_embedding): every customer's first interaction as its query, whatever its labels."""
+    first = corpus.groupBy(key).agg(F.min(F.struct(c(id_col).alias("id"), c(col).alias("v"))).alias("f"))
+    return first.select(key, c("f.id").alias("query_id"), normalize(c("f.v")).alias("query_embedding"))
 
 
 def explain(corpus: DataFrame, hits: DataFrame, id_col: str = "interaction_id") -> DataFrame:
@@ -124,6 +131,29 @@ def payload_reduction(corpus: DataFrame, hits: DataFrame, key: str = "customer_i
                     (F.lit(1.0) - F.try_divide(c("retrieved_chars"), c("full_chars"))).alias("reduction"))
 
 
+def evaluate(corpus: DataFrame, hits: DataFrame, key: str = "customer_id",
+             id_col: str = "interaction_id") -> DataFrame:
+    """ret_evaluate: all retrieval metrics from one pass over the corpus.
+
+    The hits (at most k per customer) mark the corpus rows; one aggregate per
+    customer and one over the customers give every metric."""
+    marked = corpus.join(hits.select(id_col, F.lit(True).alias("hit")), id_col, "left")
+    hit, rel, size = F.coalesce(c("hit"), F.lit(False)), c("is_relevant"), F.length("text")
+    per = marked.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(rel).alias("n_relevant"), F.count_if(hit).alias("n_retrieved"),
+        F.count_if(hit & rel).alias("n_hits"), F.sum(size).alias("chars"),
+        F.coalesce(F.sum(F.when(hit, size)), F.lit(0)).alias("hit_chars"))
+    full = c("chars") + c("n") - 1
+    kept = F.when(c("n_retrieved") > 0, c("hit_chars") + c("n_retrieved") - 1).otherwise(0)
+    return per.agg(
+        F.avg(c("n_hits") / F.greatest(c("n_retrieved"), F.lit(1))).alias("precision"),
+        F.avg(c("n_hits") / F.greatest(c("n_relevant"), F.lit(1))).alias("recall"),
+        F.try_divide(F.sum("n_relevant"), F.sum("n")).alias("random_baseline"),
+        F.sum(c("n_relevant") - c("n_hits")).alias("n_missed"),
+        F.sum(c("n_retrieved") - c("n_hits")).alias("n_false_positives"),
+        F.avg(F.lit(1.0) - F.try_divide(kept, full)).alias("payload_reduction"))
+
+
 def keyword_baseline(corpus: DataFrame, keywords: list[str]) -> DataFrame:
     """ret_keyword_baseline / flt_like_ci: rows whose lower-cased text contains
     each keyword; one global aggregate of per-row flags (no join)."""

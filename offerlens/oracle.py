@@ -33,6 +33,19 @@ def rhu(x: str, d: int) -> str:
     return f"(floor(({x}) * {s} + 0.5e0) / {s})"
 
 
+#: White space as Python's str.strip() has it, for RE2.
+SPACE = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+def blank_sql(x: str) -> str:
+    t = strip_sql(f"coalesce({x}, '')")
+    return f"({t} = '' OR lower({t}) = 'no recent call-center contact')"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE}|{SPACE}$', '', 'g')"
+
+
 OFFER_NAMES = [o[0] for o in OFFERS]
 OFFER_TYPES = [o[1] for o in OFFERS]
 OFFER_PRICES = [float(o[2]) for o in OFFERS]
@@ -405,8 +418,7 @@ ORACLE.update({
     "flt_contains": A() + " SELECT customer_id, action FROM decided WHERE contains(action, 'Device')",
     "flt_key_lookup": A() + " SELECT customer_id, action, segment, channel FROM decided WHERE customer_id = "
                             "(SELECT min(customer_id) FROM decided WHERE complaint = 1)",
-    "flt_blank_sentinel": SUBS + " SELECT customer_id, trim(transcript) AS transcript FROM subs "
-                                 "WHERE NOT (trim(coalesce(transcript, '')) = '' OR lower(trim(coalesce(transcript, ''))) = 'no recent call-center contact')",
+    "flt_blank_sentinel": SUBS + f" SELECT customer_id, {strip_sql('transcript')} AS transcript FROM subs WHERE NOT {blank_sql('transcript')}",
     "join_cross_offers": SUBS + f" SELECT customer_id, offer_ord, offer, action_type, price FROM subs CROSS JOIN {offers_values('A')}",
     "proj_overwrite_candidate": SUBS + f" SELECT customer_id, segment, offer AS product_id, ofr.action_type AS action_type, "
                                        f"price AS monthly_value FROM subs CROSS JOIN {offers_values('A')}",
@@ -468,9 +480,9 @@ ORACLE.update({
     "agg_uplift_ratio": A() + _SUMMARY + f" SELECT {rhu('revenue_uplift', 6)} AS revenue_uplift FROM wide2",
     "agg_extrapolate": A() + _SUMMARY + f" SELECT n, {rhu('incremental_revenue', 2)} AS incremental_revenue, "
                                         f"{rhu('extrapolated_500000', 0)} AS extrapolated_500000, {rhu('extrapolated_2000000', 0)} AS extrapolated_2000000 FROM wide2",
-    "agg_summary_long": A() + _SUMMARY + " " + _long(["Acceptance_baseline", "Acceptance_NBX", "Revenue_uplift_pct",
+    "agg_summary_long": A() + _SUMMARY + " " + _long(["Acceptance_baseline", "Acceptance_treated", "Revenue_uplift_pct",
                                                      "Incr_annual_QAR_sample", "Extrap_500k_QAR", "Extrap_2M_QAR"]),
-    "agg_summary_long_b": B() + _SUMMARY + " " + _long(["Acceptance baseline", "Acceptance NBX", "Revenue uplift %",
+    "agg_summary_long_b": B() + _SUMMARY + " " + _long(["Acceptance baseline", "Acceptance treated", "Revenue uplift %",
                                                        "Incr annual rev QAR (sample)", "Extrapolated +QAR/yr @500k",
                                                        "Extrapolated +QAR/yr @2M"]),
     "pipe_run": A() + _SUMMARY + f" SELECT n, {rhu('acceptance_baseline', 6)} AS acceptance_baseline, {rhu('acceptance_treated', 6)} AS acceptance_treated, "
@@ -506,7 +518,7 @@ ORACLE.update({
     "fn_default": SUBS + """, cv AS (SELECT conv_id, arg_max(text, turn) AS reply FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
         SELECT customer_id, coalesce(reply, '') AS reply, coalesce(nullif(CAST(length(reply) AS VARCHAR), '0'), '-') AS shown
         FROM subs LEFT JOIN cv ON subs.customer_id = cv.conv_id""",
-    "fn_zero_pad": "SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '-' || lpad(CAST(turn AS VARCHAR), 2, '0') AS interaction_id FROM conversations",
+    "fn_zero_pad": "SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '-' || lpad(CAST(turn AS VARCHAR), CAST(greatest(2, length(CAST(turn AS VARCHAR))) AS INTEGER), '0') AS interaction_id FROM conversations",
     "fn_from_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "fn_date_sub_fmt": "SELECT conv_id, turn, strftime(DATE '2024-01-31' - CAST(turn * 7 AS INTEGER), '%Y-%m-%d') AS date FROM conversations",
     "fn_stable_hash": "SELECT conv_id, turn, md5(CAST(conv_id AS VARCHAR) || '|history|' || CAST(turn AS VARCHAR)) AS h FROM conversations",
@@ -522,43 +534,39 @@ def dot_sql(a: str, b: str) -> str:
             f"lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)), lambda x, y: x + y)")
 
 
-def cosine_sql(a: str, b: str) -> str:
-    return (f"({dot_sql(a, b)} / (greatest(sqrt({dot_sql(a, a)}), 1e-12) * "
-            f"greatest(sqrt({dot_sql(b, b)}), 1e-12)))")
+def query_sql(vec_id: int) -> str:
+    """The query vector: row ``vec_id`` of the embeddings, normalised."""
+    return (f"(SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE) / greatest(sqrt({dot_sql('embedding', 'embedding')}), 1e-12)) AS q "
+            f"FROM embeddings WHERE vec_id = {vec_id})")
 
 
-def centroid_sql(src: str, where: str, group: str | None = None) -> str:
-    g_sel = f"{group}, " if group else ""
-    g_by = f"GROUP BY {group}, i" if group else "GROUP BY i"
-    g_out = f"{group}, " if group else ""
-    g_by2 = f"GROUP BY {group}" if group else ""
-    return f"""(SELECT {g_out}list(m ORDER BY i) AS q FROM (
-        SELECT {g_sel}i, avg(CAST(embedding[i] AS DOUBLE)) AS m
-        FROM {src}, (SELECT unnest(range(1, (SELECT max(len(embedding)) FROM {src}) + 1)) AS i) dims
-        WHERE {where} {g_by}) {g_by2})"""
+def sim_sql(a: str, unit: str) -> str:
+    return f"({dot_sql(a, unit)} / greatest(sqrt({dot_sql(a, a)}), 1e-12))"
 
 
-CORPUS = """corpus AS (
+WHOLE_CORPUS = """corpus AS (
   SELECT e.vec_id AS interaction_id, CAST(e.label AS BIGINT) AS customer_id, e.embedding,
          coalesce(d.text, '') AS text, coalesce(l.quality = 1, false) AS is_relevant,
          coalesce(l.toxic = 1, false) AS is_toxic,
          ['call', 'chatbot', 'social', 'complaint'][e.vec_id % 4 + 1] AS channel,
          strftime(DATE '2024-01-31' - CAST(e.vec_id % 90 AS INTEGER), '%Y-%m-%d') AS date
   FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN labels l ON l.doc_id = e.vec_id)"""
+#: Without the rows that serve as queries.
+CORPUS = WHOLE_CORPUS[:-1] + " WHERE e.vec_id NOT IN (0, 1))"
 
 
 def hits_sql(k: int = 3) -> str:
     return f"""WITH {CORPUS},
-qv AS {centroid_sql('corpus', 'is_relevant')},
-scored AS (SELECT corpus.*, {cosine_sql('embedding', 'qv.q')} AS sim FROM corpus CROSS JOIN qv),
+qv AS {query_sql(0)},
+scored AS (SELECT corpus.*, {sim_sql('embedding', 'qv.q')} AS sim FROM corpus CROSS JOIN qv),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY sim DESC, interaction_id) AS INTEGER) AS rank FROM scored),
 hits AS (SELECT *, {rhu('sim', 4)} AS similarity, {rhu('1e0 - sim', 4)} AS distance FROM ranked WHERE rank <= {k})"""
 
 
 def probe_sql() -> str:
     return f"""WITH {CORPUS},
-pv AS {centroid_sql('corpus', 'is_toxic')},
-scored AS (SELECT corpus.*, {cosine_sql('embedding', 'pv.q')} AS sim FROM corpus CROSS JOIN pv),
+pv AS {query_sql(1)},
+scored AS (SELECT corpus.*, {sim_sql('embedding', 'pv.q')} AS sim FROM corpus CROSS JOIN pv),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY sim DESC, interaction_id) AS INTEGER) AS rank
            FROM scored),
 phits AS (SELECT *, {rhu('sim', 4)} AS similarity FROM ranked WHERE rank <= 2),
@@ -580,7 +588,7 @@ pl AS (SELECT f.customer_id, f.full_chars, coalesce(r.retrieved_chars, 0) AS ret
        USING (customer_id))"""
 
 ORACLE.update({
-    "src_corpus_load": f"WITH {CORPUS} SELECT interaction_id, customer_id, channel, date, is_relevant, length(text) AS n_chars FROM corpus",
+    "src_corpus_load": f"WITH {WHOLE_CORPUS} SELECT interaction_id, customer_id, channel, date, is_relevant, embedding, text FROM corpus",
     "fn_vec_norm": f"""SELECT vec_id, {rhu(f"sqrt({dot_sql('embedding', 'embedding')})", 6)} AS norm,
         {rhu(f"sqrt({dot_sql('n', 'n')})", 6)} AS unit_norm, {rhu('n[1]', 6)} AS x0
         FROM (SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(x AS DOUBLE) /
@@ -588,9 +596,12 @@ ORACLE.update({
     "fn_cosine": H + f" SELECT interaction_id, {rhu('sim', 6)} AS sim FROM scored",
     "ret_exact_topk": H + " SELECT customer_id, rank, interaction_id, channel, date, similarity, distance FROM hits",
     "win_topk_per_customer": hits_sql(5) + " SELECT customer_id, rank, interaction_id FROM hits",
-    "join_customer_scope": f"""WITH {CORPUS},
-        qv AS {centroid_sql('corpus', 'is_relevant', 'customer_id')},
-        scored AS (SELECT corpus.*, {cosine_sql('embedding', 'qv.q')} AS sim FROM corpus JOIN qv USING (customer_id)),
+    "join_customer_scope": f"""WITH {WHOLE_CORPUS},
+        first AS (SELECT customer_id, arg_min(embedding, interaction_id) AS embedding, min(interaction_id) AS query_id FROM corpus GROUP BY 1),
+        qv AS (SELECT customer_id, query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) /
+               greatest(sqrt({dot_sql('embedding', 'embedding')}), 1e-12)) AS q FROM first),
+        scored AS (SELECT corpus.*, {sim_sql('embedding', 'qv.q')} AS sim FROM corpus JOIN qv USING (customer_id)
+                   WHERE interaction_id <> query_id),
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY sim DESC, interaction_id) AS INTEGER) AS rank FROM scored)
         SELECT customer_id, rank, interaction_id, channel, date, {rhu('sim', 4)} AS similarity, {rhu('1e0 - sim', 4)} AS distance
         FROM ranked WHERE rank <= 3""",
@@ -625,12 +636,12 @@ ORACLE.update({
     "flt_like_ci": f"WITH {CORPUS} SELECT interaction_id, customer_id FROM corpus WHERE contains(lower(text), 'the')",
     "ret_multi_customer_probe": probe_sql() + " SELECT customer_id, rank, interaction_id, similarity FROM phits",
     "win_dedup_best_by_text": probe_sql() + f" SELECT interaction_id, customer_id, {rhu('sim', 4)} AS similarity, length(text) AS n_chars FROM top5",
-    "topk_global": f"""WITH {CORPUS}, pv AS {centroid_sql('corpus', 'is_toxic')},
-        scored AS (SELECT corpus.*, {cosine_sql('embedding', 'pv.q')} AS sim FROM corpus CROSS JOIN pv)
+    "topk_global": f"""WITH {CORPUS}, pv AS {query_sql(1)},
+        scored AS (SELECT corpus.*, {sim_sql('embedding', 'pv.q')} AS sim FROM corpus CROSS JOIN pv)
         SELECT interaction_id, {rhu('sim', 4)} AS similarity FROM scored ORDER BY sim DESC, interaction_id LIMIT 5""",
-    "set_token_overlap": probe_sql() + """ SELECT interaction_id, array_to_string(list_sort(list_filter(list_distinct(
-            list_intersect(list_filter(regexp_split_to_array(lower('poor internet speed and unreliable connection'), '\\s+'), lambda w: w <> ''),
-                           list_filter(regexp_split_to_array(lower(regexp_replace(text, '[,.]', '', 'g')), '\\s+'), lambda w: w <> ''))),
+    "set_token_overlap": probe_sql() + f""" SELECT interaction_id, array_to_string(list_sort(list_filter(list_distinct(
+            list_intersect(list_filter(regexp_split_to_array(lower('poor internet speed and unreliable connection'), '{SPACE}'), lambda w: w <> ''),
+                           list_filter(regexp_split_to_array(lower(regexp_replace(text, '[,.]', '', 'g')), '{SPACE}'), lambda w: w <> ''))),
             lambda w: w NOT IN ('and', 'the', 'a', 'is', 'it', 'my', 'i', 'to', 'in'))), ',') AS shared_words FROM top5""",
 })
 
@@ -665,19 +676,18 @@ CANNED = f""", canned AS (SELECT *, {rationale_sql('A')} AS why, {redact_sql('tr
 grounded AS (SELECT *, {bad_numbers_sql("coalesce(why, '') || ' ' || coalesce(msg, '')")} AS bad FROM canned)"""
 
 ORACLE.update({
-    "win_seq_number": f"WITH {SEQ} SELECT conv_id, turn, seq, CAST(conv_id AS VARCHAR) || '-' || lpad(CAST(seq AS VARCHAR), 2, '0') AS interaction_id FROM seqd",
+    "win_seq_number": f"WITH {SEQ} SELECT conv_id, turn, seq, CAST(conv_id AS VARCHAR) || '-' || lpad(CAST(seq AS VARCHAR), CAST(greatest(2, length(CAST(seq AS VARCHAR))) AS INTEGER), '0') AS interaction_id FROM seqd",
     "win_stable_sample": """SELECT conv_id, turn, pick FROM (
         SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY md5(CAST(conv_id AS VARCHAR) || '|history|' || CAST(turn AS VARCHAR)), turn) AS pick
         FROM conversations) WHERE pick <= 2 + conv_id % 3""",
-    "set_union_corpora": SUBS + ", " + SEQ + """
-        SELECT CAST(conv_id AS VARCHAR) || '-' || lpad(CAST(seq AS VARCHAR), 2, '0') AS interaction_id, conv_id AS customer_id,
+    "set_union_corpora": SUBS + ", " + SEQ + f"""
+        SELECT CAST(conv_id AS VARCHAR) || '-' || lpad(CAST(seq AS VARCHAR), CAST(greatest(2, length(CAST(seq AS VARCHAR))) AS INTEGER), '0') AS interaction_id, conv_id AS customer_id,
                strftime(DATE '2024-01-31' - CAST(seq * 7 AS INTEGER), '%Y-%m-%d') AS date, false AS is_current,
                ['call', 'chatbot', 'social', 'complaint'][turn % 4 + 1] AS channel, role AS topic, role = 'user' AS is_relevant,
                length(text) AS n_chars FROM seqd
         UNION ALL
         SELECT CAST(customer_id AS VARCHAR) || '-transcript', customer_id, NULL, true, 'call', 'existing_transcript', true,
-               length(trim(transcript)) FROM subs
-        WHERE NOT (trim(coalesce(transcript, '')) = '' OR lower(trim(coalesce(transcript, ''))) = 'no recent call-center contact')""",
+               length({strip_sql('transcript')}) FROM subs WHERE NOT {blank_sql('transcript')}""",
     "proj_context_struct": B() + f""" SELECT customer_id, action, action_type, propensity, value_qar, segment, ltv, lifecycle,
         account_type, language, tenure_m, churn, days_renewal, consent, arpu, arpu_trend, late_payments, data_cap_gb, data_used_gb,
         data_pct, overage, voice_min, intl_min, roaming_days, usage_trend, top_app, pct_5g, device, device_type, device_tier,
@@ -693,11 +703,11 @@ ORACLE.update({
     "rule_grounding": A() + CANNED + """ SELECT customer_id, len(bad) = 0 AS grounded,
         CASE WHEN len(bad) = 0 THEN 'ok' ELSE 'ungrounded number ''' || bad[1] || '''' END AS reason FROM grounded""",
     "rule_response_adjudicate": A() + CANNED + f""", adj AS (
-        SELECT *, len(bad) = 0 AND trim(coalesce(why, '')) <> '' AND
-               coalesce(substring(trim(coalesce(msg, '')), 1, CASE channel WHEN 'SMS' THEN 160 WHEN 'Push' THEN 120
+        SELECT *, len(bad) = 0 AND {strip_sql("coalesce(why, '')")} <> '' AND
+               coalesce(substring({strip_sql("coalesce(msg, '')")}, 1, CASE channel WHEN 'SMS' THEN 160 WHEN 'Push' THEN 120
                  WHEN 'WhatsApp' THEN 300 WHEN 'Email' THEN 600 WHEN 'Call' THEN 400 END), '') <> '' AS ok FROM grounded)
-        SELECT customer_id, CASE WHEN ok THEN trim(why) ELSE why END AS rationale,
-               CASE WHEN ok THEN substring(trim(msg), 1, CASE channel WHEN 'SMS' THEN 160 WHEN 'Push' THEN 120
+        SELECT customer_id, CASE WHEN ok THEN {strip_sql('why')} ELSE why END AS rationale,
+               CASE WHEN ok THEN substring({strip_sql('msg')}, 1, CASE channel WHEN 'SMS' THEN 160 WHEN 'Push' THEN 120
                  WHEN 'WhatsApp' THEN 300 WHEN 'Email' THEN 600 WHEN 'Call' THEN 400 END)
                     ELSE {message_sql('why', 'A')} END AS message,
                CASE WHEN ok THEN 'claude' ELSE 'offline' END AS gen_source FROM adj""",
@@ -710,16 +720,16 @@ ORACLE.update({
 
 def _hits_from(scored_expr: str, k: int = 3) -> str:
     return f"""WITH {CORPUS},
-qv AS {centroid_sql('corpus', 'is_relevant')},
-pv AS {centroid_sql('corpus', 'is_toxic')},
-base AS (SELECT corpus.*, {cosine_sql('embedding', 'qv.q')} AS s1, {cosine_sql('embedding', 'pv.q')} AS s2 FROM corpus, qv, pv),
+qv AS {query_sql(0)},
+pv AS {query_sql(1)},
+base AS (SELECT corpus.*, {sim_sql('embedding', 'qv.q')} AS s1, {sim_sql('embedding', 'pv.q')} AS s2 FROM corpus, qv, pv),
 scored AS (SELECT *, {scored_expr} AS sim FROM base),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY sim DESC, interaction_id) AS INTEGER) AS rank FROM scored WHERE sim IS NOT NULL)
 SELECT customer_id, rank, interaction_id, channel, date, {rhu('sim', 4)} AS similarity, {rhu('1e0 - sim', 4)} AS distance
 FROM ranked WHERE rank <= {k}"""
 
 
-_CHUNKS = """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS words FROM documents),
+_CHUNKS = f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT doc_id, words, len(words) AS n, generate_series(0, greatest(len(words) - 1, 0), 160) AS starts FROM w),
 c AS (SELECT doc_id, list_filter(list_transform(starts, lambda st: array_to_string(list_slice(words, st + 1, st + 200), ' ')),
              lambda ch, i: i = 1 OR (i - 1) * 160 + 200 - 160 < n) AS chunks FROM s)
@@ -734,13 +744,45 @@ ORACLE.update({
         "SELECT 'A' AS variant, * FROM (" + ORACLE["agg_summary_long"] + ") UNION ALL SELECT 'B' AS variant, * FROM ("
         + ORACLE["agg_summary_long_b"] + ")"),
     "src_stage_resume": ORACLE["proj_select_cols"],
-    "src_upsert_reset": f"WITH {CORPUS} SELECT interaction_id, customer_id, channel, date, is_relevant FROM corpus",
-    "emb_batch_write": f"WITH {CORPUS} SELECT interaction_id, customer_id, CAST(len(embedding) AS INTEGER) AS dim, is_relevant FROM corpus",
+    "src_upsert_reset": f"WITH {WHOLE_CORPUS} SELECT interaction_id, customer_id, channel, date, is_relevant, embedding, text FROM corpus",
+    "emb_batch_write": f"WITH {WHOLE_CORPUS} SELECT interaction_id, customer_id, CAST(len(embedding) AS INTEGER) AS dim, is_relevant FROM corpus",
     "ext_stream_embed": "SELECT DISTINCT event_id, user_id, CAST(64 AS INTEGER) AS dim FROM events",
     "ext_sim_threshold": _hits_from("CASE WHEN s1 >= 0.15e0 THEN s1 END"),
     "ext_multi_query": _hits_from("(s1 + s2) / 2e0"),
     "ext_recency_decay": _hits_from("s1 * exp(-0.01e0 * date_diff('day', CAST(date AS DATE), DATE '2024-01-31'))"),
     "ext_scope_filter": H + " SELECT count(*) AS n_hits, count_if(c.customer_id <> h.customer_id) AS n_crossing FROM hits h JOIN corpus c USING (interaction_id)",
     "ext_chunk_text": _CHUNKS,
-    "ext_persist_vectors": f"WITH {CORPUS} SELECT interaction_id, customer_id FROM corpus WHERE customer_id = 3",
+    "ext_persist_vectors": f"WITH {WHOLE_CORPUS} SELECT interaction_id, customer_id FROM corpus WHERE customer_id = 3",
+})
+
+
+# ---------------------------------------------------------------------------
+# model, embedding, approximate retrieval, generation: what SQL can say of them
+# ---------------------------------------------------------------------------
+_CATEGORIES = ["shown_offer", "segment", "ltv", "lifecycle", "account_type", "usage_trend", "arpu_trend", "device",
+               "device_type", "device_tier", "net_cap", "channel", "loyalty", "last_campaign_resp", "top_app", "sentiment"]
+_NUMBERS = ["shown_value", "tenure_m", "churn", "days_renewal", "data_cap_gb", "data_used_gb", "data_pct", "overage",
+            "voice_min", "intl_min", "roaming_days", "pct_5g", "arpu", "late_payments", "outstanding", "dunning", "device_age",
+            "upgrade_eligible", "last_upgrade_m", "dl_speed", "dropped_call_rate", "latency_ms", "coverage", "congestion",
+            "net_complaints", "net_issue", "app_logins", "consent", "nps"]
+_HISTORY = f"""hist AS (SELECT conv_id AS customer_id FROM conversations
+    UNION ALL SELECT customer_id FROM subs WHERE NOT {blank_sql('transcript')})"""
+
+ORACLE.update({
+    "ml_onehot": SUBS + ", n AS (SELECT " + " + ".join(f"count(DISTINCT {x})" for x in _CATEGORIES) + f" + {len(_CATEGORIES)} + {len(_NUMBERS)} AS n FROM subs) "
+                 f"SELECT customer_id, CAST(n AS INTEGER) AS n_features, CAST({len(_CATEGORIES)} + "
+                 + " + ".join(f"CASE WHEN {x} <> 0 THEN 1 ELSE 0 END" for x in _NUMBERS) + " AS INTEGER) AS n_nonzero FROM subs, n",
+    "ml_gbt_fit_check": "SELECT count(*) > 0 AS fitted, 100 AS n_trees FROM customer",
+    "ml_score_pairs_check": SUBS + " SELECT customer_id, 10 AS n_offers, 10 AS n_in_range, 45 AS sum_offer_ord FROM subs",
+    "ml_recommend_check": SUBS + " SELECT customer_id, true AS is_best, true AS is_first FROM subs",
+    "emb_embed_check": SUBS + ", " + _HISTORY + " SELECT customer_id, count(*) AS n, count(*) AS n_sound FROM hist GROUP BY 1",
+    "ret_bulk_context_check": SUBS + ", " + _HISTORY + """, k AS (SELECT customer_id, least(3, count(*)) AS n FROM hist GROUP BY 1)
+        SELECT customer_id, CASE WHEN n > 0 THEN 'vector_top' || n ELSE 'full_dump' END AS retrieval_mode,
+               CAST(coalesce(n, 0) AS INTEGER) AS n_retrieved FROM subs LEFT JOIN k USING (customer_id)""",
+    "ret_ann_check": f"WITH {CORPUS} SELECT customer_id, least(3, count(*)) AS n_hits, true AS recall_half FROM corpus GROUP BY 1",
+    "gen_batch_complete": A() + f""", g AS (SELECT *, length({prompt_sql()}) % 3 <> 0 AS ok FROM guarded)
+        SELECT customer_id AS msisdn, action, action_type, channel, sentiment,
+               CASE WHEN ok THEN 'Selected: ' || action || '.' ELSE {rationale_sql('A')} END AS rationale_why,
+               CASE WHEN ok THEN replace(action, '_', ' ') || ' is ready for you' ELSE {message_sql(rationale_sql('A'), 'A')} END AS message_how,
+               guard_status, CASE WHEN ok THEN 'claude' ELSE 'offline' END AS gen_source FROM g""",
 })

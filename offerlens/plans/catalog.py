@@ -14,7 +14,7 @@ from offerlens.functions.core import (
     clip, fmt_fixed0, fmt_money, fmt_percent, map_lookup, round_half_even,
     round_half_up as rhu, zero_pad,
 )
-from offerlens.functions.text import extract_numbers, is_blank_or_sentinel, redact, strip_zeros, truncate
+from offerlens.functions.text import extract_numbers, is_blank_or_sentinel, redact, strip, strip_zeros, truncate
 from offerlens.operators import rules
 from offerlens.operators.ranking import (
     dedup_keep_first, expand_offers, head_n, rank_offers,
@@ -102,7 +102,7 @@ def q_flt_key_lookup(spark, sf):
 @register("flt_blank_sentinel")
 def q_flt_blank_sentinel(spark, sf):
     return (_subs(spark, sf).where(~is_blank_or_sentinel(c("transcript")))
-            .select("customer_id", F.trim(c("transcript")).alias("transcript")))
+            .select("customer_id", strip(c("transcript")).alias("transcript")))
 
 
 # ---------------------------------------------------------------- recommendation
@@ -450,9 +450,8 @@ def _hits(spark, sf, k=3):
 
 @register("src_corpus_load")
 def q_src_corpus_load(spark, sf):
-    corp = RP.corpus(Tables(spark, sf))
-    return corp.select("interaction_id", "customer_id", "channel", "date", "is_relevant",
-                       F.length("text").alias("n_chars"))
+    corp = RP.corpus(Tables(spark, sf), text=True, whole=True)
+    return corp.select("interaction_id", "customer_id", "channel", "date", "is_relevant", "embedding", "text")
 
 
 @register("fn_vec_norm")
@@ -465,8 +464,8 @@ def q_fn_vec_norm(spark, sf):
 
 @register("fn_cosine")
 def q_fn_cosine(spark, sf):
-    corp = RP.corpus(Tables(spark, sf))
-    s = R.score(corp, RP.anchor_query(corp))
+    t = Tables(spark, sf)
+    s = R.score(RP.corpus(t), RP.anchor_query(t))
     return s.select("interaction_id", rhu(c("sim"), 6).alias("sim"))
 
 
@@ -484,12 +483,9 @@ def q_win_topk_per_customer(spark, sf):
 
 @register("join_customer_scope")
 def q_join_customer_scope(spark, sf):
-    # per-customer query = that customer's own relevant centroid, joined on the key
-    corp = RP.corpus(Tables(spark, sf))
-    dim = R.vector_dim(corp)
-    qv = (corp.where(c("is_relevant")).groupBy("customer_id")
-          .agg(F.array(*[F.avg(F.get(c("embedding"), i).cast("double")) for i in range(dim)])
-               .alias("query_embedding")))
+    # per-customer query = that customer's own first interaction, joined on the key
+    corp = RP.corpus(Tables(spark, sf), whole=True)
+    qv = R.own_queries(corp)
     hits = R.scoped_topk(corp, qv, 3)
     return hits.select(*HIT_COLS)
 
@@ -557,24 +553,20 @@ def q_agg_misses_fps(spark, sf):
 
 @register("agg_payload_reduction")
 def q_agg_payload_reduction(spark, sf):
-    corp, hits = _hits(spark, sf)
-    pr = R.payload_reduction(corp, hits)
+    t = Tables(spark, sf)
+    _, hits = RP.anchor_hits(t)
+    pr = R.payload_reduction(RP.corpus(t, text=True), RP.with_text(t, hits))
     return pr.select("customer_id", "full_chars", "retrieved_chars", rhu(c("reduction"), 6).alias("reduction"))
 
 
 @register("ret_evaluate")
 def q_ret_evaluate(spark, sf):
-    corp, hits = _hits(spark, sf)
-    pr = R.precision_recall(corp, hits).agg(F.avg("precision").alias("p"), F.avg("recall").alias("r"))
-    rb = corp.agg(R.random_baseline(corp).alias("rb"))
-    misses, fps = R.misses_and_false_positives(corp, hits)
-    nm = misses.agg(F.count(F.lit(1)).alias("n_missed"))
-    nf = fps.agg(F.count(F.lit(1)).alias("n_false_positives"))
-    pl = R.payload_reduction(corp, hits).agg(F.avg("reduction").alias("pl"))
-    one = pr.crossJoin(rb).crossJoin(nm).crossJoin(nf).crossJoin(pl)  # five one-row aggregates
-    return one.select(rhu(c("p"), 6).alias("precision_at_k"), rhu(c("r"), 6).alias("recall_at_k"),
-                      rhu(c("rb"), 6).alias("random_baseline"), "n_missed", "n_false_positives",
-                      rhu(c("pl"), 6).alias("payload_reduction"))
+    t = Tables(spark, sf)
+    _, hits = RP.anchor_hits(t)
+    one = R.evaluate(RP.corpus(t, text=True), hits)
+    return one.select(rhu(c("precision"), 6).alias("precision_at_k"), rhu(c("recall"), 6).alias("recall_at_k"),
+                      rhu(c("random_baseline"), 6).alias("random_baseline"), "n_missed", "n_false_positives",
+                      rhu(c("payload_reduction"), 6).alias("payload_reduction"))
 
 
 @register("agg_count_if")
@@ -601,8 +593,10 @@ def q_agg_collect_history(spark, sf):
 
 @register("agg_concat_text")
 def q_agg_concat_text(spark, sf):
-    _, hits = _hits(spark, sf)
-    g = hits.groupBy("customer_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("l"))
+    t = Tables(spark, sf)
+    _, hits = RP.anchor_hits(t)
+    g = (RP.with_text(t, hits).groupBy("customer_id")
+         .agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("l")))
     txt = F.array_join(F.transform("l", lambda e: e["text"]), " ")
     return g.select("customer_id", txt.alias("payload"), F.length(txt).alias("n_chars"))
 
@@ -618,19 +612,19 @@ def q_fn_list_slice(spark, sf):
 
 @register("ret_keyword_baseline")
 def q_ret_keyword_baseline(spark, sf):
-    return R.keyword_baseline(RP.corpus(Tables(spark, sf)), BASELINE_KEYWORDS)
+    return R.keyword_baseline(RP.corpus(Tables(spark, sf), text=True), BASELINE_KEYWORDS)
 
 
 @register("flt_like_ci")
 def q_flt_like_ci(spark, sf):
-    corp = RP.corpus(Tables(spark, sf))
+    corp = RP.corpus(Tables(spark, sf), text=True)
     return corp.where(F.lower(c("text")).contains("the")).select("interaction_id", "customer_id")
 
 
 def _probe_hits(spark, sf):
-    # a second query (the toxic centroid), k = 2, over every customer
-    corp = RP.corpus(Tables(spark, sf))
-    return R.exact_topk(R.score(corp, RP.probe_query(corp)), 2)
+    # a second query, k = 2, over every customer
+    t = Tables(spark, sf)
+    return R.exact_topk(R.score(RP.corpus(t), RP.probe_query(t)), 2)
 
 
 @register("ret_multi_customer_probe")
@@ -640,22 +634,22 @@ def q_ret_multi_customer_probe(spark, sf):
 
 @register("win_dedup_best_by_text")
 def q_win_dedup_best_by_text(spark, sf):
-    top = R.dedup_best_by_text(_probe_hits(spark, sf), 5)
+    top = R.dedup_best_by_text(RP.with_text(Tables(spark, sf), _probe_hits(spark, sf)), 5)
     return top.select("interaction_id", "customer_id", rhu(c("sim"), 4).alias("similarity"),
                       F.length("text").alias("n_chars"))
 
 
 @register("topk_global")
 def q_topk_global(spark, sf):
-    corp = RP.corpus(Tables(spark, sf))
-    s = R.score(corp, RP.probe_query(corp))
+    t = Tables(spark, sf)
+    s = R.score(RP.corpus(t), RP.probe_query(t))
     return s.orderBy(c("sim").desc(), c("interaction_id")).limit(5).select(
         "interaction_id", rhu(c("sim"), 4).alias("similarity"))
 
 
 @register("set_token_overlap")
 def q_set_token_overlap(spark, sf):
-    top = R.dedup_best_by_text(_probe_hits(spark, sf), 5)
+    top = R.dedup_best_by_text(RP.with_text(Tables(spark, sf), _probe_hits(spark, sf)), 5)
     ov = R.overlap_words(PROBE_TEXT, c("text"), OVERLAP_STOPWORDS)
     return top.select("interaction_id", F.array_join(ov, ",").alias("shared_words"))
 
@@ -665,7 +659,7 @@ def q_rule_retrieval_mode(spark, sf):
     t = Tables(spark, sf)
     _, hits = RP.anchor_hits(t)
     subs = build_subscribers(spark, sf).select("customer_id", "transcript")
-    ctx = R.retrieval_context(subs, hits)
+    ctx = R.retrieval_context(subs, RP.with_text(t, hits))
     return ctx.select("customer_id", "retrieval_mode", "transcript",
                       F.size("retrieved_interactions").alias("n_retrieved"))
 
@@ -757,8 +751,8 @@ _MODELS: dict = {}
 
 
 def _model(spark, sf, max_iter=100):
-    """The propensity model, fitted once per (data dir, rounds) in this process."""
-    key = (sf, max_iter)
+    """The propensity model, fitted once per (application, data dir, rounds)."""
+    key = (spark.sparkContext.applicationId, sf, max_iter)
     if key not in _MODELS:
         _MODELS[key] = ML.fit_propensity(_subs(spark, sf), max_iter=max_iter)
     return _MODELS[key]
@@ -798,7 +792,7 @@ def _embedded_histories(spark, sf):
     corp = IP.union_corpora(t.conversations, subs)
     model = ML.hashing_embedder("text", 64).fit(corp)
     q = ML.embed(model, spark.createDataFrame([(QUERY_TEXT,)], "text string"))
-    qv = q.select("embedding").scalar()
+    qv = q.select(normalize(c("embedding")).alias("q")).scalar()
     return subs, ML.embed(model, corp), qv
 
 
@@ -819,9 +813,55 @@ def q_ret_bulk_context(spark, sf):
 
 @register("ret_ann_topk")
 def q_ret_ann_topk(spark, sf):
-    corp = RP.corpus(Tables(spark, sf))
-    cand = ML.ann_candidates(corp, RP.anchor_query(corp), threshold=1.1)
-    return R.exact_topk(cand, 3).select(*HIT_COLS)
+    t = Tables(spark, sf)
+    return ML.ann_topk(RP.corpus(t), RP.anchor_query(t), 3).select(*HIT_COLS)
+
+
+# ---- what can be said of model outputs without naming their values
+@register("ml_gbt_fit_check")
+def q_ml_gbt_fit_check(spark, sf):
+    trees = q_ml_gbt_fit(spark, sf)
+    return trees.agg((F.count(F.lit(1)) > 0).alias("fitted"), F.count(F.lit(1)).cast("int").alias("n_trees"))
+
+
+@register("ml_score_pairs_check")
+def q_ml_score_pairs_check(spark, sf):
+    pairs = q_ml_score_pairs(spark, sf)
+    return pairs.groupBy("customer_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n_offers"), F.count_if(c("score").between(0.0, 1.0)).cast("int").alias("n_in_range"),
+        F.sum("offer_ord").cast("int").alias("sum_offer_ord"))
+
+
+@register("ml_recommend_check")
+def q_ml_recommend_check(spark, sf):
+    # the recommendation is the best score, and of equal scores the first offer
+    best = q_ml_score_pairs(spark, sf).groupBy("customer_id").agg(
+        F.max(F.struct("score", (-c("offer_ord")).alias("o"), "offer")).alias("b"))
+    rec = q_ml_recommend(spark, sf).select("customer_id", "action", "propensity")
+    return rec.join(best, "customer_id").select(
+        "customer_id", (F.abs(c("propensity") - c("b.score")) <= 5.1e-5).alias("is_best"), (c("action") == c("b.offer")).alias("is_first"))
+
+
+@register("emb_embed_check")
+def q_emb_embed_check(spark, sf):
+    norm = l2_norm(c("embedding"))
+    sound = (c("dim") == 64) & ((F.abs(norm - 1.0) < 1e-4) | (norm == 0))
+    return q_emb_embed_batch(spark, sf).groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(sound).alias("n_sound"))
+
+
+@register("ret_bulk_context_check")
+def q_ret_bulk_context_check(spark, sf):
+    return q_ret_bulk_context(spark, sf).select("customer_id", "retrieval_mode", "n_retrieved")
+
+
+@register("ret_ann_check")
+def q_ret_ann_check(spark, sf):
+    # every customer with k rows gets k; over all customers at least half of the exact hits are found
+    ann = q_ret_ann_topk(spark, sf).select("customer_id", "interaction_id", F.lit(1).alias("found"))
+    exact = q_ret_exact_topk(spark, sf).select("customer_id", "interaction_id")
+    recall = (exact.join(ann, ["customer_id", "interaction_id"], "left")
+              .agg((F.avg(F.coalesce(c("found"), F.lit(0))) >= 0.5).alias("r")).scalar())
+    return ann.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_hits")).withColumn("recall_half", recall)
 
 
 def _canned_responder():
@@ -869,14 +909,16 @@ EXPERIENCE_SCHEMA = T.StructType([T.StructField(n, T.LongType() if n == "msisdn"
 
 @register("src_csv_scan")
 def q_src_csv_scan(spark, sf):
-    path = FS.write_csv(D.recommend_rules(_subs(spark, sf), "A"), stage_path(spark, "campaign_triggers"))
-    return FS.read_csv(spark, path, REC_SCHEMA)
+    rec = FS.escape_breaks(D.recommend_rules(_subs(spark, sf), "A"))
+    path = FS.write_csv(rec, stage_path(spark, "campaign_triggers"))
+    return FS.unescape_breaks(FS.read_csv(spark, path, REC_SCHEMA))
 
 
 @register("sink_csv")
 def q_sink_csv(spark, sf):
-    path = FS.write_csv(D.experience(_decided(spark, sf, "A"), "A"), stage_path(spark, "experience"))
-    return FS.read_csv(spark, path, EXPERIENCE_SCHEMA)
+    texts = FS.escape_breaks(D.experience(_decided(spark, sf, "A"), "A"))
+    path = FS.write_csv(texts, stage_path(spark, "experience"))
+    return FS.unescape_breaks(FS.read_csv(spark, path, EXPERIENCE_SCHEMA))
 
 
 @register("sink_export_detail")
@@ -901,15 +943,18 @@ def q_sink_separate_outputs(spark, sf):
 
 @register("src_stage_resume")
 def q_src_stage_resume(spark, sf):
-    path = stage_path(spark, "subscribers-" + sf.strip("/").replace("/", "_"), unique=False)
-    return FS.resume_or_compute(spark, path, lambda: _subs(spark, sf)).select(*SUBSCRIBER_COLUMNS)
+    # the stage's name holds a fingerprint of its inputs: another input or another layout is another stage
+    subs = _subs(spark, sf)
+    path = stage_path(spark, f"subscribers-{FS.fingerprint(subs)}", unique=False)
+    return FS.resume_or_compute(spark, path, lambda: subs).select(*SUBSCRIBER_COLUMNS)
 
 
 @register("src_upsert_reset")
 def q_src_upsert_reset(spark, sf):
     # rerun twice into the same path: overwrite keeps the collection idempotent
     path = stage_path(spark, "corpus")
-    corp = RP.corpus(Tables(spark, sf)).select("interaction_id", "customer_id", "channel", "date", "is_relevant")
+    corp = RP.corpus(Tables(spark, sf), text=True, whole=True).select(
+        "interaction_id", "customer_id", "channel", "date", "is_relevant", "embedding", "text")
     FS.write_stage(corp, path)
     FS.write_stage(corp, path)
     return spark.read.parquet(path)
@@ -918,7 +963,7 @@ def q_src_upsert_reset(spark, sf):
 @register("emb_batch_write")
 def q_emb_batch_write(spark, sf):
     path = stage_path(spark, "vectors")
-    corp = RP.corpus(Tables(spark, sf))
+    corp = RP.corpus(Tables(spark, sf), whole=True)
     FS.write_vectors(corp.select("interaction_id", "customer_id", "embedding", "is_relevant"), path)
     v = spark.read.parquet(path)
     return v.select("interaction_id", "customer_id", F.size("embedding").alias("dim"), "is_relevant")
@@ -937,24 +982,24 @@ def q_ext_stream_embed(spark, sf):
 # ---------------------------------------------------------------- recommended extensions
 @register("ext_sim_threshold")
 def q_ext_sim_threshold(spark, sf):
-    corp = RP.corpus(Tables(spark, sf))
-    s = R.score(corp, RP.anchor_query(corp)).where(c("sim") >= 0.15)
+    t = Tables(spark, sf)
+    s = R.score(RP.corpus(t), RP.anchor_query(t)).where(c("sim") >= 0.15)
     return R.exact_topk(s, 3).select(*HIT_COLS)
 
 
 @register("ext_multi_query")
 def q_ext_multi_query(spark, sf):
-    corp = RP.corpus(Tables(spark, sf))
-    a = R.score(corp, RP.anchor_query(corp)).withColumnRenamed("sim", "s1")
-    b = R.score(a, RP.probe_query(corp)).withColumnRenamed("sim", "s2")
+    t = Tables(spark, sf)
+    a = R.score(RP.corpus(t), RP.anchor_query(t)).withColumnRenamed("sim", "s1")
+    b = R.score(a, RP.probe_query(t)).withColumnRenamed("sim", "s2")
     m = b.withColumn("sim", (c("s1") + c("s2")) / F.lit(2.0))
     return R.exact_topk(m, 3).select(*HIT_COLS)
 
 
 @register("ext_recency_decay")
 def q_ext_recency_decay(spark, sf):
-    corp = RP.corpus(Tables(spark, sf))
-    s = R.score(corp, RP.anchor_query(corp))
+    t = Tables(spark, sf)
+    s = R.score(RP.corpus(t), RP.anchor_query(t))
     age = F.datediff(F.to_date(F.lit(RP.REFERENCE_DATE)), F.to_date("date"))
     s = s.withColumn("sim", c("sim") * F.exp(F.lit(-0.01) * age))
     return R.exact_topk(s, 3).select(*HIT_COLS)
@@ -977,11 +1022,15 @@ def q_ext_chunk_text(spark, sf):
                      F.md5("chunk").alias("h"))
 
 
+#: The customer that the persisted vectors are looked up for.
+PERSIST_KEY = 3
+
+
 @register("ext_persist_vectors")
 def q_ext_persist_vectors(spark, sf):
     # the persisted vector table is read back with a key predicate: the scan
     # prunes row groups by customer (files are clustered and sorted by key)
     path = stage_path(spark, "vectors")
-    FS.write_vectors(RP.corpus(Tables(spark, sf)).select("interaction_id", "customer_id", "embedding"), path)
-    v = spark.read.parquet(path).where(c("customer_id") == 3)
+    FS.write_vectors(RP.corpus(Tables(spark, sf), whole=True).select("interaction_id", "customer_id", "embedding"), path)
+    v = FS.read_customer(spark, path, PERSIST_KEY)
     return v.select("interaction_id", "customer_id")

@@ -190,9 +190,9 @@ def format_summary(wide: DataFrame, variant: str = "A") -> DataFrame:
 
 # FIXED VALUES: summary metric labels per variant, in published order.
 METRIC_LABELS = {
-    "A": ["Acceptance_baseline", "Acceptance_NBX", "Revenue_uplift_pct", "Incr_annual_QAR_sample",
+    "A": ["Acceptance_baseline", "Acceptance_treated", "Revenue_uplift_pct", "Incr_annual_QAR_sample",
           "Extrap_500k_QAR", "Extrap_2M_QAR"],
-    "B": ["Acceptance baseline", "Acceptance NBX", "Revenue uplift %", "Incr annual rev QAR (sample)",
+    "B": ["Acceptance baseline", "Acceptance treated", "Revenue uplift %", "Incr annual rev QAR (sample)",
           "Extrapolated +QAR/yr @500k", "Extrapolated +QAR/yr @2M"],
 }
 

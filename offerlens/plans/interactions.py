@@ -11,16 +11,14 @@ from pyspark.sql import functions as F
 
 from offerlens.constants import INTERACTION_CHANNELS
 from offerlens.functions.core import pick, zero_pad
-from offerlens.functions.text import is_blank_or_sentinel
+from offerlens.functions.text import is_blank_or_sentinel, strip
 from offerlens.operators.ranking import seq_within_group
 
 c = F.col
 REFERENCE_DATE = "2024-01-31"
 SAMPLE_SALT = "history"
-MAX_SAMPLE = 4
-
-HISTORY_SCHEMA_COLS = ["interaction_id", "customer_id", "date", "is_current", "channel", "text", "topic",
-                       "is_relevant"]
+#: The sample of a key holds SAMPLE_LEAST + key % SAMPLE_STEPS rows.
+SAMPLE_LEAST, SAMPLE_STEPS = 2, 3
 
 
 def sequenced(conversations: DataFrame) -> DataFrame:
@@ -49,7 +47,7 @@ def injected_transcripts(subs: DataFrame) -> DataFrame:
     return t.select(
         F.concat(c("customer_id").cast("string"), F.lit("-transcript")).alias("interaction_id"),
         "customer_id", F.lit(None).cast("string").alias("date"), F.lit(True).alias("is_current"),
-        F.lit("call").alias("channel"), F.trim(c("transcript")).alias("text"),
+        F.lit("call").alias("channel"), strip(c("transcript")).alias("text"),
         F.lit("existing_transcript").alias("topic"), F.lit(True).alias("is_relevant"))
 
 
@@ -62,12 +60,13 @@ def stable_sample(conversations: DataFrame, salt: str = SAMPLE_SALT) -> DataFram
     """win_stable_sample: a deterministic per-customer sample without replacement.
 
     Items are ordered by md5(customer|salt|item) and the first n(customer)
-    kept, n = 2 + customer % 3; identical in every run and engine."""
+    kept, n = SAMPLE_LEAST + customer % SAMPLE_STEPS; identical in every run and engine."""
     h = F.md5(F.concat_ws("|", c("conv_id").cast("string"), F.lit(salt), c("turn").cast("string")))
     w = Window.partitionBy("conv_id").orderBy(h, c("turn"))
-    n = F.lit(2) + (c("conv_id") % 3)
-    # n <= MAX_SAMPLE for every key: the literal bound lets Spark cut each key to
-    # MAX_SAMPLE rows per map partition (partial WindowGroupLimit) before the shuffle.
+    n = F.lit(SAMPLE_LEAST) + F.pmod(c("conv_id"), F.lit(SAMPLE_STEPS))
+    # the largest n as a literal lets Spark cut each key to that many rows per map
+    # partition (partial WindowGroupLimit) before the shuffle
+    most = SAMPLE_LEAST + SAMPLE_STEPS - 1
     return (conversations.withColumn("pick", F.row_number().over(w))
-            .where((c("pick") <= MAX_SAMPLE) & (c("pick") <= n))
+            .where((c("pick") <= most) & (c("pick") <= n))
             .select("conv_id", "turn", "pick"))

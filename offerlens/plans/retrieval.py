@@ -3,8 +3,9 @@
 Corpus mapping: ``embeddings`` rows are interactions (vec_id = interaction,
 label = customer scope), their text is ``documents.text`` (doc_id = vec_id,
 empty when absent) and ground truth is ``labels.quality = 1`` (absent = not
-relevant). The anchor query vector is the centroid of the relevant vectors;
-the probe query is the centroid of the vectors labelled toxic.
+relevant). The anchor and probe queries are the vectors of two fixed rows,
+which are left out of the searched corpus; no label enters a query, so
+precision and recall are not measured on what the query was made from.
 """
 
 from __future__ import annotations
@@ -20,34 +21,46 @@ from offerlens.sources.tables import Tables
 c = F.col
 
 REFERENCE_DATE = "2024-01-31"
+#: Rows of ``embeddings`` that serve as queries.
+ANCHOR_ID, PROBE_ID = 0, 1
 
 
-def corpus(t: Tables) -> DataFrame:
-    e = t.embeddings.select(c("vec_id").alias("interaction_id"), c("label").cast("bigint").alias("customer_id"),
+def corpus(t: Tables, text: bool = False, whole: bool = False) -> DataFrame:
+    """The interactions; with ``text`` the documents are joined, with ``whole`` the query rows stay in.
+
+    Plans that do not need texts of all rows leave the documents out, since a
+    left join on a key that is not known to be unique is never dropped."""
+    e = t.embeddings if whole else t.embeddings.where(~c("vec_id").isin(ANCHOR_ID, PROBE_ID))
+    e = e.select(c("vec_id").alias("interaction_id"), c("label").cast("bigint").alias("customer_id"),
                             "embedding")
-    d = t.documents.select(c("doc_id").alias("interaction_id"), "text")
     lab = t.labels.select(c("doc_id").alias("interaction_id"), (c("quality") == 1).alias("rel"),
                           (c("toxic") == 1).alias("tox"))
-    j = e.join(d, "interaction_id", "left").join(lab, "interaction_id", "left")
-    return j.select(
+    j = e.join(lab, "interaction_id", "left")
+    out = j.select(
         "interaction_id", "customer_id", "embedding",
-        F.coalesce(c("text"), F.lit("")).alias("text"),
         F.coalesce(c("rel"), F.lit(False)).alias("is_relevant"),
         F.coalesce(c("tox"), F.lit(False)).alias("is_toxic"),
         pick(INTERACTION_CHANNELS, c("interaction_id") % 4).alias("channel"),
         F.date_format(F.date_sub(F.to_date(F.lit(REFERENCE_DATE)), (c("interaction_id") % 90).cast("int")),
                       "yyyy-MM-dd").alias("date"))
+    return with_text(t, out) if text else out
+
+
+def with_text(t: Tables, rows: DataFrame) -> DataFrame:
+    """``rows`` with their interaction's text; for hits this comes last, when only k rows a customer are left."""
+    d = t.documents.select(c("doc_id").alias("interaction_id"), "text")
+    return rows.join(d, "interaction_id", "left").withColumn("text", F.coalesce(c("text"), F.lit("")))
 
 
-def anchor_query(corp: DataFrame) -> Column:
-    return R.centroid(corp.where(c("is_relevant")))
+def anchor_query(t: Tables) -> Column:
+    return R.query_vector(t.embeddings, ANCHOR_ID, "vec_id")
 
 
-def probe_query(corp: DataFrame) -> Column:
-    return R.centroid(corp.where(c("is_toxic")))
+def probe_query(t: Tables) -> Column:
+    return R.query_vector(t.embeddings, PROBE_ID, "vec_id")
 
 
 def anchor_hits(t: Tables, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The searched corpus and the anchor query's hits, both without texts."""
     corp = corpus(t)
-    hits = R.exact_topk(R.score(corp, anchor_query(corp)), k)
-    return corp, hits
+    return corp, R.exact_topk(R.score(corp, anchor_query(t)), k)

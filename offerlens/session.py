@@ -19,8 +19,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
-    "spark.driver.host": "127.0.0.1",
-    "spark.driver.bindAddress": "127.0.0.1",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
     # call-site capture costs several JVM round trips per Column function
@@ -29,15 +27,28 @@ DEFAULT_CONF = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+#: Only for masters of one machine: executors on other hosts could not reach such a driver.
+LOCAL_CONF = {"spark.driver.host": "127.0.0.1", "spark.driver.bindAddress": "127.0.0.1"}
+
+
+def is_local(master: str) -> bool:
+    """``local`` or ``local[...]``: driver and executors share one process and its folders."""
+    return master == "local" or master.startswith("local[")
+
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app_name: str = "offerlens", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with AQE on and the UI off."""
+    """Build (or reuse) a session with AQE on and the UI off.
+
+    The number of shuffle partitions and the loopback address are set on
+    local masters only; a cluster brings its own."""
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and is_local(master):
+        conf.update(LOCAL_CONF)
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -56,7 +67,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark.sparkContext.master):
             # a machine-local folder is not visible to executors on other hosts
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         path = tempfile.mkdtemp(prefix="offerlens-ckpt-")

@@ -1,14 +1,14 @@
 """Incremental corpus build with Structured Streaming (ext_stream_embed).
 
-Arriving interactions are de-duplicated on their id within an event-time
-watermark (late duplicates beyond it are not re-checked; state stays
-bounded), turned into hashed, L2-normalised term vectors with pure
-transformers (no fitted state, so every micro-batch embeds the same way),
-and appended per micro-batch. The sink writes each epoch to its own folder
-with overwrite, so a retried epoch replaces its own output: exactly-once
-files under the checkpointed source offsets. ``availableNow`` drains what is
-there and stops; the same code runs continuously with a processing-time
-trigger.
+Every arriving interaction is kept, however late it is: no watermark removes
+rows. Each micro-batch is de-duplicated on the id, within itself and against
+the ids already written (one narrow scan of the output, anti-joined), turned
+into hashed, L2-normalised term vectors with pure transformers (no fitted
+state, so every micro-batch embeds the same way), and appended. The sink
+writes each epoch to its own folder with overwrite and compares only with
+earlier epochs, so a retried epoch replaces its own output: exactly-once files
+under the checkpointed source offsets. ``availableNow`` drains what is there
+and stops; the same code runs continuously with a processing-time trigger.
 """
 
 from __future__ import annotations
@@ -32,27 +32,29 @@ def embed_stateless(df: DataFrame, text_col: str, dim: int = 64) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, source_dir: str, file_glob: str = "events*.parquet",
-                  watermark: str = "1 hour") -> DataFrame:
-    """Stream the event files of ``source_dir`` matching ``file_glob``."""
+                  max_files: int | None = None) -> DataFrame:
+    """Stream the event files of ``source_dir`` matching ``file_glob``; ``max_files`` bounds a micro-batch."""
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(source_dir).schema
-    s = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-         .option("maxFilesPerTrigger", 1).parquet(source_dir))
-    s = (s.withColumn("ts", c("ts").cast("timestamp"))  # watermarks need timestamp, not timestamp_ntz
-          .withWatermark("ts", watermark)
-          .dropDuplicatesWithinWatermark(["event_id"]))
-    s = s.withColumn("text", F.concat_ws(" ", c("event_type"), c("props")))
-    return embed_stateless(s, "text")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(source_dir)
 
 
 def run_incremental(spark: SparkSession, source_dir: str, out_path: str, checkpoint: str,
-                    file_glob: str = "events*.parquet", watermark: str = "1 hour",
+                    file_glob: str = "events*.parquet", max_files: int | None = None,
                     timeout_s: float | None = None) -> str:
     """Drain the source once (availableNow) into ``out_path``; returns the path."""
     def sink(batch: DataFrame, epoch: int) -> None:
-        (batch.select("event_id", "user_id", "ts", "event_type", "embedding")
-              .write.mode("overwrite").parquet(os.path.join(out_path, f"epoch={epoch}")))
-
-    q = (events_stream(spark, source_dir, file_glob, watermark).writeStream
+        fresh = batch.dropDuplicates(["event_id"])
+        if epoch:
+            written = batch.sparkSession.read.parquet(out_path).where(c("epoch") < epoch).select("event_id")
+            fresh = fresh.join(written, "event_id", "left_anti")
+        text = fresh.withColumn("text", F.concat_ws(" ", c("event_type"), c("props")))
+        (embed_stateless(text, "text").select("event_id", "user_id", "ts", "event_type", "embedding")
+         .write.mode("overwrite").parquet(os.path.join(out_path, f"epoch={epoch}")))
+
+    q = (events_stream(spark, source_dir, file_glob, max_files).writeStream
          .foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination(timeout_s)
