@@ -4,9 +4,11 @@ Design notes for scale:
 * argmax over the fixed offer catalogue is computed *inside the row*
   (``array_max`` over a literal-sized array of structs): no join, no shuffle.
 * keep-first dedupe and group argmax use ``min``/``max`` over a struct that
-  leads with the ordering key: a hash aggregate with map-side partial
+  leads with the ordering key: an aggregate with map-side partial
   aggregation, so a hot key collapses to one row per map partition before
   the shuffle (a window would ship every row of the hot key to one task).
+  A struct with strings plans as a sort aggregate: each map partition is
+  sorted by the key before its partial step.
 * top-k per group uses ``row_number`` <= k, which Spark plans as a partial
   ``WindowGroupLimit`` before the shuffle plus a final one after it.
 """

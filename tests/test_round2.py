@@ -82,8 +82,9 @@ def test_ret_evaluate_reads_few_tables(spark, sf_small):
     from offerlens.plans.catalog import QUERIES
     plan = QUERIES["ret_evaluate"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
     scans = re.findall(r"Relation \[(\w+)", plan)
-    # embeddings: corpus, hits and the one query row; documents once, labels at most twice
-    assert scans.count("vec_id") <= 3 and scans.count("doc_id") <= 3
+    # documents once, labels at most twice; embeddings for the corpus, the hits and the (shared) query row
+    assert scans.count("doc_id") <= 3 and plan.count("text#") and len(re.findall(r"Relation \[doc_id\S*,text", plan)) == 1
+    assert len([x for x in re.findall(r"Filter NOT vec_id", plan)]) <= 2
 
 
 def test_ann_fills_every_customer(spark):
