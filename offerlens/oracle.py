@@ -786,3 +786,16 @@ ORACLE.update({
                CASE WHEN ok THEN replace(action, '_', ' ') || ' is ready for you' ELSE {message_sql(rationale_sql('A'), 'A')} END AS message_how,
                guard_status, CASE WHEN ok THEN 'claude' ELSE 'offline' END AS gen_source FROM g""",
 })
+
+ORACLE["pipe_run_retrieval"] = A() + ", " + H[len("WITH "):].replace("scored", "hit_scores").replace("ranked", "hit_ranks") + f""",
+    lists AS (SELECT customer_id, count(*) AS n, arg_min(text, rank) AS top_text,
+              string_agg(date || '|' || channel, ',' ORDER BY rank) AS retrieved FROM hits GROUP BY 1)
+    SELECT g.customer_id, guard_status, action, propensity,
+           CASE WHEN coalesce(l.n, 0) > 0 THEN 'vector_top' || l.n ELSE 'full_dump' END AS retrieval_mode,
+           CASE WHEN coalesce(l.n, 0) > 0 THEN {redact_sql('l.top_text')} ELSE {redact_sql('g.transcript')} END AS transcript,
+           coalesce(retrieved, '') AS retrieved
+    FROM guarded g LEFT JOIN lists l USING (customer_id)"""
+ORACLE["pipe_run_model"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS output, count(*) AS n_rows, count(DISTINCT c_custkey) AS n_keys FROM customer"
+    for name in ("campaign_triggers", "contexts", "experience", "evaluation_detail")) + \
+    " UNION ALL SELECT 'summary', 6, 6"

@@ -1034,3 +1034,36 @@ def q_ext_persist_vectors(spark, sf):
     FS.write_vectors(RP.corpus(Tables(spark, sf), whole=True).select("interaction_id", "customer_id", "embedding"), path)
     v = FS.read_customer(spark, path, PERSIST_KEY)
     return v.select("interaction_id", "customer_id")
+
+
+# ---------------------------------------------------------------- whole runs
+from offerlens.plans import campaign as CP  # noqa: E402
+
+
+def _retrieved(spark, sf):
+    t = Tables(spark, sf)
+    return RP.with_text(t, RP.anchor_hits(t)[1])
+
+
+@register("pipe_run_retrieval")
+def q_pipe_run_retrieval(spark, sf):
+    """Rule score, retrieved interactions in the context record."""
+    d = D.decide(CP.with_retrieval(_subs(spark, sf), _retrieved(spark, sf)), "A")
+    ctx = D.context_struct("A", retrieval=True)
+    return d.select("customer_id", "guard_status", ctx.alias("x")).select(
+        "customer_id", "guard_status", c("x.action").alias("action"), c("x.propensity").alias("propensity"),
+        c("x.retrieval_mode").alias("retrieval_mode"), c("x.transcript").alias("transcript"),
+        F.array_join(F.transform("x.retrieved_interactions", lambda e: F.concat_ws("|", e["date"], e["channel"])), ",").alias("retrieved"))
+
+
+@register("pipe_run_model")
+def q_pipe_run_model(spark, sf):
+    """The whole run on the model's recommendations; rows and customers of each output it wrote."""
+    paths = CP.run_campaign(_subs(spark, sf), stage_path(spark, "campaign"), "A", _model(spark, sf), _retrieved(spark, sf))
+    out = None
+    for name, path in paths.items():
+        rows = spark.read.parquet(path) if name in ("contexts", "evaluation_detail") else spark.read.option("header", True).csv(path)
+        key = next(k for k in ("customer_id", "msisdn", "metric") if k in rows.columns)
+        one = rows.agg(F.lit(name).alias("output"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"))
+        out = one if out is None else out.unionByName(one)
+    return out

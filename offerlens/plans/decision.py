@@ -43,9 +43,12 @@ def recommend_rules(subs: DataFrame, variant: str = "A", keep_all: bool = False)
     return out.select("customer_id", *rec)
 
 
-def decide(subs: DataFrame, variant: str = "A") -> DataFrame:
-    """Subscriber row + recommendation + guard status (one row per subscriber)."""
-    d = recommend_rules(subs, variant, keep_all=True)
+def decide(subs: DataFrame, variant: str = "A", rec: DataFrame | None = None) -> DataFrame:
+    """Subscriber row + recommendation + guard status (one row per subscriber).
+
+    ``rec`` is a recommendation with ``REC_COLUMNS``, one row per subscriber,
+    say the model's; without one the rule score decides within the row."""
+    d = recommend_rules(subs, variant, keep_all=True) if rec is None else subs.join(rec.select(*REC_COLUMNS), "customer_id")
     return d.withColumn("guard_status", rules.guard(variant))
 
 
@@ -84,8 +87,13 @@ CONTEXT_FIELDS = [
 ]
 
 
-def context_fields(variant: str = "A") -> list[tuple[str, Column]]:
-    """(output name, column) pairs of the flat context; transcript is redacted."""
+RETRIEVAL_FIELDS = ["retrieval_mode", "retrieved_interactions"]
+
+
+def context_fields(variant: str = "A", retrieval: bool = False) -> list[tuple[str, Column]]:
+    """(output name, column) pairs of the flat context; transcript is redacted.
+
+    With ``retrieval`` the record says how its interactions were chosen and holds them."""
     out = []
     for f in CONTEXT_FIELDS:
         if variant == "B" and f in A_ONLY:
@@ -93,12 +101,12 @@ def context_fields(variant: str = "A") -> list[tuple[str, Column]]:
         col = redact(c(f)) if f == "transcript" else c(f)
         name = B_RENAMES.get(f, f) if variant == "B" else f
         out.append((name, col))
-    return out
+    return out + [(f, c(f)) for f in RETRIEVAL_FIELDS if retrieval]
 
 
-def context_struct(variant: str = "A") -> Column:
+def context_struct(variant: str = "A", retrieval: bool = False) -> Column:
     """proj_context_struct: one nested record per subscriber x chosen offer."""
-    return F.struct(*[col.alias(name) for name, col in context_fields(variant)])
+    return F.struct(*[col.alias(name) for name, col in context_fields(variant, retrieval)])
 
 
 def source_groups() -> Column:
