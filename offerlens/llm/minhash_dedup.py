@@ -9,20 +9,22 @@ similarity s share a table with probability (1 - (1 - s^WIDTH)^GROUPS)^2,
 99.95 % at 0.75 with the defaults and more above.
 
 Documents with equal sets are one node from the start. Candidates are checked
-in two rounds, without ever listing the pairs of a group:
-
-1. Each node meets the leader (smallest node of a bucket) with which it shares
-   most tables. Confirmed links are joined into components.
-2. Only buckets that still hold several components are looked at again, and
-   in them only pairs from different components. A bucket's nodes outside its
-   largest component meet all its nodes, in slices dealt to different tasks.
-   A pair's minhashes must agree often enough (below 1 in 100 000 pairs at
-   0.75 fail that) before its full sets are compared.
+in rounds, without ever listing the pairs of a group:
+
+1. In every bucket a leader is chosen, first the node that shares most buckets
+   with others (the original that a group was copied from), in later rounds
+   one by hash. Each node outside the leader's component is compared with the
+   ``TRIES`` leaders with which it shares most tables. Confirmed links join
+   components, and only buckets that still hold several are looked at again.
+2. What is left are pairs from different components in one bucket. A bucket's
+   nodes outside its largest component meet all its nodes, in slices dealt to
+   different tasks. A pair is taken up in the first table it shares, and only
+   if its sketches (one permutation, ``BINS`` bins) estimate a similarity of at
+   least ``LEAST_ESTIMATE``, 3.5 standard errors below 0.75.
 
 Every link is confirmed on full sets. A group of copies that makes up a third
-of all rows is one node; a group of near copies is one component after the
-first round. Joins on hot keys are split by AQE, aggregates combine in the
-map tasks.
+of all rows is one node; a group of near copies is soon one component. Joins
+on hot keys are split by AQE, aggregates combine in the map tasks.
 
 Cases: null text, and text without words, has an empty set, is linked with
 nothing and is its own component; rows with a null id take no part and have a
@@ -45,9 +47,11 @@ from offerlens.llm.common import (SPACE_BYTES, byte_table, join_checked, lower_a
 WORDS, GROUPS, WIDTH = 5, 10, 2
 #: Links hold where 100 x intersection >= PERCENT x union.
 PERCENT = 75
-#: Of the 40 minhashes compared by their low 8 bits, a candidate pair must share at least this many.
-LEAST_EQUAL = 17
-#: Nodes of a bucket that one slice of the second round holds.
+#: Bins of a node's sketch, the least similarity estimated from two sketches, and the set size from which they are asked.
+BINS, LEAST_ESTIMATE, LEAST_SIZE = 512, 0.68, 24
+#: Rounds of leaders, and leaders that a node is compared with in each.
+ROUNDS, TRIES = 2, 2
+#: Nodes of a bucket that one slice of the last step holds.
 SLICE = 2048
 BATCH_BYTES = 2_000_000
 
@@ -86,15 +90,15 @@ def _sets(column) -> Iterator[tuple[int, int, list[np.ndarray]]]:
         yield a, b, shingle_sets(raw, off[a:b + 1])
 
 
-SIGNATURE = "id long, n long, h1 long, h2 long, left array<long>, right array<long>, low array<long>"
+SIGNATURE = "id long, n long, h1 long, h2 long, left array<long>, right array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, h1, h2, left, right, low): set size and 128-bit hash, half keys, low bytes of all minhashes.
+    """(id, n, h1, h2, left, right, sketch): set size and 128-bit hash, half keys, one-permutation sketch.
 
-    ``left``, ``right`` and ``low`` are null for an empty set."""
-    m = GROUPS * WIDTH
-    seeds, odd = seeded(2 * m, 7), seeded(2 * m, 8) | np.uint64(1)
+    The last three are null for an empty set."""
+    m = 2 * GROUPS * WIDTH
+    seeds, odd = seeded(m, 7), seeded(m, 8) | np.uint64(1)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -106,28 +110,41 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 flat = np.concatenate(sets) if len(full) else np.zeros(0, np.uint64)
                 at = np.cumsum(size[full]) - size[full]
                 h1, h2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-                mins = np.zeros((len(full), 2 * m), np.uint64)
+                mins = np.zeros((len(full), m), np.uint64)
                 with np.errstate(over="ignore"):
                     if len(full):
                         h1[full] = np.add.reduceat(flat, at)
                         h2[full] = np.add.reduceat(mix64(flat), at)
-                        for k in range(2 * m):
+                        for k in range(m):
                             mins[:, k] = np.minimum.reduceat((flat ^ seeds[k]) * odd[k], at)
                     mins = mix64(mins)
-                    halves = mins[:, 0::WIDTH].copy()
+                    halves = mins[:, 0:m:WIDTH].copy()
                     for k in range(1, WIDTH):
-                        halves = mix64(halves + mins[:, k::WIDTH] * np.uint64(2 * k + 1))
-                low = (mins & np.uint64(255)).astype(np.uint8)
-                low = np.pad(low, ((0, 0), (0, -low.shape[1] % 7))).reshape(len(full), -(-low.shape[1] // 7), 7)
-                low = np.ascontiguousarray(np.pad(low, ((0, 0), (0, 0), (0, 1)))).view(np.int64)[:, :, 0]
+                        halves = mix64(halves + mins[:, k:m:WIDTH] * np.uint64(2 * k + 1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                      _lists(size > 0, halves[:, :GROUPS].view(np.int64)), _lists(size > 0, halves[:, GROUPS:].view(np.int64)),
-                     _lists(size > 0, low)], names=["id", "n", "h1", "h2", "left", "right", "low"])
+                     _sketches(size, flat)], names=["id", "n", "h1", "h2", "left", "right", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, SIGNATURE)
 
 
+def _sketches(size: np.ndarray, flat: np.ndarray):
+    """For each non-empty set, of its smallest hash in every bin one byte that is not 0; null for empty sets."""
+    import pyarrow as pa
+
+    full = np.flatnonzero(size)
+    out = np.zeros((len(full), BINS), np.uint8)
+    if len(full):
+        row = np.repeat(np.arange(len(full)), size[full])
+        place = row * BINS + (flat >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)  # sets are sorted, so a bin's first is its smallest
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        out.ravel()[place[first]] = 1 + (flat[first] >> np.uint64(24)) % np.uint64(255)
+    upto = np.concatenate([[0], np.cumsum((size > 0) * BINS)]).astype(np.int32)
+    valid = pa.array(size > 0)
+    return pa.Array.from_buffers(pa.binary(), len(size), [valid.buffers()[1], pa.py_buffer(upto.tobytes()), pa.py_buffer(out.tobytes())])
+
+
 def _lists(present: np.ndarray, values: np.ndarray):
     """A row of ``values`` for each present row, null for the others."""
     import pyarrow as pa
@@ -138,9 +155,9 @@ def _lists(present: np.ndarray, values: np.ndarray):
 
 
 def table_keys(nodes: DataFrame) -> DataFrame:
-    """(node, key) of all GROUPS^2 tables."""
+    """(node, table, key) of all GROUPS^2 tables."""
     keys = F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(x, y, i * GROUPS + j))))
-    return nodes.select("node", F.explode(keys).alias("key"))
+    return nodes.select("node", F.posexplode(keys).alias("table", "key"))
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -163,28 +180,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _equal_bytes(x: Column, y: Column) -> Column:
-    """How many of the 7 low bytes of two longs are equal (their top bytes are 0, so no sum overflows)."""
-    d = x.bitwiseXOR(y)
-    low7 = F.lit(0x007F7F7F7F7F7F7F)
-    differs = (d.bitwiseAND(low7) + low7).bitwiseOR(d).bitwiseOR(F.lit(0xFF7F7F7F7F7F7F7F - (1 << 64)))
-    return F.bit_count(F.bitwise_not(differs))
-
-
-def alike(x: Column, y: Column) -> Column:
-    """Enough equal minhashes to be worth comparing in full."""
-    words = -(-2 * GROUPS * WIDTH // 7)
-    same = _equal_bytes(x[0], y[0])
-    for k in range(1, words):
-        same = same + _equal_bytes(x[k], y[k])
-    return same - (7 * words - 2 * GROUPS * WIDTH) >= LEAST_EQUAL
-
-
-def near_size(x: Column, y: Column) -> Column:
-    """Set sizes that still allow a link."""
-    return (F.least(x, y) * 100) >= F.greatest(x, y) * PERCENT
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, name: str, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets are linked; staged. Only texts of nodes in ``pairs`` are read into sets."""
     wanted = stage(pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col))).distinct(),
@@ -206,7 +201,136 @@ def confirmed(pairs: DataFrame, docs: DataFrame, name: str, id_col: str, text_co
     y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     linked = shared * 100 >= (F.size("x") + F.size("y") - shared) * PERCENT
-    return stage(pairs.select("a", "b").join(x, "a").join(y, "b").where(linked).select("a", "b").distinct(), f"{name}-links")
+    return stage(pairs.select("a", "b").join(x, "a").join(y, "b").where(linked).select("a", "b"), f"{name}-links")
+
+
+def leader_pairs(placed: DataFrame, k: int) -> DataFrame:
+    """Pairs (node, leader) of round ``k`` from (key, node, label, weight): for each node the leaders,
+    from other components, with which it shares most buckets. Staged."""
+    order = F.struct("weight", "node") if k == 1 else F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")
+    leaders = stage(placed.groupBy("key").agg(F.max(F.struct(order.alias("o"), "node", "label")).alias("x"))
+                    .select("key", F.col("x.node").alias("leader"), F.col("x.label").alias("of")), f"leaders-{k}")
+    votes = (placed.join(leaders, "key").where(F.col("label") != F.col("of"))
+             .groupBy("node", "leader").agg(F.count(F.lit(1)).alias("votes")))
+    most = Window.partitionBy("node").orderBy(F.desc("votes"), "leader")
+    return stage(votes.withColumn("r", F.row_number().over(most)).where(F.col("r") <= TRIES)
+                 .select(F.col("node").alias("a"), F.col("leader").alias("b")), f"pairs-{k}")
+
+
+def merged(label: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+    """(node, label) after joining the components of ``links``; nodes without a link are their own label."""
+    if label is None:
+        return components(links, name)
+    x, y = (label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
+    outer = (links.join(x, "a", "left").join(y, "b", "left")
+             .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where(F.col("a") != F.col("b")))
+    found = components(outer, name).select(F.col("node").alias("l"), F.col("label").alias("to"))
+    old = label.join(found, F.col("label") == F.col("l"), "left").select("node", F.coalesce("to", "label").alias("label"))
+    new = found.select(F.col("l").alias("node"), F.col("to").alias("label")).join(label.select("node"), "node", "left_anti")
+    return stage(old.unionByName(new), f"{name}-all")
+
+
+def still_mixed(buckets: DataFrame, label: DataFrame, k: int) -> DataFrame:
+    """The rows, with labels, of the buckets that hold several components. Staged."""
+    now = buckets.join(label, "node", "left").select("key", "table", "node", "weight", F.coalesce("label", "node").alias("label"))
+    mixed = stage(now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+                  .where(F.col("x") != F.col("y")).select("key"), f"mixed-{k}")
+    return stage(now.join(mixed, "key", "left_semi"), f"placed-{k}")
+
+
+def cross_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of a bucket from different components whose sketches are alike, each in the first table it shares."""
+    per = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
+    largest = stage(per.groupBy("key").agg(F.max(F.struct("k", "label"))["label"].alias("largest"), F.sum("k").alias("size"))
+                    .select("key", "largest", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "largest")
+    rows = (placed.select("key", "table", "node", "label").join(largest, "key").join(nodes, "node")
+            .withColumn("main", F.col("label") == F.col("largest"))
+            .withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")))
+    # slice (i, j) of a bucket compares its i-th part with the j-th part of the nodes outside the largest component
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    asked = F.when(F.col("main"), F.lit(0)).otherwise(1)
+    sides = (rows.withColumn("side", F.explode(F.slice(F.array(F.lit(0), F.lit(1)), 1, asked + 1)))
+             .withColumn("other", every)
+             .withColumn("i", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")))
+             .withColumn("j", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))))
+    columns = ["key", "i", "j", "side", "main", "table", "node", "label", "n", "left", "right", "sketch"]
+    dealt = sides.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_compare_slices, "a long, b long").distinct()
+
+
+def _compare_slices(batches: Iterator) -> Iterator:
+    """Streams the slices; holds one at a time."""
+    import pyarrow as pa
+
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        table = table.combine_chunks()
+        cuts = _slice_cuts(table)
+        if len(cuts) > 2:
+            yield _compared(table, cuts[:-1])
+        rest = table.slice(int(cuts[-2])) if len(cuts) > 1 else None
+    if rest is not None and rest.num_rows:
+        rest = rest.combine_chunks()
+        yield _compared(rest, _slice_cuts(rest))
+
+
+def _slice_cuts(table) -> np.ndarray:
+    """Where slices begin, and the number of rows."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in ("key", "i", "j"):
+        v = table.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(new), table.num_rows)
+
+
+def _compared(table, cuts: np.ndarray):
+    """The pairs of all slices between ``cuts`` as a record batch."""
+    import pyarrow as pa
+
+    stop = int(cuts[-1])
+    col = {c: table.column(c).to_numpy()[:stop] for c in ("side", "main", "table", "node", "label", "n")}
+
+    def matrix(name, width, kind):
+        data = table.column(name).chunk(0).slice(0, stop) if stop else None
+        if data is None:
+            return np.zeros((0, width), kind)
+        if name == "sketch":
+            off = np.frombuffer(data.buffers()[1], np.int32)[data.offset:data.offset + stop + 1]
+            return np.frombuffer(data.buffers()[2], np.uint8)[off[0]:off[-1]].reshape(stop, width)
+        return data.flatten().to_numpy(zero_copy_only=False).reshape(stop, width)
+
+    left, right, sketch = matrix("left", GROUPS, np.int64), matrix("right", GROUPS, np.int64), matrix("sketch", BINS, np.uint8)
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        x, y = a + np.flatnonzero(col["side"][a:b] == 0), a + np.flatnonzero(col["side"][a:b] == 1)
+        step = max(1, 32_000_000 // (BINS * max(1, len(x))))
+        for k in range(0, len(y), step):
+            out.append(_alike(x, y[k:k + step], col, left, right, sketch))
+    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs.min(1, initial=np.iinfo(np.int64).max)), pa.array(pairs.max(1, initial=np.iinfo(np.int64).min))],
+                                      names=["a", "b"])
+
+
+def _alike(x: np.ndarray, y: np.ndarray, col: dict, left: np.ndarray, right: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Node pairs (rows x columns 2) of rows ``x`` and ``y`` that are worth comparing in full."""
+    n, node, label = col["n"], col["node"], col["label"]
+    small, large = np.minimum(n[x][:, None], n[y][None]), np.maximum(n[x][:, None], n[y][None])
+    ok = (label[x][:, None] != label[y][None]) & (col["main"][x][:, None] | (node[x][:, None] < node[y][None]))
+    ok &= small * 100 >= large * PERCENT
+    if not ok.any():
+        return np.zeros((0, 2), np.int64)
+    sx, sy = sketch[x], sketch[y]
+    same = np.count_nonzero((sx[:, None, :] == sy[None]) & (sx != 0)[:, None, :], 2)
+    fx, fy = (sx != 0).astype(np.float32), (sy != 0).astype(np.float32)
+    either = fx.sum(1)[:, None] + fy.sum(1)[None] - fx @ fy.T
+    ok &= (same >= LEAST_ESTIMATE * either) | (small < LEAST_SIZE)
+    i, j = np.nonzero(ok)
+    i, j = x[i], y[j]
+    first = (left[i] == left[j]).argmax(1) * GROUPS + (right[i] == right[j]).argmax(1)
+    kept = first == col["table"][i]
+    return np.stack([node[i[kept]], node[j[kept]]], 1)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,52 +341,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = stage(usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("node")), "classes")
     members = stage(usable.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"]).select("id", "n", "node").distinct(), "members")
     nodes = stage(usable.join(members.select("node").distinct(), F.col("id") == F.col("node"), "left_semi")
-                  .select(F.col("id").alias("node"), "n", "left", "right", "low").distinct(), "nodes")
+                  .select(F.col("id").alias("node"), "n", "left", "right", "sketch").distinct(), "nodes")
 
     keys = table_keys(nodes)
     # staged, so that the joins on keys have plain exchanges on both sides, which AQE can split where a key is hot
-    shared = stage(keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-                   .where(F.col("leader") != F.col("last")).select("key", "leader"), "shared-keys")
-    buckets = stage(keys.join(shared, "key"), "buckets")  # (key, node, leader) of buckets with several nodes
-
-    votes = buckets.where(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("votes"))
-    first = votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("leader")).alias("m")))["m"].alias("m"))
-    pairs = stage(first.select(F.col("node").alias("a"), (-F.col("m")).alias("b")), "pairs-1")
-    links = confirmed(pairs, docs, "round-1", id_col, text_col)
-    label1 = components(links, "components-1")
-
-    placed = (buckets.select("key", "node").distinct().join(label1, "node", "left")
-              .select("key", "node", F.coalesce("label", "node").alias("label")))
-    per = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = stage(per.groupBy("key").agg(F.max(F.struct("k", "label"))["label"].alias("largest"), F.sum("k").alias("size"),
-                                          F.count(F.lit(1)).alias("labels"))
-                  .where(F.col("labels") > 1)
-                  .select("key", "largest", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "mixed-keys")
-    light = nodes.select("node", "n", "low")
-    rest = stage(placed.join(mixed, "key").join(light, "node"), "mixed-buckets")
-    own_slice = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    x = rest.select("key", own_slice.alias("slice"), F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"),
-                    F.col("low").alias("wa"), (F.col("label") == F.col("largest")).alias("main"))
-    y = (rest.where(F.col("label") != F.col("largest"))
-         .select("key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("node").alias("b"),
-                 F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("low").alias("wb")))
-    pairs = stage(x.join(y, ["key", "slice"]).where(
-        (F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & near_size(F.col("na"), F.col("nb"))
-        & alike(F.col("wa"), F.col("wb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs-2")
-    links = confirmed(pairs, docs, "round-2", id_col, text_col)
+    shared = stage(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("size"))
+                   .where(F.col("least") != F.col("most")).select("key", "size"), "shared-keys")
+    buckets = stage(keys.join(shared, "key"), "buckets")  # of several nodes each
+    weight = stage(buckets.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    placed = stage(buckets.join(weight, "node").select("key", "table", "node", F.col("node").alias("label"), "weight"), "placed-0")
+    label = None
+    for k in range(1, ROUNDS + 1):
+        links = confirmed(leader_pairs(placed, k), docs, f"round-{k}", id_col, text_col)
+        label = merged(label, links, f"labels-{k}")
+        placed = still_mixed(placed.drop("label"), label, k)
+
+    pairs = stage(cross_pairs(placed, nodes), "pairs")
+    links = confirmed(pairs, docs, "last", id_col, text_col)
 
     # rows that repeat an id tie their nodes together
-    several = (members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-               .where(F.col("a") != F.col("b")).select("id").join(members, "id").groupBy("id")
-               .agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).select("a", F.explode("all").alias("b")))
-    label = label1.select("node", "label")
-    ends = links.unionByName(several.where(F.col("a") != F.col("b")))
-    outer = (ends.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-             .join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-             .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where(F.col("a") != F.col("b")))
-    label2 = components(outer, "components-2")
-    final = (members.join(label, "node", "left").select("id", F.coalesce("label", "node").alias("one"))
-             .join(label2.select(F.col("node").alias("one"), F.col("label").alias("two")), "one", "left")
-             .groupBy("id").agg(F.min(F.coalesce("two", "one")).alias("component")))
+    several = stage(members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+                    .where(F.col("a") != F.col("b")).select("id", "a"), "repeated-ids")
+    ties = several.join(members, "id").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    label = merged(label, links.unionByName(ties), "labels")
+    final = members.join(label, "node", "left").groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("component"))
     return (sigs.select("id", "n").join(final, "id", "left")
             .select("id", "n", F.coalesce("component", "id").alias("component")))

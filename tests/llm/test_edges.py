@@ -99,14 +99,26 @@ def test_minhash_chains_large_groups_and_thresholds(spark):
     assert got == dict(enumerate(comp))
 
 
-def test_equal_minhashes_are_counted(spark):
+def test_slices_of_large_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "SLICE", 7)
+    monkeypatch.setattr(minhash_dedup, "ROUNDS", 1)
+    test_minhash_chains_large_groups_and_thresholds(spark)
+
+
+def test_sketches_estimate_similarity():
     random.seed(4)
-    a = [random.randrange(1 << 56) for _ in range(6)]
-    b = [x if random.random() < 0.3 else x ^ random.randrange(1 << 56) for x in a]
-    want = [sum((x >> 8 * k) & 255 == (y >> 8 * k) & 255 for k in range(7)) for x, y in zip(a, b)]
-    df = spark.createDataFrame(list(zip(a, b)), "x long, y long")
-    got = df.select(minhash_dedup._equal_bytes(F.col("x"), F.col("y")).alias("n")).collect()
-    assert sorted(r.n for r in got) == sorted(want)
+    pool = minhash_dedup.mix64(np.arange(4000, dtype=np.uint64))
+    for share in (0.5, 0.75, 0.9):
+        errors = []
+        for k in range(60):
+            both = int(300 * share)
+            some = np.array(random.sample(range(4000), 600 - both))
+            a, b = np.unique(pool[some[:300]]), np.unique(pool[np.concatenate([some[:both], some[300:600 - both]])])
+            sk = minhash_dedup._sketches(np.array([len(a), 0, len(b)]), np.concatenate([a, b])).to_pylist()
+            x, y = np.frombuffer(sk[0], np.uint8), np.frombuffer(sk[2], np.uint8)
+            assert sk[1] is None
+            errors.append(((x == y) & (x > 0)).sum() / ((x > 0) | (y > 0)).sum() - both / (600 - both))
+        assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.035
 
 
 # ------------------------------------------------------------------ 3
