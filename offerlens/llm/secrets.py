@@ -106,6 +106,7 @@ def extend_ledger(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule,
 def per_path(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(path, blob, spans): the findings of each path's blob, by start, then kind as listed."""
     order = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)]), F.col("kind"))
-    spans = findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", order.alias("ord"), "end", "kind"))).alias("spans"))
+    # staged, so that the join has plain exchanges, whose hot blobs AQE can split
+    spans = stage(findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", order.alias("ord"), "end", "kind"))).alias("spans")), "spans")
     return paths.join(spans, "blob", "left").select(
         "path", "blob", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
