@@ -36,10 +36,10 @@ from pyspark.sql import types as T
 
 from offerlens.llm.common import pieces, utf8_buffers
 
-CHARS_PER_LANG, DOCS_PER_LANG, MAX_LANGS = 40_000, 100, 256
+CHARS_PER_LANG, DOCS_PER_LANG, MAX_LANGS = 20_000, 100, 256
 #: Symbols: 0 is the blank, the commonest letters get their own, the others share what is left.
 SYMBOLS, OWN = 64, 56
-STRETCH, BATCH_BYTES = 1024, 2_000_000
+STRETCH, BATCH_BYTES = 1024, 1_000_000
 UNKNOWN = "und"
 
 
@@ -110,14 +110,16 @@ def parser_table(symbols: np.ndarray, base: int) -> np.ndarray:
     nxt = suffix_automaton(symbols)
     nxt = np.vstack([nxt, np.full((1, SYMBOLS), -1, np.int32)])  # last: where a symbol that never occurs leads
     nothing = len(nxt) - 1
-    row = (np.arange(len(nxt), dtype=np.int64) * SYMBOLS + base) << 1
+    row = ((np.arange(len(nxt), dtype=np.int32) * np.int32(SYMBOLS) + np.int32(base)) << 1).astype(np.int32)
     fresh = row[np.where(nxt[0] >= 0, nxt[0], nothing)] | 1
-    return np.where(nxt >= 0, row[np.maximum(nxt, 0)], fresh[None, :]).astype(np.int32).ravel()
+    return np.where(nxt >= 0, row[np.maximum(nxt, 0)], fresh[None, :]).ravel()
 
 
-@cache
-def _parser(samples: Samples):
-    """(table, root place per language, bits per phrase, symbol of each code point); once per worker."""
+def parser(samples: Samples):
+    """(table, root place per language, bits per phrase, symbol of each code point).
+
+    Built by each task and dropped with it: workers are reused, and a table of
+    10 MB a language is better not kept by all of them."""
     lower, letter = _folded()
     own = np.zeros(0x110000, np.uint8)
     shared = OWN + np.arange(0x110000) % (SYMBOLS - OWN)
@@ -153,9 +155,9 @@ def phrase_counts(table: np.ndarray, roots: np.ndarray, symbols: np.ndarray, sta
     return out
 
 
-def identify(samples: Samples, raw: np.ndarray, off: np.ndarray):
-    """(index of the language or -1, score, bits per letter) of some rows' bytes."""
-    table, roots, bits, symbol = _parser(samples)
+def identify(built: tuple, raw: np.ndarray, off: np.ndarray):
+    """(index of the language or -1, score, bits per letter) of some rows' bytes; ``built`` is a ``parser``."""
+    table, roots, bits, symbol = built
     n = len(off) - 1
     data = raw[off[0]:off[-1]]
     cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -229,9 +231,10 @@ def predict(docs: DataFrame, samples: Samples, text_col: str = "text",
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        built = parser(samples) if samples.langs else None
         for batch in batches:
             raw, off = utf8_buffers(batch.column(at))
-            found = [identify(samples, raw, off[a:b + 1]) if samples.langs else (np.full(b - a, -1), np.zeros(b - a), np.zeros(b - a))
+            found = [identify(built, raw, off[a:b + 1]) if samples.langs else (np.full(b - a, -1), np.zeros(b - a), np.zeros(b - a))
                      for a, b in pieces(off, BATCH_BYTES)]
             best, score, bits = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), *[np.zeros(0)] * 2)
             yield pa.RecordBatch.from_arrays(

@@ -166,7 +166,7 @@ def test_phrases_against_greedy_matching():
     random.seed(5)
     sample = "".join(random.choice("abcd ") for _ in range(300))
     samples = langid.Samples((("x", sample),), "abcd")
-    table_, roots, _, symbol = langid._parser(samples)
+    table_, roots, _, symbol = langid.parser(samples)
     for _ in range(50):
         text = "".join(random.choice("abcde ") for _ in range(random.randint(1, 60)))
         sym = [int(symbol[ord(c)]) for c in text]
