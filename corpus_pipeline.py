@@ -48,9 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text): the ids and the text they decode to, a row for each row of the mix."""
-    ids = bpe.encode(docs, tokenizer_path())
-    return bpe.decode(ids, tokenizer_path(), out="text").select(
-        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    return bpe.encode(docs, tokenizer_path(), decoded=True).select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("near dedup", near), ("mix", mix), ("encode", encode)]

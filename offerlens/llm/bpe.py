@@ -3,11 +3,12 @@
 1. Tasks split texts into words (the tokenizer's own pre-tokenisation, done on
    arrays of code points) and number the distinct words of a block of
    documents. A block sends each distinct word once, packed with others of the
-   same hash bucket, and its documents as sequences of word numbers.
+   same hash bucket.
 2. Dealt by bucket, all blocks' copies of a word meet in one task, which
    encodes each distinct word once. A word has one row from each block however
    often it occurs, so frequent words make no hot key.
-3. Dealt by block, the ids are joined back to the word sequences by position.
+3. Dealt by block, the ids meet the block's documents, which are sent as
+   sequences of word numbers, and are joined back by position.
 
 Decoding joins ids with the id-to-piece table, which has one row per id of the
 vocabulary and is therefore the same size for any input, and strings the
@@ -27,6 +28,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -37,8 +39,10 @@ from pyspark.sql import functions as F
 
 from offerlens.llm.common import pieces, shuffle_partitions, span_hashes, utf8_buffers
 
-#: Tokens in a block, bytes split at once, tokens in a packed sequence row.
-BLOCK_TOKENS, SPLIT_BYTES, ROW_TOKENS = 4_000_000, 2_000_000, 250_000
+#: Tokens in a block; bytes split at once, whose word numbers make one packed row.
+BLOCK_TOKENS, SPLIT_BYTES = 1_500_000, 1_000_000
+#: Ids decoded at once.
+DECODE_IDS = 300_000
 
 #: FIXED VALUES: white space of the tokenizer's pattern.
 SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -188,67 +192,62 @@ def _rows(rows: list[tuple]):
 
 
 class _Block:
-    """The words and documents of one block."""
+    """The distinct words and the documents of one block; of the texts only word numbers are kept."""
 
     def __init__(self):
-        self.texts, self.spans, self.hashes, self.docs, self.tokens = [], [], [], [], 0
+        self.number, self.words, self.hashes, self.counts, self.docs, self.tokens = {}, [], [], [], [], 0
 
     def add(self, ids, valid, split) -> None:
         text, cp, starts, ends, per_row = split
-        self.texts.append(text)
-        self.spans.append((starts, ends))
-        self.hashes.append(span_hashes(cp.astype(np.uint64) + np.uint64(1), starts, ends))
-        self.docs.append((ids, valid, per_row))
+        distinct, seen, codes = np.unique(span_hashes(cp.astype(np.uint64) + np.uint64(1), starts, ends),
+                                          return_index=True, return_inverse=True)
+        mine = np.empty(len(distinct), np.uint32)
+        number, words = self.number, self.words
+        for j, (h, a, b) in enumerate(zip(distinct.tolist(), starts[seen].tolist(), ends[seen].tolist())):
+            k = number.get(h)
+            if k is None:
+                k = number[h] = len(words)
+                words.append(text[a:b].encode())
+            mine[j] = k
+        self.docs.append((ids, valid, per_row, mine[codes]))
         self.tokens += len(starts)
 
-    def rows(self, block: int, buckets: int) -> Iterator[tuple]:
-        import pandas as pd
-
-        hashes = np.concatenate(self.hashes)
-        codes, distinct = pd.factorize(hashes)
-        rank = np.empty(len(distinct), np.uint32)
-        rank[np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")] = np.arange(len(distinct), dtype=np.uint32)
-        seen = np.empty(len(distinct), np.int64)
-        seen[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        words, base = [""] * len(distinct), 0
-        order = np.argsort(seen, kind="stable")
-        for text, (starts, ends) in zip(self.texts, self.spans):
-            lo, hi = np.searchsorted(seen[order], [base, base + len(starts)])
-            mine = order[lo:hi]
-            at = seen[mine] - base
-            for j, a, b in zip(mine.tolist(), starts[at].tolist(), ends[at].tolist()):
-                words[j] = text[a:b]
-            base += len(starts)
-        part = (distinct % np.uint64(buckets)).astype(np.int64)
-        by = np.lexsort((rank, part))
-        cuts = np.flatnonzero(np.append(True, np.diff(part[by]) != 0)) if len(by) else np.zeros(0, np.int64)
-        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(by)).tolist()):
-            mine = by[a:b]
-            data = [words[j].encode() for j in mine.tolist()]
-            yield (int(part[mine[0]]), block, 0, 0,
-                   _pack(rank[mine], np.fromiter(map(len, data), np.uint32, len(data)), b"".join(data)))
-        codes, at, seq = rank[codes] if len(distinct) else np.zeros(0, np.uint32), 0, 0
-        for ids, valid, per_row in self.docs:
-            upto = np.concatenate([[0], np.cumsum(per_row)])
-            for a, b in pieces(upto, ROW_TOKENS):
-                yield (int((block * 31 + seq) % buckets), block, 1, seq,
-                       _pack(ids[a:b], valid[a:b], per_row[a:b].astype(np.uint32), codes[at + upto[a]:at + upto[b]]))
-                seq += 1
-            at += upto[-1]
-
-
-def split_words(docs: DataFrame, special: list[str], buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """Packed rows: each block's distinct words by bucket (kind 0) and its documents as word numbers (kind 1)."""
+    def rows(self, block: int, buckets: int, kind: int) -> Iterator[tuple]:
+        """Rows of the distinct words (kind 0) or of the documents (kind 1); words are renumbered by falling frequency."""
+        n = len(self.words)
+        counts = np.zeros(n, np.int64)
+        for _, _, _, codes in self.docs:
+            counts += np.bincount(codes, minlength=n)
+        rank = np.empty(n, np.uint32)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(n, dtype=np.uint32)
+        if kind == 0:
+            part = (np.fromiter(self.number, np.uint64, n) % np.uint64(buckets)).astype(np.int64)
+            by = np.lexsort((rank, part))
+            cuts = np.flatnonzero(np.append(True, np.diff(part[by]) != 0)) if n else np.zeros(0, np.int64)
+            for a, b in zip(cuts.tolist(), np.append(cuts[1:], n).tolist()):
+                mine = by[a:b]
+                data = [self.words[j] for j in mine.tolist()]
+                yield (int(part[mine[0]]), block, 0, 0,
+                       _pack(rank[mine], np.fromiter(map(len, data), np.uint32, len(data)), b"".join(data)))
+            return
+        for seq, (ids, valid, per_row, codes) in enumerate(self.docs):
+            yield 0, block, 1, seq, _pack(ids, valid, per_row.astype(np.uint32), rank[codes])
+
+
+def split_words(docs: DataFrame, special: list[str], buckets: int, kind: int, id_col: str, text_col: str) -> DataFrame:
+    """Packed rows: each block's distinct words by bucket (kind 0) or its documents as word numbers (kind 1).
+
+    The texts are split once for either kind: sending the sequences along with
+    the words would shuffle them, the largest part, twice."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
-        from pyspark import TaskContext
 
-        number, block = TaskContext.get().partitionId() << 33, _Block()
+        number, block = None, _Block()
 
         def flush(block):
             out, size = [], 0
-            for r in block.rows(number, buckets):
+            for r in block.rows(number, buckets, kind):
                 out.append(r)
                 size += len(r[4])
                 if size > 4_000_000:
@@ -258,6 +257,8 @@ def split_words(docs: DataFrame, special: list[str], buckets: int, id_col: str,
                 yield _rows(out)
 
         for batch in batches:
+            if number is None and batch.num_rows:
+                number = batch.column(2)[0].as_py() << 33
             ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             valid = pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.uint8)
             raw, off = utf8_buffers(batch.column(1))
@@ -269,12 +270,15 @@ def split_words(docs: DataFrame, special: list[str], buckets: int, id_col: str,
         if block.docs:
             yield from flush(block)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    # the scan's own partition number, which is the same below a union
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                       F.spark_partition_id().alias("scan")).mapInArrow(run, SCHEMA)
 
 
 def encode_words(packed: DataFrame, tokenizer_file: str) -> DataFrame:
     """Word rows with their ids in place of the words; each distinct word of a bucket is encoded once."""
     def run(batches: Iterator) -> Iterator:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only cost memory
         from tokenizers import Tokenizer
 
         tok, part, known = Tokenizer.from_file(tokenizer_file), None, {}
@@ -287,17 +291,14 @@ def encode_words(packed: DataFrame, tokenizer_file: str) -> DataFrame:
             out, opened = [], []
             if cols[0][0] != part:
                 known = {}
-            for p, block, kind, seq, payload in zip(*cols):
-                if kind:
-                    out.append((p, block, kind, seq, payload))
-                    continue
+            for p, block, payload in zip(cols[0], cols[1], cols[4]):
                 lids, lens, data = _unpack(payload)
                 ends = np.cumsum(lens).tolist()
                 words = [data[a:b] for a, b in zip([0, *ends], ends)]
                 opened.append((p, block, lids, words))
             fresh = list(dict.fromkeys(w for _, _, _, words in opened for w in words if w not in known))
-            for a in range(0, len(fresh), 10_000):
-                some = fresh[a:a + 10_000]
+            for a in range(0, len(fresh), 1000):
+                some = fresh[a:a + 1000]
                 for w, e in zip(some, tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
                     known[w] = e.ids
             for p, block, lids, words in opened:
@@ -322,8 +323,14 @@ def _ragged(flat: np.ndarray, first: np.ndarray, lens: np.ndarray, pick: np.ndar
     return flat[at], n
 
 
-def join_back(packed: DataFrame) -> DataFrame:
-    """(id, ids) of every document from rows that are dealt and sorted by block, words first."""
+def join_back(packed: DataFrame, table_file: str | None = None) -> DataFrame:
+    """(id, ids) of every document from rows that are dealt and sorted by block, words first.
+
+    With the file of an id-to-piece table, the ids are decoded at once (a
+    column ``decoded``): the same worker does both, where a ``decode`` behind
+    it would keep a second one busy for every task."""
+    pieces_ = piece_table(table_file) if table_file else None
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -348,21 +355,24 @@ def join_back(packed: DataFrame) -> DataFrame:
                 flat, n = _ragged(*table, codes)
                 upto = np.concatenate([[0], np.cumsum(n)])
                 off = upto[np.concatenate([[0], np.cumsum(per_row.astype(np.int64))])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64(), mask=valid == 0),
-                     pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat.astype(np.int32)))], names=["id", "ids"])
+                out = {"id": pa.array(ids, pa.int64(), mask=valid == 0),
+                       "ids": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat.astype(np.int32)))}
+                if pieces_:
+                    out["decoded"] = pa.array(decoded_texts(flat, off, *pieces_), pa.string())
+                yield pa.RecordBatch.from_pydict(out)
 
-    return packed.mapInArrow(run, "id long, ids array<int>")
+    return packed.mapInArrow(run, "id long, ids array<int>" + (", decoded string" if pieces_ else ""))
 
 
-def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): one row per row of ``docs``."""
+def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
+           decoded: bool = False) -> DataFrame:
+    """(id, ids): one row per row of ``docs``; with ``decoded`` also the text the ids decode to."""
     with open(tokenizer_file, encoding="utf-8") as f:
         special = [t["content"] for t in json.load(f).get("added_tokens", [])]
     n = shuffle_partitions(docs.sparkSession)
-    words = split_words(docs, special, 4 * n, id_col, text_col).repartition(n, "part").sortWithinPartitions("part")
-    ids = encode_words(words, tokenizer_file).repartition(n, "block").sortWithinPartitions("block", "kind", "seq")
-    return join_back(ids)
+    words = split_words(docs, special, 4 * n, 0, id_col, text_col).repartition(n, "part").sortWithinPartitions("part")
+    both = encode_words(words, tokenizer_file).unionByName(split_words(docs, special, 4 * n, 1, id_col, text_col))
+    return join_back(both.repartition(n, "block").sortWithinPartitions("block", "kind", "seq"), tokenizer_file if decoded else None)
 
 
 def piece_table(tokenizer_file: str) -> tuple[np.ndarray, np.ndarray]:
@@ -379,6 +389,16 @@ def piece_table(tokenizer_file: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(out), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in out])])
 
 
+def decoded_texts(ids: np.ndarray, rows: np.ndarray, flat: np.ndarray, upto: np.ndarray) -> list[str]:
+    """The texts of ``ids[rows[i]:rows[i + 1]]``; bytes that are no UTF-8 become U+FFFD."""
+    first, lens, out = upto[:-1], np.diff(upto), []
+    for a, b in pieces(rows, DECODE_IDS):  # the gather needs some 30 bytes for each byte of text
+        data, n = _ragged(flat, first, lens, ids[rows[a]:rows[b]])
+        ends = np.concatenate([[0], np.cumsum(n)])[rows[a:b + 1] - rows[a]]
+        out += [data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return out
+
+
 def decode(encoded: DataFrame, tokenizer_file: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids; bytes that are no UTF-8 become U+FFFD. Null ids: empty text."""
     from pyspark.sql import types as T
@@ -389,21 +409,12 @@ def decode(encoded: DataFrame, tokenizer_file: str, ids_col: str = "ids", out: s
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        first, lens = upto[:-1], np.diff(upto)
         for batch in batches:
             ids = batch.column(keep.index(ids_col))
-            cut = ids.fill_null([]) if ids.null_count else ids
-            off = cut.offsets.to_numpy()
-            data, n = _ragged(flat, first, lens, cut.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]])
-            ends = np.concatenate([[0], np.cumsum(n)])[off - off[0]]
-            try:
-                data.tobytes().decode("utf-8")
-                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [
-                    None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.large_string())
-                texts = texts.cast(pa.string())
-            except (UnicodeDecodeError, pa.ArrowInvalid):
-                texts = pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*keep, out])
+            rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+            texts = decoded_texts(ids.flatten().to_numpy(zero_copy_only=False), rows, flat, upto)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*keep, out])
 
     return encoded.select(*keep).mapInArrow(run, schema)

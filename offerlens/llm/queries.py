@@ -42,7 +42,7 @@ def tokenizer_path() -> str:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
+    both = bpe.encode(docs, tokenizer_path(), decoded=True)
     return both.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
