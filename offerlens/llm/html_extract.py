@@ -7,14 +7,15 @@ by the element they stand in, get the logarithm of how much more often they
 occur inside than outside the marked region. One linear scan finds the
 contiguous run of tokens with the largest sum. From that region the text is
 read block by block, leaving out elements that never hold content (scripts,
-forms, menus, notices, adverts, reader comments ...).
+forms, menus, notices, adverts, reader comments ...), unless they surround the
+region itself.
 
 The counts behind the weights are summed over all labelled pages; they have
 one row per kind of element, of which there are at most a few hundred.
 
 Cases: null or empty html, and pages without words, give an empty text;
-unclosed and stray tags, and a page cut off anywhere, are read as far as they
-go; repeated rows give equal texts; an empty table gives an empty result;
+elements end where HTML ends them, also without a close; stray tags, and a
+page cut off anywhere, are read as far as they go; repeated rows give equal texts; an empty table gives an empty result;
 columns other than the html pass through.
 """
 
@@ -25,6 +26,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,22 @@ noframes noscript object script select style svg template textarea title""".spli
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code em font i kbd mark q s samp small span strong sub sup time tt u var".split())
 KNOWN = BLOCKS | NEVER | VOID | INLINE
+#: FIXED VALUES: elements of ``NEVER`` that hold no content even where they surround the whole region.
+LEAF = frozenset("""button canvas datalist head iframe input label noembed noframes noscript object script select style
+svg template textarea title""".split())
+#: FIXED VALUES: where HTML ends elements whose close may be left out. A block ends an open ``p``; an item ends the item
+#: before it, up to the list or table around both; end tags reach no further than ``SCOPE``.
+ENDS_P = frozenset("""address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure
+footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul""".split())
+ITEMS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "optgroup": ("option", "optgroup"),
+         "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"),
+         **dict.fromkeys(("tbody", "thead", "tfoot"), ("tbody", "thead", "tfoot", "tr", "td", "th", "caption"))}
+SCOPE = frozenset("table td th caption object template button".split())
+TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
+#: FIXED VALUES: elements that never stand in a drawing or a formula, so they end one that was left open.
+BREAKS_OUT = frozenset("""b blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu
+meta ol p pre s small span strong sub sup table tt u ul var""".split())
+FOREIGN = ("svg", "math")
 #: FIXED VALUES: words in a class, id or role that mark an element as no part of the content.
 NOISE = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar comment
 comments cookie cookies consent notice notices newsletter subscribe subscription share sharing social related
@@ -50,6 +68,7 @@ TOKENS = re.compile(
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|</[^>]*(?:>|\Z)", re.S)
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])|\Z", re.I) for n in RAW}
 
 WORD, OPEN, CLOSE = 0, 1, 2
@@ -66,8 +85,11 @@ def kind_of(name: str, attrs: str) -> str:
 
 
 def tokens(page: str) -> list[tuple[int, str, str, str]]:
-    """(what, name, kind, text) in page order; text runs are one WORD token each."""
-    out, at, n = [], 0, len(page)
+    """(what, name, kind, text) in page order; text runs are one WORD token each.
+
+    The text of an OPEN token is ``/`` if the tag ends its element itself,
+    which HTML allows for drawings and formulas and for what stands in them."""
+    out, at, n, foreign = [], 0, len(page), ""
     while at < n:
         m = TOKENS.search(page, at)
         stop = m.start() if m else n
@@ -81,8 +103,17 @@ def tokens(page: str) -> list[tuple[int, str, str, str]]:
             name = name.lower()
             if m["close"] or m["close2"]:
                 out.append((CLOSE, name, name if name in KNOWN else "other", ""))
+                foreign = "" if name == foreign else foreign
+                continue
+            attrs = m["attrs"] or m["attrs2"] or ""
+            if name in BREAKS_OUT:
+                foreign = ""
+            whole = (foreign or name in FOREIGN) and SELF_CLOSED.search(attrs)
+            out.append((OPEN, name, kind_of(name, attrs), "/" if whole else ""))
+            if whole:
                 continue
-            out.append((OPEN, name, kind_of(name, m["attrs"] or m["attrs2"] or ""), ""))
+            if name in FOREIGN:
+                foreign = foreign or name
             if name in RAW_END:  # its content is no markup
                 end = RAW_END[name].search(page, at)
                 out.append((WORD, "", "", page[at:end.start()]))
@@ -90,24 +121,68 @@ def tokens(page: str) -> list[tuple[int, str, str, str]]:
     return out
 
 
-def scored(toks: list) -> list[tuple[str, int]]:
+def nesting(toks: list) -> tuple[list[str], list[int]]:
+    """Per token the kind of the block around it, and for an OPEN token where its element ends.
+
+    The end is the place of the element's own close, or of the token that
+    ends it where the close was left out; elements still open end with the page."""
+    around, ends = [""] * len(toks), [len(toks)] * len(toks)
+    stack: list[tuple[str, str, int]] = []  # name, kind of the block, place
+    open_: dict[str, int] = defaultdict(int)
+
+    def leave(depth: int, at: int) -> None:
+        while len(stack) > depth:
+            name, _, place = stack.pop()
+            open_[name] -= 1
+            ends[place] = at
+
+    def find(names: tuple, stop: frozenset, passing: frozenset = frozenset()) -> int:
+        """Depth of the innermost open element of ``names``, not beyond one of ``stop``; -1 if there is none."""
+        if any(open_[x] for x in names):
+            for d in range(len(stack) - 1, -1, -1):
+                if stack[d][0] in names:
+                    return d
+                if stack[d][0] in stop and stack[d][0] not in passing:
+                    break
+        return -1
+
+    for i, (what, name, kind, text) in enumerate(toks):
+        if what == OPEN:
+            if (open_["svg"] or open_["math"]) and name in BREAKS_OUT and not (open_["foreignobject"] or open_["desc"]):
+                d = find(FOREIGN, frozenset())
+                while d >= 0:
+                    leave(d, i)
+                    d = find(FOREIGN, frozenset())
+            if name in ENDS_P and (d := find(("p",), SCOPE)) >= 0:
+                leave(d, i)
+            if name in ITEMS:
+                while (d := find(ITEMS[name], *((frozenset(("table", "template")),) if name in TABLE else
+                                                (BLOCKS | SCOPE, frozenset(("address", "div", "p", *ITEMS[name])))))) >= 0:
+                    leave(d, i)
+            around[i] = stack[-1][1] if stack else ""
+            if name in VOID or text == "/":
+                ends[i] = i
+            else:
+                stack.append((name, around[i] if name in INLINE else kind, i))
+                open_[name] += 1
+            continue
+        if what == CLOSE:
+            d = find((name,), frozenset(("table", "template")) - {name} if name in TABLE else SCOPE - {name})
+            if d >= 0 and name in INLINE:  # it may cross others
+                ends[stack[d][2]] = i
+                open_[name] -= 1
+                del stack[d]
+            elif d >= 0:
+                leave(d, i)
+        around[i] = stack[-1][1] if stack else ""
+    return around, ends
+
+
+def scored(toks: list, around: list[str] | None = None) -> list[tuple[str, int]]:
     """(feature, number of words or 1) per token: words by the element they stand in, tags by kind."""
-    out, stack = [], []
-    for what, name, kind, text in toks:
-        if what == WORD:
-            out.append(("w:" + (stack[-1][1] if stack else ""), len(text.split())))
-        elif what == OPEN:
-            out.append(("<" + kind, 1))
-            if name not in VOID and name not in INLINE:
-                if stack and stack[-1][0] == name == "p":
-                    stack.pop()  # a paragraph ends where the next begins
-                stack.append((name, kind))
-        else:
-            out.append(("/" + kind, 1))
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
-    return out
+    around = nesting(toks)[0] if around is None else around
+    return [("w:" + around[i], len(text.split())) if what == WORD else (("<" if what == OPEN else "/") + kind, 1)
+            for i, (what, _, kind, text) in enumerate(toks)]
 
 
 def labelled_region(toks: list) -> tuple[int, int] | None:
@@ -164,27 +239,46 @@ def best_region(values: list[float]) -> tuple[int, int]:
     return region
 
 
-def region_text(toks: list, region: tuple[int, int]) -> str:
-    """The region's blocks, one a line, without the elements that never hold content."""
-    blocks, block, skipped, depth = [], [], None, 0
-    for i, (what, name, kind, text) in enumerate(toks[:region[1]]):
-        if skipped:
-            if name == skipped:
-                depth += 1 if what == OPEN else -1
-                if not depth:
-                    skipped = None
-            continue
-        if what == OPEN and name not in VOID and (name in NEVER or kind.endswith(".noise")):
-            skipped, depth = name, 1
-        if i < region[0]:
+def region_text(toks: list, region: tuple[int, int], ends: list[int], values: list[float]) -> str:
+    """The region's blocks, one a line, without the elements that never hold content.
+
+    A class or a form may also stand on what surrounds the content. So an
+    element is kept if it opens before the region and reaches to its end, or
+    if most of the region's words stand in it and it holds the page's marked
+    content or, on a page without such a mark, opens before the region."""
+    first, last = region
+    worth = list(accumulate((values[i] if toks[i][0] == WORD else 0.0 for i in range(first, last)), initial=0.0))
+    marked = labelled_region(toks)
+
+    def surrounds(i: int) -> bool:
+        if toks[i][1] in LEAF:
+            return False
+        if toks[i][1] in ("html", "body") or i < first and ends[i] >= last:
+            return True
+        inside = worth[min(max(ends[i], first), last) - first] - worth[max(i, first) - first]
+        holds = i < marked[0] and ends[i] >= marked[1] if marked else i < first
+        return holds and 2 * inside > worth[-1]
+
+    blocks, block, i = [], [], 0
+    while i < last:
+        what, name, kind, text = toks[i]
+        if what == OPEN and name not in VOID and (name in NEVER or kind.endswith(".noise")) and not surrounds(i):
+            if i >= first:
+                blocks.append(block)
+                block = []
+            end = ends[i]
+            own = end < len(toks) and (end == i or toks[end][0] == CLOSE and toks[end][1] == name)
+            i = end + 1 if own else end
             continue
-        if what == WORD:
-            block.append(text)
-        elif name in BLOCKS or skipped:
-            blocks.append(block)
-            block = []
-        elif name == "br":
-            block.append(" ")
+        if i >= first:
+            if what == WORD:
+                block.append(text)
+            elif name in BLOCKS:
+                blocks.append(block)
+                block = []
+            elif name == "br":
+                block.append(" ")
+        i += 1
     blocks.append(block)
     lines = (" ".join(_html.unescape("".join(b)).split()) for b in blocks if b)
     return "\n".join(x for x in lines if x)
@@ -194,13 +288,14 @@ def page_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     toks = tokens(page)
+    around, ends = nesting(toks)
     cache: dict[str, float] = {}
     values = []
-    for feature, n in scored(toks):
+    for feature, n in scored(toks, around):
         if feature not in cache:
             cache[feature] = weight(weights, feature)
         values.append(cache[feature] * n)
-    return region_text(toks, best_region(values))
+    return region_text(toks, best_region(values), ends, values)
 
 
 def extract(pages: DataFrame, html_col: str = "html", weights: dict[str, float] | None = None,

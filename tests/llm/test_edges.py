@@ -53,6 +53,24 @@ def test_html_cases(spark):
     assert extract(spark, []) == []
 
 
+def test_html_elements_around_the_content_and_closes_left_out(spark):
+    body = "".join(f"<p>Sentence number {i} of the text and more.</p>" for i in range(5))
+    text = "\n".join(f"Sentence number {i} of the text and more." for i in range(5))
+    ad, tail = "<div class='ad'>Buy now</div>", "<p>Last line of it.</p>"
+    article, plain = f"<article>{body}{ad}</article>", f"<div>{body}{ad}</div>"
+    around = [f"<body class='right-sidebar'>{article}</body>", f"<body><div class='has-sidebar'>{article}</div></body>",
+              f"<body><div id='page' class='share-enabled'>{article}</div><footer>foot</footer></body>", f"<body><form>{article}</form></body>",
+              f"<body class='right-sidebar'>{plain}</body>", f"<div class='has-sidebar'>{plain}</div>", f"<form>{plain}</form>"]
+    assert extract(spark, around) == [text] * len(around)
+    inside = ["<p class='notice'>Note<p>", "<svg/><p>", "<svg><path/><title/></svg><p>", "<math/><p>", "<svg><path><p>",
+              "<ul><li class='share'>Share<li>", "<table><tr><td class='ad'>Buy<td>", "<p><span class='ad'>Buy</p><p>"]
+    ends = {"<ul>": "</ul>", "<tab": "</table>"}
+    pages = [f"<body><article>{body}{x}Some more words here{ends.get(x[:4], '')}{tail}</article></body>" for x in inside]
+    assert extract(spark, pages) == [f"{text}\nSome more words here\nLast line of it."] * len(pages)
+    cookie = "<div class='cookie-consent'>" + "<p>We use cookies for this and that and more.</p>" * 9 + "</div>"
+    assert extract(spark, [*[f"<body>{article}</body>"] * 20, f"<body>{cookie}{article}</body>"]) == [text] * 21
+
+
 def test_best_region_against_all_ranges():
     random.seed(1)
     for _ in range(200):
