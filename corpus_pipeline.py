@@ -15,18 +15,21 @@ from offerlens.llm.common import join_checked, stage
 from offerlens.llm.queries import tokenizer_path
 from offerlens.sources.tables import load
 
-#: A text is rejected if it has no letters, or if several languages explain it equally well.
-LEAST_SCORE = 0.3
+#: Stands in where no language can be learned, so that texts without letters are found all the same.
+NO_LANGUAGE = langid.Samples((("any", "a"),), "a")
 
 #: Language ID, minhashes and byte pairs have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an identified language; the samples come from their own labels."""
+    """Documents that some language explains best: all but those without letters.
+
+    The samples come from the documents' own labels. Neither equally good
+    languages nor the lack of any label reject a text."""
     samples = langid.learn(docs, langid.remainder(F.col("doc_id"), 3) != 1)
-    found = langid.predict(docs, samples, out=("__lang", "__score", "__bits"))
-    return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    found = langid.predict(docs, samples if samples.langs else NO_LANGUAGE, out=("__lang", "__score", "__bits"))
+    return found.where(F.col("__lang") != langid.UNKNOWN).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -180,6 +180,21 @@ def test_language_cases(spark, none):
     assert [r.lang_pred for r in langid.predict(docs.where("doc_id < 3"), empty).collect()] == ["und"] * 3
 
 
+def test_language_stage_rejects_only_texts_without_letters(spark, none):
+    import corpus_pipeline as C
+    text = "the quick brown fox jumps over the lazy dog and runs away "
+    rows = [(i, text * 3, ("en", "en-US", "en-GB", "EN", "en-AU", None)[i % 6], None, None) for i in range(60)]
+    rows += [(100, None, "en", None, None), (101, "", None, None, None), (102, "12 34 !!", "en", None, None),
+             (103, "fox", None, None, None), (104, "Ωμέγα και άλλα", None, None, None), (None, text, None, None, None)]
+    docs = table(spark, rows)
+    assert {r.score for r in langid.predict(docs.where("doc_id < 60"), langid.learn(docs, F.lit(True))).collect()} == {0.2}
+    want = sorted(str(r[0]) for r in rows if r[0] not in (100, 101, 102))
+    for given in (docs, docs.withColumn("lang", F.lit(None).cast("string"))):
+        got = C.language_id(spark, given, "")
+        assert got.columns == docs.columns and sorted(str(r.doc_id) for r in got.collect()) == want
+    assert C.language_id(spark, none, "").collect() == []
+
+
 def test_phrases_against_greedy_matching():
     random.seed(5)
     sample = "".join(random.choice("abcd ") for _ in range(300))
