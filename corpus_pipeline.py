@@ -38,10 +38,26 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    groups = minhash_dedup.near_groups(docs)
-    gone = stage(groups.where(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id")).distinct(), "near-gone")
-    return join_checked(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group, the one with the smallest id.
+
+    Groups are made of ids. Where an id stands on several rows, every row gets
+    a number of its own instead, so that a text goes only with its own group;
+    rows without an id take no part."""
+    id_col = "doc_id"
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.limit(1).count():
+        id_col = "__row"
+        docs = stage(docs.withColumn(id_col, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "near-rows")
+    groups = minhash_dedup.near_groups(docs, id_col)
+    if id_col == "doc_id":
+        gone = groups.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col))
+    else:
+        placed = stage(groups.where(F.col("id").isNotNull()).select(F.col("id").alias(id_col), "component")
+                       .join(docs.select("doc_id", id_col), id_col), "near-placed")
+        first = stage(placed.groupBy("component").agg(F.min(F.struct("doc_id", id_col))[id_col].alias("first")), "near-first")
+        gone = join_checked(placed.select(id_col), first.select(F.col("first").alias(id_col)), [id_col], "left_anti")
+    kept = join_checked(docs, stage(gone, "near-gone"), [id_col], "left_anti")
+    return kept.select(*[c for c in docs.columns if c != "__row"])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -368,6 +368,26 @@ def test_exact_cases(spark, odd, none):
     assert sorted(str(r.doc_id) for r in exact_dedup.drop_copies(alone).collect()) == ["1", "None"]
 
 
+def test_dedup_stages_lose_no_text_of_a_reused_id(spark):
+    import corpus_pipeline as C
+    rows = [(5, "A", "en", "x", 1), (7, "A", "en", "x", 1), (5, "B", "en", "x", 1), (8, "b", None, None, None), (5, "C", None, None, None),
+            (9, "D", None, None, None), (9, "D", None, None, None), (9, "E", None, None, None), (None, "C", None, None, None),
+            (None, None, None, None, None), (3, "", None, None, None)]
+    pick = lambda keep: sorted((r.doc_id, r.text) for r in exact_dedup.drop_copies(table(spark, rows), keep=keep).collect())
+    assert pick("largest") == [(3, ""), (5, "C"), (7, "A"), (8, "b"), (9, "D"), (9, "E")]
+    assert pick("smallest") == [(3, ""), (5, "A"), (5, "B"), (5, "C"), (9, "D"), (9, "E")]
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    a, b, c = words("a", 200), words("b", 200), words("c", 200)
+    texts = [(3, a), (5, a + " more"), (5, b), (4, b + " more"), (5, c), (6, a + " less"), (None, a + " null"), (None, a + " null"), (10, "few")]
+    docs = table(spark, [(i, t, "en", "x", 1) for i, t in texts]).withColumn("component", F.lit("clash"))
+    got = C.near(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        [(3, a), (4, b + " more"), (5, c), (None, a + " null"), (None, a + " null"), (10, "few")], key=str)
+    unique = C.near(spark, docs.where("doc_id in (3, 6, 10)"), "")
+    assert sorted(r.doc_id for r in unique.collect()) == [3, 10]
+
+
 def test_tree_merge_by_any_shape(spark):
     random.seed(9)
     rows = [(i, f"t{random.randrange(40)}", None, None, None) for i in range(600)]
