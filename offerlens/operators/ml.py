@@ -153,14 +153,16 @@ def sign_buckets(vec: Column, planes: list) -> Column:
     return F.array(*out)
 
 
-def ann_topk(corpus: DataFrame, query: Column, k: int = 3, dim: int = 64, tables: int = 6, bits: int = 3,
+def ann_topk(corpus: DataFrame, query: Column, k: int = 3, dim: int = 64, tables: int = 12, bits: int = 2,
              seed: int = 7, key: str = "customer_id", id_col: str = "interaction_id") -> DataFrame:
     """ret_ann_topk: top k per customer, rows that share a hash bucket with the query first.
 
     Buckets are signs of fixed random projections. Hashing is a projection
     and the bucket test one of its columns, so nothing is joined, exploded or
     made distinct. A customer's rows outside the query's buckets only fill up
-    what its candidates leave open, so every customer with k rows gets k."""
+    what its candidates leave open, so every customer with k rows gets k. With
+    12 tables of 2 bits a row at cosine 0.25 shares a bucket with probability
+    99 % (with 6 of 3 it was 73 %)."""
     import numpy as np
 
     planes = np.random.default_rng(seed).normal(size=(tables, bits, dim)).round(6).tolist()

@@ -101,6 +101,13 @@ def test_ann_fills_every_customer(spark):
         assert sims == sorted(sims, reverse=True)
 
 
+def test_ann_finds_nine_of_ten_exact_hits(spark):
+    from offerlens.plans.catalog import QUERIES
+    sf = "/root/testdata/sf0.01"
+    found, exact = ({(r.customer_id, r.interaction_id) for r in QUERIES[q](spark, sf).collect()} for q in ("ret_ann_topk", "ret_exact_topk"))
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
 def test_one_bad_prompt_nulls_one_row(spark):
     def load():
         def answer(prompts):
