@@ -191,25 +191,44 @@ def _rows(rows: list[tuple]):
                                       names=["part", "block", "kind", "seq", "payload"])
 
 
+def unlike(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Numbers of the words whose code points are not those of word ``other``; the words lie end to end."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    lens = ends - starts
+    same = lens == lens[other]
+    at = np.repeat(starts[other] - starts, lens) + np.arange(starts[0], ends[-1])
+    equal = cp[np.minimum(at, len(cp) - 1)] == cp[starts[0]:ends[-1]]
+    same &= np.logical_and.reduceat(equal, starts - starts[0])
+    return np.flatnonzero(~same)
+
+
 class _Block:
     """The distinct words and the documents of one block; of the texts only word numbers are kept."""
 
     def __init__(self):
-        self.number, self.words, self.hashes, self.counts, self.docs, self.tokens = {}, [], [], [], [], 0
+        self.number, self.words, self.hashes, self.docs, self.tokens = {}, [], [], [], 0
+
+    def numbered(self, word: str, h: int) -> int:
+        """The word's number in the block; words are told apart by their text, ``h`` only deals them to buckets."""
+        k = self.number.get(word)
+        if k is None:
+            k = self.number[word] = len(self.words)
+            self.words.append(word.encode())
+            self.hashes.append(h)
+        return k
 
     def add(self, ids, valid, split) -> None:
         text, cp, starts, ends, per_row = split
-        distinct, seen, codes = np.unique(span_hashes(cp.astype(np.uint64) + np.uint64(1), starts, ends),
-                                          return_index=True, return_inverse=True)
+        hashes = span_hashes(cp, starts, ends)
+        distinct, seen, codes = np.unique(hashes, return_index=True, return_inverse=True)
         mine = np.empty(len(distinct), np.uint32)
-        number, words = self.number, self.words
         for j, (h, a, b) in enumerate(zip(distinct.tolist(), starts[seen].tolist(), ends[seen].tolist())):
-            k = number.get(h)
-            if k is None:
-                k = number[h] = len(words)
-                words.append(text[a:b].encode())
-            mine[j] = k
-        self.docs.append((ids, valid, per_row, mine[codes]))
+            mine[j] = self.numbered(text[a:b], h)
+        numbers = mine[codes]
+        for i in unlike(cp, starts, ends, seen[codes]).tolist():  # a word that only shares another's hash
+            numbers[i] = self.numbered(text[int(starts[i]):int(ends[i])], int(hashes[i]))
+        self.docs.append((ids, valid, per_row, numbers))
         self.tokens += len(starts)
 
     def rows(self, block: int, buckets: int, kind: int) -> Iterator[tuple]:
@@ -221,7 +240,7 @@ class _Block:
         rank = np.empty(n, np.uint32)
         rank[np.argsort(-counts, kind="stable")] = np.arange(n, dtype=np.uint32)
         if kind == 0:
-            part = (np.fromiter(self.number, np.uint64, n) % np.uint64(buckets)).astype(np.int64)
+            part = (np.fromiter(self.hashes, np.uint64, n) % np.uint64(buckets)).astype(np.int64)
             by = np.lexsort((rank, part))
             cuts = np.flatnonzero(np.append(True, np.diff(part[by]) != 0)) if n else np.zeros(0, np.int64)
             for a, b in zip(cuts.tolist(), np.append(cuts[1:], n).tolist()):

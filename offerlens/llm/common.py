@@ -78,32 +78,26 @@ def seeded(n: int, seed: int) -> np.ndarray:
         return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(have)
-    return have[:n]
-
-
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """64-bit hashes of the spans ``values[start:end]``, by one running sum.
+    """64-bit hashes of the spans ``values[start:end]``, which must not overlap; values lie below 2^21.
 
-    A span's polynomial is the difference of two prefix sums, shifted to its
-    start by the inverse of the base, so equal spans hash alike anywhere."""
+    Every value is scrambled together with its place in the span before the
+    terms are added up. Equal spans hash alike anywhere, and no algebra ties
+    the terms together, as it does in a polynomial modulo 2^64 (where the
+    Thue-Morse words collide for every base)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    lens = (ends - starts).astype(np.int64)
+    before = np.cumsum(lens) - lens
+    place = np.arange(int(lens.sum())) - np.repeat(before, lens)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * _powers(_BASE, len(values)), out=total[1:])
-        h = (total[ends] - total[starts]) * _powers(_INVERSE, len(values) + 1)[starts]
-        return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
+        terms = values[np.repeat(starts, lens) + place].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(21))
+        terms = mix64((terms + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        sums = np.zeros(len(starts), np.uint64)
+        full = np.flatnonzero(lens)
+        if len(full):
+            sums[full] = np.add.reduceat(terms, before[full])
+        return mix64(sums + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
 
 
 def word_spans(inside: np.ndarray, off: np.ndarray):

@@ -56,24 +56,24 @@ SLICE = 2048
 BATCH_BYTES = 1_000_000
 
 
-def shingle_sets(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each row's bytes."""
+def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of each row's shingles of ``size`` words."""
     data = lower_ascii()[raw[off[0]:off[-1]]]
     rows = off - off[0]
     starts, ends, row = word_spans(~byte_table(SPACE_BYTES)[data], rows)
     first = np.searchsorted(row, np.arange(len(off)))
     with np.errstate(over="ignore"):
-        words = span_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)
-        salts = seeded(WORDS, 99)
-        n = max(0, len(words) - WORDS + 1)
+        words = span_hashes(data, starts, ends)
+        salts = seeded(size, 99)
+        n = max(0, len(words) - size + 1)
         windows = np.zeros(n, np.uint64)
-        for k in range(WORDS):
+        for k in range(size):
             windows += mix64(words[k:k + n] + salts[k]) if n else np.uint64(0)
         windows = mix64(windows)
         out = []
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            if b - a >= WORDS:
-                out.append(np.unique(windows[a:b - WORDS + 1]))
+            if b - a >= size:
+                out.append(np.unique(windows[a:b - size + 1]))
             elif b > a:
                 short = np.uint64(b - a)
                 for k in range(b - a):
