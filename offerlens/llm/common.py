@@ -126,3 +126,36 @@ def lower_ascii() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32
     return t
+
+
+# ------------------------------------------------------------------ vectors as integers
+#: Integer components are held within this bound, so that squared distances of 64 components fit a long.
+COMPONENT_LIMIT = 1 << 27
+
+
+def whole_vector(vector, dims: int):
+    """Condition: the vector has ``dims`` components, none of them null or non-finite."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+    return F.coalesce((F.size(vector) == dims) & F.forall(vector, lambda x: F.coalesce(finite(x), F.lit(False))), F.lit(False))
+
+
+def floor_components(vector, scale: int):
+    """``floor(scale * x)`` of every component as an int, held within ``COMPONENT_LIMIT``."""
+    limit = float(COMPONENT_LIMIT)
+    return F.transform(vector, lambda x: F.floor(F.least(F.greatest(x.cast("double") * float(scale), F.lit(-limit)), F.lit(limit))).cast("int"))
+
+
+def int_rows(column, dims: int) -> np.ndarray:
+    """The Arrow column of int lists, all of length ``dims``, as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims)
+
+
+def added_up(parts: DataFrame, *keys: str) -> dict[tuple, int]:
+    """Exact sums of ``total`` by ``keys`` (few: their number is a parameter's, not the data's), on the driver."""
+    total = F.sum(F.col("total").cast("decimal(38,0)")).alias("total")
+    return {tuple(r[k] for k in keys): int(r["total"]) for r in parts.groupBy(*keys).agg(total).collect()}
+
+
+def as_long(x: int) -> int:
+    """``x``, held within a long."""
+    return max(-(1 << 63), min((1 << 63) - 1, x))

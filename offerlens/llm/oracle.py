@@ -69,4 +69,58 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.co
 FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
 """
 
-ORACLE = {"op2_minhash": MINHASH, "op3_url_filters": URL_FILTERS, "op8_secret_ledger": SECRET_LEDGER, "op9_exact_dedup": EXACT_DEDUP}
+# ------------------------------------------------------------------ vectors, a row for each component
+def _floor_mean(total: str, n: str) -> str:
+    """floor(total / n) of integers; the remainder is made non-negative first."""
+    return f"({total} - (({total} % {n}) + {n}) % {n}) // {n}"
+
+
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64"
+
+
+def _zone_round(k: int) -> str:
+    """Assignment to the centroids of round k, and the centroids of the next round."""
+    return f"""
+a{k} AS (SELECT row, c, d FROM (SELECT v.row, c.c, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{k} c USING (i) GROUP BY v.row, c.c)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1),
+s{k} AS (SELECT a.c, v.i, sum(v.x) AS s, count(*) AS n FROM a{k} a JOIN v USING (row) GROUP BY a.c, v.i),
+c{k + 1} AS (SELECT c.c, c.i, CASE WHEN s.n IS NULL THEN c.x ELSE {_floor_mean("s.s", "s.n")} END AS x FROM c{k} c LEFT JOIN s{k} s USING (c, i))"""
+
+
+ZONE_CLUSTERS = f"""
+WITH e AS (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings WHERE {_USABLE}),
+v AS (SELECT row, vec_id, i, floor(64 * embedding[i]::DOUBLE)::HUGEINT AS x FROM e, range(1, 65) r(i)),
+h AS (SELECT row, row_number() OVER (ORDER BY sha256('1:' || vec_id), embedding) - 1 AS c FROM e QUALIFY c < 16),
+c0 AS (SELECT h.c, v.i, v.x FROM h JOIN v USING (row)),
+{','.join(_zone_round(k) for k in range(4))},
+g AS (SELECT c, sum(d) AS cluster_inertia FROM a3 GROUP BY c),
+f AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT e.vec_id, a3.c::INTEGER AS cluster, a3.d::BIGINT AS distance, g.cluster_inertia::BIGINT AS cluster_inertia,
+  (SELECT sum(d) FROM a3)::BIGINT AS inertia, f.centroid_sha256 FROM a3 JOIN e USING (row) JOIN g USING (c) JOIN f USING (c)
+"""
+
+
+def _code_round(k: int) -> str:
+    return f"""
+a{k} AS (SELECT row, p, c, d FROM (SELECT v.row, v.p, c.c, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{k} c USING (p, j)
+  GROUP BY v.row, v.p, c.c) QUALIFY row_number() OVER (PARTITION BY row, p ORDER BY d, c) = 1),
+s{k} AS (SELECT a.p, a.c, v.j, sum(v.x) AS s, count(*) AS n FROM a{k} a JOIN v USING (row, p) GROUP BY a.p, a.c, v.j),
+c{k + 1} AS (SELECT c.p, c.c, c.j, CASE WHEN s.n IS NULL THEN c.x ELSE {_floor_mean("s.s", "s.n")} END AS x
+  FROM c{k} c LEFT JOIN s{k} s USING (p, c, j))"""
+
+
+ORCHARD_CODES = f"""
+WITH e AS (SELECT row_number() OVER () AS row, vec_id, label, embedding FROM embeddings WHERE {_USABLE}),
+v AS (SELECT row, (i - 1) // 4 AS p, (i - 1) % 4 AS j, floor(256 * embedding[i]::DOUBLE)::HUGEINT AS x FROM e, range(1, 65) r(i)),
+h AS (SELECT row, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS c FROM e QUALIFY c < 64),
+c0 AS (SELECT v.p, h.c, v.j, v.x FROM h JOIN v USING (row)),
+{','.join(_code_round(k) for k in range(3))},
+r AS (SELECT row, string_agg(printf('%02x', c), '' ORDER BY p) AS code, sum(d) AS error FROM a2 GROUP BY row),
+l AS (SELECT label, sum(error) AS label_error FROM r JOIN e USING (row) GROUP BY label)
+SELECT e.vec_id, r.code, r.error::BIGINT AS error, l.label_error::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, c, j)) FROM c2) AS codebooks_sha256
+FROM r JOIN e USING (row) JOIN l ON l.label IS NOT DISTINCT FROM e.label
+"""
+
+ORACLE = {"op2_minhash": MINHASH, "op3_url_filters": URL_FILTERS, "op8_secret_ledger": SECRET_LEDGER, "op9_exact_dedup": EXACT_DEDUP,
+          "op12_zone_clusters": ZONE_CLUSTERS, "op13_orchard_codes": ORCHARD_CODES}
