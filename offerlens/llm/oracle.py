@@ -55,20 +55,26 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 FROM r
 """
 
-MINHASH = f"""
+def _jaccard(words: int, percent: int, columns: str) -> str:
+    """Components of the documents whose sets of ``words``-word shingles are at least ``percent`` % alike."""
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN
-  [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w)),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < {words} THEN
+  [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {words - 2}), lambda i: array_to_string(ws[i:i + {words - 1}], ' ')) END) AS sh FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach),
 m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id{columns}
 FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
 """
 
+
+MINHASH = _jaccard(5, 75, ", d.doc_id = m.component_id AS kept")
+NGRAM_JOIN = _jaccard(4, 85, "")
+
 # ------------------------------------------------------------------ vectors, a row for each component
 def _floor_mean(total: str, n: str) -> str:
     """floor(total / n) of integers; the remainder is made non-negative first."""
@@ -123,4 +129,4 @@ FROM r JOIN e USING (row) JOIN l ON l.label IS NOT DISTINCT FROM e.label
 """
 
 ORACLE = {"op2_minhash": MINHASH, "op3_url_filters": URL_FILTERS, "op8_secret_ledger": SECRET_LEDGER, "op9_exact_dedup": EXACT_DEDUP,
-          "op12_zone_clusters": ZONE_CLUSTERS, "op13_orchard_codes": ORCHARD_CODES}
+          "op11_ngram_join": NGRAM_JOIN, "op12_zone_clusters": ZONE_CLUSTERS, "op13_orchard_codes": ORCHARD_CODES}

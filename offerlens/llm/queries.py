@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import ann, bpe, exact_dedup, html_extract, langid, minhash_dedup, mixing, orchard_codes, secrets, toxicity, url_rules, zone_clusters
+from offerlens.llm import ann, bpe, exact_dedup, html_extract, langid, minhash_dedup, mixing, ngram_join, orchard_codes, secrets, toxicity, url_rules, zone_clusters
 from offerlens.sources.tables import load
 
 
@@ -83,6 +83,12 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table, F.col("vec_id") % 20 == 0).withColumnRenamed("id", "vec_id")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.jaccard_groups(docs).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+                                                  F.col("component").alias("component_id"))
+
+
 def op12_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return zone_clusters.report(*zone_clusters.cluster(table)).withColumnRenamed("id", "vec_id")
@@ -94,4 +100,4 @@ def op13_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash, op3_url_filters, op4_language_id, op5_bpe, op6_toxicity, op7_source_mix, op8_secret_ledger, op9_exact_dedup, op10_nearest,
-                                   op12_zone_clusters, op13_orchard_codes)}
+                                   op11_ngram_join, op12_zone_clusters, op13_orchard_codes)}
