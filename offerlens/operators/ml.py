@@ -1,4 +1,4 @@
-"""Learning, embedding, approximate retrieval and generation hooks (Spark ML / Arrow).
+"""Learning, embedding and generation hooks (Spark ML / Arrow).
 
 * The propensity model is an MLlib pipeline (StringIndexer keep-invalid +
   OneHotEncoder dropLast + VectorAssembler + GBTClassifier), trained and
@@ -26,9 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlens.functions.vectors import dot
-from offerlens.operators.ranking import argmax_by_group, expand_offers, topk_per_group
-from offerlens.operators.retrieval import exact_topk, similarity
+from offerlens.operators.ranking import argmax_by_group, expand_offers
 from offerlens.operators.workers import load_once
 from offerlens.session import stage_path
 
@@ -141,40 +139,6 @@ def embed_with(df: DataFrame, text_col: str, load_fn, dim: int, out: str = "embe
     return df.mapInPandas(run, schema)
 
 
-# ---------------------------------------------------------------- approximate retrieval
-def sign_buckets(vec: Column, planes: list) -> Column:
-    """One number per table: its place in ``planes`` times 2^bits plus the signs of the projections."""
-    out = []
-    for t, table in enumerate(planes):
-        code = F.lit(t << len(table))
-        for b, plane in enumerate(table):
-            code = code + F.when(dot(vec, F.array(*[F.lit(float(x)) for x in plane])) > 0, 1 << b).otherwise(0)
-        out.append(code)
-    return F.array(*out)
-
-
-def ann_topk(corpus: DataFrame, query: Column, k: int = 3, dim: int = 64, tables: int = 12, bits: int = 2,
-             seed: int = 7, key: str = "customer_id", id_col: str = "interaction_id") -> DataFrame:
-    """ret_ann_topk: top k per customer, rows that share a hash bucket with the query first.
-
-    Buckets are signs of fixed random projections. Hashing is a projection
-    and the bucket test one of its columns, so nothing is joined, exploded or
-    made distinct. A customer's rows outside the query's buckets only fill up
-    what its candidates leave open, so every customer with k rows gets k. With
-    12 tables of 2 bits a row at cosine 0.25 shares a bucket with probability
-    99 % (with 6 of 3 it was 73 %)."""
-    import numpy as np
-
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim)).round(6).tolist()
-    near = F.arrays_overlap(sign_buckets(c("embedding"), planes), sign_buckets(c("__q"), planes))
-    rows = corpus.withColumn("__q", query).where(F.size("embedding") == F.size("__q"))
-    scored = rows.withColumn("sim", similarity(c("embedding"), c("__q"))).withColumn("__far", (~near).cast("int"))
-    order = [c("__far").asc(), c("sim").desc(), c(id_col).asc()]
-    top = topk_per_group(scored.drop("__q"), key, order, k)
-    # ranks by similarity among the k rows chosen
-    return exact_topk(top.drop("rank", "__far"), k, key, id_col)
-
-
 # ---------------------------------------------------------------- generation hook
 def generate_with(df: DataFrame, prompt_col: str, load_fn, out: str = "response") -> DataFrame:
     """gen_batch_complete: ``load_fn()`` returns ``list[str] -> list[str|None]``

@@ -555,6 +555,16 @@ WHOLE_CORPUS = """corpus AS (
 CORPUS = WHOLE_CORPUS[:-1] + " WHERE e.vec_id NOT IN (0, 1))"
 
 
+def scoped_sql() -> str:
+    """Every row with its similarity to its customer's first row."""
+    return f"""WITH {WHOLE_CORPUS},
+        first AS (SELECT customer_id, arg_min(embedding, interaction_id) AS embedding, min(interaction_id) AS query_id FROM corpus GROUP BY 1),
+        qv AS (SELECT customer_id, query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) /
+               greatest(sqrt({dot_sql('embedding', 'embedding')}), 1e-12)) AS q FROM first),
+        scored AS (SELECT corpus.*, {sim_sql('embedding', 'qv.q')} AS sim FROM corpus JOIN qv USING (customer_id)
+                   WHERE interaction_id <> query_id)"""
+
+
 def hits_sql(k: int = 3) -> str:
     return f"""WITH {CORPUS},
 qv AS {query_sql(0)},
@@ -575,6 +585,7 @@ top5 AS (SELECT * FROM dedup ORDER BY sim DESC, interaction_id LIMIT 5)"""
 
 
 H = hits_sql(3)
+SCOPED = scoped_sql()
 PR = """, per_hist AS (SELECT customer_id, count_if(is_relevant) AS n_relevant FROM corpus GROUP BY 1),
 per_hit AS (SELECT customer_id, count(*) AS n_retrieved, count_if(is_relevant) AS n_hits FROM hits GROUP BY 1),
 pr AS (SELECT h.customer_id, h.n_relevant, coalesce(t.n_retrieved, 0) AS n_retrieved, coalesce(t.n_hits, 0) AS n_hits,
@@ -596,12 +607,7 @@ ORACLE.update({
     "fn_cosine": H + f" SELECT interaction_id, {rhu('sim', 6)} AS sim FROM scored",
     "ret_exact_topk": H + " SELECT customer_id, rank, interaction_id, channel, date, similarity, distance FROM hits",
     "win_topk_per_customer": hits_sql(5) + " SELECT customer_id, rank, interaction_id FROM hits",
-    "join_customer_scope": f"""WITH {WHOLE_CORPUS},
-        first AS (SELECT customer_id, arg_min(embedding, interaction_id) AS embedding, min(interaction_id) AS query_id FROM corpus GROUP BY 1),
-        qv AS (SELECT customer_id, query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) /
-               greatest(sqrt({dot_sql('embedding', 'embedding')}), 1e-12)) AS q FROM first),
-        scored AS (SELECT corpus.*, {sim_sql('embedding', 'qv.q')} AS sim FROM corpus JOIN qv USING (customer_id)
-                   WHERE interaction_id <> query_id),
+    "join_customer_scope": SCOPED + f""",
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY sim DESC, interaction_id) AS INTEGER) AS rank FROM scored)
         SELECT customer_id, rank, interaction_id, channel, date, {rhu('sim', 4)} AS similarity, {rhu('1e0 - sim', 4)} AS distance
         FROM ranked WHERE rank <= 3""",
@@ -752,7 +758,7 @@ ORACLE.update({
     "ext_recency_decay": _hits_from("s1 * exp(-0.01e0 * date_diff('day', CAST(date AS DATE), DATE '2024-01-31'))"),
     "ext_scope_filter": H + " SELECT count(*) AS n_hits, count_if(c.customer_id <> h.customer_id) AS n_crossing FROM hits h JOIN corpus c USING (interaction_id)",
     "ext_chunk_text": _CHUNKS,
-    "ext_persist_vectors": f"WITH {WHOLE_CORPUS} SELECT interaction_id, customer_id FROM corpus WHERE customer_id = 3",
+    "ext_persist_vectors": SCOPED + f" SELECT customer_id, interaction_id, {rhu('sim', 6)} AS sim FROM scored",
 })
 
 
@@ -779,7 +785,7 @@ ORACLE.update({
     "ret_bulk_context_check": SUBS + ", " + _HISTORY + """, k AS (SELECT customer_id, least(3, count(*)) AS n FROM hist GROUP BY 1)
         SELECT customer_id, CASE WHEN n > 0 THEN 'vector_top' || n ELSE 'full_dump' END AS retrieval_mode,
                CAST(coalesce(n, 0) AS INTEGER) AS n_retrieved FROM subs LEFT JOIN k USING (customer_id)""",
-    "ret_ann_check": f"WITH {CORPUS} SELECT customer_id, least(3, count(*)) AS n_hits, true AS recall_half FROM corpus GROUP BY 1",
+    "ret_ann_check": f"WITH {CORPUS} SELECT customer_id, least(3, count(*)) AS n_hits, true AS recall_ok FROM corpus GROUP BY 1",
     "gen_batch_complete": A() + f""", g AS (SELECT *, length({prompt_sql()}) % 3 <> 0 AS ok FROM guarded)
         SELECT customer_id AS msisdn, action, action_type, channel, sentiment,
                CASE WHEN ok THEN 'Selected: ' || action || '.' ELSE {rationale_sql('A')} END AS rationale_why,

@@ -20,7 +20,7 @@ from offerlens.operators.ranking import (
     dedup_keep_first, expand_offers, head_n, rank_offers,
 )
 from offerlens.plans import decision as D
-from offerlens.plans.subscriber import SUBSCRIBER_COLUMNS, build_subscribers
+from offerlens.plans.subscriber import SUBSCRIBER_COLUMNS, build_subscribers, lookup_subscribers
 from offerlens.sources.tables import Tables, offers_df
 
 c = F.col
@@ -92,11 +92,14 @@ def q_flt_contains(spark, sf):
 
 
 @register("flt_key_lookup")
-def q_flt_key_lookup(spark, sf):
-    # the subscriber with the smallest key among those with a contact transcript
-    d = _decided(spark, sf)
-    k = d.where(c("complaint") == 1).select(F.min("customer_id")).scalar()
-    return d.where(c("customer_id") == k).select("customer_id", "action", "segment", "channel")
+def q_flt_key_lookup(spark, sf, key: int | None = None):
+    # without a key: the smallest one that has a contact transcript
+    t = Tables(spark, sf)
+    if key is None:
+        users = t.conversations.where(c("role") == "user").select(c("conv_id").alias("c_custkey"))
+        key = t.customer.join(users, "c_custkey", "left_semi").agg(F.min("c_custkey")).first()[0]
+    d = D.decide(lookup_subscribers(t, [] if key is None else [key]), "A")
+    return d.select("customer_id", "action", "segment", "channel")
 
 
 @register("flt_blank_sentinel")
@@ -483,11 +486,13 @@ def q_win_topk_per_customer(spark, sf):
 
 @register("join_customer_scope")
 def q_join_customer_scope(spark, sf):
-    # per-customer query = that customer's own first interaction, joined on the key
-    corp = RP.corpus(Tables(spark, sf), whole=True)
-    qv = R.own_queries(corp)
-    hits = R.scoped_topk(corp, qv, 3)
-    return hits.select(*HIT_COLS)
+    # per-customer query = that customer's own first interaction, joined bucket by bucket
+    return R.exact_topk(RP.scoped_scores(*_persisted(spark, sf)), 3).select(*HIT_COLS)
+
+
+def _persisted(spark, sf):
+    path = stage_path(spark, f"scoped-{hashlib.md5(sf.encode()).hexdigest()[:8]}", unique=False)
+    return RP.persist_scoped(RP.corpus(Tables(spark, sf), whole=True), path)
 
 
 @register("ret_explain")
@@ -745,16 +750,18 @@ def q_rule_response_adjudicate(spark, sf):
 
 # ---------------------------------------------------------------- model, embedding, ANN, generation
 from offerlens.constants import QUERY_TEXT  # noqa: E402
+from offerlens.operators import inverted as INV  # noqa: E402
 from offerlens.operators import ml as ML  # noqa: E402
 
 _MODELS: dict = {}
 
 
 def _model(spark, sf, max_iter=100):
-    """The propensity model, fitted once per (application, data dir, rounds)."""
-    key = (spark.sparkContext.applicationId, sf, max_iter)
+    """The propensity model, fitted once per (application, input files and features, rounds)."""
+    subs = _subs(spark, sf)
+    key = (spark.sparkContext.applicationId, ST.stage_key(subs), max_iter)
     if key not in _MODELS:
-        _MODELS[key] = ML.fit_propensity(_subs(spark, sf), max_iter=max_iter)
+        _MODELS[key] = ML.fit_propensity(subs, max_iter=max_iter)
     return _MODELS[key]
 
 
@@ -814,7 +821,13 @@ def q_ret_bulk_context(spark, sf):
 @register("ret_ann_topk")
 def q_ret_ann_topk(spark, sf):
     t = Tables(spark, sf)
-    return ML.ann_topk(RP.corpus(t), RP.anchor_query(t), 3).select(*HIT_COLS)
+    return INV.search(_index(spark, sf), RP.anchor_query(t), 3).select(*HIT_COLS)
+
+
+def _index(spark, sf):
+    """The inverted lists of the corpus, built once for each version of it."""
+    path = stage_path(spark, f"inverted-{hashlib.md5(sf.encode()).hexdigest()[:8]}", unique=False)
+    return INV.index_of(RP.corpus(Tables(spark, sf)).select("interaction_id", "customer_id", "channel", "date", "embedding"), path)
 
 
 # ---- what can be said of model outputs without naming their values
@@ -856,12 +869,12 @@ def q_ret_bulk_context_check(spark, sf):
 
 @register("ret_ann_check")
 def q_ret_ann_check(spark, sf):
-    # every customer with k rows gets k; over all customers at least 0.9 of the exact hits are found (the column keeps its name)
+    # every customer with k rows gets k; over all customers at least 0.9 of the exact hits are found
     ann = q_ret_ann_topk(spark, sf).select("customer_id", "interaction_id", F.lit(1).alias("found"))
     exact = q_ret_exact_topk(spark, sf).select("customer_id", "interaction_id")
     recall = (exact.join(ann, ["customer_id", "interaction_id"], "left")
               .agg((F.avg(F.coalesce(c("found"), F.lit(0))) >= 0.9).alias("r")).scalar())
-    return ann.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_hits")).withColumn("recall_half", recall)
+    return ann.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_hits")).withColumn("recall_ok", recall)
 
 
 def _canned_responder():
@@ -892,12 +905,14 @@ def q_gen_batch_complete(spark, sf):
 
 
 # ---------------------------------------------------------------- sinks, resume, streaming
+import hashlib  # noqa: E402
 import os  # noqa: E402
 
 from pyspark.sql import types as T  # noqa: E402
 
 from offerlens.session import stage_path  # noqa: E402
 from offerlens.sources import files as FS  # noqa: E402
+from offerlens.sources import stages as ST  # noqa: E402
 
 REC_SCHEMA = T.StructType([T.StructField("customer_id", T.LongType()), T.StructField("action", T.StringType()),
                            T.StructField("action_type", T.StringType()), T.StructField("propensity", T.DoubleType()),
@@ -943,10 +958,9 @@ def q_sink_separate_outputs(spark, sf):
 
 @register("src_stage_resume")
 def q_src_stage_resume(spark, sf):
-    # the stage's name holds a fingerprint of its inputs: another input or another layout is another stage
-    subs = _subs(spark, sf)
-    path = stage_path(spark, f"subscribers-{FS.fingerprint(subs)}", unique=False)
-    return FS.resume_or_compute(spark, path, lambda: subs).select(*SUBSCRIBER_COLUMNS)
+    # one stage for each input folder; its manifest tells whether it is still that of these files and this plan
+    path = stage_path(spark, f"subscribers-{hashlib.md5(sf.encode()).hexdigest()[:8]}", unique=False)
+    return ST.resume_or_compute(spark, path, lambda: _subs(spark, sf)).select(*SUBSCRIBER_COLUMNS)
 
 
 @register("src_upsert_reset")
@@ -971,12 +985,11 @@ def q_emb_batch_write(spark, sf):
 
 @register("ext_stream_embed")
 def q_ext_stream_embed(spark, sf):
-    from offerlens.streaming.incremental import run_incremental
+    from offerlens.streaming import incremental as IN
     out = stage_path(spark, "stream_out")
-    ck = stage_path(spark, "stream_ckpt")
-    run_incremental(spark, sf, out, ck, file_glob="events.parquet")
-    v = spark.read.parquet(out)
-    return v.select("event_id", "user_id", F.size("embedding").alias("dim"))
+    IN.run_incremental(spark, sf, out, stage_path(spark, "stream_ckpt"), file_glob="events.parquet")
+    IN.settle(spark, out)
+    return IN.corpus(spark, out).select("event_id", "user_id", F.size("embedding").alias("dim"))
 
 
 # ---------------------------------------------------------------- recommended extensions
@@ -1022,18 +1035,11 @@ def q_ext_chunk_text(spark, sf):
                      F.md5("chunk").alias("h"))
 
 
-#: The customer that the persisted vectors are looked up for.
-PERSIST_KEY = 3
-
-
 @register("ext_persist_vectors")
 def q_ext_persist_vectors(spark, sf):
-    # the persisted vector table is read back with a key predicate: the scan
-    # prunes row groups by customer (files are clustered and sorted by key)
-    path = stage_path(spark, "vectors")
-    FS.write_vectors(RP.corpus(Tables(spark, sf), whole=True).select("interaction_id", "customer_id", "embedding"), path)
-    v = FS.read_customer(spark, path, PERSIST_KEY)
-    return v.select("interaction_id", "customer_id")
+    # every customer's stored vectors, scored against its own stored query
+    scored = RP.scoped_scores(*_persisted(spark, sf))
+    return scored.select("customer_id", "interaction_id", rhu(c("sim"), 6).alias("sim"))
 
 
 # ---------------------------------------------------------------- whole runs

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from offerlens.constants import INTERACTION_CHANNELS
 from offerlens.functions.core import pick
 from offerlens.operators import retrieval as R
+from offerlens.sources import bucketed as B
+from offerlens.sources.stages import resume, stage_key
 from offerlens.sources.tables import Tables
 
 c = F.col
@@ -64,3 +66,37 @@ def anchor_hits(t: Tables, k: int = 3) -> tuple[DataFrame, DataFrame]:
     """The searched corpus and the anchor query's hits, both without texts."""
     corp = corpus(t)
     return corp, R.exact_topk(R.score(corp, anchor_query(t)), k)
+
+
+# ---------------------------------------------------------------- persisted vectors
+_VECTORS = "customer_id bigint, salt int, interaction_id bigint, channel string, date string, embedding array<float>"
+_QUERIES = "customer_id bigint, salt int, query_id bigint, query_embedding array<double>"
+_KEYS = ["customer_id", "salt"]
+
+
+def persist_scoped(rows: DataFrame, path: str, rows_a_salt: int = B.ROWS_A_SALT, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """ext_persist_vectors: every customer's vectors and its query, as tables bucketed alike; written once for each version of ``rows``.
+
+    Buckets hold whole (customer, salt) groups, sorted by customer."""
+    spark = rows.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("interaction_id", c("customer_id").cast("bigint").alias("customer_id"), "channel", "date", c("embedding").cast("array<float>").alias("embedding"))
+
+    def write(folder: str) -> None:
+        salts = B.with_salts(rows, "customer_id", rows_a_salt)
+        B.write_bucketed(salts.withColumn("salt", B.salted(c("interaction_id"))).select(*[x.split()[0] for x in _VECTORS.split(", ")]),
+                         f"{folder}/vectors", _KEYS, ["interaction_id"], buckets)
+        sizes = salts.groupBy("customer_id").agg(F.first("salts").alias("salts"))
+        queries = (R.own_queries(rows).join(sizes, "customer_id")
+                   .withColumn("salt", F.explode(F.sequence(F.lit(0), c("salts") - 1))))
+        B.write_bucketed(queries.select(*[x.split()[0] for x in _QUERIES.split(", ")]), f"{folder}/queries", _KEYS, [], buckets)
+
+    folder = resume(spark, path, stage_key(rows, f"scoped 1 {rows_a_salt} {buckets}"), write)
+    return (B.open_bucketed(spark, f"{folder}/vectors", _VECTORS, _KEYS, ["interaction_id"], buckets),
+            B.open_bucketed(spark, f"{folder}/queries", _QUERIES, _KEYS, [], buckets))
+
+
+def scoped_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """join_customer_scope: each customer's rows with their similarity to its own query, bucket by bucket; the query's row is left out."""
+    j = vectors.join(queries.hint("merge"), _KEYS).where(c("interaction_id") != c("query_id"))
+    return j.withColumn("sim", R.similarity(c("embedding"), c("query_embedding"))).drop("query_embedding", "query_id", "salt")

@@ -15,6 +15,8 @@ The reference date is a scalar subquery (one value, evaluated once).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,12 @@ from offerlens.constants import (
     PAYMENT_METHODS, TOP_APPS,
 )
 from offerlens.functions.core import pick, round_half_up as rhu
+from offerlens.session import stage_path
+from offerlens.sources.stages import resume_or_compute
 from offerlens.sources.tables import Tables
 
 __all__ = ["reference_date", "order_stats", "event_stats", "transcripts",
-           "subscriber_base", "derive_features", "build_subscribers",
+           "subscriber_base", "derive_features", "build_subscribers", "lookup_subscribers", "stored_reference_date",
            "device_tier", "net_capability", "network_issue", "usage_pct",
            "SEGMENT_MAP", "DATA_CAPS"]
 
@@ -244,5 +248,42 @@ SUBSCRIBER_COLUMNS = [
 ]
 
 
+#: The orders of the keys looked up are broadcast to the lines up to this many rows; beyond it the join shuffles.
+BROADCAST_ORDERS = 500_000
+
+
+def stored_reference_date(t: Tables) -> Column:
+    """The reference date from its own one-row stage, which is computed again only when the orders change."""
+    path = stage_path(t.spark, f"reference-{hashlib.md5(t.sf_dir.encode()).hexdigest()[:8]}", unique=False)
+    one = resume_or_compute(t.spark, path, lambda: t.orders.agg(F.max("o_orderdate").cast("date").alias("ref")))
+    return one.select("ref").scalar()
+
+
+def lookup_subscribers(t: Tables, keys: list[int], variant: str = "A", ref: Column | None = None) -> DataFrame:
+    """flt_key_lookup: the subscriber rows of a few keys, without building those of the others.
+
+    The keys reach the scans of customers, orders, events and conversations as
+    pushed filters. The keys' orders are written once; ``lineitem``, which has
+    no customer key, is reduced to their lines before it is aggregated. Each
+    input table is scanned once, and only rows of the keys are shuffled."""
+    keys = [int(k) for k in keys]
+    has = lambda col: F.col(col).isin(keys)
+    path = stage_path(t.spark, "key-orders")
+    mine = t.orders.where(has("o_custkey")).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    mine.write.parquet(path)
+    orders = t.spark.read.schema(mine.schema).parquet(path)
+    numbers = orders.select(F.col("o_orderkey").alias("l_orderkey")).distinct()
+    if orders.count() <= BROADCAST_ORDERS:
+        numbers = F.broadcast(numbers)
+    lines = t.lineitem.join(numbers, "l_orderkey", "left_semi")
+    cust = t.customer.where(has("c_custkey")).select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    base = (cust
+            .join(order_stats(orders, lines, stored_reference_date(t) if ref is None else ref), F.col("c_custkey") == F.col("o_custkey"), "left")
+            .join(event_stats(t.events.where(has("user_id"))), F.col("c_custkey") == F.col("user_id"), "left")
+            .join(transcripts(t.conversations.where(has("conv_id"))), F.col("c_custkey") == F.col("conv_id"), "left")
+            .drop("o_custkey", "user_id", "conv_id"))
+    return derive_features(base, variant)
+
+
 def build_subscribers(spark, sf_dir: str, variant: str = "A") -> DataFrame:
     return derive_features(subscriber_base(Tables(spark, sf_dir)), variant)

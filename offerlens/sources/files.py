@@ -1,15 +1,13 @@
-"""CSV / Parquet sinks and read-back with explicit schemas; stage resume."""
+"""CSV / Parquet sinks and read-back with explicit schemas."""
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-__all__ = ["write_csv", "read_csv", "escape_breaks", "unescape_breaks", "write_stage", "read_stage", "stage_exists",
-           "resume_or_compute", "write_vectors", "fingerprint", "read_customer"]
+__all__ = ["write_csv", "read_csv", "escape_breaks", "unescape_breaks", "write_stage", "read_stage", "write_vectors",
+           "read_customer"]
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -50,36 +48,15 @@ def write_stage(df: DataFrame, path: str) -> str:
     return path
 
 
-def stage_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")))
-
-
 def read_stage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def fingerprint(df: DataFrame) -> str:
-    """A short name for what a plan reads and returns: its input files and its schema."""
-    return hashlib.md5("\n".join([*sorted(df.inputFiles()), df.schema.json()]).encode()).hexdigest()[:16]
-
-
 def read_customer(spark: SparkSession, path: str, customer_id: int, key: str = "customer_id") -> DataFrame:
     """One customer's rows of a vector table; the predicate prunes files and row groups."""
     return spark.read.parquet(path).where(F.col(key) == customer_id)
 
 
-def resume_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
-    """src_stage_resume: read the persisted stage when it is complete, else
-    compute it, write it once and read it back (the written table also cuts
-    the lineage, so a lost executor recomputes from the table, not the job)."""
-    if not stage_exists(spark, path):
-        write_stage(compute(), path)
-    return read_stage(spark, path)
-
-
 def write_vectors(df: DataFrame, path: str, n_files: int | None = None, key: str = "customer_id") -> str:
     """emb_batch_write / ext_persist_vectors: vectors clustered by customer.
 

@@ -22,17 +22,25 @@ _SCHEMAS: dict = {}
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of one table; projections and filters push into the scan.
 
-    The schema is inferred once per path and then passed explicitly, so
+    The schema is inferred once for each version of a table and then passed explicitly, so
     later plans over the same table skip the footer-reading job."""
     path = os.path.join(sf_dir, f"{name}.parquet")
-    schema = _SCHEMAS.get(path)
+    key = (path, _written(spark, path))
+    schema = _SCHEMAS.get(key)
     if schema is None:
         df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
+        _SCHEMAS[key] = df.schema
         return df
     return spark.read.schema(schema).parquet(path)
 
 
+def _written(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Modification time and length of the file or folder: a table that was written anew is read anew."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+    return status.getModificationTime(), status.getLen()
+
+
 class Tables:
     """Lazy accessor: ``t = Tables(spark, dir); t.orders`` returns the scan."""
 
