@@ -21,7 +21,8 @@ NUMBER_PATTERN = r"(?U)\b\d{1,5}\b"
 # FIXED VALUES: what Python's str.strip() and str.split() take for white space.
 SPACE_CLASS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 SPACES_PATTERN = SPACE_CLASS + "+"
-STRIP_PATTERN = rf"\A{SPACES_PATTERN}|{SPACES_PATTERN}\z"
+SPACE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 # FIXED VALUES: Arabic-Indic and Eastern Arabic-Indic digits, mapped to 0-9.
 _ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
@@ -50,7 +51,7 @@ def strip_zeros(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Python ``str.strip()``: white space of any kind off both ends (``trim`` takes blanks only)."""
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def truncate(c: Column, limit: Column | int) -> Column:

@@ -23,7 +23,7 @@ from offerlens.sources.tables import offers_array
 
 __all__ = ["expand_offers", "scored_offer_structs", "rank_offers",
            "with_best_offer", "dedup_keep_first", "argmax_by_group", "topk_per_group",
-           "seq_within_group", "head_n"]
+           "with_positions", "seq_within_group", "paged_list", "head_n"]
 
 
 def expand_offers(df: DataFrame) -> DataFrame:
@@ -123,35 +123,69 @@ def topk_per_group(df: DataFrame, key: str | list[str], order: list[Column], k:
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def seq_within_group(df: DataFrame, key: str, order: list[str], out: str = "seq",
-                     n_parts: int | None = None) -> DataFrame:
-    """0-based position of each row within its key by ``order`` (unique per key).
-
-    A plain ``row_number`` over ``partitionBy(key)`` sends a whole key to one
-    task. Here the rows are range-partitioned on (key, order), so a hot key
-    spans several partitions; rows are numbered within (partition, key), and
-    each piece is shifted by the row count of the same key in earlier
-    partitions. That count table has one row per (partition, key), so even a
-    hot key contributes at most ``n_parts`` rows to its window.
-
-    The partition id is materialised once (``checkpoint`` into the shared
-    checkpoint folder): the numbering and the count branches prune different
-    columns, so without it each would run its own range exchange, and range
-    bounds come from a sample seeded per exchange, so ids could disagree.
-    """
+def with_positions(df: DataFrame, key: str, order: list[str], out: str = "seq", weight: Column | None = None,
+                   weight_out: str = "before", n_parts: int | None = None) -> DataFrame:
+    """0-based position of each row within its key by ``order``; with ``weight`` also the sum of the weights before it.
+
+    A plain window over ``partitionBy(key)`` sends a whole key to one task.
+    Here (key, order, count, weight) is range-partitioned on (key, order), so a
+    hot key spans several partitions; running sums are formed within
+    (partition, key), and each piece is shifted by the sums of the same key in
+    earlier partitions. That table of sums has one row per (partition, key), so
+    even a hot key contributes at most ``n_parts`` rows to its window. The
+    other columns take no part in this; they meet the positions in one join on
+    (key, order), which no key makes hot.
+
+    The partition ids are materialised once (``checkpoint`` of these few
+    columns into the shared folder): range bounds come from a sample drawn for
+    each exchange, so two branches with exchanges of their own could disagree.
+    Rows of equal (key, order) are numbered one after another in any order;
+    rows without a key or an order value have no position."""
     from offerlens.session import checkpoint_root
 
     spark = df.sparkSession
     checkpoint_root(spark)
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, key, *order).withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
-    local = r.withColumn("__lrn", F.row_number().over(Window.partitionBy("__pid", key).orderBy(*order)))
-    counts = local.groupBy("__pid", key).agg(F.max("__lrn").alias("__n"))
+    rows = df.withColumn("__w", F.coalesce(weight, F.lit(0)).cast("long") if weight is not None else F.lit(0).cast("long"))
+    narrow = rows.select(key, *order, "__w").groupBy(key, *order).agg(F.count(F.lit(1)).alias("__c"), F.sum("__w").alias("__s"))
+    r = narrow.repartitionByRange(n, key, *order).withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
+    earlier = Window.partitionBy("__pid", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = r.withColumns({"__lc": F.sum("__c").over(earlier), "__ls": F.sum("__s").over(earlier)})
     before = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", key, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    return (local.join(offsets, ["__pid", key], "inner")
-            .withColumn(out, (F.col("__off") + F.col("__lrn") - 1).cast("int"))
-            .drop("__pid", "__lrn", "__off"))
+    offsets = (r.groupBy("__pid", key).agg(F.sum("__c").alias("__tc"), F.sum("__s").alias("__ts"))
+               .select("__pid", key, F.sum("__tc").over(before).alias("__oc"), F.sum("__ts").over(before).alias("__os")))
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
+    places = local.join(offsets, ["__pid", key]).select(
+        key, *order, (zero("__lc") + zero("__oc")).alias("__first"), (zero("__ls") + zero("__os")).alias("__upto"))
+    equal = Window.partitionBy(key, *order).orderBy("__w")
+    placed = (rows.join(places, [key, *order], "left")
+              .withColumn(out, (F.col("__first") + F.row_number().over(equal) - 1).cast("int")))
+    if weight is not None:
+        inside = equal.rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn(weight_out, F.col("__upto") + F.coalesce(F.sum("__w").over(inside), F.lit(0)))
+    return placed.select(*df.columns, out, *([weight_out] if weight is not None else []))
+
+
+def seq_within_group(df: DataFrame, key: str, order: list[str], out: str = "seq",
+                     n_parts: int | None = None) -> DataFrame:
+    """0-based position of each row within its key by ``order``, whatever the size of the key."""
+    return with_positions(df, key, order, out, n_parts=n_parts)
+
+
+def paged_list(df: DataFrame, key: str, order: list[str], item: Column, delimiter: str, page_size: int,
+               weight: Column | None = None, n_parts: int | None = None) -> DataFrame:
+    """(key, page, n_items, items): each key's items in order, joined by ``delimiter``, in pages of bounded size.
+
+    A page holds the items before whose first ``page_size`` items (or weight)
+    begin, so a page is at most one item longer. A key with a third of all rows
+    is many rows, each made by its own group of the aggregate; the pages of a
+    key, joined by the delimiter, are its whole list."""
+    rows = with_positions(df.select(key, *order, item.alias("__item"), *([weight.alias("__weight")] if weight is not None else [])),
+                          key, order, "__seq", F.col("__weight") if weight is not None else None, "__before", n_parts)
+    upto = "__before" if weight is not None else "__seq"
+    joined = F.expr(f"listagg(__item, '{delimiter}') WITHIN GROUP (ORDER BY __seq)")
+    return (rows.withColumn("page", F.floor(F.col(upto) / F.lit(page_size)).cast("int")).groupBy(key, "page")
+            .agg(F.count(F.lit(1)).alias("n_items"), joined.alias("items")))
 
 
 def head_n(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:

@@ -25,7 +25,7 @@ c = F.col
 __all__ = [
     "propensity", "propensity_signature", "heuristic_score", "guard_full", "guard_margin", "guard", "lift",
     "treated_probability", "rationale", "message_core", "message", "allowed_numbers",
-    "ungrounded_numbers", "grounding", "grounding_reason", "prompt", "adjudicate",
+    "ungrounded_numbers", "first_ungrounded", "grounding", "grounding_reason", "prompt", "adjudicate",
     "RESPONSE_SCHEMA",
 ]
 
@@ -255,34 +255,41 @@ def ungrounded_numbers(text: Column, allowed: Column) -> Column:
     return F.filter(raw, bad)
 
 
+def first_ungrounded(rationale_col: Column, message_col: Column, variant: str = "A") -> Column:
+    """The first number of rationale + ' ' + message that the context does not support; NULL if all are supported."""
+    text = F.concat(F.coalesce(rationale_col, F.lit("")), F.lit(" "), F.coalesce(message_col, F.lit("")))
+    return F.get(ungrounded_numbers(text, allowed_numbers(variant)), 0)
+
+
 def grounding(rationale_col: Column, message_col: Column, variant: str = "A") -> Column:
     """rule_grounding: true when every number in rationale + ' ' + message is supported."""
-    text = F.concat(F.coalesce(rationale_col, F.lit("")), F.lit(" "), F.coalesce(message_col, F.lit("")))
-    return F.size(ungrounded_numbers(text, allowed_numbers(variant))) == 0
+    return first_ungrounded(rationale_col, message_col, variant).isNull()
 
 
-def grounding_reason(rationale_col: Column, message_col: Column, variant: str = "A") -> Column:
-    text = F.concat(F.coalesce(rationale_col, F.lit("")), F.lit(" "), F.coalesce(message_col, F.lit("")))
-    bad = ungrounded_numbers(text, allowed_numbers(variant))
-    return F.when(F.size(bad) == 0, F.lit("ok")).otherwise(
-        F.concat(F.lit("ungrounded number '"), F.get(bad, 0), F.lit("'")))
+def grounding_reason(first_bad: Column) -> Column:
+    """Why a text is grounded or not, from ``first_ungrounded``."""
+    return F.when(first_bad.isNull(), F.lit("ok")).otherwise(F.concat(F.lit("ungrounded number '"), first_bad, F.lit("'")))
 
 
 RESPONSE_SCHEMA = "struct<rationale:string,message:string,grounded:boolean,used_fields:array<string>>"
 
-def prompt(context_col: Column, variant: str = "A") -> Column:
-    """rule_prompt: the user prompt = selected offer line + channel + reason + context JSON."""
+
+def prompt(context_json: Column, variant: str = "A") -> Column:
+    """rule_prompt: the user prompt = selected offer line + channel + reason + the context as JSON text.
+
+    Offer values are whole amounts and print as such."""
+    value = c("value_qar").cast("bigint").cast("string")
+    # FIXED VALUES: the lines around the record.
     if variant == "A":
         head = F.concat(F.lit("SELECTED CAMPAIGN (do not change): "), c("action"), F.lit(" | type="),
-                        c("action_type"), F.lit(" | value="), c("value_qar").cast("string"), F.lit(" QAR\n"))
+                        c("action_type"), F.lit(" | value="), value, F.lit(" QAR\n"))
         ctx_line = "SUBSCRIBER CONTEXT (only use these facts):\n"
     else:
         head = F.concat(F.lit("SELECTED ACTION (do not change): "), c("action"), F.lit(" | type "),
-                        c("action_type"), F.lit(" | value_qar "), c("value_qar").cast("string"), F.lit("\n"))
+                        c("action_type"), F.lit(" | value_qar "), value, F.lit("\n"))
         ctx_line = "CUSTOMER CONTEXT (only use these facts):\n"
     return F.concat(head, F.lit("CHANNEL: "), c("channel"), F.lit("\nNBO_REASON: "), c("nbo_reason"),
-                    F.lit("\n\n" + ctx_line),
-                    F.to_json(context_col, {"ignoreNullFields": "false"}))
+                    F.lit("\n\n" + ctx_line), context_json)
 
 
 def adjudicate(response_col: Column, rule_why: Column, rule_how: Column, variant: str = "A",

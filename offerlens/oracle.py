@@ -217,12 +217,48 @@ def context_json_sql() -> str:
     return "to_json(struct_pack(" + ", ".join(parts) + "))"
 
 
-def prompt_sql() -> str:
-    """rule_prompt (variant A): offer line, channel, reason, then the context JSON."""
-    return ("concat('SELECTED CAMPAIGN (do not change): ', action, ' | type=', action_type, ' | value=', "
-            "CAST(CAST(value_qar AS DOUBLE) AS VARCHAR), ' QAR' || chr(10), 'CHANNEL: ', channel, "
-            "chr(10) || 'NBO_REASON: ', nbo_reason, chr(10) || chr(10) || 'SUBSCRIBER CONTEXT (only use these facts):' "
-            "|| chr(10), " + context_json_sql() + ")")
+def json_string_sql(x: str) -> str:
+    """A string as Python writes it in JSON: ASCII only, in quotes."""
+    ch = f"substr({x}, i, 1)"
+    n = f"unicode({ch})"
+    u = lambda v: f"'\\u' || lpad(lower(to_hex({v})), 4, '0')"
+    short = " ".join(f"WHEN {k} THEN '{v}'" for k, v in ((34, '\\"'), (92, "\\\\"), (10, "\\n"), (13, "\\r"), (9, "\\t"), (8, "\\b"), (12, "\\f")))
+    one = (f"CASE {n} {short} ELSE CASE WHEN {n} BETWEEN 32 AND 126 THEN {ch} WHEN {n} < 65536 THEN {u(n)} "
+           f"ELSE {u(f'(55296 + ({n} - 65536) // 1024)')} || {u(f'(56320 + ({n} - 65536) % 1024)')} END END")
+    listed = f"array_to_string(list_transform(range(1, length({x}) + 1), lambda i: {one}), '')"
+    return f"""CASE WHEN regexp_matches({x}, '^[ !#-\\[\\]-~]*$') THEN '"' || {x} || '"' ELSE '"' || {listed} || '"' END"""
+
+
+def indented_json_sql(variant: str = "A") -> str:
+    """fn_to_json: the context record as indented JSON."""
+    from offerlens.plans.decision import A_ONLY, B_RENAMES, CONTEXT_FIELDS
+    parts = []
+    for f in CONTEXT_FIELDS:
+        if variant == "B" and f in A_ONLY:
+            continue
+        name = B_RENAMES.get(f, f) if variant == "B" else f
+        if f in CTX_INT or f == "value_qar":
+            text = f"CAST(CAST({f} AS BIGINT) AS VARCHAR)"
+        elif f in CTX_DOUBLE:
+            text = f"CAST(CAST({f} AS DOUBLE) AS VARCHAR)"
+        else:
+            text = json_string_sql(redact_sql("transcript") if f == "transcript" else f)
+        parts.append(f"""'  "{name}": ' || coalesce({text}, 'null')""")
+    lines = " || ',' || chr(10) || ".join(parts)
+    return f"'{{' || chr(10) || {lines} || chr(10) || '}}'"
+
+
+def prompt_sql(variant: str = "A") -> str:
+    """rule_prompt: offer line, channel, reason, then the context as JSON."""
+    value = "CAST(CAST(value_qar AS BIGINT) AS VARCHAR)"
+    if variant == "A":
+        head = f"'SELECTED CAMPAIGN (do not change): ', action, ' | type=', action_type, ' | value=', {value}, ' QAR' || chr(10)"
+        line = "SUBSCRIBER CONTEXT"
+    else:
+        head = f"'SELECTED ACTION (do not change): ', action, ' | type ', action_type, ' | value_qar ', {value}, chr(10)"
+        line = "CUSTOMER CONTEXT"
+    return (f"concat({head}, 'CHANNEL: ', channel, chr(10) || 'NBO_REASON: ', nbo_reason, chr(10) || chr(10) || '{line} (only use these facts):' "
+            f"|| chr(10), {indented_json_sql(variant)})")
 
 
 def redact_sql(x: str) -> str:
@@ -633,8 +669,15 @@ ORACLE.update({
         {rhu('(SELECT avg(reduction) FROM pl)', 6)} AS payload_reduction""",
     "agg_count_if": f"WITH {CORPUS} SELECT customer_id, count_if(is_relevant) AS n_relevant, count_if(NOT is_relevant) AS n_noise FROM corpus GROUP BY 1",
     "agg_count_distinct": f"WITH {CORPUS} SELECT count(DISTINCT customer_id) AS n_customers, count(*) AS n_rows FROM corpus",
-    "agg_collect_history": H + " SELECT customer_id, string_agg(CAST(interaction_id AS VARCHAR), ',' ORDER BY rank) AS interaction_ids FROM hits GROUP BY 1",
-    "agg_concat_text": H + " SELECT customer_id, string_agg(text, ' ' ORDER BY rank) AS payload, length(string_agg(text, ' ' ORDER BY rank)) AS n_chars FROM hits GROUP BY 1",
+    "agg_collect_history": f"""WITH {CORPUS}, p AS (SELECT customer_id, interaction_id,
+          CAST((row_number() OVER (PARTITION BY customer_id ORDER BY interaction_id) - 1) // 100 AS INTEGER) AS page FROM corpus WHERE customer_id IS NOT NULL)
+        SELECT customer_id, page, count(*) AS n_items, string_agg(CAST(interaction_id AS VARCHAR), ',' ORDER BY interaction_id) AS interaction_ids
+        FROM p GROUP BY 1, 2""",
+    "agg_concat_text": f"""WITH {CORPUS}, p AS (SELECT customer_id, interaction_id, text, CAST(coalesce(sum(length(text) + 1) OVER (
+          PARTITION BY customer_id ORDER BY interaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 50000 AS INTEGER) AS page
+          FROM corpus WHERE customer_id IS NOT NULL)
+        SELECT customer_id, page, count(*) AS n_items, string_agg(text, ' ' ORDER BY interaction_id) AS payload,
+          CAST(length(string_agg(text, ' ' ORDER BY interaction_id)) AS INTEGER) AS n_chars FROM p GROUP BY 1, 2""",
     "fn_list_slice": H + " SELECT customer_id, string_agg(CAST(interaction_id AS VARCHAR), ',' ORDER BY rank) AS top2 FROM hits WHERE rank <= 2 GROUP BY 1",
     "ret_keyword_baseline": f"WITH {CORPUS} " + " UNION ALL ".join(
         f"SELECT {q(kw)} AS keyword, count_if(contains(lower(text), {q(kw)})) AS n_matched, count(*) AS n_rows FROM corpus"
@@ -678,14 +721,39 @@ def bad_numbers_sql(text: str) -> str:
             f"list_transform({ALLOWED}, lambda a: a >= 0 AND abs({conv} - a) <= 1)), false))")
 
 
-CANNED = f""", canned AS (SELECT *, {rationale_sql('A')} AS why, {redact_sql('transcript')} AS msg FROM guarded),
+def canned_sql(variant: str = "A") -> str:
+    return f""", canned AS (SELECT *, {rationale_sql(variant)} AS why, {redact_sql('transcript')} AS msg FROM guarded),
 grounded AS (SELECT *, {bad_numbers_sql("coalesce(why, '') || ' ' || coalesce(msg, '')")} AS bad FROM canned)"""
 
+
+def grounding_sql(variant: str = "A") -> str:
+    quote = "chr(39)"
+    return canned_sql(variant) + f""" SELECT customer_id, len(bad) = 0 AS grounded,
+        CASE WHEN len(bad) = 0 THEN 'ok' ELSE 'ungrounded number ' || {quote} || bad[1] || {quote} END AS reason FROM grounded"""
+
+
+def adjudicate_sql(variant: str = "A") -> str:
+    limit = "CASE channel WHEN 'SMS' THEN 160 WHEN 'Push' THEN 120 WHEN 'WhatsApp' THEN 300 WHEN 'Email' THEN 600 WHEN 'Call' THEN 400 END"
+    accepted, rejected = ("claude", "offline") if variant == "A" else ("llm", "llm->fallback")
+    return canned_sql(variant) + f""", adj AS (
+        SELECT *, len(bad) = 0 AND {strip_sql("coalesce(why, '')")} <> '' AND
+               coalesce(substring({strip_sql("coalesce(msg, '')")}, 1, {limit}), '') <> '' AS ok FROM grounded)
+        SELECT customer_id, CASE WHEN ok THEN {strip_sql('why')} ELSE why END AS rationale,
+               CASE WHEN ok THEN substring({strip_sql('msg')}, 1, {limit}) ELSE {message_sql('why', variant)} END AS message,
+               CASE WHEN ok THEN '{accepted}' ELSE '{rejected}' END AS gen_source FROM adj"""
+
+
 ORACLE.update({
     "win_seq_number": f"WITH {SEQ} SELECT conv_id, turn, seq, CAST(conv_id AS VARCHAR) || '-' || lpad(CAST(seq AS VARCHAR), CAST(greatest(2, length(CAST(seq AS VARCHAR))) AS INTEGER), '0') AS interaction_id FROM seqd",
-    "win_stable_sample": """SELECT conv_id, turn, pick FROM (
-        SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY md5(CAST(conv_id AS VARCHAR) || '|history|' || CAST(turn AS VARCHAR)), turn) AS pick
-        FROM conversations) WHERE pick <= 2 + conv_id % 3""",
+    "win_stable_sample": """WITH h AS (SELECT conv_id, turn, coalesce(role = 'user', false) AS is_relevant,
+          md5(CAST(conv_id AS VARCHAR) || '|history|' || CAST(turn AS VARCHAR)) AS h, md5(CAST(conv_id AS VARCHAR) || '|history-count') AS m
+          FROM conversations),
+        n AS (SELECT *, 5 + CAST(list_sum(list_transform(range(1, 5), lambda i: (strpos('0123456789abcdef', substr(m, i, 1)) - 1)
+          * CAST(pow(16, 4 - i) AS INTEGER))) % 6 AS INTEGER) AS n_wanted,
+          CAST(row_number() OVER (PARTITION BY conv_id, is_relevant ORDER BY h, turn) AS INTEGER) AS pick FROM h)
+        SELECT conv_id, turn, is_relevant, pick, n_wanted FROM n
+        WHERE pick <= CASE WHEN is_relevant THEN CASE WHEN n_wanted >= 6 THEN 3 ELSE 2 END
+          ELSE n_wanted - CASE WHEN n_wanted >= 6 THEN 3 ELSE 2 END END""",
     "set_union_corpora": SUBS + ", " + SEQ + f"""
         SELECT CAST(conv_id AS VARCHAR) || '-' || lpad(CAST(seq AS VARCHAR), CAST(greatest(2, length(CAST(seq AS VARCHAR))) AS INTEGER), '0') AS interaction_id, conv_id AS customer_id,
                strftime(DATE '2024-01-31' - CAST(seq * 7 AS INTEGER), '%Y-%m-%d') AS date, false AS is_current,
@@ -702,21 +770,17 @@ ORACLE.update({
         net_issue AS network_issue, channel, app_logins, loyalty, last_campaign_resp, complaint, sentiment, nps,
         {redact_sql('transcript')} AS transcript, nbo_reason FROM decided""",
     "fn_to_json": A() + f" SELECT customer_id, {context_json_sql()} AS context_json FROM decided",
-    "rule_prompt": A() + f" SELECT customer_id, {prompt_sql()} AS prompt FROM decided",
+    "fn_to_json_indented": A() + f" SELECT customer_id, {indented_json_sql('A')} AS context_json FROM decided",
+    "fn_to_json_indented_b": B() + f" SELECT customer_id, {indented_json_sql('B')} AS context_json FROM decided",
+    "rule_prompt": A() + f" SELECT customer_id, {prompt_sql('A')} AS prompt FROM decided",
+    "rule_prompt_b": B() + f" SELECT customer_id, {prompt_sql('B')} AS prompt FROM decided",
     "proj_group_by_source": A() + f""" SELECT customer_id, tenure_m AS bss_crm_tenure_m, arpu AS billing_arpu,
         data_pct AS consumption_data_pct, net_issue AS device_network_net_issue, channel AS engagement_channel,
         {redact_sql('transcript')} AS care_transcript, action AS nba_action FROM decided""",
-    "rule_grounding": A() + CANNED + """ SELECT customer_id, len(bad) = 0 AS grounded,
-        CASE WHEN len(bad) = 0 THEN 'ok' ELSE 'ungrounded number ''' || bad[1] || '''' END AS reason FROM grounded""",
-    "rule_response_adjudicate": A() + CANNED + f""", adj AS (
-        SELECT *, len(bad) = 0 AND {strip_sql("coalesce(why, '')")} <> '' AND
-               coalesce(substring({strip_sql("coalesce(msg, '')")}, 1, CASE channel WHEN 'SMS' THEN 160 WHEN 'Push' THEN 120
-                 WHEN 'WhatsApp' THEN 300 WHEN 'Email' THEN 600 WHEN 'Call' THEN 400 END), '') <> '' AS ok FROM grounded)
-        SELECT customer_id, CASE WHEN ok THEN {strip_sql('why')} ELSE why END AS rationale,
-               CASE WHEN ok THEN substring({strip_sql('msg')}, 1, CASE channel WHEN 'SMS' THEN 160 WHEN 'Push' THEN 120
-                 WHEN 'WhatsApp' THEN 300 WHEN 'Email' THEN 600 WHEN 'Call' THEN 400 END)
-                    ELSE {message_sql('why', 'A')} END AS message,
-               CASE WHEN ok THEN 'claude' ELSE 'offline' END AS gen_source FROM adj""",
+    "rule_grounding": A() + grounding_sql("A"),
+    "rule_grounding_b": B() + grounding_sql("B"),
+    "rule_response_adjudicate": A() + adjudicate_sql("A"),
+    "rule_response_adjudicate_b": B() + adjudicate_sql("B"),
 })
 
 

@@ -17,7 +17,7 @@ from offerlens.functions.core import (
 from offerlens.functions.text import extract_numbers, is_blank_or_sentinel, redact, strip, strip_zeros, truncate
 from offerlens.operators import rules
 from offerlens.operators.ranking import (
-    dedup_keep_first, expand_offers, head_n, rank_offers,
+    dedup_keep_first, expand_offers, head_n, paged_list, rank_offers,
 )
 from offerlens.plans import decision as D
 from offerlens.plans.subscriber import SUBSCRIBER_COLUMNS, build_subscribers, lookup_subscribers
@@ -587,23 +587,22 @@ def q_agg_count_distinct(spark, sf):
     return corp.agg(F.count_distinct("customer_id").alias("n_customers"), F.count(F.lit(1)).alias("n_rows"))
 
 
+#: Interactions, and characters of text, in one page of a customer's history.
+PAGE_ITEMS, PAGE_CHARS = 100, 50_000
+
+
 @register("agg_collect_history")
 def q_agg_collect_history(spark, sf):
-    # bounded lists: the k retrieved interactions per customer, in rank order
-    _, hits = _hits(spark, sf)
-    g = hits.groupBy("customer_id").agg(F.array_sort(F.collect_list(F.struct("rank", "interaction_id"))).alias("l"))
-    return g.select("customer_id", F.array_join(F.transform("l", lambda e: e["interaction_id"].cast("string")), ",")
-                    .alias("interaction_ids"))
+    # every customer's whole history, in pages: a customer with a third of all rows is many rows
+    pages = paged_list(RP.corpus(Tables(spark, sf)), "customer_id", ["interaction_id"], c("interaction_id").cast("string"), ",", PAGE_ITEMS)
+    return pages.select("customer_id", "page", "n_items", c("items").alias("interaction_ids"))
 
 
 @register("agg_concat_text")
 def q_agg_concat_text(spark, sf):
-    t = Tables(spark, sf)
-    _, hits = RP.anchor_hits(t)
-    g = (RP.with_text(t, hits).groupBy("customer_id")
-         .agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("l")))
-    txt = F.array_join(F.transform("l", lambda e: e["text"]), " ")
-    return g.select("customer_id", txt.alias("payload"), F.length(txt).alias("n_chars"))
+    corp = RP.corpus(Tables(spark, sf), text=True).select("customer_id", "interaction_id", "text")
+    pages = paged_list(corp, "customer_id", ["interaction_id"], c("text"), " ", PAGE_CHARS, F.length("text") + 1)
+    return pages.select("customer_id", "page", "n_items", c("items").alias("payload"), F.length("items").alias("n_chars"))
 
 
 @register("fn_list_slice")
@@ -715,10 +714,26 @@ def q_fn_to_json(spark, sf):
     return d.select("customer_id", F.to_json(D.context_struct("A"), {"ignoreNullFields": "false"}).alias("context_json"))
 
 
+@register("fn_to_json_indented")
+def q_fn_to_json_indented(spark, sf, variant="A"):
+    d = _decided(spark, sf, variant)
+    return d.select("customer_id", D.context_json(d, variant).alias("context_json"))
+
+
+@register("fn_to_json_indented_b")
+def q_fn_to_json_indented_b(spark, sf):
+    return q_fn_to_json_indented(spark, sf, "B")
+
+
 @register("rule_prompt")
-def q_rule_prompt(spark, sf):
-    d = _decided(spark, sf, "A")
-    return d.select("customer_id", rules.prompt(D.context_struct("A"), "A").alias("prompt"))
+def q_rule_prompt(spark, sf, variant="A"):
+    d = _decided(spark, sf, variant)
+    return d.select("customer_id", rules.prompt(D.context_json(d, variant), variant).alias("prompt"))
+
+
+@register("rule_prompt_b")
+def q_rule_prompt_b(spark, sf):
+    return q_rule_prompt(spark, sf, "B")
 
 
 def _canned(spark, sf, variant="A"):
@@ -732,20 +747,31 @@ def _canned(spark, sf, variant="A"):
 
 
 @register("rule_grounding")
-def q_rule_grounding(spark, sf):
-    d = _canned(spark, sf)
+def q_rule_grounding(spark, sf, variant="A"):
+    d = _canned(spark, sf, variant)
     r = F.from_json("response", rules.RESPONSE_SCHEMA)
-    return d.select("customer_id", rules.grounding(r["rationale"], r["message"]).alias("grounded"),
-                    rules.grounding_reason(r["rationale"], r["message"]).alias("reason"))
+    # emitted by a one-row Generate, so that the numbers are extracted once for both columns
+    bad = F.inline(F.array(F.struct(rules.first_ungrounded(r["rationale"], r["message"], variant).alias("bad"))))
+    return d.select("customer_id", bad).select("customer_id", c("bad").isNull().alias("grounded"), rules.grounding_reason(c("bad")).alias("reason"))
+
+
+@register("rule_grounding_b")
+def q_rule_grounding_b(spark, sf):
+    return q_rule_grounding(spark, sf, "B")
 
 
 @register("rule_response_adjudicate")
-def q_rule_response_adjudicate(spark, sf):
-    d = _canned(spark, sf)
-    d = d.withColumn("__how", rules.message(c("__why"), "A"))
-    adj = rules.adjudicate(c("response"), c("__why"), c("__how"), "A", enabled=True)
-    return d.select("customer_id", adj["rationale"].alias("rationale"), adj["message"].alias("message"),
-                    adj["gen_source"].alias("gen_source"))
+def q_rule_response_adjudicate(spark, sf, variant="A"):
+    d = _canned(spark, sf, variant)
+    d = d.withColumn("__how", rules.message(c("__why"), variant))
+    d = d.withColumn("__adj", rules.adjudicate(c("response"), c("__why"), c("__how"), variant, enabled=True))
+    return d.select("customer_id", c("__adj.rationale").alias("rationale"), c("__adj.message").alias("message"),
+                    c("__adj.gen_source").alias("gen_source"))
+
+
+@register("rule_response_adjudicate_b")
+def q_rule_response_adjudicate_b(spark, sf):
+    return q_rule_response_adjudicate(spark, sf, "B")
 
 
 # ---------------------------------------------------------------- model, embedding, ANN, generation
@@ -899,7 +925,7 @@ def _canned_responder():
 @register("gen_batch_complete")
 def q_gen_batch_complete(spark, sf):
     d = _decided(spark, sf, "A").withColumn("transcript", redact(c("transcript")))
-    d = d.withColumn("prompt", rules.prompt(D.context_struct("A"), "A"))
+    d = d.withColumn("prompt", rules.prompt(D.context_json(d, "A"), "A"))
     g = ML.generate_with(d, "prompt", _canned_responder)
     return D.experience(g, "A", response=c("response"))
 

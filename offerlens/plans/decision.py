@@ -16,6 +16,7 @@ from offerlens.constants import (
     BASELINE_FACTOR, DEFAULT_BRAND, EXTRAPOLATE_TO, MONTHS,
 )
 from offerlens.functions.core import fmt_money, fmt_percent, round_half_up as rhu, safe_ratio
+from offerlens.functions.pyjson import json_text
 from offerlens.functions.text import redact
 from offerlens.operators import rules
 from offerlens.operators.ranking import with_best_offer
@@ -109,6 +110,13 @@ def context_struct(variant: str = "A", retrieval: bool = False) -> Column:
     return F.struct(*[col.alias(name) for name, col in context_fields(variant, retrieval)])
 
 
+def context_json(df: DataFrame, variant: str = "A", retrieval: bool = False) -> Column:
+    """fn_to_json: the context record of ``df``'s rows as indented JSON, with offer values as whole amounts."""
+    fields = [(n, col.cast("bigint") if n == "value_qar" else col) for n, col in context_fields(variant, retrieval)]
+    record = F.struct(*[col.alias(n) for n, col in fields])
+    return json_text(record, df.select(record.alias("r")).schema["r"].dataType)
+
+
 def source_groups() -> Column:
     """proj_group_by_source: context fields grouped by source system (7 structs)."""
     return F.struct(*[

@@ -6,7 +6,7 @@ into one row per customer (a customer may hold a large share of all rows).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.constants import INTERACTION_CHANNELS
@@ -17,8 +17,9 @@ from offerlens.operators.ranking import seq_within_group
 c = F.col
 REFERENCE_DATE = "2024-01-31"
 SAMPLE_SALT = "history"
-#: The sample of a key holds SAMPLE_LEAST + key % SAMPLE_STEPS rows.
-SAMPLE_LEAST, SAMPLE_STEPS = 2, 3
+# FIXED VALUES: sizes of a customer's sample, and how many of them are relevant (3 from 6 on, else 2).
+SAMPLE_FROM, SAMPLE_TO, SAMPLE_LEAST = 5, 10, 3
+SAMPLE_MANY, RELEVANT_MANY, RELEVANT_FEW = 6, 3, 2
 
 
 def sequenced(conversations: DataFrame) -> DataFrame:
@@ -56,17 +57,36 @@ def union_corpora(conversations: DataFrame, subs: DataFrame) -> DataFrame:
     return histories(conversations).unionByName(injected_transcripts(subs))
 
 
+def hex_number(digits: Column, n: int) -> Column:
+    """The number that the first ``n`` hexadecimal digits stand for."""
+    return F.conv(F.substring(digits, 1, n), 16, 10).cast("int")
+
+
+def sample_sizes(key: Column, salt: str = SAMPLE_SALT) -> tuple[Column, Column]:
+    """Interactions and relevant interactions that a key's sample asks for.
+
+    Between SAMPLE_FROM and SAMPLE_TO of them (at least SAMPLE_LEAST), the number
+    following from the key; relevant ones are RELEVANT_MANY of SAMPLE_MANY or
+    more, else RELEVANT_FEW."""
+    spread = F.md5(F.concat_ws("|", key.cast("string"), F.lit(f"{salt}-count")))
+    n = F.greatest(F.lit(SAMPLE_FROM) + hex_number(spread, 4) % (SAMPLE_TO - SAMPLE_FROM + 1), F.lit(SAMPLE_LEAST))
+    return n, F.when(n >= SAMPLE_MANY, RELEVANT_MANY).otherwise(RELEVANT_FEW)
+
+
 def stable_sample(conversations: DataFrame, salt: str = SAMPLE_SALT) -> DataFrame:
-    """win_stable_sample: a deterministic per-customer sample without replacement.
+    """win_stable_sample: a deterministic stratified sample per customer, without replacement.
 
-    Items are ordered by md5(customer|salt|item) and the first n(customer)
-    kept, n = SAMPLE_LEAST + customer % SAMPLE_STEPS; identical in every run and engine."""
+    Relevant turns and the others are two strata with a quota each; a stratum
+    with fewer rows than its quota gives all of them. Items are ordered by
+    md5(customer|salt|item), the same in every run and engine."""
     h = F.md5(F.concat_ws("|", c("conv_id").cast("string"), F.lit(salt), c("turn").cast("string")))
-    w = Window.partitionBy("conv_id").orderBy(h, c("turn"))
-    n = F.lit(SAMPLE_LEAST) + F.pmod(c("conv_id"), F.lit(SAMPLE_STEPS))
-    # the largest n as a literal lets Spark cut each key to that many rows per map
-    # partition (partial WindowGroupLimit) before the shuffle
-    most = SAMPLE_LEAST + SAMPLE_STEPS - 1
-    return (conversations.withColumn("pick", F.row_number().over(w))
-            .where((c("pick") <= most) & (c("pick") <= n))
-            .select("conv_id", "turn", "pick"))
+    relevant = F.coalesce(c("role") == "user", F.lit(False))
+    w = Window.partitionBy("conv_id", "is_relevant").orderBy(h, c("turn"))
+    n, n_relevant = sample_sizes(c("conv_id"), salt)
+    quota = F.when(c("is_relevant"), n_relevant).otherwise(n - n_relevant)
+    # the largest quota as a literal lets Spark cut each stratum to that many rows per
+    # map partition (partial WindowGroupLimit) before the shuffle
+    most = max(RELEVANT_MANY, SAMPLE_TO - RELEVANT_FEW)
+    return (conversations.withColumn("is_relevant", relevant).withColumn("pick", F.row_number().over(w))
+            .where((c("pick") <= most) & (c("pick") <= quota))
+            .select("conv_id", "turn", "is_relevant", "pick", n.alias("n_wanted")))

@@ -171,7 +171,7 @@ def test_grounding(spark):
         got = df.select(rules.grounding(F.lit(""), F.lit(text))).first()[0]
         assert got is ok, text
     assert df.select(rules.grounding(F.lit(None).cast("string"), F.lit(None).cast("string"))).first()[0] is True
-    reason = df.select(rules.grounding_reason(F.lit(""), F.lit("a 500 b"))).first()[0]
+    reason = df.select(rules.grounding_reason(rules.first_ungrounded(F.lit(""), F.lit("a 500 b")))).first()[0]
     assert reason == "ungrounded number '500'"
 
 

@@ -68,16 +68,50 @@ def test_dedup_and_argmax_on_hot_key(spark):
     assert best == mins  # equal scores: ties go to the smallest tiebreak
 
 
-def test_stable_sample_sizes_and_partial_limit(spark):
-    df, rows = skewed(spark)
+def test_stable_sample_meets_both_quotas(spark):
+    import hashlib
+    rows = [(7, i, "user" if i % 4 == 0 else "agent") for i in range(500)]  # a hot customer
+    rows += [(k, i, r) for k in range(100, 160) for i, r in enumerate(["user"] * (k % 5) + ["agent"] * (k % 11) + [None] * (k % 2))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string").repartition(4)
     s = stable_sample(df)
-    counts = {r.conv_id: r.n for r in s.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sizes = {}
-    for k, _ in rows:
-        sizes[k] = sizes.get(k, 0) + 1
-    assert counts == {k: min(n, 2 + k % 3) for k, n in sizes.items()}
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+    got = {}
+    for r in s.collect():
+        got.setdefault((r.conv_id, r.is_relevant), []).append((r.pick, r.turn, r.n_wanted))
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    want, sizes = {}, set()
+    for k in {r[0] for r in rows}:
+        n = 5 + int(md5(f"{k}|history-count")[:4], 16) % 6
+        sizes.add(n)
+        for relevant, quota in ((True, 3 if n >= 6 else 2), (False, n - (3 if n >= 6 else 2))):
+            mine = sorted((md5(f"{k}|history|{t}"), t) for q, t, role in rows if q == k and (role == "user") == relevant)[:quota]
+            if mine:
+                want[k, relevant] = [(i + 1, t, n) for i, (_, t) in enumerate(mine)]
+    assert {k: sorted(v) for k, v in got.items()} == want and sizes == {5, 6, 7, 8, 9, 10}
+
+
+def test_pages_of_a_hot_customer_make_up_the_whole_history(spark):
+    import random
+
+    from offerlens.operators.ranking import paged_list, with_positions
+    random.seed(2)
+    rows = [(1 if i % 3 else 2 + i % 7, i, "x" * random.randrange(0, 40) + str(i)) for i in range(900)] + [(50, 5, None), (50, 5, "same"), (None, 1, "no key")]
+    df = spark.createDataFrame(rows, "k long, o long, t string").repartition(6)
+    text = F.coalesce("t", F.lit(""))
+    by_count = paged_list(df, "k", ["o"], text, "|", 40, n_parts=8).collect()
+    by_chars = paged_list(df, "k", ["o"], text, "|", 500, F.length(text) + 1, n_parts=8).collect()
+    for key in {r[0] for r in rows} - {50, None}:
+        whole = "|".join(t for k, o, t in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]))
+        for pages in (by_count, by_chars):
+            mine = sorted((r.page, r["items"]) for r in pages if r.k == key)
+            assert "|".join(x for _, x in mine) == whole
+    hot = sorted(r.page for r in by_count if r.k == 1)
+    assert hot == list(range(15)) and all(r.n_items == 40 for r in by_count if r.k == 1)
+    assert max(len(r["items"]) for r in by_chars) <= 500 + 45 and len([r for r in by_chars if r.k == 1]) > 20
+    assert sorted((r.seq, r.t or "") for r in with_positions(df, "k", ["o"]).where("k = 50").collect())[0][0] == 0
+    assert {r.seq for r in with_positions(df, "k", ["o"]).where("k = 50").collect()} == {0, 1}
+    assert [r.seq for r in with_positions(df, "k", ["o"]).where("k is null").collect()] == [None]
 
 
 def test_retrieval_topk_plans_partial_group_limit(spark, sf_small):
