@@ -14,9 +14,12 @@ order share at least l, for every l >= 1 (and l <= ceil(t x n)).
    frequencies of its prefix, at most S(l) / l documents can share l of its
    shingles. The cost is S(l) lookups and S(l) / l verifications of n steps;
    the prefix is lengthened while that saves more than it costs.
-3. The prefixes become postings (shingle, level, node), the level being the
-   smallest l whose prefix holds the shingle. A pair of nodes with l and k has
-   to share min(l, k) shingles of a level up to min(l, k).
+3. The prefixes become postings (shingle, place, node). Two nodes of n and m
+   shingles that are linked share at least a = ceil(t / (1 + t) x (n + m)), so
+   with j = min(l, k) of their own l and k they share j shingles at places
+   below n - a + j in the one and below m - a + j in the other. Among sets of
+   one size these places are about half of the prefix; near misses, whose own
+   shingles fill them, never meet.
 4. Groups of similar documents are joined first, without listing their pairs:
    in the postings of a shingle the leader is the node whose shingles are the
    most frequent on average (the original that a group was copied from), in
@@ -58,7 +61,7 @@ COUNTERS, SLICE = 1 << 22, 1 << 16
 MOST, LOOKUP = 8, 4.0
 #: Most rounds of leaders, and leaders that a node is compared with in each. Rounds go on while they at least halve the pairs that are left.
 ROUNDS, TRIES = 4, 2
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 500_000
 
 
 def sets_of(column, words: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -153,9 +156,8 @@ def chosen_length(frequency: np.ndarray, n: int, base: int, most: int) -> int:
 
 
 def prefixes(docs: DataFrame, nodes: DataFrame, table: bytes, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(node, n, l, base, weight, shingles): each node's set size, chosen l, average frequency and prefix in order; staged.
-
-    base is n - ceil(t x n): base + 1 shingles are of level 1, each further one is of the next level."""
+    """(node, n, l, weight, shingles): each node's set size, chosen l, average frequency (on the scale of the logarithms)
+    and its first n - ceil(t x n) + l shingles in order; staged."""
     spark = docs.sparkSession
     logs = spark.sparkContext.broadcast(table)
     texts = join_checked(docs.select(F.col(id_col).cast("long").alias("node"), text_col), nodes.select("node").distinct(), ["node"], "left_semi")
@@ -166,38 +168,42 @@ def prefixes(docs: DataFrame, nodes: DataFrame, table: bytes, id_col: str, text_
         log = np.frombuffer(pa.decompress(logs.value, decompressed_size=COUNTERS, codec="zstd", asbytes=True), np.uint8)
         for batch in batches:
             for a, b, sets in sets_of(batch.column(1), words):
-                n, l, bases, weight, parts = [], [], [], [], []
+                n, l, weight, parts = [], [], [], []
                 for s in sets:
                     level = log[counter_of(s)]
                     order = np.lexsort((s, level))
-                    frequency = np.exp2(level[order] / 5.0)
                     least = least_shared(len(s), percent)
                     base = len(s) - least
-                    k = chosen_length(frequency, len(s), base, min(MOST, least)) if len(s) else 1
+                    k = chosen_length(np.exp2(level[order] / 5.0), len(s), base, min(MOST, least)) if len(s) else 1
                     n.append(len(s))
                     l.append(k)
-                    bases.append(base)
-                    weight.append(float(level.mean()) if len(s) else 0.0)
+                    weight.append(int(level.mean()) if len(s) else 0)
                     parts.append(s[order[:base + k]])
                 upto = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(l, pa.int32()), pa.array(bases, pa.int64()), pa.array(weight, pa.float32()),
+                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.array(l, pa.int32()), pa.array(weight, pa.int32()),
                      pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(parts).view(np.int64)))],
-                    names=["node", "n", "l", "base", "weight", "shingles"])
+                    names=["node", "n", "l", "weight", "shingles"])
 
-    return stage(texts.mapInArrow(run, "node long, n long, l int, base long, weight float, shingles array<long>"), "join-prefixes")
+    return stage(texts.mapInArrow(run, "node long, n int, l int, weight int, shingles array<long>"), "join-prefixes")
 
 
 def postings(prefix: DataFrame) -> DataFrame:
-    """(shingle, level, node, n, l, weight) of the shingles that stand in several prefixes; staged."""
-    rows = (prefix.select("node", "n", "l", "weight", "base", F.posexplode("shingles").alias("at", "shingle"))
-            .select("shingle", F.greatest(F.lit(1), F.col("at") - F.col("base") + 1).cast("int").alias("level"), "node", "n", "l", "weight"))
+    """(shingle, place, node, n, l, weight) of the shingles that stand in several prefixes; staged."""
+    one = prefix.select(F.explode("shingles").alias("shingle"))
     # staged, so that the join has plain exchanges on both sides, which AQE can split where a shingle is frequent
-    shared = stage(rows.groupBy("shingle").agg(F.min("node").alias("x"), F.max("node").alias("y")).where(F.col("x") != F.col("y"))
-                   .select("shingle"), "join-shared")
+    shared = stage(one.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle"), "join-shared")
+    rows = prefix.select("node", "n", "l", "weight", F.posexplode("shingles").alias("place", "shingle"))
     return stage(rows.join(shared, "shingle"), "join-postings")
 
 
+def may_link(n, m, place_n, place_m, need, percent: int):
+    """Condition: sets of ``n`` and ``m`` shingles may be linked, and a shingle they share at these places counts towards ``need``."""
+    total = n.cast("long") + m
+    shared = F.floor((total * percent + 99 + percent) / (100 + percent))  # ceil(t / (1 + t) x total)
+    return sizes_fit(n, m, percent) & (place_n < n - shared + need) & (place_m < m - shared + need)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, name: str, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are linked; staged. Only texts of nodes in ``pairs`` are read into sets."""
     wanted = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{name}-wanted")
@@ -217,7 +223,8 @@ def verified(pairs: DataFrame, docs: DataFrame, name: str, id_col: str, text_col
     x, y = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     linked = both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent
-    return stage(pairs.select("a", "b").join(x, "a").join(y, "b").where(linked).select("a", "b"), f"{name}-links")
+    # with few pairs, the sets of one side stay where they are
+    return stage(join_checked(x, pairs.select("a", "b"), ["a"], "inner").join(y, "b").where(linked).select("a", "b"), f"{name}-links")
 
 
 def sizes_fit(n, m, percent: int):
@@ -227,9 +234,11 @@ def sizes_fit(n, m, percent: int):
 def leader_pairs(placed: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of round ``k``: for each node the leaders, of other components, that it shares most shingles with; staged."""
     order = F.struct("weight", "node") if k == 1 else F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")
-    leaders = stage(placed.groupBy("shingle").agg(F.max(F.struct(order.alias("o"), "node", "label", "n")).alias("x"))
-                    .select("shingle", F.col("x.node").alias("leader"), F.col("x.label").alias("of"), F.col("x.n").alias("m")), f"join-leaders-{k}")
-    votes = (placed.join(leaders, "shingle").where((F.col("label") != F.col("of")) & sizes_fit(F.col("n"), F.col("m"), percent))
+    leaders = stage(placed.groupBy("shingle").agg(F.max(F.struct(order.alias("o"), "node", "label", "n", "l", "place")).alias("x"))
+                    .select("shingle", F.col("x.node").alias("leader"), F.col("x.label").alias("of"), F.col("x.n").alias("m"),
+                            F.col("x.l").alias("k"), F.col("x.place").alias("at")), f"join-leaders-{k}")
+    fits = may_link(F.col("n"), F.col("m"), F.col("place"), F.col("at"), F.least("l", "k"), percent)
+    votes = (placed.join(leaders, "shingle").where((F.col("label") != F.col("of")) & fits)
              .groupBy("node", "leader").agg(F.count(F.lit(1)).alias("votes")))
     most = Window.partitionBy("node").orderBy(F.desc("votes"), "leader")
     return stage(votes.withColumn("r", F.row_number().over(most)).where(F.col("r") <= TRIES)
@@ -252,12 +261,12 @@ def pairs_left(placed: DataFrame) -> int:
 
 def cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs of different components that share enough shingles of their prefixes; staged."""
-    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("level", "node", "n", "l", "label", "main")]
+    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("place", "node", "n", "l", "label", "main")]
     x = placed.where(~F.col("main")).select("shingle", *side("a"))
     y = placed.select("shingle", *side("b"))
     need = F.least("l_a", "l_b")
     met = (x.join(y, "shingle").where((F.col("label_a") != F.col("label_b")) & (F.col("main_b") | (F.col("node_a") < F.col("node_b")))
-                                      & (F.greatest("level_a", "level_b") <= need) & sizes_fit(F.col("n_a"), F.col("n_b"), percent))
+                                      & may_link(F.col("n_a"), F.col("n_b"), F.col("place_a"), F.col("place_b"), need, percent))
            .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), need.alias("need")))
     return stage(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"))
                  .where(F.col("shared") >= F.col("need")).select("a", "b"), "join-cross")

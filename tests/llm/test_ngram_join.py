@@ -94,9 +94,12 @@ def test_prefixes_share_enough_at_every_length():
         if not len(b) or both * 100 < either * 85:
             continue
         cut = [(sorted(s.tolist()), len(s) - ngram_join.least_shared(len(s), 85)) for s in (a, b)]
+        shared = -(-85 * (len(a) + len(b)) // 185)
         for l in range(1, min(ngram_join.least_shared(len(a), 85), ngram_join.least_shared(len(b), 85)) + 1):
             x, y = (set(s[:base + l]) for s, base in cut)
             assert len(x & y) >= l
+            x, y = (set(sorted(s.tolist())[:max(0, len(s) - shared + l)]) for s in (a, b))
+            assert len(x & y) >= l  # the places that count between two sizes
 
 
 def test_a_longer_prefix_is_chosen_where_it_saves_work():
