@@ -5,7 +5,8 @@ negative; the weights come from labelled pages, those that mark their content
 with exactly one ``article`` or ``main`` element: each kind of tag, and words
 by the element they stand in, get the logarithm of how much more often they
 occur inside than outside the marked region. One linear scan finds the
-contiguous run of tokens with the largest sum. From that region the text is
+contiguous run of tokens with the largest sum, which then grows to the ends of
+the blocks that it cuts into and by its neighbours that are no links. From that region the text is
 read block by block, leaving out elements that never hold content (scripts,
 forms, menus, notices, adverts, reader comments ...), unless they surround the
 region itself.
@@ -57,17 +58,28 @@ TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
 BREAKS_OUT = frozenset("""b blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu
 meta ol p pre s small span strong sub sup table tt u ul var""".split())
 FOREIGN = ("svg", "math")
-#: FIXED VALUES: words in a class, id or role that mark an element as no part of the content.
+#: FIXED VALUES: words in a class, id or role that mark an element as no part of the content; those of ``UNSURE`` only
+#: where the element's own words and links agree.
 NOISE = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar comment
 comments cookie cookies consent notice notices newsletter subscribe subscription share sharing social related
 breadcrumb breadcrumbs menu nav navigation navbar footer popup modal pagination disqus replies""".split())
-
+UNSURE = frozenset("banner sponsor sponsored promo notice notices subscription sharing social related modal".split())
+#: FIXED VALUES: words that may stand beside a noise word without changing what it says ("ad box", not "related work").
+BESIDE = frozenset("""area articles bar block body bottom box button buttons card col column container content header
+heading icons inner item items label left link links list main mobile module outer page panel post posts right row
+section slot small stories story text title top unit widget wrap wrapper""".split())
+#: Words up to which, and share of words in links from which, an element of ``UNSURE`` is none of the content.
+SHORT, LINKED = 40, 0.3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: FIXED VALUES: blocks that continue a text where nothing but the page's body surrounds it.
+PROSE = HEADINGS | frozenset("p blockquote figure ul ol dl table pre".split())
+
+# Quotes only count after "="; nothing is read twice, so the time grows in proportion to the page.
 TOKENS = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
-    r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
-    r"|</[^>]*(?:>|\Z)", re.S)
-MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)"
+    r"|</[^>]*+(?:>|\Z)", re.S)
+MARK = re.compile(r"(?<![\w-])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])|\Z", re.I) for n in RAW}
 
@@ -75,13 +87,23 @@ WORD, OPEN, CLOSE = 0, 1, 2
 
 
 def kind_of(name: str, attrs: str) -> str:
-    """A tag's kind: its name, and whether its class, id or role marks it as noise."""
-    base = name if name in KNOWN else "other"
+    """A tag's kind: its name, and whether its class, id or role marks it as noise (or says so without being sure).
+
+    A mark is one word of the attribute that is made of noise words and such
+    as may stand beside them. Ids of headings are only anchors."""
+    base, unsure = name if name in KNOWN else "other", False
     if attrs:
         for m in MARK.finditer(attrs):
-            if not NOISE.isdisjoint(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())):
-                return base + ".noise"
-    return base
+            if name in HEADINGS and m[1].lower() == "id":
+                continue
+            for mark in (m[2] or m[3] or m[4] or "").lower().split():
+                words = {w for w in re.split(r"[^a-z]+", mark) if w}
+                said = words & NOISE
+                if said and words <= NOISE | BESIDE:
+                    if not said <= UNSURE:
+                        return base + ".noise"
+                    unsure = True
+    return base + ".unsure" if unsure else base
 
 
 def tokens(page: str) -> list[tuple[int, str, str, str]]:
@@ -98,14 +120,14 @@ def tokens(page: str) -> list[tuple[int, str, str, str]]:
         if not m:
             break
         at = m.end()
-        name = m["name"] or m["name2"]
+        name = m["name"]
         if name:
             name = name.lower()
-            if m["close"] or m["close2"]:
+            if m["close"]:
                 out.append((CLOSE, name, name if name in KNOWN else "other", ""))
                 foreign = "" if name == foreign else foreign
                 continue
-            attrs = m["attrs"] or m["attrs2"] or ""
+            attrs = m["attrs"] or ""
             if name in BREAKS_OUT:
                 foreign = ""
             whole = (foreign or name in FOREIGN) and SELF_CLOSED.search(attrs)
@@ -221,7 +243,7 @@ def weight(weights: dict[str, float], feature: str) -> float:
     """Words at least 0.01, tags at most -0.01; unseen: 1 for words, -3 for tags, and noise is worth little."""
     if feature[:2] == "w:":
         kind = feature[2:]
-        unseen = 0.01 if kind.endswith(".noise") or kind in NEVER else 1.0
+        unseen = 0.01 if kind.endswith((".noise", ".unsure")) or kind in NEVER else 1.0
         return max(0.01, weights.get(feature, unseen))
     return min(-0.01, weights.get(feature, -3.0))
 
@@ -239,13 +261,108 @@ def best_region(values: list[float]) -> tuple[int, int]:
     return region
 
 
-def region_text(toks: list, region: tuple[int, int], ends: list[int], values: list[float]) -> str:
+class Layout:
+    """Words and linked words of any range of a page's tokens, and its elements."""
+
+    def __init__(self, toks: list, ends: list[int]):
+        self.toks, self.ends = toks, ends
+        linked, upto = [False] * len(toks), -1
+        for i, (what, name, _, _) in enumerate(toks):
+            if what == OPEN and name == "a":
+                upto = max(upto, ends[i])
+            linked[i] = i < upto
+        n = [len(t[3].split()) if t[0] == WORD else 0 for t in toks]
+        self.words = list(accumulate(n, initial=0))
+        self.linked = list(accumulate((k if x else 0 for k, x in zip(n, linked)), initial=0))
+
+    def count(self, a: int, b: int) -> tuple[int, int]:
+        """Words, and words in links, of the tokens from a to b."""
+        return self.words[b] - self.words[a], self.linked[b] - self.linked[a]
+
+    def after(self, i: int) -> int:
+        """The token behind the element that opens at ``i``."""
+        name, end = self.toks[i][1], self.ends[i]
+        own = end < len(self.toks) and (end == i or self.toks[end][0] == CLOSE and self.toks[end][1] == name)
+        return end + 1 if own else end
+
+    def left_out(self, i: int) -> bool:
+        """Whether the element that opens at ``i`` is none of the content by its name or marks."""
+        _, name, kind, _ = self.toks[i]
+        if name in VOID:
+            return False
+        if kind.endswith(".unsure"):
+            n, linked = self.count(i, self.after(i))
+            return n <= SHORT or linked >= LINKED * n
+        return name in NEVER or kind.endswith(".noise")
+
+    def children(self, a: int, b: int) -> list[tuple[int, int]]:
+        """The elements and bare tokens between a and b, as ranges."""
+        out = []
+        while a < b:
+            stop = self.after(a) if self.toks[a][0] == OPEN and self.toks[a][1] not in VOID else a + 1
+            out.append((a, min(max(stop, a + 1), b)))
+            a = out[-1][1]
+        return out
+
+
+def widened(layout: Layout, region: tuple[int, int]) -> tuple[int, int]:
+    """The region, grown by the blocks that it cuts into and by its neighbours in the element around it.
+
+    Kinds of block that the labelled articles lack are dear to the scan, which
+    so stops before a closing list or behind a byline. A neighbour is taken if
+    at most half of its words are links; what is left out anyway is passed
+    over; where nothing but the body surrounds the region, only prose counts."""
+    toks, ends = layout.toks, layout.ends
+    first, last = region
+    if first >= last:
+        return region
+    around, i = -1, 0
+    while i < first:  # the innermost block that holds the whole region
+        if toks[i][0] == OPEN and toks[i][1] not in VOID and ends[i] >= last:
+            if toks[i][1] not in INLINE:
+                around = i
+            i += 1
+        else:
+            i = layout.after(i) if toks[i][0] == OPEN and layout.after(i) <= first else i + 1
+    wide = around < 0 or toks[around][1] in ("html", "body")
+    parts = layout.children(around + 1, ends[around] if around >= 0 else len(toks))
+    inside = [k for k, (a, b) in enumerate(parts) if a < last and b > first]
+    if not inside:
+        return region
+
+    def takes(k: int) -> bool | None:
+        """Whether the part belongs to the text; None: it says nothing."""
+        a, b = parts[k]
+        what, name, _, text = toks[a]
+        n, linked = layout.count(a, b)
+        if what != OPEN:
+            return not wide if text.strip() else None
+        if layout.left_out(a) or not n:
+            return None
+        return 2 * linked <= n and (name in PROSE or name in INLINE or not wide)
+
+    def grown(steps) -> int | None:
+        """The last part on this side that belongs to the text."""
+        found = None
+        for k in steps:
+            good = takes(k)
+            if good is False:
+                break
+            found = k if good else found
+        return found
+
+    low, high = grown(range(inside[0] - 1, -1, -1)), grown(range(inside[-1] + 1, len(parts)))
+    return parts[inside[0] if low is None else low][0], parts[inside[-1] if high is None else high][1]
+
+
+def region_text(toks: list, region: tuple[int, int], ends: list[int], values: list[float], layout: Layout | None = None) -> str:
     """The region's blocks, one a line, without the elements that never hold content.
 
     A class or a form may also stand on what surrounds the content. So an
     element is kept if it opens before the region and reaches to its end, or
     if most of the region's words stand in it and it holds the page's marked
     content or, on a page without such a mark, opens before the region."""
+    layout = layout or Layout(toks, ends)
     first, last = region
     worth = list(accumulate((values[i] if toks[i][0] == WORD else 0.0 for i in range(first, last)), initial=0.0))
     marked = labelled_region(toks)
@@ -261,14 +378,12 @@ def region_text(toks: list, region: tuple[int, int], ends: list[int], values: li
 
     blocks, block, i = [], [], 0
     while i < last:
-        what, name, kind, text = toks[i]
-        if what == OPEN and name not in VOID and (name in NEVER or kind.endswith(".noise")) and not surrounds(i):
+        what, name, _, text = toks[i]
+        if what == OPEN and layout.left_out(i) and not surrounds(i):
             if i >= first:
                 blocks.append(block)
                 block = []
-            end = ends[i]
-            own = end < len(toks) and (end == i or toks[end][0] == CLOSE and toks[end][1] == name)
-            i = end + 1 if own else end
+            i = layout.after(i)
             continue
         if i >= first:
             if what == WORD:
@@ -295,7 +410,8 @@ def page_text(page: str | None, weights: dict[str, float]) -> str:
         if feature not in cache:
             cache[feature] = weight(weights, feature)
         values.append(cache[feature] * n)
-    return region_text(toks, best_region(values), ends, values)
+    layout = Layout(toks, ends)
+    return region_text(toks, widened(layout, best_region(values)), ends, values, layout)
 
 
 def extract(pages: DataFrame, html_col: str = "html", weights: dict[str, float] | None = None,
