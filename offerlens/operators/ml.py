@@ -1,4 +1,4 @@
-"""Learning, embedding and generation hooks (Spark ML / Arrow).
+"""Learning and embedding (Spark ML / Arrow).
 
 * The propensity model is an MLlib pipeline (StringIndexer keep-invalid +
   OneHotEncoder dropLast + VectorAssembler + GBTClassifier), trained and
@@ -137,37 +137,3 @@ def embed_with(df: DataFrame, text_col: str, load_fn, dim: int, out: str = "embe
             pdf[out] = list((v / n).astype(np.float32))
             yield pdf
     return df.mapInPandas(run, schema)
-
-
-# ---------------------------------------------------------------- generation hook
-def generate_with(df: DataFrame, prompt_col: str, load_fn, out: str = "response") -> DataFrame:
-    """gen_batch_complete: ``load_fn()`` returns ``list[str] -> list[str|None]``
-    (JSON text per prompt, None on failure); called per Arrow batch, loaded
-    once per worker. If a call fails, or answers another number of prompts, its
-    prompts are tried one by one and only those that fail stay null. No client
-    ships with the library."""
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
-    key = uuid.uuid4().hex
-
-    def answer(m, prompts):
-        answers = list(m(prompts))
-        if len(answers) != len(prompts):
-            raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
-        return answers
-
-    def run(batches):
-        m = load_once(key, load_fn)
-        for pdf in batches:
-            prompts = pdf[prompt_col].fillna("").astype(str).tolist()
-            try:
-                pdf[out] = answer(m, prompts) if prompts else []
-            except Exception:  # noqa: BLE001 - whatever the model raises concerns its own prompts only
-                each = []
-                for p in prompts:
-                    try:
-                        each += answer(m, [p])
-                    except Exception:  # noqa: BLE001 - a failing prompt falls back to the rule texts
-                        each.append(None)
-                pdf[out] = each
-            yield pdf
-    return df.mapInPandas(run, schema)

@@ -454,7 +454,7 @@ def _hits(spark, sf, k=3):
 @register("src_corpus_load")
 def q_src_corpus_load(spark, sf):
     corp = RP.corpus(Tables(spark, sf), text=True, whole=True)
-    return corp.select("interaction_id", "customer_id", "channel", "date", "is_relevant", "embedding", "text")
+    return RP.not_empty(corp.select("interaction_id", "customer_id", "channel", "date", "is_relevant", "embedding", "text"), "interactions")
 
 
 @register("fn_vec_norm")
@@ -776,6 +776,7 @@ def q_rule_response_adjudicate_b(spark, sf):
 
 # ---------------------------------------------------------------- model, embedding, ANN, generation
 from offerlens.constants import QUERY_TEXT  # noqa: E402
+from offerlens.operators import generation as GEN  # noqa: E402
 from offerlens.operators import inverted as INV  # noqa: E402
 from offerlens.operators import ml as ML  # noqa: E402
 
@@ -926,7 +927,8 @@ def _canned_responder():
 def q_gen_batch_complete(spark, sf):
     d = _decided(spark, sf, "A").withColumn("transcript", redact(c("transcript")))
     d = d.withColumn("prompt", rules.prompt(D.context_json(d, "A"), "A"))
-    g = ML.generate_with(d, "prompt", _canned_responder)
+    # one response table for all runs: a prompt that was answered is not sent again
+    g = GEN.complete(d, "prompt", _canned_responder, stage_path(spark, "responses", unique=False), limits=GEN.Limits(batch=64))
     return D.experience(g, "A", response=c("response"))
 
 

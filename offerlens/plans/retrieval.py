@@ -48,6 +48,18 @@ def corpus(t: Tables, text: bool = False, whole: bool = False) -> DataFrame:
     return with_text(t, out) if text else out
 
 
+def not_empty(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``; a job over them fails with ``name`` if there are none.
+
+    The check is a part of the plan, not a job of its own: a second branch
+    looks for one row and adds nothing, or raises."""
+    found = rows.select(F.lit(1).alias("one")).limit(1).agg(F.count(F.lit(1)).alias("n"))
+    message = F.lit(f"{name}: the corpus is empty")
+    none = found.where(F.when(c("n") == 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(False)))
+    empty = none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+    return rows.unionByName(empty)
+
+
 def with_text(t: Tables, rows: DataFrame) -> DataFrame:
     """``rows`` with their interaction's text; for hits this comes last, when only k rows a customer are left."""
     d = t.documents.select(c("doc_id").alias("interaction_id"), "text")

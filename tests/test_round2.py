@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from offerlens.functions.core import zero_pad
 from offerlens.functions.text import is_blank_or_sentinel, strip, tokens
 from offerlens.operators import ml as ML
+from offerlens.operators.generation import generate_with
 from offerlens.operators import retrieval as R
 from offerlens.operators import rules
 from offerlens.sources import files as FS
@@ -95,9 +96,9 @@ def test_one_bad_prompt_nulls_one_row(spark):
             return [p.upper() for p in prompts]
         return answer
     df = spark.createDataFrame([(i, "bad" if i == 37 else f"p{i}") for i in range(80)], "i int, prompt string").coalesce(2)
-    got = {r.i: r.response for r in ML.generate_with(df, "prompt", load).collect()}
+    got = {r.i: r.response for r in generate_with(df, "prompt", load).collect()}
     assert got[37] is None and all(got[i] == f"P{i}" for i in got if i != 37)
-    short = ML.generate_with(df, "prompt", lambda: lambda ps: ["x"] if len(ps) == 1 else [])
+    short = generate_with(df, "prompt", lambda: lambda ps: ["x"] if len(ps) == 1 else [])
     assert [r.response for r in short.collect()] == ["x"] * 80
 
 
