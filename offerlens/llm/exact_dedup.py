@@ -1,13 +1,19 @@
-"""Exact dedup: a tree merge of digest runs, in DataFrame operations only.
+"""Exact dedup: a tree merge of sorted digest runs, in DataFrame operations only.
 
 Every input partition's rows form part of a run of (digest, surviving id,
-count). In each round, ``fan_in`` neighbouring runs meet and are merged into
-one: rows of one digest become one row, which keeps the surviving identifier
-and adds up the counts. The rounds follow a binomial tree, (run number) >>
-log2(fan_in), until one run is left. A round's exchange is dealt by (run,
-digest), so no task ever holds a whole run, and each map task has already
-combined its own copies: a text that makes up a third of all rows sends one
-row from each task, and at most ``fan_in`` rows per digest meet in a merge.
+count), sorted by digest. In each round, ``fan_in`` neighbouring runs are
+merged into one: they are cut into ranges by digest, each range is brought
+into order, and rows that stand side by side with equal keys become one row,
+which keeps the surviving identifier and adds up the counts. Every round's
+runs are written as a table. The rounds follow a binomial tree, (run number)
+>> log2(fan_in), until one run is left.
+
+The cuts are those of a range partitioning by (run, digest), so no task ever
+holds a whole run, and the exchange already delivers what the merge needs:
+ordering within the ranges is all that is added. A run has one row for each
+digest once it is sorted, so at most ``fan_in`` rows of a digest meet in a
+later merge; in the first sort, a text that makes up a third of all rows is
+spread over the runs.
 
 The merge key is verified at every level: SHA-256 of the normalised text, its
 length in bytes and an independent 64-bit hash have to agree.
@@ -47,21 +53,34 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.spark_partition_id().alias("run0"))
 
 
+KEY = ["digest", "n_bytes", "check"]
+
+
+def merged_runs(runs: DataFrame, keep: str, name: str) -> DataFrame:
+    """Rows (run, key, keep_id, group_size) in the order of run and key, one for each; staged as sorted files.
+
+    The window's partitions are ranges of the sorted rows: it needs no exchange beside the range partitioning."""
+    dealt = runs.repartitionByRange("run", *KEY)
+    order = F.col("keep_id").asc_nulls_last() if keep == "smallest" else F.col("keep_id").desc_nulls_last()
+    equal = Window.partitionBy("run", *KEY).orderBy(order)
+    whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = (dealt.withColumn("place", F.row_number().over(equal)).withColumn("group_size", F.sum("group_size").over(whole))
+            .where("place = 1").drop("place"))
+    return stage(rows, name)
+
+
 def tree_merge(runs: DataFrame, keep: str = "smallest", n_runs: int = 64, fan_in: int = 8) -> DataFrame:
     """Merge the runs of ``digests`` into one row per text: digest, n_bytes, check, keep_id, group_size.
 
     ``keep`` names the identifier that stays, ``smallest`` or ``largest``."""
     if keep not in ("smallest", "largest") or fan_in < 2:
         raise ValueError("keep is 'smallest' or 'largest', fan_in at least 2")
-    pick = F.min if keep == "smallest" else F.max
-    key = ["digest", "n_bytes", "check"]
-    level = (runs.withColumn("run", F.pmod("run0", F.lit(n_runs)))
-             .groupBy("run", *key).agg(pick("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    level = merged_runs(runs.select(F.pmod("run0", F.lit(n_runs)).alias("run"), *KEY, F.col("id").alias("keep_id"),
+                                    F.lit(1).cast("long").alias("group_size")), keep, "sorted-runs")
     left = n_runs
     while left > 1:
         left = -(-left // fan_in)
-        level = (level.withColumn("run", F.floor(F.col("run") / F.lit(fan_in)).cast("int"))
-                 .groupBy("run", *key).agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
+        level = merged_runs(level.withColumn("run", F.floor(F.col("run") / F.lit(fan_in)).cast("int")), keep, f"merged-runs-{left}")
     return level.drop("run")
 
 
@@ -73,7 +92,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     merged runs are joined back to it (a hot digest's rows are split by AQE)."""
     runs = stage(digests(docs, id_col, text_col), "digest-runs")
     merged = tree_merge(runs, keep)
-    return (runs.drop("run0").join(merged, ["digest", "n_bytes", "check"])
+    return (runs.drop("run0").join(merged, KEY)
             .select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"))
 
 

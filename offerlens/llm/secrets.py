@@ -2,10 +2,18 @@
 
 Every version of every path is content-addressed (SHA-256 of its text). The
 ledger holds the (blob, rule, rule version) triples that were scanned; a scan
-runs each rule over the blobs that lack its triple, once per distinct blob,
-and findings are joined back to all paths that ever held the blob. Copies
-are combined before the texts are shuffled, so a blob that makes up a third
-of all versions costs one scan and sends one row from each map task.
+runs each rule over the blobs that lack its triple, once per distinct blob.
+Beside the ledger stands the table of findings, by blob as well, and both grow
+by one folder a batch. What is asked of a path is the join of its blob with
+all findings so far, whichever batch brought the blob first, so a later batch
+scans only what is new and loses nothing.
+
+A batch writes its findings first and its triples second. A batch that broke
+off has no triples and therefore does not count; it is written again under
+the same number.
+
+Copies are combined before the texts are shuffled, so a blob that makes up a
+third of all versions costs one scan and sends one row from each map task.
 
 Matches are leftmost and non-overlapping per rule. Their places follow from
 the text between matches: the running sum of the lengths of gaps and matches,
@@ -13,14 +21,15 @@ in code points. A match whose value is too short is dropped but still
 consumes its text.
 
 Cases: null text is the empty blob; null and repeated ids are paths like any
-other; a text without matches has no findings; an empty table gives none.
+other; a text without matches has no findings; an empty table gives none;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offerlens.llm.common import stage
@@ -41,8 +50,9 @@ class Rule:
 BASE_RULES = (
     Rule("assign", "((?i)password|passwd|secret|token|api_?key)(?-i)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
          2, 6, "(?i)(?:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]"),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 20, "AKIA"),
-    Rule("hex", "[0-9a-f]+", 0, 24, "[0-9a-f]{24}"),
+    # runs are matched whole, so asking for their length in the pattern drops the short ones before they become rows
+    Rule("access", "AKIA[A-Z0-9]{16,}+", 0, 20, "AKIA[A-Z0-9]{16}"),
+    Rule("hex", "[0-9a-f]{24,}+", 0, 24, "[0-9a-f]{24}"),
 )
 #: Further kinds the ledger scans for.
 MORE_RULES = (Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),)
@@ -69,15 +79,15 @@ def pending(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None,
-         text_col: str = "text") -> DataFrame:
-    """(blob, kind, version, start, end) of every match in the blobs that the ledger lacks."""
+         text_col: str = "text", todo: DataFrame | None = None) -> DataFrame:
+    """(blob, kind, version, start, end) of every match in the blobs that the ledger lacks (``todo``: as ``pending`` names them)."""
     texts = (docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
              .select(_address(F.col("text")).alias("blob"), "text"))
+    blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))  # combined in the map tasks, dealt by blob as the join asks
     if ledger is not None:
-        texts = texts.join(pending(texts, ledger, rules), "blob")
+        blobs = blobs.join(pending(texts, ledger, rules) if todo is None else todo, "blob")
     else:
-        texts = texts.withColumn("kinds", F.array(*[F.lit(r.kind) for r in rules]))
-    blobs = texts.groupBy("blob").agg(F.first("text").alias("text"), F.first("kinds").alias("kinds"))
+        blobs = blobs.withColumn("kinds", F.array(*[F.lit(r.kind) for r in rules]))
     searched = blobs.select("blob", F.explode(F.filter(F.array(*[
         F.when(F.array_contains("kinds", r.kind) & F.regexp_like("text", F.lit(r.hint)),
                F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"),
@@ -103,6 +113,45 @@ def extend_ledger(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule,
     return done if ledger is None else ledger.select("blob", "kind", "version").unionByName(done)
 
 
+# ------------------------------------------------------------------ the stored ledger
+TRIPLES = "blob binary, kind string, version int, batch int"
+FINDINGS = "blob binary, kind string, version int, start long, end long, batch int"
+
+
+def stored(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame, int]:
+    """(ledger, findings, number of the next batch) of the folder ``store``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/ledger")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return spark.createDataFrame([], TRIPLES), spark.createDataFrame([], FINDINGS), 0
+    ledger = spark.read.schema(TRIPLES).parquet(f"{store}/ledger")
+    done = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path)
+                  if s.isDirectory() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    batches = F.col("batch").isin(done)
+    return ledger.where(batches), spark.read.schema(FINDINGS).parquet(f"{store}/findings").where(batches), 1 + max(done, default=-1)
+
+
+def ingest(docs: DataFrame, store: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> int:
+    """Scan what the stored ledger lacks of ``docs``, and append findings and triples as one batch; returns its number."""
+    spark = docs.sparkSession
+    ledger, _, batch = stored(spark, store)
+    blobs = docs.select(_address(F.col(text_col)).alias("blob"))
+    todo = stage(pending(blobs, ledger, rules), "pending")
+    scan(docs, rules, ledger, text_col, todo).write.mode("overwrite").parquet(f"{store}/findings/batch={batch}")
+    number = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)]), F.col("kind"))
+    (todo.select("blob", F.explode("kinds").alias("kind")).select("blob", "kind", number.alias("version"))
+     .write.mode("overwrite").parquet(f"{store}/ledger/batch={batch}"))
+    return batch
+
+
+def findings(spark: SparkSession, store: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """All findings so far of the rules' present versions."""
+    now = F.lit(False)
+    for r in rules:
+        now = now | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
+    return stored(spark, store)[1].where(now).drop("batch")
+
+
 def per_path(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(path, blob, spans): the findings of each path's blob, by start, then kind as listed."""
     order = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)]), F.col("kind"))

@@ -350,6 +350,35 @@ def test_secret_ledger_scans_only_what_is_new(spark):
     assert {r.path: len(r.spans) for r in found.collect()} == {1: 1, 2: 0, 3: 1, 4: 1}
 
 
+def test_secret_findings_are_stored_and_batches_add_to_them(spark, tmp_path):
+    store = str(tmp_path / "store")
+    one = table(spark, [(1, "token=abcdef1", None, None, None), (2, "nothing", None, None, None), (5, None, None, None, None)])
+    two = table(spark, [(3, "token=abcdef1", None, None, None), (4, "x token=zzzzzz9", None, None, None), (5, "token=abcdef1", None, None, None)])
+    spans = lambda docs, rules=secrets.RULES: sorted((r.path, len(r.spans)) for r in secrets.per_path(
+        secrets.versions(docs), secrets.findings(spark, store, rules), rules).collect())
+    assert secrets.ingest(one, store) == 0 and spans(one) == [(1, 1), (2, 0), (5, 0)]
+    broken = spark.createDataFrame([(b"x", "assign", 1, 0, 9)], "blob binary, kind string, version int, start long, end long")
+    broken.write.parquet(f"{store}/findings/batch=1")  # lost between findings and triples
+    assert spans(one) == [(1, 1), (2, 0), (5, 0)] and secrets.findings(spark, store).where("blob = X'78'").count() == 0
+    assert secrets.ingest(two, store) == 1
+    assert [bytes(r.blob) for r in spark.read.parquet(f"{store}/findings/batch=1").collect()] == [hashlib.sha256(b"x token=zzzzzz9").digest()]
+    both = one.unionByName(two)
+    assert spans(both) == [(1, 1), (2, 0), (3, 1), (4, 1), (5, 0), (5, 1)]
+    assert secrets.ingest(both, store) == 2  # scans nothing, and every path keeps its findings
+    assert spark.read.parquet(f"{store}/findings/batch=2").count() == 0 == spark.read.parquet(f"{store}/ledger/batch=2").count()
+    assert spans(both) == [(1, 1), (2, 0), (3, 1), (4, 1), (5, 0), (5, 1)]
+    newer = tuple(secrets.Rule(r.kind, r.pattern, r.group, r.least, r.hint, 2) for r in secrets.RULES)
+    assert spans(both, newer) == [(p, 0) for p, _ in spans(both)]
+    secrets.ingest(both, store, newer)
+    assert spans(both, newer) == spans(both) and secrets.ingest(table(spark, []), store) == 4
+
+
+def test_short_runs_become_no_rows(spark):
+    text = "deadbeef " * 20_000 + "AKIA" + "Z" * 16 + " " + "ab" * 12
+    found = secrets.scan(table(spark, [(1, text, None, None, None)]))
+    assert sorted((r.kind, r.start, r.end) for r in found.collect()) == [("access", 180_000, 180_020), ("hex", 180_021, 180_045)]
+
+
 # ------------------------------------------------------------------ 9
 def test_exact_cases(spark, odd, none):
     rows = {(r.id, bytes(r.digest)): r for r in exact_dedup.exact_groups(odd, keep="largest").collect()}
@@ -431,3 +460,26 @@ def test_ann_copies_scales_and_shards(spark):
         hits += len({i for _, i in want} & {i for _, i in found[q]})
         total += 20
     assert hits >= 0.95 * total
+
+
+def test_runs_are_sorted_files_merged_without_hashing(spark, monkeypatch):
+    random.seed(8)
+    rows = [(i, f"text {random.randrange(40)}" if i % 3 else "hot", None, None, None) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(12)
+    stages = {}
+    monkeypatch.setattr(exact_dedup, "stage", lambda df, name: stages.setdefault(name, (stage(df, name), df))[0])
+    got = {r.id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs, keep="smallest").collect()}
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(t, []).append(i)
+    assert got == {i: (min(g), len(g)) for g in groups.values() for i in g}
+    assert list(stages) == ["digest-runs", "sorted-runs", "merged-runs-8", "merged-runs-1"]
+    for name, (written, df) in list(stages.items())[1:]:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning(run" in plan and "hashpartitioning" not in plan and "HashAggregate" not in plan
+        per_file = written.withColumn("f", F.input_file_name()).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
+        for f in {r.f for r in per_file}:
+            keys = [(r.run, bytes(r.digest)) for r in per_file if r.f == f]
+            assert keys == sorted(set(keys))
+    hot = stages["sorted-runs"][0].where(F.col("digest") == exact_dedup.digest(F.lit("hot"))).collect()
+    assert len(hot) == len({r.run for r in hot}) > 4  # one row of the hot text in each run
