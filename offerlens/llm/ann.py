@@ -1,11 +1,18 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard.
 
 Equal vectors are one node, so copies neither crowd a graph nor cut it into
-islands. Nodes are dealt to shards of about ``SHARD_SIZE`` by their hash; a
-shard's graph is built by one task and stored as flat neighbour arrays, a row
-per shard. Inner products are searched as distances: within a shard, each
-vector gets one more component that lifts all to the same length (0 for
-queries), which changes no inner product with a query.
+islands. Nodes are dealt to shards of about ``SHARD_SIZE`` by their length and
+hash; a shard's graph is built by one task and stored as flat neighbour
+arrays, a row per shard. Inner products are searched as distances: within a
+shard, each vector gets one more component that lifts all to the same length
+(0 for queries), which changes no inner product with a query. Lengths within a
+shard differ by a factor of at most ``LENGTHS``, so that the extra component
+stays small and near means near in direction.
+
+When a shard is built, its recall is measured: ``PROBES`` of its own vectors
+ask the graph and, by brute force, all of the shard. The breadth of the search
+is doubled until ``RECALL`` is reached, and kept with the graph; where that
+takes a breadth of half the shard, the shard is searched exactly.
 
 Queries meet every shard in blocks of ``QUERY_BLOCK``; the shards' results are
 merged, nodes are opened into their smallest ids, and the nearest are ranked
@@ -14,7 +21,8 @@ by the double-precision inner product of the original vectors.
 Cases: vectors that are null, empty, zero, or hold a null or non-finite
 component take no part, as query or candidate; vectors are only compared with
 vectors of their own dimension; rows that repeat an id and vector count once;
-equal scores are ranked by the smaller id; with fewer candidates than asked
+an id that stands on several vectors asks with the smallest of them (component by component) and may be found by
+each; equal scores are ranked by the smaller id; with fewer candidates than asked
 for, all are returned; an empty table gives an empty result.
 """
 
@@ -32,6 +40,8 @@ from offerlens.llm.common import mix64, stage
 SHARD_SIZE, QUERY_BLOCK = 8192, 2048
 #: Neighbours on the upper levels (twice as many on the lowest), breadth of the search while building and searching.
 LINKS, BREADTH_BUILD, BREADTH = 16, 80, 128
+#: Ratio of lengths within a shard; vectors that a new graph is tried with, neighbours asked for, and the part that has to be found.
+LENGTHS, PROBES, PROBED, RECALL = 1.1, 48, 21, 0.95
 
 
 def usable(vec: Column) -> Column:
@@ -172,14 +182,41 @@ def build(nodes: np.ndarray, vectors: np.ndarray) -> Graph:
     return graph
 
 
-INDEX = "dim int, shard int, entry int, nodes binary, vectors binary, levels binary, links array<binary>, degrees array<binary>"
+def breadth_needed(graph: Graph, vectors: np.ndarray, probes: int = PROBES, k: int = PROBED, recall: float = RECALL) -> int:
+    """The least breadth, a power of two times ``BREADTH``, at which sampled vectors find ``recall`` of their exact neighbours.
+
+    At least the size of the shard if only the exact search does."""
+    n = len(vectors)
+    some = np.unique(np.linspace(0, n - 1, min(n, probes)).astype(int))
+    k = min(k, n)
+    exact = vectors[some] @ vectors.T
+    least = np.partition(exact, n - k, 1)[:, n - k]  # ties at the end count as found
+    breadth = BREADTH
+    while 2 * breadth < n:
+        hits = 0
+        for row, i in enumerate(some.tolist()):
+            at = [j for _, j in graph.search(np.append(vectors[i], 0.0), breadth)]
+            hits += min(k, int((exact[row, at] >= least[row]).sum()))
+        if hits >= recall * k * len(some):
+            return breadth
+        breadth *= 2
+    return max(n, breadth)
+
+
+INDEX = "dim int, shard int, entry int, breadth int, nodes binary, vectors binary, levels binary, links array<binary>, degrees array<binary>"
 
 
 def build_index(nodes: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
     """One row per shard of ``nodes`` (node, dim, vec): its vectors and flat neighbour arrays. Staged."""
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("int").alias("shards"))
-    dealt = (nodes.join(F.broadcast(shards), "dim")  # one row per dimension that occurs
-             .withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")))
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    band = F.floor(F.log(F.least(F.greatest(length, F.lit(1e-300)), F.lit(1e300))) / math.log(LENGTHS)).cast("int")
+    nodes = nodes.withColumn("band", band)
+    # a band has shards of its own, numbered on from those of the bands before; one row for each dimension and band that occurs
+    before = Window.partitionBy("dim").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = nodes.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("int").alias("shards"))
+    bands = bands.withColumn("first", F.coalesce(F.sum("shards").over(before), F.lit(0)).cast("int"))
+    dealt = (nodes.join(F.broadcast(bands), ["dim", "band"])
+             .withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("shards"))).cast("int")))
 
     def run(key, pdf):
         import pandas as pd
@@ -188,7 +225,7 @@ def build_index(nodes: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
         ids = pdf["node"].to_numpy(np.int64)
         vectors = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
         g = build(ids, vectors)
-        return pd.DataFrame([{"dim": key[0], "shard": key[1], "entry": g.entry, "nodes": ids.tobytes(), "vectors": vectors.tobytes(),
+        return pd.DataFrame([{"dim": key[0], "shard": key[1], "entry": g.entry, "breadth": breadth_needed(g, vectors), "nodes": ids.tobytes(), "vectors": vectors.tobytes(),
                               "levels": g.levels.astype(np.int8).tobytes(), "links": [x.tobytes() for x in g.links],
                               "degrees": [x.tobytes() for x in g.degree]}])
 
@@ -232,8 +269,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, breadth: int = BR
             nodes, vectors, g = load_graph(shard.iloc[0])
             for query, vec in zip(asked["query_id"].tolist(), asked["vec"]):
                 q = np.asarray(vec, np.float64)
-                found = g.search(np.append(q, 0.0), max(breadth, k))
-                at = np.array([i for _, i in found])
+                wide = max(breadth, k, int(shard.iloc[0]["breadth"]))
+                at = np.arange(len(nodes)) if wide >= len(nodes) else np.array([i for _, i in g.search(np.append(q, 0.0), wide)])
                 scores = vectors[at] @ q
                 order = np.lexsort((nodes[at], -scores))[:k]
                 out += zip([query] * len(order), nodes[at[order]].tolist(), scores[order].tolist())
@@ -250,11 +287,17 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     rows = (table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("asks"))
             .where(F.col("id").isNotNull() & usable(F.col("vec"))).withColumn("dim", F.size("vec")))
     nodes = stage(rows.groupBy("vec").agg(F.min("id").alias("node")).select("node", F.size("vec").alias("dim"), "vec"), "ann-nodes")
+    if nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        # ids that stand on several vectors: all but the smallest vector get numbers of their own, beyond the ids
+        nth = F.row_number().over(Window.partitionBy("node").orderBy("vec"))
+        beyond = F.xxhash64("node", "nth").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+        nodes = stage(nodes.withColumn("nth", nth).withColumn("node", F.when(F.col("nth") == 1, F.col("node")).otherwise(beyond)).drop("nth"), "ann-numbered")
     first = Window.partitionBy("node").orderBy("id")
     # of equal vectors, no query needs more than the k + 1 smallest ids
     ids = stage(rows.select("id", "vec").distinct().join(nodes, "vec").select("node", "id")
                 .withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("node", "id"), "ann-ids")
-    queries = stage(rows.where("asks").select(F.col("id").alias("query_id"), "dim", "vec").dropDuplicates(["query_id"]), "ann-queries")
+    queries = stage(rows.where("asks").groupBy(F.col("id").alias("query_id")).agg(F.min("vec").alias("vec"))
+                    .select("query_id", F.size("vec").alias("dim"), "vec"), "ann-queries")
     found = search_index(build_index(nodes, shard_size), queries, k + 1, breadth)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
     merged = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")

@@ -483,3 +483,54 @@ def test_runs_are_sorted_files_merged_without_hashing(spark, monkeypatch):
             assert keys == sorted(set(keys))
     hot = stages["sorted-runs"][0].where(F.col("digest") == exact_dedup.digest(F.lit("hot"))).collect()
     assert len(hot) == len({r.run for r in hot}) > 4  # one row of the hot text in each run
+
+
+# ------------------------------------------------------------------ 10, vectors of unlike lengths
+def recall_of(vectors, breadth=None, k=20):
+    graph = ann.build(np.arange(len(vectors)), vectors)
+    wide = ann.breadth_needed(graph, vectors) if breadth is None else breadth
+    hits = asked = 0
+    for i in range(3, len(vectors), len(vectors) // 60):
+        scores = vectors @ vectors[i]
+        exact = set(np.argsort(-scores, kind="stable")[:k].tolist())
+        found = range(len(vectors)) if wide >= len(vectors) else [j for _, j in graph.search(np.append(vectors[i], 0.0), wide)]
+        hits += len(exact & set(sorted(found, key=lambda j: -scores[j])[:k]))
+        asked += k
+    return hits / asked, wide
+
+
+@pytest.mark.parametrize("kind", ["gauss", "lognormal", "axes", "clusters"])
+def test_ann_recall_is_measured_and_reached(kind):
+    rng = np.random.default_rng(9)
+    n = 1500
+    v = rng.normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if kind == "lognormal":
+        v *= rng.lognormal(size=(n, 1))
+    if kind == "axes":
+        v *= np.exp(rng.normal(size=64))
+    if kind == "clusters":
+        v = v * 0.2 + np.repeat(rng.normal(size=(15, 64)), 100, 0)
+    recall, wide = recall_of(v)
+    assert recall >= 0.9 and wide >= ann.BREADTH
+
+
+def test_ann_deals_lengths_apart_and_defines_repeated_ids(spark):
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(600, 8)) * rng.lognormal(sigma=1.5, size=(600, 1))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(20, [9.0] * 8), (20, [-50.0] + [0.0] * 7)]
+    df = stage(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=10, shard_size=200).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
+    hits = 0
+    for q in range(0, 600, 20):
+        asks = min(x for i, x in rows if i == q)
+        best = sorted((-float(np.dot(x, asks)), i) for i, x in rows if i != q)[:10]
+        assert [r for r, _, _ in sorted(got[q])] == list(range(1, 11))
+        hits += len({(i, round(-x, 6)) for x, i in best} & {(i, round(x, 6)) for _, i, x in got[q]})
+    assert hits >= 0.95 * 300
+    nodes = df.groupBy("embedding").agg(F.min("vec_id").alias("node")).select("node", F.size("embedding").alias("dim"), F.col("embedding").alias("vec"))
+    for r in ann.build_index(nodes, 200).collect():
+        lengths = np.linalg.norm(np.frombuffer(r.vectors, np.float64).reshape(-1, 8), axis=1)
+        assert lengths.max() <= ann.LENGTHS * lengths.min() * (1 + 1e-9)
