@@ -10,10 +10,12 @@ order share at least l, for every l >= 1 (and l <= ceil(t x n)).
    among all documents is estimated by its counter, less what the rest of the
    corpus puts into an average one. The counters have the same size for every
    corpus; they only decide the order and the cost, never the result.
-2. Each document chooses its own l (up to ``MOST``). With S(l) the summed
-   frequencies of its prefix, at most S(l) / l documents can share l of its
-   shingles. The cost is S(l) lookups and S(l) / l verifications of n steps;
-   the prefix is lengthened while that saves more than it costs.
+2. Each document chooses its own l (up to ``MOST``). Let S(l) be the number of
+   other documents that its shingles meet at the places that count (3.), by
+   their frequencies. At most S(l) / l documents can share l of them, so the
+   cost is S(l) lookups and S(l) / l verifications of n steps. The prefix is
+   lengthened where that is cheaper; a document whose rare shingles meet
+   nobody stays at l = 1.
 3. The prefixes become postings (shingle, place, node). Two nodes of n and m
    shingles that are linked share at least a = ceil(t / (1 + t) x (n + m)), so
    with j = min(l, k) of their own l and k they share j shingles at places
@@ -58,7 +60,7 @@ WORDS, PERCENT = 4, 85
 #: Counters of shingles (a power of two), sent by slices of SLICE counters.
 COUNTERS, SLICE = 1 << 22, 1 << 16
 #: Largest l, and the steps that one lookup of a posting costs where a verification costs one for each shingle.
-MOST, LOOKUP = 8, 4.0
+MOST, LOOKUP = 8, 32.0
 #: Most rounds of leaders, and leaders that a node is compared with in each. Rounds go on while they at least halve the pairs that are left.
 ROUNDS, TRIES = 4, 2
 BATCH_BYTES = 500_000
@@ -148,11 +150,18 @@ def least_shared(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def least_common(n: int, m: int, percent: int) -> int:
+    """Shingles that linked sets of ``n`` and ``m`` share at least."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 def chosen_length(frequency: np.ndarray, n: int, base: int, most: int) -> int:
-    """The l of least cost for a set of ``n`` shingles whose ordered frequencies are given; ``base`` is the prefix of l = 1 less one."""
-    upto = np.cumsum(frequency[:base + most])[base:]
+    """The l of least cost for a set of ``n`` shingles whose ordered frequencies are given; of equals the smallest.
+
+    ``base`` + l places count between sets of this size."""
+    upto = np.cumsum(np.maximum(frequency[:base + most] - 1, 0))[base:base + most]
     k = np.arange(1, len(upto) + 1)
-    return int(np.argmin(upto * (LOOKUP + n / k))) + 1
+    return int(np.argmin(upto * (LOOKUP + n / k))) + 1 if len(upto) else 1
 
 
 def prefixes(docs: DataFrame, nodes: DataFrame, table: bytes, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -174,7 +183,8 @@ def prefixes(docs: DataFrame, nodes: DataFrame, table: bytes, id_col: str, text_
                     order = np.lexsort((s, level))
                     least = least_shared(len(s), percent)
                     base = len(s) - least
-                    k = chosen_length(np.exp2(level[order] / 5.0), len(s), base, min(MOST, least)) if len(s) else 1
+                    alike = len(s) - least_common(len(s), len(s), percent)
+                    k = chosen_length(np.exp2(level[order] / 5.0), len(s), alike, min(MOST, least)) if len(s) else 1
                     n.append(len(s))
                     l.append(k)
                     weight.append(int(level.mean()) if len(s) else 0)

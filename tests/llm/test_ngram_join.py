@@ -103,7 +103,9 @@ def test_prefixes_share_enough_at_every_length():
 
 
 def test_a_longer_prefix_is_chosen_where_it_saves_work():
-    flat = np.full(60, 100.0)
-    assert ngram_join.chosen_length(flat, 300, 40, 8) == 8  # one more lookup among many, half the verifications
-    steep = np.concatenate([np.ones(41), np.full(19, 1e6)])
-    assert ngram_join.chosen_length(steep, 300, 40, 8) == 1  # the next shingle is frequent
+    flat = np.full(200, 100.0)
+    assert ngram_join.chosen_length(flat, 1000, 80, 8) == 8  # one more lookup among many, an eighth of the verifications
+    steep = np.concatenate([np.full(81, 2.0), np.full(119, 1e6)])
+    assert ngram_join.chosen_length(steep, 1000, 80, 8) == 1  # the next shingle is frequent
+    assert ngram_join.chosen_length(np.ones(200), 1000, 80, 8) == 1  # nobody is met
+    assert ngram_join.chosen_length(np.ones(1), 1, 0, 1) == 1 and ngram_join.least_common(100, 100, 85) == 92
