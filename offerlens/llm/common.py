@@ -35,6 +35,14 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str,
     return big.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it (column names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import join_checked, stage
+from offerlens.llm.common import free, join_checked, stage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -102,18 +102,19 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Where several rows could stay (they repeat the id, or the group has rows
     without an id), one of them does."""
     groups = stage(exact_groups(docs, id_col, text_col, keep), "groups")
+    mark, number = free("__digest", docs.columns), free("__n", docs.columns)
     # an id may stand on several texts, so a row is named by its id and its digest
-    gone = stage(groups.where(~F.col("kept") & F.col("id").isNotNull()).select(F.col("id").alias(id_col), F.col("digest").alias("__digest"))
+    gone = stage(groups.where(~F.col("kept") & F.col("id").isNotNull()).select(F.col("id").alias(id_col), F.col("digest").alias(mark))
                  .distinct(), "gone")
     unclear = stage(groups.where(F.col("kept") | F.col("id").isNull()).groupBy("digest")
-                    .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("__digest")), "unclear")
-    marked = docs.withColumn("__digest", digest(lower_a_to_z(F.coalesce(F.col(text_col), F.lit("")))))
-    marked = join_checked(marked, gone, [id_col, "__digest"], "left_anti")  # rows without an id match nothing and stay
+                    .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias(mark)), "unclear")
+    marked = docs.withColumn(mark, digest(lower_a_to_z(F.coalesce(F.col(text_col), F.lit("")))))
+    marked = join_checked(marked, gone, [id_col, mark], "left_anti")  # rows without an id match nothing and stay
     if not unclear.limit(1).count():
         return marked.select(*docs.columns)
-    order = Window.partitionBy("__digest").orderBy(F.col(id_col).asc_nulls_last() if keep == "smallest"
+    order = Window.partitionBy(mark).orderBy(F.col(id_col).asc_nulls_last() if keep == "smallest"
                                                    else F.col(id_col).desc_nulls_last())
-    one = (join_checked(marked, unclear, ["__digest"], "left_semi").withColumn("__n", F.row_number().over(order))
-           .where("__n = 1"))
-    return (join_checked(marked, unclear, ["__digest"], "left_anti").select(*docs.columns)
+    one = (join_checked(marked, unclear, [mark], "left_semi").withColumn(number, F.row_number().over(order))
+           .where(F.col(number) == 1))
+    return (join_checked(marked, unclear, [mark], "left_anti").select(*docs.columns)
             .unionByName(one.select(*docs.columns)))

@@ -209,7 +209,9 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     ids = {r["id"]: (r["lang"], r["r"]) for r in picked}
     most = 4 * chars_per_lang  # a longer text gives its middle
     text = F.substring(F.col(text_col), F.greatest(F.lit(1), F.floor((F.char_length(text_col) - most) / 2)).cast("int"), F.lit(most))
-    rows = known.where(F.col(id_col).isin(list(ids))).select(F.col(id_col).alias("id"), text.alias("text")).collect()
+    # one text for each chosen id reaches the driver, however many rows an id has
+    rows = (known.where(F.col(id_col).isin(list(ids))).select(F.col(id_col).alias("id"), text.alias("text"))
+            .groupBy("id").agg(F.min("text").alias("text")).collect())
     samples = dict.fromkeys(names, "")
     for _, lang, content in sorted((ids[r["id"]][1], ids[r["id"]][0], r["text"] or "") for r in rows):
         if len(samples[lang]) < chars_per_lang:

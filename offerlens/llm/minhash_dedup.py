@@ -20,7 +20,7 @@ in rounds, without ever listing the pairs of a group:
    nodes outside its largest component meet all its nodes, in slices dealt to
    different tasks. A pair is taken up in the first table it shares, and only
    if its sketches (one permutation, ``BINS`` bins) estimate a similarity of at
-   least ``LEAST_ESTIMATE``, 3.5 standard errors below 0.75.
+   least ``LEAST_ESTIMATE``, more than 7 standard errors below 0.75.
 
 Every link is confirmed on full sets. A group of copies that makes up a third
 of all rows is one node; a group of near copies is soon one component. Joins
@@ -48,7 +48,7 @@ WORDS, GROUPS, WIDTH = 5, 10, 2
 #: Links hold where 100 x intersection >= PERCENT x union.
 PERCENT = 75
 #: Bins of a node's sketch, the least similarity estimated from two sketches, and the set size from which they are asked.
-BINS, LEAST_ESTIMATE, LEAST_SIZE = 512, 0.68, 24
+BINS, LEAST_ESTIMATE, LEAST_SIZE = 512, 0.60, 24
 #: Rounds of leaders, and leaders that a node is compared with in each.
 ROUNDS, TRIES = 2, 2
 #: Nodes of a bucket that one slice of the last step holds.

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import BROADCAST_ROWS, WORD_PATTERN, stage
+from offerlens.llm.common import BROADCAST_ROWS, WORD_PATTERN, free, stage
 
 #: Hash bits, and bits resolved in each round: 4 rounds of 4096 buckets.
 HASH_BITS, LEVEL_BITS = 48, 12
@@ -119,13 +119,14 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
            weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns. Texts are not shuffled."""
     sized = stage(sizes(docs, id_col, text_col, source_col), "sizes")
+    of, limit, hashed_col, copy = (free(x, docs.columns) for x in ("__source", "__limit", "__hash", "__copy"))
     limits = thresholds(sized, source_targets(sized, weights, share, most)).select(
-        F.col("source").alias("__source"), F.struct("full", "threshold").alias("__limit"))
+        F.col("source").alias(of), F.struct("full", "threshold").alias(limit))
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits
-    hashed = docs.withColumn("__hash", mix_hash(F.col(id_col), F.col(text_col)))
-    copies = copies_of(most, F.col("__hash"), F.col("__limit.full"), F.col("__limit.threshold"))
-    return (hashed.join(limits, F.col(source_col).eqNullSafe(F.col("__source")))
-            .select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("__copy")).drop("__copy"))
+    hashed = docs.withColumn(hashed_col, mix_hash(F.col(id_col), F.col(text_col)))
+    copies = copies_of(most, F.col(hashed_col), F.col(limit)["full"], F.col(limit)["threshold"])
+    return (hashed.join(limits, F.col(source_col).eqNullSafe(F.col(of)))
+            .select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias(copy)).drop(copy))
 
 
 def copies_of(most: int, hash_: Column, full: Column, threshold: Column) -> Column:
