@@ -2,7 +2,15 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and reread as the next
-one's ``docs``. All but the last return the columns of ``docs``.
+one's ``docs``. All but the last return the columns of ``docs``, whatever
+their names: columns that the stages add for themselves get names that no
+column has.
+
+Cases: null and empty texts have no letters and go with language ID (they are
+empty texts to every other stage, which keep one of them); rows without an id
+take no part in near dedup and stay; an id on several rows is treated row by
+row; of equal texts the largest id stays, of near copies the smallest; very
+long texts pass whole; an empty table runs through all stages and gives none.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.llm import bpe, exact_dedup, langid, minhash_dedup, mixing
-from offerlens.llm.common import join_checked, stage
+from offerlens.llm.common import free, join_checked, stage
 from offerlens.llm.queries import tokenizer_path
 from offerlens.sources.tables import load
 
@@ -28,8 +36,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The samples come from the documents' own labels. Neither equally good
     languages nor the lack of any label reject a text."""
     samples = langid.learn(docs, langid.remainder(F.col("doc_id"), 3) != 1)
-    found = langid.predict(docs, samples if samples.langs else NO_LANGUAGE, out=("__lang", "__score", "__bits"))
-    return found.where(F.col("__lang") != langid.UNKNOWN).select(*docs.columns)
+    out = tuple(free(x, docs.columns) for x in ("__lang", "__score", "__bits"))
+    found = langid.predict(docs, samples if samples.langs else NO_LANGUAGE, out=out)
+    return found.where(F.col(out[0]) != langid.UNKNOWN).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +52,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Groups are made of ids. Where an id stands on several rows, every row gets
     a number of its own instead, so that a text goes only with its own group;
     rows without an id take no part."""
-    id_col = "doc_id"
+    id_col, columns = "doc_id", docs.columns
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if repeated.limit(1).count():
-        id_col = "__row"
+        id_col = free("__row", docs.columns)
         docs = stage(docs.withColumn(id_col, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "near-rows")
     groups = minhash_dedup.near_groups(docs, id_col)
     if id_col == "doc_id":
@@ -57,7 +66,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         first = stage(placed.groupBy("component").agg(F.min(F.struct("doc_id", id_col))[id_col].alias("first")), "near-first")
         gone = join_checked(placed.select(id_col), first.select(F.col("first").alias(id_col)), [id_col], "left_anti")
     kept = join_checked(docs, stage(gone, "near-gone"), [id_col], "left_anti")
-    return kept.select(*[c for c in docs.columns if c != "__row"])
+    return kept.select(*columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
