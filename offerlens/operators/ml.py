@@ -82,14 +82,15 @@ def positive_probability(pred: DataFrame) -> Column:
     return F.get(vector_to_array(c("probability")), 1)
 
 
-def score_pairs(model: PipelineModel, subs: DataFrame) -> DataFrame:
-    """ml_score_pairs: P(accept) for every subscriber x offer."""
+def score_pairs(model: PipelineModel, subs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """ml_score_pairs: P(accept) for every subscriber x offer; with the node table also as walked there."""
     cand = candidate_rows(subs.select("customer_id", *[x for x in CAT_FEATS + NUM_FEATS if x not in
                                                         ("shown_offer", "shown_value")]))
     pred = model.transform(cand)
+    extra = [walked_probability(nodes, vector_to_array(c("features"))).alias("walked")] if nodes is not None else []
     return pred.select("customer_id", "offer_ord", c("shown_offer").alias("offer"),
                        c("shown_action_type").alias("action_type"), c("shown_value").alias("price"),
-                       positive_probability(pred).alias("score"))
+                       positive_probability(pred).alias("score"), *extra)
 
 
 def recommend_model(model: PipelineModel, subs: DataFrame) -> DataFrame:
@@ -100,6 +101,84 @@ def recommend_model(model: PipelineModel, subs: DataFrame) -> DataFrame:
                        F.round(c("score"), 4).alias("propensity"), c("price").alias("value_qar"))
 
 
+# ---------------------------------------------------------------- the trees as a table
+NODES = ("tree int, weight double, node int, feature int, threshold double, left_categories long, left_node int, "
+         "right_node int, prediction double")
+
+
+def node_table(model: PipelineModel) -> DataFrame:
+    """A row for each node of the fitted trees; staged. Leaves have feature -1.
+
+    A split on a number goes left up to ``threshold``; one on categories goes
+    left where the category's bit is set in ``left_categories`` (null for numbers)."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    path = stage_path(spark, "propensity-trees")
+    model.stages[-1].write().save(path)
+    n = c("nodeData")
+    split = n["split"]
+    values = split["leftCategoriesOrThreshold"]
+    bits = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + F.pow(F.lit(2.0), x).cast("long"))
+    trees = spark.read.parquet(f"{path}/treesMetadata").select(c("_1").alias("treeID"), c("_3").alias("weight"))
+    rows = spark.read.parquet(f"{path}/data").join(trees, "treeID").select(
+        c("treeID").alias("tree"), "weight", n["id"].alias("node"), split["featureIndex"].alias("feature"),
+        F.when(split["numCategories"] < 0, F.get(values, 0)).alias("threshold"),
+        F.when(split["numCategories"] >= 0, bits).alias("left_categories"),
+        n["leftChild"].alias("left_node"), n["rightChild"].alias("right_node"), n["prediction"].alias("prediction"))
+    table = f"{path}-nodes"
+    rows.orderBy("tree", "node").write.parquet(table)
+    return spark.read.schema(NODES).parquet(table)
+
+
+def walked_probability(nodes: DataFrame, features: Column) -> Column:
+    """P(accept) from the node table alone: every tree is walked from its root to a leaf.
+
+    ``features`` is the assembled row as array<double>. The table has as many
+    rows as trees times nodes, whatever the data, and becomes literal arrays."""
+    rows = sorted(nodes.collect(), key=lambda r: (r.tree, r.node))
+    start, weight, depth = {}, {}, 0
+    for i, r in enumerate(rows):
+        start.setdefault(r.tree, i)
+        weight[r.tree] = r.weight
+    level = {}
+    for r in rows:  # a child comes after its parent
+        d = level.setdefault((r.tree, r.node), 0)
+        depth = max(depth, d)
+        if r.feature >= 0:
+            level[r.tree, r.left_node] = level[r.tree, r.right_node] = d + 1
+    array = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])
+    feature = array([r.feature for r in rows], "int")
+    threshold = array([r.threshold if r.threshold is not None else 0.0 for r in rows], "double")
+    bits = array([r.left_categories if r.left_categories is not None else -1 for r in rows], "long")
+    left = array([start[r.tree] + max(r.left_node, 0) for r in rows], "int")
+    right = array([start[r.tree] + max(r.right_node, 0) for r in rows], "int")
+    prediction = array([r.prediction for r in rows], "double")
+    roots, weights = array(list(start.values()), "int"), array([weight[t] for t in start], "double")
+
+    def step(i: Column) -> Column:
+        value = F.get(features, F.get(feature, i))
+        number = value <= F.get(threshold, i)
+        category = F.getbit(F.get(bits, i), F.least(value, F.lit(62.0)).cast("int")) == 1
+        return (F.when(F.get(feature, i) < 0, i).when(F.when(F.get(bits, i) < 0, number).otherwise(category), F.get(left, i))
+                .otherwise(F.get(right, i)))
+
+    def leaf(t: Column) -> Column:
+        if not depth:
+            return F.get(roots, t)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.get(roots, t), lambda i, _: step(i))
+
+    margin = F.aggregate(F.sequence(F.lit(0), F.lit(len(start) - 1)), F.lit(0.0),
+                         lambda total, t: total + F.get(weights, t) * F.get(prediction, leaf(t)))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin))
+
+
+def log_loss(probability: Column, label: Column) -> Column:
+    """Mean logarithmic loss (an aggregate)."""
+    p = F.least(F.greatest(probability, F.lit(1e-15)), F.lit(1 - 1e-15))
+    return -F.avg(F.when(label == 1, F.log(p)).otherwise(F.log(F.lit(1.0) - p)))
+
+
 # ---------------------------------------------------------------- embeddings
 def hashing_embedder(text_col: str = "text", dim: int = 64) -> Pipeline:
     """emb_embed_batch (built-in): tokens -> hashed term frequencies -> IDF ->

@@ -658,7 +658,7 @@ ORACLE.update({
             WHERE is_relevant AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.interaction_id = c.interaction_id)),
         f AS (SELECT count(*) AS n_false_positives FROM hits WHERE NOT is_relevant),
         b AS (SELECT sim, interaction_id FROM hits WHERE NOT is_relevant ORDER BY sim DESC, interaction_id LIMIT 1)
-        SELECT n_missed, first_missed_id, n_false_positives, (SELECT {rhu('sim', 4)} FROM b) AS top_fp_similarity,
+        SELECT n_missed, first_missed_id, (SELECT coalesce(min(text), '') FROM corpus WHERE interaction_id = first_missed_id) AS first_missed_text, n_false_positives, (SELECT {rhu('sim', 4)} FROM b) AS top_fp_similarity,
                (SELECT interaction_id FROM b) AS top_fp_id FROM m, f""",
     "agg_payload_reduction": H + PR + f" SELECT customer_id, full_chars, retrieved_chars, {rhu('reduction', 6)} AS reduction FROM pl",
     "ret_evaluate": H + PR + f""" SELECT {rhu('(SELECT avg(precision) FROM pr)', 6)} AS precision_at_k,
@@ -721,6 +721,12 @@ def bad_numbers_sql(text: str) -> str:
             f"list_transform({ALLOWED}, lambda a: a >= 0 AND abs({conv} - a) <= 1)), false))")
 
 
+def grouped_sql() -> str:
+    """proj_group_by_source: all fields, named by group and field."""
+    from offerlens.plans.decision import SOURCE_GROUPS
+    return ", ".join(f"{redact_sql('transcript') if f == 'transcript' else f} AS {g}_{f}" for g, fields in SOURCE_GROUPS.items() for f in fields)
+
+
 def canned_sql(variant: str = "A") -> str:
     return f""", canned AS (SELECT *, {rationale_sql(variant)} AS why, {redact_sql('transcript')} AS msg FROM guarded),
 grounded AS (SELECT *, {bad_numbers_sql("coalesce(why, '') || ' ' || coalesce(msg, '')")} AS bad FROM canned)"""
@@ -774,9 +780,7 @@ ORACLE.update({
     "fn_to_json_indented_b": B() + f" SELECT customer_id, {indented_json_sql('B')} AS context_json FROM decided",
     "rule_prompt": A() + f" SELECT customer_id, {prompt_sql('A')} AS prompt FROM decided",
     "rule_prompt_b": B() + f" SELECT customer_id, {prompt_sql('B')} AS prompt FROM decided",
-    "proj_group_by_source": A() + f""" SELECT customer_id, tenure_m AS bss_crm_tenure_m, arpu AS billing_arpu,
-        data_pct AS consumption_data_pct, net_issue AS device_network_net_issue, channel AS engagement_channel,
-        {redact_sql('transcript')} AS care_transcript, action AS nba_action FROM decided""",
+    "proj_group_by_source": A() + f" SELECT customer_id, {grouped_sql()} FROM decided",
     "rule_grounding": A() + grounding_sql("A"),
     "rule_grounding_b": B() + grounding_sql("B"),
     "rule_response_adjudicate": A() + adjudicate_sql("A"),
@@ -842,7 +846,8 @@ ORACLE.update({
     "ml_onehot": SUBS + ", n AS (SELECT " + " + ".join(f"count(DISTINCT {x})" for x in _CATEGORIES) + f" + {len(_CATEGORIES)} + {len(_NUMBERS)} AS n FROM subs) "
                  f"SELECT customer_id, CAST(n AS INTEGER) AS n_features, CAST({len(_CATEGORIES)} + "
                  + " + ".join(f"CASE WHEN {x} <> 0 THEN 1 ELSE 0 END" for x in _NUMBERS) + " AS INTEGER) AS n_nonzero FROM subs, n",
-    "ml_gbt_fit_check": "SELECT count(*) > 0 AS fitted, 100 AS n_trees FROM customer",
+    "ml_gbt_fit_check": "SELECT count(*) > 0 AS fitted, 100 AS n_trees, true AS beats_constant, true AS walk_equals FROM customer",
+    "ml_gbt_nodes_check": "SELECT CAST(tree AS INTEGER) AS tree, true AS binary, true AS rooted FROM range(100) t(tree)",
     "ml_score_pairs_check": SUBS + " SELECT customer_id, 10 AS n_offers, 10 AS n_in_range, 45 AS sum_offer_ord FROM subs",
     "ml_recommend_check": SUBS + " SELECT customer_id, true AS is_best, true AS is_first FROM subs",
     "emb_embed_check": SUBS + ", " + _HISTORY + " SELECT customer_id, count(*) AS n, count(*) AS n_sound FROM hist GROUP BY 1",

@@ -548,11 +548,14 @@ def q_agg_random_baseline(spark, sf):
 def q_agg_misses_fps(spark, sf):
     corp, hits = _hits(spark, sf)
     misses, fps = R.misses_and_false_positives(corp, hits)
-    m = misses.agg(F.count(F.lit(1)).alias("n_missed"), F.min("interaction_id").alias("first_missed_id"))
+    t = Tables(spark, sf)
+    m = misses.agg(F.count(F.lit(1)).alias("n_missed"), F.min("interaction_id").alias("interaction_id"))
+    # the text of the first miss only: one row meets the documents
+    m = RP.with_text(t, m).select("n_missed", c("interaction_id").alias("first_missed_id"), c("text").alias("first_missed_text"))
     f = fps.agg(F.count(F.lit(1)).alias("n_false_positives"),
                 F.max(F.struct(c("sim"), (-c("interaction_id")).alias("n"), c("interaction_id").alias("id")))
                 .alias("b"))
-    return m.crossJoin(f).select("n_missed", "first_missed_id", "n_false_positives",
+    return m.crossJoin(f).select("n_missed", "first_missed_id", "first_missed_text", "n_false_positives",
                                  rhu(c("b.sim"), 4).alias("top_fp_similarity"), c("b.id").alias("top_fp_id"))
 
 
@@ -698,14 +701,9 @@ def q_proj_context_struct(spark, sf):
 
 @register("proj_group_by_source")
 def q_proj_group_by_source(spark, sf):
+    # every field of every group, named by both
     d = _decided(spark, sf, "A").select("customer_id", D.source_groups().alias("g"))
-    return d.select("customer_id", c("g.bss_crm.tenure_m").alias("bss_crm_tenure_m"),
-                    c("g.billing.arpu").alias("billing_arpu"),
-                    c("g.consumption.data_pct").alias("consumption_data_pct"),
-                    c("g.device_network.net_issue").alias("device_network_net_issue"),
-                    c("g.engagement.channel").alias("engagement_channel"),
-                    c("g.care.transcript").alias("care_transcript"),
-                    c("g.nba.action").alias("nba_action"))
+    return d.select("customer_id", *[c(f"g.{g}.{f}").alias(f"{g}_{f}") for g, fields in D.SOURCE_GROUPS.items() for f in fields])
 
 
 @register("fn_to_json")
@@ -860,8 +858,29 @@ def _index(spark, sf):
 # ---- what can be said of model outputs without naming their values
 @register("ml_gbt_fit_check")
 def q_ml_gbt_fit_check(spark, sf):
-    trees = q_ml_gbt_fit(spark, sf)
-    return trees.agg((F.count(F.lit(1)) > 0).alias("fitted"), F.count(F.lit(1)).cast("int").alias("n_trees"))
+    # the fit beats a constant predictor on its rows, and a walk over its node table gives the same score for every pair
+    model, subs = _model(spark, sf), _subs(spark, sf)
+    trees = q_ml_gbt_fit(spark, sf).agg((F.count(F.lit(1)) > 0).alias("fitted"), F.count(F.lit(1)).cast("int").alias("n_trees"))
+    rate = subs.agg(F.avg(c(ML.LABEL).cast("double")).alias("p")).select("p").scalar()
+    fitted = model.transform(subs)
+    loss = fitted.select(ML.positive_probability(fitted).alias("p"), c(ML.LABEL).alias("y"), rate.alias("q")).agg(
+        (ML.log_loss(c("p"), c("y")) < ML.log_loss(c("q"), c("y"))).alias("beats_constant"))
+    pairs = ML.score_pairs(model, subs, ML.node_table(model))
+    walked = pairs.agg((F.max(F.abs(c("score") - c("walked"))) < 1e-9).alias("walk_equals"))
+    return trees.crossJoin(loss).crossJoin(walked)
+
+
+@register("ml_gbt_nodes")
+def q_ml_gbt_nodes(spark, sf):
+    return ML.node_table(_model(spark, sf))
+
+
+@register("ml_gbt_nodes_check")
+def q_ml_gbt_nodes_check(spark, sf):
+    # every tree is one tree: a root, two children for each split, no other nodes
+    nodes = q_ml_gbt_nodes(spark, sf)
+    per = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("feature") >= 0).alias("splits"), F.min("node").alias("root"))
+    return per.select("tree", (c("n") == 2 * c("splits") + 1).alias("binary"), (c("root") == 0).alias("rooted"))
 
 
 @register("ml_score_pairs_check")
