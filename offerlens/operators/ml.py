@@ -19,7 +19,7 @@ import uuid
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import (
-    HashingTF, IDF, Normalizer, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler,
+    HashingTF, IDF, Normalizer, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler, Word2Vec,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -192,9 +192,38 @@ def hashing_embedder(text_col: str = "text", dim: int = 64) -> Pipeline:
     ])
 
 
+#: Texts that the word vectors are trained on at most (chosen by hash, the same in every run), and rounds over them.
+TRAIN_TEXTS, TRAIN_ROUNDS = 200_000, 3
+
+
+def trained_embedder(text_col: str = "text", dim: int = 64, parts: int = 1) -> Pipeline:
+    """emb_embed_batch (trained): tokens -> the mean of their word vectors (Word2Vec) -> L2-normalised vector.
+
+    Words that occur once in the training texts have no vector. ``parts`` is
+    the number of tasks that train side by side and average their vectors."""
+    return Pipeline(stages=[
+        RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"\W+", toLowercase=True),
+        Word2Vec(inputCol="__tok", outputCol="__mean", vectorSize=dim, minCount=2, maxIter=TRAIN_ROUNDS, numPartitions=parts, seed=11),
+        Normalizer(inputCol="__mean", outputCol="__vec", p=2.0),
+    ])
+
+
+def fit_trained(texts: DataFrame, text_col: str = "text", dim: int = 64, most: int = TRAIN_TEXTS) -> PipelineModel:
+    """The trained embedder, fitted on at most about ``most`` of the texts; staged first, as every round rereads them."""
+    spark = texts.sparkSession
+    path = stage_path(spark, "word-texts")
+    rows = texts.select(text_col).where(F.length(text_col) > 0)
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    n = rows.count()
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64(text_col, F.lit(5)), F.lit(1 << 32)) < int((1 << 32) * most / n))
+    return trained_embedder(text_col, dim, max(1, min(8, n // 5000))).fit(rows)
+
+
 def embed(model: PipelineModel, df: DataFrame, out: str = "embedding") -> DataFrame:
     t = model.transform(df)
-    return t.withColumn(out, vector_to_array(c("__vec"), "float32")).drop("__tok", "__tf", "__tfidf", "__vec")
+    return t.withColumn(out, vector_to_array(c("__vec"), "float32")).drop("__tok", "__tf", "__tfidf", "__mean", "__vec")
 
 
 def embed_with(df: DataFrame, text_col: str, load_fn, dim: int, out: str = "embedding") -> DataFrame:

@@ -847,6 +847,7 @@ ORACLE.update({
                  f"SELECT customer_id, CAST(n AS INTEGER) AS n_features, CAST({len(_CATEGORIES)} + "
                  + " + ".join(f"CASE WHEN {x} <> 0 THEN 1 ELSE 0 END" for x in _NUMBERS) + " AS INTEGER) AS n_nonzero FROM subs, n",
     "ml_gbt_fit_check": "SELECT count(*) > 0 AS fitted, 100 AS n_trees, true AS beats_constant, true AS walk_equals FROM customer",
+    "emb_precision_check": "SELECT count(DISTINCT conv_id) AS n_customers, true AS same_customers, true AS in_range FROM conversations",
     "ml_gbt_nodes_check": "SELECT CAST(tree AS INTEGER) AS tree, true AS binary, true AS rooted FROM range(100) t(tree)",
     "ml_score_pairs_check": SUBS + " SELECT customer_id, 10 AS n_offers, 10 AS n_in_range, 45 AS sum_offer_ord FROM subs",
     "ml_recommend_check": SUBS + " SELECT customer_id, true AS is_best, true AS is_first FROM subs",

@@ -818,14 +818,52 @@ def q_ml_recommend(spark, sf):
     return ML.recommend_model(_model(spark, sf), _subs(spark, sf))
 
 
-def _embedded_histories(spark, sf):
+def _embedded_histories(spark, sf, trained=True):
+    """(subscribers, embedded corpus, query vector): the corpus is embedded once for each version of the tables.
+
+    The stage holds the corpus with its vectors and the query embedded by the same model."""
     t = Tables(spark, sf)
     subs = build_subscribers(spark, sf)
-    corp = IP.union_corpora(t.conversations, subs)
-    model = ML.hashing_embedder("text", 64).fit(corp)
-    q = ML.embed(model, spark.createDataFrame([(QUERY_TEXT,)], "text string"))
-    qv = q.select(normalize(c("embedding")).alias("q")).scalar()
-    return subs, ML.embed(model, corp), qv
+    kind = "trained" if trained else "hashed"
+    path = stage_path(spark, f"histories-{kind}-{hashlib.md5(sf.encode()).hexdigest()[:8]}", unique=False)
+    # the corpus numbers its rows over a checkpoint, so its key is made of what it is built from
+    key = ST.stage_key(t.conversations, f"{kind} 1 {ST.stage_key(subs)} {QUERY_TEXT}")
+
+    def write(folder):
+        corp = IP.union_corpora(t.conversations, subs)
+        model = ML.fit_trained(corp) if trained else ML.hashing_embedder("text", 64).fit(corp)
+        ML.embed(model, corp).write.parquet(f"{folder}/corpus")
+        ML.embed(model, spark.createDataFrame([(QUERY_TEXT,)], "text string")).write.parquet(f"{folder}/query")
+
+    folder = ST.resume(spark, path, key, write)
+    corp = spark.read.schema(_EMBEDDED).parquet(f"{folder}/corpus")
+    q = spark.read.schema("text string, embedding array<float>").parquet(f"{folder}/query")
+    return subs, corp, q.select(normalize(c("embedding")).alias("q")).scalar()
+
+
+_EMBEDDED = ("interaction_id string, customer_id long, date string, is_current boolean, channel string, text string, topic string, "
+             "is_relevant boolean, embedding array<float>")
+
+
+@register("emb_precision")
+def q_emb_precision(spark, sf):
+    """Precision at 3 of the trained and of the hashed vectors for the same query, over all customers."""
+    out = None
+    for name, trained in (("trained", True), ("hashed", False)):
+        _, emb, qv = _embedded_histories(spark, sf, trained)
+        hits = R.exact_topk(R.score(emb, qv), 3)
+        one = R.precision_recall(emb, hits).agg(F.lit(name).alias("vectors"), F.count(F.lit(1)).alias("n_customers"),
+                                                rhu(F.avg("precision"), 6).alias("precision_at_3"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("emb_precision_check")
+def q_emb_precision_check(spark, sf):
+    # both kinds rank every customer with a history
+    p = q_emb_precision(spark, sf)
+    return p.agg(F.max("n_customers").alias("n_customers"), (F.min("n_customers") == F.max("n_customers")).alias("same_customers"),
+                 ((F.count(F.lit(1)) == 2) & (F.min("precision_at_3") >= 0) & (F.max("precision_at_3") <= 1)).alias("in_range"))
 
 
 @register("emb_embed_batch")

@@ -156,3 +156,41 @@ def test_the_index_is_built_once(spark, tmp_path, monkeypatch):
     assert INV.index_of(spark.read.parquet(str(tmp_path / "c-rows")), str(tmp_path / "ix"))["rows"].count() == 4
     with pytest.raises(TypeError):
         INV.index_of(df, str(tmp_path / "ix"), k=2)
+
+
+# ------------------------------------------------------------------ vectors of the histories, and the trees
+def test_histories_are_embedded_once_by_a_trained_model(spark, sf_small, monkeypatch):
+    from offerlens.plans import catalog
+    first = catalog.QUERIES["emb_embed_batch"](spark, sf_small)
+    norms = first.select(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("n")).collect()
+    assert norms and all(abs(r.n - 1) < 1e-4 or r.n == 0 for r in norms) and sum(r.n > 0 for r in norms) > 0.9 * len(norms)
+    monkeypatch.setattr(catalog.ML, "embed", None)  # nothing is embedded a second time
+    assert catalog.QUERIES["emb_embed_batch"](spark, sf_small).count() == len(norms)
+    modes = {r.retrieval_mode for r in catalog.QUERIES["ret_bulk_context"](spark, sf_small).collect()}
+    assert modes >= {"vector_top3", "full_dump"}
+
+
+def test_texts_with_common_words_are_near(spark):
+    from offerlens.operators import ml as ML
+    rows = [f"the network is slow and calls drop again {i % 3}" for i in range(40)] + [f"please send a new bundle of music and games {i % 3}" for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*rows, "", "unheard"])], "i long, text string")
+    v = {r.i: np.array(r.embedding) for r in ML.embed(ML.fit_trained(df, dim=16), df).collect()}
+    assert len(v[0]) == 16 and np.allclose(v[80], 0) and np.allclose(v[81], 0)
+    assert v[0] @ v[5] > v[0] @ v[45]
+
+
+def test_a_walk_over_the_node_table_scores_alike(spark, sf_small):
+    from pyspark.ml.functions import vector_to_array
+
+    from offerlens.operators import ml as ML
+    from offerlens.plans.subscriber import build_subscribers
+    rows = build_subscribers(spark, sf_small).withColumn("accept_ind", (F.xxhash64("customer_id") % 3 != 0).cast("int"))  # hard to fit: deep trees
+    model = ML.fit_propensity(rows, max_iter=6)
+    nodes = ML.node_table(model)
+    assert nodes.where("left_categories is not null").count() and nodes.where("threshold is not null").count()
+    pairs = ML.score_pairs(model, rows, nodes).collect()
+    assert len(pairs) == 10 * rows.count() and all(abs(r.score - r.walked) < 1e-12 for r in pairs) and len({r.score for r in pairs}) > 20
+    fitted = model.transform(rows).select(F.col("accept_ind").alias("y"), ML.positive_probability(None).alias("p"), vector_to_array("features").alias("x"))
+    loss = fitted.select(ML.log_loss(F.col("p"), F.col("y"))).first()[0]
+    share = sum(r.y for r in fitted.collect()) / rows.count()
+    assert loss < -(share * np.log(share) + (1 - share) * np.log(1 - share))
