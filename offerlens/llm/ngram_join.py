@@ -58,11 +58,11 @@ from offerlens.llm.minhash_dedup import components, merged, shingle_sets
 
 WORDS, PERCENT = 4, 85
 #: Counters of shingles (a power of two), sent by slices of SLICE counters.
-COUNTERS, SLICE = 1 << 22, 1 << 16
+COUNTERS, SLICE = 1 << 23, 1 << 16
 #: Largest l, and the steps that one lookup of a posting costs where a verification costs one for each shingle.
 MOST, LOOKUP = 8, 32.0
-#: Most rounds of leaders, and leaders that a node is compared with in each. Rounds go on while they at least halve the pairs that are left.
-ROUNDS, TRIES = 4, 2
+#: Most rounds of leaders, and leaders that a node is compared with in each (other pairs are left to the last step). Rounds go on while they at least halve the pairs that are left.
+ROUNDS, TRIES = 4, 1
 BATCH_BYTES = 500_000
 
 
