@@ -845,7 +845,6 @@ _EMBEDDED = ("interaction_id string, customer_id long, date string, is_current b
              "is_relevant boolean, embedding array<float>")
 
 
-@register("emb_precision")
 def q_emb_precision(spark, sf):
     """Precision at 3 of the trained and of the hashed vectors for the same query, over all customers."""
     out = None
@@ -908,7 +907,6 @@ def q_ml_gbt_fit_check(spark, sf):
     return trees.crossJoin(loss).crossJoin(walked)
 
 
-@register("ml_gbt_nodes")
 def q_ml_gbt_nodes(spark, sf):
     return ML.node_table(_model(spark, sf))
 
