@@ -123,7 +123,9 @@ def stored(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame, int]:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/ledger")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return spark.createDataFrame([], TRIPLES), spark.createDataFrame([], FINDINGS), 0
+        nothing = [spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in columns.split(", "))])
+                   for columns in (TRIPLES, FINDINGS)]
+        return *nothing, 0
     ledger = spark.read.schema(TRIPLES).parquet(f"{store}/ledger")
     done = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path)
                   if s.isDirectory() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
