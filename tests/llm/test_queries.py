@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as E
 
 QUERIES, ORACLE = E.queries(), E.oracle_sql()
-SQL = ["op3_url_filters", "op8_secret_ledger", "op9_exact_dedup"]
+SQL = ["op3_url_filters", "op8_secret_ledger", "op9_exact_dedup", "op11_ngram_join", "op12_zone_clusters", "op13_orchard_codes"]
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -36,7 +36,7 @@ def test_sql(spark, duck, sf_small, name):
 
 
 def test_every_operator_is_registered_once():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in QUERIES if q.startswith(f"op{n}_")]) == 1
     assert "pipeline" in QUERIES
 
