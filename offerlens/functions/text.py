@@ -90,8 +90,13 @@ def chunk_words(text: Column, size: int, step: int) -> Column:
     """ext_chunk_text: overlapping chunks of ``size`` words every ``step`` words,
     covering the whole text (the last chunk may be shorter)."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACES_PATTERN), lambda s: s != "")
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
-    chunks = F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
-    # drop chunks fully contained in the previous one (text shorter than a window)
-    return F.filter(chunks, lambda ch, i: (i == 0) | (i * step + size - step < n))
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
+        chunks = F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+        # drop chunks fully contained in the previous one (text shorter than a window)
+        return F.filter(chunks, lambda ch, i: (i == 0) | (i * step + size - step < n))
+
+    # as a lambda's variable the words are split once for a text; as an expression, once for each of its chunks
+    return F.flatten(F.transform(F.array(words), cut))
