@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import (
@@ -62,10 +63,13 @@ def propensity_pipeline(max_iter: int = 100, max_depth: int = 3, step: float = 0
 
 
 def fit_propensity(train: DataFrame, **kw) -> PipelineModel:
-    """Fit on a staged feature table: the boosting rounds reread it, not the raw tables behind the features."""
+    """Fit on a staged feature table: the boosting rounds reread it, not the raw tables behind the features.
+
+    Its rows are dealt to as many files as there are cores, since a round has
+    as many tasks as the table has files, however few partitions the features came in."""
     path = stage_path(train.sparkSession, "propensity-features")
     table = train.select(*CAT_FEATS, *NUM_FEATS, LABEL)
-    table.write.parquet(path)
+    table.repartition(train.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*table.columns)).write.parquet(path)
     return propensity_pipeline(**kw).fit(train.sparkSession.read.schema(table.schema).parquet(path))
 
 
@@ -135,7 +139,10 @@ def walked_probability(nodes: DataFrame, features: Column) -> Column:
     """P(accept) from the node table alone: every tree is walked from its root to a leaf.
 
     ``features`` is the assembled row as array<double>. The table has as many
-    rows as trees times nodes, whatever the data, and becomes literal arrays."""
+    rows as trees times nodes, whatever the data, and goes along with the
+    function; the rows of a batch walk all trees side by side."""
+    import numpy as np
+
     rows = sorted(nodes.collect(), key=lambda r: (r.tree, r.node))
     start, weight, depth = {}, {}, 0
     for i, r in enumerate(rows):
@@ -147,30 +154,27 @@ def walked_probability(nodes: DataFrame, features: Column) -> Column:
         depth = max(depth, d)
         if r.feature >= 0:
             level[r.tree, r.left_node] = level[r.tree, r.right_node] = d + 1
-    array = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])
-    feature = array([r.feature for r in rows], "int")
-    threshold = array([r.threshold if r.threshold is not None else 0.0 for r in rows], "double")
-    bits = array([r.left_categories if r.left_categories is not None else -1 for r in rows], "long")
-    left = array([start[r.tree] + max(r.left_node, 0) for r in rows], "int")
-    right = array([start[r.tree] + max(r.right_node, 0) for r in rows], "int")
-    prediction = array([r.prediction for r in rows], "double")
-    roots, weights = array(list(start.values()), "int"), array([weight[t] for t in start], "double")
-
-    def step(i: Column) -> Column:
-        value = F.get(features, F.get(feature, i))
-        number = value <= F.get(threshold, i)
-        category = F.getbit(F.get(bits, i), F.least(value, F.lit(62.0)).cast("int")) == 1
-        return (F.when(F.get(feature, i) < 0, i).when(F.when(F.get(bits, i) < 0, number).otherwise(category), F.get(left, i))
-                .otherwise(F.get(right, i)))
-
-    def leaf(t: Column) -> Column:
-        if not depth:
-            return F.get(roots, t)
-        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.get(roots, t), lambda i, _: step(i))
-
-    margin = F.aggregate(F.sequence(F.lit(0), F.lit(len(start) - 1)), F.lit(0.0),
-                         lambda total, t: total + F.get(weights, t) * F.get(prediction, leaf(t)))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin))
+    leaf = np.array([r.feature < 0 for r in rows])
+    feature = np.array([max(r.feature, 0) for r in rows])
+    threshold = np.array([r.threshold if r.threshold is not None else 0.0 for r in rows])
+    bits = np.array([r.left_categories if r.left_categories is not None else -1 for r in rows], np.int64)
+    here = np.arange(len(rows))
+    left = np.where(leaf, here, [start[r.tree] + max(r.left_node, 0) for r in rows])
+    right = np.where(leaf, here, [start[r.tree] + max(r.right_node, 0) for r in rows])
+    prediction = np.array([r.weight * r.prediction for r in rows])
+    roots = np.array(list(start.values()))
+
+    @F.arrow_udf("double")
+    def walk(column: pa.Array) -> pa.Array:
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        at = np.tile(roots, (len(x), 1))
+        for _ in range(depth):
+            value, bit = np.take_along_axis(x, feature[at], 1), bits[at]
+            category = (bit >> np.clip(value, 0, 62).astype(np.int64)) & 1 == 1
+            at = np.where(np.where(bit < 0, value <= threshold[at], category), left[at], right[at])
+        return pa.array(1.0 / (1.0 + np.exp(-2.0 * prediction[at].sum(1))))
+
+    return walk(features)
 
 
 def log_loss(probability: Column, label: Column) -> Column:

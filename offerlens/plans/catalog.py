@@ -781,9 +781,17 @@ from offerlens.operators import ml as ML  # noqa: E402
 _MODELS: dict = {}
 
 
+def _scored_subs(spark, sf):
+    """The subscribers' model inputs, staged once for each version of the tables, in at least as many files as cores."""
+    path = stage_path(spark, f"model-inputs-{hashlib.md5(sf.encode()).hexdigest()[:8]}", unique=False)
+    columns = ["customer_id", *ML.CAT_FEATS, *ML.NUM_FEATS, ML.LABEL]
+    parts = spark.sparkContext.defaultParallelism
+    return ST.resume_or_compute(spark, path, lambda: _subs(spark, sf).select(*columns).repartition(parts, "customer_id"))
+
+
 def _model(spark, sf, max_iter=100):
     """The propensity model, fitted once per (application, input files and features, rounds)."""
-    subs = _subs(spark, sf)
+    subs = _scored_subs(spark, sf)
     key = (spark.sparkContext.applicationId, ST.stage_key(subs), max_iter)
     if key not in _MODELS:
         _MODELS[key] = ML.fit_propensity(subs, max_iter=max_iter)
@@ -810,12 +818,12 @@ def q_ml_gbt_fit(spark, sf):
 
 @register("ml_score_pairs")
 def q_ml_score_pairs(spark, sf):
-    return ML.score_pairs(_model(spark, sf), _subs(spark, sf))
+    return ML.score_pairs(_model(spark, sf), _scored_subs(spark, sf))
 
 
 @register("ml_recommend")
 def q_ml_recommend(spark, sf):
-    return ML.recommend_model(_model(spark, sf), _subs(spark, sf))
+    return ML.recommend_model(_model(spark, sf), _scored_subs(spark, sf))
 
 
 def _embedded_histories(spark, sf, trained=True):
@@ -896,7 +904,7 @@ def _index(spark, sf):
 @register("ml_gbt_fit_check")
 def q_ml_gbt_fit_check(spark, sf):
     # the fit beats a constant predictor on its rows, and a walk over its node table gives the same score for every pair
-    model, subs = _model(spark, sf), _subs(spark, sf)
+    model, subs = _model(spark, sf), _scored_subs(spark, sf)
     trees = q_ml_gbt_fit(spark, sf).agg((F.count(F.lit(1)) > 0).alias("fitted"), F.count(F.lit(1)).cast("int").alias("n_trees"))
     rate = subs.agg(F.avg(c(ML.LABEL).cast("double")).alias("p")).select("p").scalar()
     fitted = model.transform(subs)
