@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import (
-    HashingTF, IDF, Normalizer, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler, Word2Vec,
+    HashingTF, IDF, Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler, Word2Vec,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -200,20 +200,31 @@ def hashing_embedder(text_col: str = "text", dim: int = 64) -> Pipeline:
 TRAIN_TEXTS, TRAIN_ROUNDS = 200_000, 3
 
 
-def trained_embedder(text_col: str = "text", dim: int = 64, parts: int = 1) -> Pipeline:
+#: Rows of the table of word vectors at most; more words share rows by hash, so that the model does not grow with the texts.
+WORD_ROWS = 1 << 15
+
+
+def trained_embedder(text_col: str = "text", dim: int = 64, parts: int = 1, shared_rows: int = 0) -> Pipeline:
     """emb_embed_batch (trained): tokens -> the mean of their word vectors (Word2Vec) -> L2-normalised vector.
 
-    Words that occur once in the training texts have no vector. ``parts`` is
-    the number of tasks that train side by side and average their vectors."""
+    Words that occur once in the training texts have no vector. With
+    ``shared_rows`` a word is the row, one of that many, that its hash picks.
+    ``parts`` is the number of tasks that train side by side and average their
+    vectors."""
+    row = f"transform(__tok, w -> string(pmod(xxhash64(w), {shared_rows})))" if shared_rows else "__tok"
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"\W+", toLowercase=True),
-        Word2Vec(inputCol="__tok", outputCol="__mean", vectorSize=dim, minCount=2, maxIter=TRAIN_ROUNDS, numPartitions=parts, seed=11),
+        SQLTransformer(statement=f"SELECT *, {row} AS __row FROM __THIS__"),
+        Word2Vec(inputCol="__row", outputCol="__mean", vectorSize=dim, minCount=2, maxIter=TRAIN_ROUNDS, numPartitions=parts, seed=11),
         Normalizer(inputCol="__mean", outputCol="__vec", p=2.0),
     ])
 
 
-def fit_trained(texts: DataFrame, text_col: str = "text", dim: int = 64, most: int = TRAIN_TEXTS) -> PipelineModel:
-    """The trained embedder, fitted on at most about ``most`` of the texts; staged first, as every round rereads them."""
+def fit_trained(texts: DataFrame, text_col: str = "text", dim: int = 64, most: int = TRAIN_TEXTS, word_rows: int = WORD_ROWS) -> PipelineModel:
+    """The trained embedder, fitted on at most about ``most`` of the texts; staged first, as every round rereads them.
+
+    Every round brings all vectors to the driver: those of the words while
+    there are at most ``word_rows``, else those of so many shared rows."""
     spark = texts.sparkSession
     path = stage_path(spark, "word-texts")
     rows = texts.select(text_col).where(F.length(text_col) > 0)
@@ -222,12 +233,13 @@ def fit_trained(texts: DataFrame, text_col: str = "text", dim: int = 64, most: i
     n = rows.count()
     if n > most:
         rows = rows.where(F.pmod(F.xxhash64(text_col, F.lit(5)), F.lit(1 << 32)) < int((1 << 32) * most / n))
-    return trained_embedder(text_col, dim, max(1, min(8, n // 5000))).fit(rows)
+    words = rows.select(F.explode(F.split(F.lower(text_col), r"\W+")).alias("w")).groupBy("w").count().where("w <> '' and count > 1").count()
+    return trained_embedder(text_col, dim, max(1, min(8, n // 5000)), word_rows if words > word_rows else 0).fit(rows)
 
 
 def embed(model: PipelineModel, df: DataFrame, out: str = "embedding") -> DataFrame:
     t = model.transform(df)
-    return t.withColumn(out, vector_to_array(c("__vec"), "float32")).drop("__tok", "__tf", "__tfidf", "__mean", "__vec")
+    return t.withColumn(out, vector_to_array(c("__vec"), "float32")).drop("__tok", "__row", "__tf", "__tfidf", "__mean", "__vec")
 
 
 def embed_with(df: DataFrame, text_col: str, load_fn, dim: int, out: str = "embedding") -> DataFrame:

@@ -8,6 +8,16 @@ from offerlens.plans import catalog
 from offerlens.plans.subscriber import build_subscribers
 
 
+def test_word_vectors_do_not_grow_with_the_words(spark):
+    texts = spark.createDataFrame([(f"all of w{i} and w{i} and v{i % 7}",) for i in range(300)], "text string")
+    count = lambda m: m.stages[2].getVectors().count()
+    assert count(ML.fit_trained(texts, dim=8)) == 310  # every word that occurs twice
+    shared = ML.fit_trained(texts, dim=8, word_rows=64)
+    assert count(shared) <= 64
+    norms = [float(np.linalg.norm(r.embedding)) for r in ML.embed(shared, texts).collect()]
+    assert len(norms) == 300 and all(abs(x - 1) < 1e-4 for x in norms)
+
+
 def test_the_fit_has_a_task_for_each_core(spark, sf_small, monkeypatch):
     seen = []
 
