@@ -16,11 +16,16 @@ in rounds, without ever listing the pairs of a group:
    one by hash. Each node outside the leader's component is compared with the
    ``TRIES`` leaders with which it shares most tables. Confirmed links join
    components, and only buckets that still hold several are looked at again.
-2. What is left are pairs from different components in one bucket. A bucket's
-   nodes outside its largest component meet all its nodes, in slices dealt to
-   different tasks. A pair is taken up in the first table it shares, and only
-   if its sketches (one permutation, ``BINS`` bins) estimate a similarity of at
-   least ``LEAST_ESTIMATE``, more than 7 standard errors below 0.75.
+2. What is left are pairs from different components in one bucket. In buckets
+   of up to ``SLICE`` nodes, those outside the largest component meet all
+   others. A pair is taken up in the first table it shares, and only if its
+   sketches (one permutation, ``BINS`` bins) estimate a similarity of at least
+   ``LEAST_ESTIMATE``, more than 7 standard errors below 0.75.
+3. In larger buckets that would be a number of pairs that grows with the square
+   of the group, nearly all of them near misses (copies with too many changes).
+   Their nodes meet where they share enough of their rarest shingles, by the
+   multi-match prefixes of ``ngram_join``: near misses, whose own shingles
+   fill the places that count, never meet.
 
 Every link is confirmed on full sets. A group of copies that makes up a third
 of all rows is one node; a group of near copies is soon one component. Joins
@@ -51,8 +56,8 @@ PERCENT = 75
 BINS, LEAST_ESTIMATE, LEAST_SIZE = 512, 0.60, 24
 #: Rounds of leaders, and leaders that a node is compared with in each.
 ROUNDS, TRIES = 2, 2
-#: Nodes of a bucket that one slice of the last step holds.
-SLICE = 2048
+#: Nodes of a bucket up to which the last step compares their sketches pair by pair.
+SLICE = 64
 BATCH_BYTES = 1_000_000
 
 
@@ -238,28 +243,39 @@ def still_mixed(buckets: DataFrame, label: DataFrame, k: int) -> DataFrame:
     return stage(now.join(mixed, "key", "left_semi"), f"placed-{k}")
 
 
-def cross_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of a bucket from different components whose sketches are alike, each in the first table it shares."""
+def bucket_sizes(placed: DataFrame) -> DataFrame:
+    """(key, largest, size): the largest component and the nodes of every mixed bucket. Staged."""
     per = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-    largest = stage(per.groupBy("key").agg(F.max(F.struct("k", "label"))["label"].alias("largest"), F.sum("k").alias("size"))
-                    .select("key", "largest", F.ceil(F.col("size") / SLICE).cast("int").alias("slices")), "largest")
-    rows = (placed.select("key", "table", "node", "label").join(largest, "key").join(nodes, "node")
-            .withColumn("main", F.col("label") == F.col("largest"))
-            .withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")))
-    # slice (i, j) of a bucket compares its i-th part with the j-th part of the nodes outside the largest component
-    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    asked = F.when(F.col("main"), F.lit(0)).otherwise(1)
-    sides = (rows.withColumn("side", F.explode(F.slice(F.array(F.lit(0), F.lit(1)), 1, asked + 1)))
-             .withColumn("other", every)
-             .withColumn("i", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")))
-             .withColumn("j", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))))
-    columns = ["key", "i", "j", "side", "main", "table", "node", "label", "n", "left", "right", "sketch"]
-    dealt = sides.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return stage(per.groupBy("key").agg(F.max(F.struct("k", "label"))["label"].alias("largest"), F.sum("k").alias("size")), "largest")
+
+
+def cross_pairs(placed: DataFrame, sizes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: in buckets of up to SLICE nodes, the pairs from different components whose sketches are alike, each in the first table it shares."""
+    small = sizes.where(F.col("size") <= SLICE).select("key", "largest")
+    rows = (placed.select("key", "table", "node", "label").join(small, "key").join(nodes, "node")
+            .withColumn("main", F.col("label") == F.col("largest")))
+    columns = ["key", "main", "table", "node", "label", "n", "left", "right", "sketch"]
+    dealt = rows.select(*columns).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_compare_slices, "a long, b long").distinct()
 
 
+def shingle_pairs(placed: DataFrame, sizes: DataFrame, label: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """(a, b), a < b: the pairs from different components, among the nodes of buckets of more than SLICE, that share
+    enough of their rarest shingles (the prefixes of ``ngram_join``, which lose no link). None without such buckets."""
+    from offerlens.llm import ngram_join
+
+    large = stage(placed.join(sizes.where(F.col("size") > SLICE).select("key"), "key", "left_semi").select("node").distinct(), "large")
+    if not large.limit(1).count():
+        return None
+    texts = join_checked(docs.select(F.col(id_col).cast("long").alias("node"), text_col), large, ["node"], "left_semi")
+    frequencies = ngram_join.frequencies(ngram_join.counted(texts, "node", text_col, WORDS))
+    prefix = ngram_join.prefixes(docs, large, frequencies, id_col, text_col, WORDS, PERCENT).dropDuplicates(["node", "shingles"])
+    mixed = ngram_join.still_mixed(ngram_join.postings(prefix), label, "last")
+    return ngram_join.cross_pairs(mixed, PERCENT)
+
+
 def _compare_slices(batches: Iterator) -> Iterator:
-    """Streams the slices; holds one at a time."""
+    """Streams the buckets; holds those of one batch at a time."""
     import pyarrow as pa
 
     rest = None
@@ -276,21 +292,20 @@ def _compare_slices(batches: Iterator) -> Iterator:
 
 
 def _slice_cuts(table) -> np.ndarray:
-    """Where slices begin, and the number of rows."""
+    """Where buckets begin, and the number of rows."""
     new = np.zeros(table.num_rows, bool)
     new[:1] = True
-    for c in ("key", "i", "j"):
-        v = table.column(c).to_numpy()
-        new[1:] |= v[1:] != v[:-1]
+    v = table.column("key").to_numpy()
+    new[1:] = v[1:] != v[:-1]
     return np.append(np.flatnonzero(new), table.num_rows)
 
 
 def _compared(table, cuts: np.ndarray):
-    """The pairs of all slices between ``cuts`` as a record batch."""
+    """The pairs of all buckets between ``cuts`` as a record batch."""
     import pyarrow as pa
 
     stop = int(cuts[-1])
-    col = {c: table.column(c).to_numpy()[:stop] for c in ("side", "main", "table", "node", "label", "n")}
+    col = {c: table.column(c).to_numpy()[:stop] for c in ("main", "table", "node", "label", "n")}
 
     def matrix(name, width, kind):
         data = table.column(name).chunk(0).slice(0, stop) if stop else None
@@ -304,7 +319,7 @@ def _compared(table, cuts: np.ndarray):
     left, right, sketch = matrix("left", GROUPS, np.int64), matrix("right", GROUPS, np.int64), matrix("sketch", BINS, np.uint8)
     out = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        x, y = a + np.flatnonzero(col["side"][a:b] == 0), a + np.flatnonzero(col["side"][a:b] == 1)
+        x, y = np.arange(a, b), a + np.flatnonzero(~col["main"][a:b])
         step = max(1, 32_000_000 // (BINS * max(1, len(x))))
         for k in range(0, len(y), step):
             out.append(_alike(x, y[k:k + step], col, left, right, sketch))
@@ -356,7 +371,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         label = merged(label, links, f"labels-{k}")
         placed = still_mixed(placed.drop("label"), label, k)
 
-    pairs = stage(cross_pairs(placed, nodes), "pairs")
+    sizes = bucket_sizes(placed)
+    pairs, more = cross_pairs(placed, sizes, nodes), shingle_pairs(placed, sizes, label, docs, id_col, text_col)
+    pairs = stage(pairs if more is None else pairs.union(more).distinct(), "pairs")
     links = confirmed(pairs, docs, "last", id_col, text_col)
 
     # rows that repeat an id tie their nodes together
