@@ -26,15 +26,27 @@ from offerlens.sources.tables import load
 #: Stands in where no language can be learned, so that texts without letters are found all the same.
 NO_LANGUAGE = langid.Samples((("any", "a"),), "a")
 
+#: Rows that go to a Python worker at once. A batch of whole texts stands in memory several times, in the JVM and in
+#: the worker, and the default of 10,000 documents is tens of MB each time. No result depends on it.
+BATCH_ROWS = 2_000
+
 #: Language ID, minhashes and byte pairs have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows a batch to ``BATCH_ROWS``; a smaller number stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:  # 0 and below: no limit
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that some language explains best: all but those without letters.
 
     The samples come from the documents' own labels. Neither equally good
     languages nor the lack of any label reject a text."""
+    small_batches(spark)
     samples = langid.learn(docs, langid.remainder(F.col("doc_id"), 3) != 1)
     out = tuple(free(x, docs.columns) for x in ("__lang", "__score", "__bits"))
     found = langid.predict(docs, samples if samples.langs else NO_LANGUAGE, out=out)
@@ -52,6 +64,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Groups are made of ids. Where an id stands on several rows, every row gets
     a number of its own instead, so that a text goes only with its own group;
     rows without an id take no part."""
+    small_batches(spark)
     id_col, columns = "doc_id", docs.columns
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if repeated.limit(1).count():
@@ -76,6 +89,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text): the ids and the text they decode to, a row for each row of the mix."""
+    small_batches(spark)
     return bpe.encode(docs, tokenizer_path(), decoded=True).select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
