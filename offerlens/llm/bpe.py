@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from offerlens.llm.common import pieces, shuffle_partitions, span_hashes, utf8_buffers
 
-#: Tokens in a block; bytes split at once, whose word numbers make one packed row (splitting needs some 80 bytes for each).
+#: Tokens in a block; bytes split at once, whose word numbers make one packed row (splitting needs some 50 bytes for each).
 BLOCK_TOKENS, SPLIT_BYTES = 1_500_000, 250_000
 #: Ids decoded at once.
 DECODE_IDS = 300_000
