@@ -196,21 +196,16 @@ def hashing_embedder(text_col: str = "text", dim: int = 64) -> Pipeline:
     ])
 
 
-#: Texts that the word vectors are trained on at most (chosen by hash, the same in every run), and rounds over them.
-TRAIN_TEXTS, TRAIN_ROUNDS = 200_000, 3
-
-
-#: Rows of the table of word vectors at most; more words share rows by hash, so that the model does not grow with the texts.
-WORD_ROWS = 1 << 15
+#: Rounds over the texts, and tasks that train side by side; neither follows the size of the input.
+TRAIN_ROUNDS, TRAIN_TASKS = 3, 8
 
 
 def trained_embedder(text_col: str = "text", dim: int = 64, parts: int = 1, shared_rows: int = 0) -> Pipeline:
     """emb_embed_batch (trained): tokens -> the mean of their word vectors (Word2Vec) -> L2-normalised vector.
 
-    Words that occur once in the training texts have no vector. With
-    ``shared_rows`` a word is the row, one of that many, that its hash picks.
-    ``parts`` is the number of tasks that train side by side and average their
-    vectors."""
+    Words that occur once in the texts have no vector. With ``shared_rows`` a
+    word is the row, one of that many, that its hash picks. ``parts`` is the
+    number of tasks that train side by side and average their vectors."""
     row = f"transform(__tok, w -> string(pmod(xxhash64(w), {shared_rows})))" if shared_rows else "__tok"
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"\W+", toLowercase=True),
@@ -220,21 +215,18 @@ def trained_embedder(text_col: str = "text", dim: int = 64, parts: int = 1, shar
     ])
 
 
-def fit_trained(texts: DataFrame, text_col: str = "text", dim: int = 64, most: int = TRAIN_TEXTS, word_rows: int = WORD_ROWS) -> PipelineModel:
-    """The trained embedder, fitted on at most about ``most`` of the texts; staged first, as every round rereads them.
+def fit_trained(texts: DataFrame, text_col: str = "text", dim: int = 64, word_rows: int = 0) -> PipelineModel:
+    """The trained embedder, fitted on all texts; staged first, as every round rereads them.
 
-    Every round brings all vectors to the driver: those of the words while
-    there are at most ``word_rows``, else those of so many shared rows."""
+    Every word that occurs twice has its own vector, unless the caller names a
+    number of ``word_rows`` that the words share by hash. Texts of any number
+    are trained alike. Every round brings all vectors to the driver, so its
+    memory must follow the number of words (figures in the README)."""
     spark = texts.sparkSession
     path = stage_path(spark, "word-texts")
     rows = texts.select(text_col).where(F.length(text_col) > 0)
     rows.write.parquet(path)
-    rows = spark.read.schema(rows.schema).parquet(path)
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64(text_col, F.lit(5)), F.lit(1 << 32)) < int((1 << 32) * most / n))
-    words = rows.select(F.explode(F.split(F.lower(text_col), r"\W+")).alias("w")).groupBy("w").count().where("w <> '' and count > 1").count()
-    return trained_embedder(text_col, dim, max(1, min(8, n // 5000)), word_rows if words > word_rows else 0).fit(rows)
+    return trained_embedder(text_col, dim, TRAIN_TASKS, word_rows).fit(spark.read.schema(rows.schema).parquet(path))
 
 
 def embed(model: PipelineModel, df: DataFrame, out: str = "embedding") -> DataFrame:

@@ -835,7 +835,7 @@ def _embedded_histories(spark, sf, trained=True):
     kind = "trained" if trained else "hashed"
     path = stage_path(spark, f"histories-{kind}-{hashlib.md5(sf.encode()).hexdigest()[:8]}", unique=False)
     # the corpus numbers its rows over a checkpoint, so its key is made of what it is built from
-    key = ST.stage_key(t.conversations, f"{kind} 2 {ST.stage_key(subs)} {QUERY_TEXT}")
+    key = ST.stage_key(t.conversations, f"{kind} 3 {ST.stage_key(subs)} {QUERY_TEXT}")
 
     def write(folder):
         corp = IP.union_corpora(t.conversations, subs)

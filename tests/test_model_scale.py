@@ -18,6 +18,19 @@ def test_word_vectors_do_not_grow_with_the_words(spark):
     assert len(norms) == 300 and all(abs(x - 1) < 1e-4 for x in norms)
 
 
+def test_every_text_and_every_word_is_trained(spark):
+    count = lambda m: m.stages[2].getVectors().count()
+    words = spark.createDataFrame([(" ".join(f"w{i * 500 + j}" for j in range(500)),) for i in range(70)] * 2, "text string")
+    assert count(ML.fit_trained(words, dim=2)) == 35_000  # each its own
+    texts = spark.range(300_000).select(F.expr("if(id < 20000, concat('w', id div 2), 'common')").alias("text"))
+    assert count(ML.fit_trained(texts, dim=2)) == 10_001  # none is left out
+
+
+def test_few_and_many_texts_are_trained_alike(spark):
+    tasks = lambda n: ML.fit_trained(spark.range(n).selectExpr("'a common text' AS text"), dim=2).stages[2].getNumPartitions()
+    assert tasks(20) == tasks(12_000) == tasks(60_000)
+
+
 def test_the_fit_has_a_task_for_each_core(spark, sf_small, monkeypatch):
     seen = []
 
