@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import (
-    HashingTF, IDF, Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler, Word2Vec,
+    HashingTF, IDF, Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerlens.operators.ranking import argmax_by_group, expand_offers
+from offerlens.operators.word_vectors import WordVectors
 from offerlens.operators.workers import load_once
 from offerlens.session import stage_path
 
@@ -201,7 +202,7 @@ TRAIN_ROUNDS, TRAIN_TASKS = 3, 8
 
 
 def trained_embedder(text_col: str = "text", dim: int = 64, parts: int = 1, shared_rows: int = 0) -> Pipeline:
-    """emb_embed_batch (trained): tokens -> the mean of their word vectors (Word2Vec) -> L2-normalised vector.
+    """emb_embed_batch (trained): tokens -> the mean of their word vectors -> L2-normalised vector.
 
     Words that occur once in the texts have no vector. With ``shared_rows`` a
     word is the row, one of that many, that its hash picks. ``parts`` is the
@@ -210,23 +211,17 @@ def trained_embedder(text_col: str = "text", dim: int = 64, parts: int = 1, shar
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"\W+", toLowercase=True),
         SQLTransformer(statement=f"SELECT *, {row} AS __row FROM __THIS__"),
-        Word2Vec(inputCol="__row", outputCol="__mean", vectorSize=dim, minCount=2, maxIter=TRAIN_ROUNDS, numPartitions=parts, seed=11),
+        WordVectors("__row", "__mean", dim, TRAIN_ROUNDS, parts),
         Normalizer(inputCol="__mean", outputCol="__vec", p=2.0),
     ])
 
 
 def fit_trained(texts: DataFrame, text_col: str = "text", dim: int = 64, word_rows: int = 0) -> PipelineModel:
-    """The trained embedder, fitted on all texts; staged first, as every round rereads them.
+    """The trained embedder, fitted on all texts, however many.
 
     Every word that occurs twice has its own vector, unless the caller names a
-    number of ``word_rows`` that the words share by hash. Texts of any number
-    are trained alike. Every round brings all vectors to the driver, so its
-    memory must follow the number of words (figures in the README)."""
-    spark = texts.sparkSession
-    path = stage_path(spark, "word-texts")
-    rows = texts.select(text_col).where(F.length(text_col) > 0)
-    rows.write.parquet(path)
-    return trained_embedder(text_col, dim, TRAIN_TASKS, word_rows).fit(spark.read.schema(rows.schema).parquet(path))
+    number of ``word_rows`` that the words share by hash."""
+    return trained_embedder(text_col, dim, TRAIN_TASKS, word_rows).fit(texts.select(text_col).where(F.length(text_col) > 0))
 
 
 def embed(model: PipelineModel, df: DataFrame, out: str = "embedding") -> DataFrame:

@@ -27,7 +27,7 @@ def test_every_text_and_every_word_is_trained(spark):
 
 
 def test_few_and_many_texts_are_trained_alike(spark):
-    tasks = lambda n: ML.fit_trained(spark.range(n).selectExpr("'a common text' AS text"), dim=2).stages[2].getNumPartitions()
+    tasks = lambda n: ML.fit_trained(spark.range(n).selectExpr("'a common text' AS text"), dim=2).stages[2].parts
     assert tasks(20) == tasks(12_000) == tasks(60_000)
 
 
