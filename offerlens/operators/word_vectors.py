@@ -176,6 +176,11 @@ def _averaged(last: bool):
     return average
 
 
+def _drop_shuffles(spark) -> None:
+    """Shuffles of jobs that have ended leave the disks when the driver's JVM collects its garbage; not before, so ask for it."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class WordVectors(Estimator):
     """Vectors for the words that occur twice in ``tokens`` (array<string>), all of them, from all texts."""
 
@@ -203,6 +208,7 @@ class WordVectors(Estimator):
                 _round(self.dim, turn, self.rounds, self.parts, total), "part int, word string, n long, seed long, vec binary")
             trained.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS))).applyInArrow(_averaged(last), vectors if last else state).write.parquet(
                 f"{path}/{'vectors' if last else f'round-{turn + 1}'}")
+            _drop_shuffles(spark)
         if not total:
             spark.createDataFrame([], vectors).write.parquet(f"{path}/vectors")
         return WordTable(self.tokens, self.out, self.dim, self.parts, spark.read.schema(vectors).parquet(f"{path}/vectors"))

@@ -31,6 +31,13 @@ def test_few_and_many_texts_are_trained_alike(spark):
     assert tasks(20) == tasks(12_000) == tasks(60_000)
 
 
+def test_two_fits_give_equal_vectors(spark):
+    texts = spark.range(12_000, numPartitions=4).selectExpr("concat_ws(' ', 'a', concat('b', id % 11), concat('c', id % 7), concat('d', id % 5)) AS text")
+    read = lambda: {r.word: list(r.vector) for r in ML.fit_trained(texts, dim=8).stages[2].getVectors().collect()}
+    first = read()
+    assert len(first) == 24 and read() == first
+
+
 def test_the_fit_has_a_task_for_each_core(spark, sf_small, monkeypatch):
     seen = []
 
